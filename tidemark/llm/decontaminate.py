@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import utf8
 
-# Words are runs of digits, letters and whatever isn't ASCII.
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+# Words are runs of digits, letters (of either case, in the original) and
+# whatever isn't ASCII.
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 #: Characters of windows in one automaton, of about 100 bytes each in memory. Items

@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 
 # The rules of this module.
 SPACE = r"[\x20\x09-\x0D]+"
-SPACE_CHARS = "\x20\x09\x0a\x0b\x0c\x0d"
-SYMBOLS = "#*$%&|<>"
+NOT_SPACE = r"[^\x20\x09-\x0D]"
+SYMBOLS = "[#*$%&|<>]"
 CLOSERS = "\"'”’»)]}* \t\r"
 TERMINALS = ".!?…:;。！？．"
-NOISE = r"[#*$%&|<>!~=_^+]{2,}|\|"
+MARKS = r"[#*$%&|<>!~=_^+]{2,}|[|»›·•]"
 BOILERPLATE = (
     r"(?i)\b(?:all rights reserved|copyright (?:\(c\)|©|[0-9])|cookies? (?:policy|settings)|we use cookies|accept (?:all )?cookies|"
     r"privacy policy|terms of (?:use|service)|terms (?:and|&) conditions|enable javascript|requires javascript|"
@@ -28,7 +28,6 @@ BOILERPLATE = (
     r"alle rechte vorbehalten|lorem ipsum)\b"
 )
 NAVIGATION = r"(?i)^(?:home|menu|search|log ?in|sign in|sign up|register|next|previous|contact(?: us)?|about(?: us)?|faq|help|sitemap)(?: *[|>»›·•/-].*)?$"
-SEPARATORS = r"[|»›·•]"
 
 
 def words_of(text: Column) -> Column:
@@ -36,8 +35,8 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
-def _without_space(text: Column) -> Column:
-    return F.length(F.translate(text, SPACE_CHARS, ""))
+def _spaces(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(r"[\x20\x09-\x0D]"))
 
 
 def _twice(pairs: Column) -> Column:
@@ -57,16 +56,15 @@ def _twice(pairs: Column) -> Column:
 
 
 def line_passes(line: Column) -> Column:
-    """Whether a line stays: it is blank, or it ends as a sentence does, isn't mostly
-    symbols, and is neither navigation nor boilerplate."""
-    bare = F.trim(line)
-    end = F.right(F.rtrim(line, F.lit(CLOSERS)), F.lit(1))
-    n_words = F.size(F.split(bare, SPACE))
-    punctuated = F.instr(F.lit(TERMINALS), end) > 0
-    noisy = F.regexp_count(bare, F.lit(NOISE)) * 4 > n_words
-    navigation = (F.regexp_count(bare, F.lit(SEPARATORS)) * 3 > n_words) | ((n_words <= 12) & bare.rlike(NAVIGATION))
-    boilerplate = bare.rlike(BOILERPLATE)
-    return (bare == "") | (punctuated & (end != "") & ~noisy & ~navigation & ~boilerplate)
+    """Whether a line stays: it is blank, or it ends as a sentence does (but for up to
+    eight closing signs), isn't mostly symbols or separators as in a menu, and is neither
+    a lone navigation entry nor boilerplate."""
+    end = F.right(F.rtrim(F.right(line, F.lit(9)), F.lit(CLOSERS)), F.lit(1))
+    gaps = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
+    punctuated = (end != "") & (F.instr(F.lit(TERMINALS), end) > 0)
+    marked = F.regexp_count(line, F.lit(MARKS)) * 4 > gaps + 1
+    navigation = (gaps <= 12) & F.trim(line).rlike(NAVIGATION)
+    return ~line.rlike(NOT_SPACE) | (punctuated & ~marked & ~navigation & ~line.rlike(BOILERPLATE))
 
 
 def quality_rules(
@@ -101,20 +99,20 @@ def quality_rules(
         )
         .otherwise(F.array().cast("array<bigint>"))
         .alias("_h"),
-        F.filter("_lines", lambda x: F.translate(x, SPACE_CHARS, "") != "").alias("_full"),
+        F.filter("_lines", lambda x: x.rlike(NOT_SPACE)).alias("_full"),
         F.filter("_lines", line_passes).alias("_stay"),
     )
     # Equal hashes only nominate windows; the windows themselves decide.
     d = d.select(
         "_row", "_t", "_w", "_lines", "_full", "_stay",
         F.when(F.size(F.array_distinct("_h")) == F.size("_h"), F.array().cast("array<struct<x:bigint,i:int>>"))
-        .otherwise(F.array_sort(F.transform("_h", lambda x, i: F.struct(x.alias("x"), i.alias("i")))))
+        .otherwise(F.sort_array(F.transform("_h", lambda x, i: F.struct(x.alias("x"), i.alias("i")))))
         .alias("_s"),
     )
     d = d.select("*", _twice(F.col("_s")).alias("_p")).drop("_s")
     d = d.select(
         "*",
-        F.array_sort(
+        F.sort_array(
             F.transform(
                 "_p",
                 lambda i: F.struct(F.concat_ws(" ", F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)).alias("x"), i.alias("i")),
@@ -126,13 +124,13 @@ def quality_rules(
         "_row",
         "clean_text",
         F.size("_w").cast("long").alias("n_words"),
-        _without_space(F.col("_t")).cast("long").alias("word_chars"),
-        (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+        F.regexp_count("_t", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size("_full") - F.size(F.array_distinct("_full"))).cast("long").alias("n_dup_lines"),
         F.size(F.array_distinct(F.flatten(F.transform("_q", lambda i: F.array(i, i + 1, i + 2))))).cast("long").alias("n_repeat_words"),
         F.size("_lines").cast("long").alias("n_lines"),
         F.size("_stay").cast("long").alias("n_lines_kept"),
-        _without_space(F.col("clean_text")).alias("_left"),
+        (F.length("clean_text") - _spaces(F.col("clean_text"))).alias("_left"),
     )
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     lost = F.when(F.col("word_chars") == 0, 0.0).otherwise(F.lit(1.0) - F.try_divide(F.col("_left"), F.col("word_chars")))

@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import table, written
 from tidemark.llm.decontaminate import decontaminate
+from tidemark.llm.neighbours import quality_scores
 from tidemark.llm.quality_rules import quality_rules
 from tidemark.llm.secrets import secret_scan
+from tidemark.llm.simhash import simhash_components
 from tidemark.llm.token_files import read_token_files, token_folder, write_token_files
+from tidemark.llm.toxicity import toxicity_scores
 
 
 def byte_bpe() -> str:
@@ -32,16 +35,28 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_folder(spark)
     files = written(write_token_files(table(spark, sf_dir, "documents"), folder, byte_bpe()), "token-files")
     return read_token_files(files, folder)
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_secret_scan, op6_token_files, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_secret_scan, op5_toxicity, op6_token_files, op7_quality_classifier, op8_simhash, op10_decontaminate)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -13,6 +13,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -87,6 +88,12 @@ class Encoder:
         return [self.ids(t).tobytes() if ws is None else b"".join(map(known, ws))[4:] for t, ws in zip(texts, split, strict=True)]
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """The one of this worker process: tasks that follow each other share its words."""
+    return Encoder(path)
+
+
 def frame(ids: bytes, compressor: zstandard.ZstdCompressor) -> tuple[bytes, int]:
     """The compressed frame of a document's ids, and its checksum."""
     return compressor.compress(ids), xxhash.xxh64_intdigest(ids) & 0xFFFFFFFF
@@ -153,7 +160,7 @@ def write_token_files(
         store, root = fs.FileSystem.from_uri(folder)
         name = f"{root}/part-{part:06d}.zst"
         mine = f"{name}.{TaskContext.get().taskAttemptId()}"
-        encoder, compressor = Encoder(tokenizer_path), zstandard.ZstdCompressor(level=level)
+        encode, compressor = encoder(tokenizer_path).encode, zstandard.ZstdCompressor(level=level)
         doc_ids: list[int] = []
         sizes: list[tuple[int, int, int]] = []
         out, end = None, np.array([END_ID], "<u4").tobytes()
@@ -163,7 +170,7 @@ def write_token_files(
             if out is None:
                 store.create_dir(root, recursive=True)
                 out = store.open_output_stream(mine)
-            for i, raw in zip(ids, encoder.encode(texts), strict=True):
+            for i, raw in zip(ids, encode(texts), strict=True):
                 packed, check = frame(raw + end, compressor)
                 out.write(packed)
                 doc_ids.append(i)
