@@ -37,7 +37,7 @@ PATTERNS = {
 _EDGE = ".,;:!?\"'()[]{}«»“”¡¿#*$%&|<>-_~"
 
 
-def terms(word: str, longest: int = 6) -> list[str]:
+def terms(word: str, longest: int = 8) -> list[str]:
     """What of a word may be in a lexicon: itself, and its beginnings of 4 letters and
     more, which are marked."""
     w = word.lower().strip(_EDGE)
@@ -66,14 +66,18 @@ class Voters:
         return b
 
     def votes(self, text: str | None) -> int:
-        out, known, text = 0, self.known, text or ""
+        out, several, known, text = 0, 0, self.known, text or ""
         if len(known) > 400_000:
             known.clear()
         for w in set(text.split()):
             b = known.get(w)
             if b is None:
                 b = known[w] = self.bits(w)
-            out |= b
+            if b:
+                out |= b
+                several += 1
+        if several > 1:
+            out |= 1 << (self.first - 1)
         for k, p in enumerate(PATTERNS.values()):
             if p.search(text):
                 out |= 1 << (self.first + k)
@@ -94,15 +98,15 @@ def term_counts(sample: DataFrame) -> DataFrame:
 
 
 def mined_terms(sample: DataFrame, least: int, precision: float, most: int) -> list[str]:
-    """At most ``most`` terms of the labelled sample, those of most toxic texts, that
-    ``least`` or more toxic texts have, and of which toxic texts are a share of
-    ``precision`` or more of all texts that have them, with equal weight for both classes
-    and one more clean text than there are."""
+    """At most ``most`` terms of the labelled sample that ``least`` or more toxic texts
+    have, and of which toxic texts are a share of ``precision`` or more of all texts that
+    have them, with equal weight for both classes and one more clean text than there
+    are; those of largest share first."""
     n0, n1 = sample.agg(F.sum(1 - F.col("y")), F.sum("y")).first()
     share = F.col("bad") / n1
     counted = term_counts(sample.withColumn("target", F.col("y").cast("double")))
-    kept = counted.where(F.col("bad") >= least).where(share >= precision * (share + (F.col("good") + 1) / n0))
-    return [r.term for r in kept.orderBy(F.desc("bad"), "term").limit(most).collect()]
+    kept = counted.withColumn("share", share / (share + (F.col("good") + 1) / n0)).where((F.col("bad") >= least) & (F.col("share") >= precision))
+    return [r.term for r in kept.orderBy(F.desc("share"), "term").limit(most).collect()]
 
 
 def telling_terms(sample: DataFrame, z: float, most: int) -> list[str]:
@@ -116,16 +120,17 @@ def telling_terms(sample: DataFrame, z: float, most: int) -> list[str]:
 
 
 def make_voters(mined: list[str], parts: int) -> Voters:
-    """The written lexicons, then the mined words and the mined beginnings dealt in turn
-    to ``parts`` lexicons each, then the patterns."""
-    names = list(LEXICONS) + [f"words_{k}" for k in range(parts)] + [f"starts_{k}" for k in range(parts)] + list(PATTERNS)
+    """The written lexicons, then the mined words and the mined beginnings cut into
+    ``parts`` lexicons each, from the most to the least precise, then a voter for several
+    different words of the lexicons, then the patterns."""
+    names = [*LEXICONS, *[f"words_{k}" for k in range(parts)], *[f"starts_{k}" for k in range(parts)], "several", *PATTERNS]
     lexicon: dict[str, int] = {}
     for k, words in enumerate(LEXICONS.values()):
         for w in words:
             lexicon[w] = lexicon.get(w, 0) | 1 << k
     for at, own in ((len(LEXICONS), [t for t in mined if t[-1] != "-"]), (len(LEXICONS) + parts, [t for t in mined if t[-1] == "-"])):
         for n, t in enumerate(own):
-            lexicon[t] = lexicon.get(t, 0) | 1 << (at + n % parts)
+            lexicon[t] = lexicon.get(t, 0) | 1 << (at + n * parts // len(own))
     return Voters(names, lexicon)
 
 
