@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import table, written
 from tidemark.llm.decontaminate import decontaminate
+from tidemark.llm.pieces import sampled_pieces
 from tidemark.llm.quality_rules import quality_rules
+from tidemark.llm.queries import piece_model
 from tidemark.llm.secrets import secret_scan
+from tidemark.llm.simhash import simhash_components
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -19,6 +22,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return d.withColumn("text", F.col("clean_text")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document of least id. Rows that repeat its id are
+    that document too; rows without id stay."""
+    near = simhash_components(docs)
+    return docs.join(near.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+
+
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no test items."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=tuple(COLUMNS)).where("not contaminated").select(*COLUMNS)
@@ -30,7 +40,18 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return d.select("doc_id", F.col("redacted").alias("text"), "lang", "source", F.length("redacted").cast("long").alias("n_chars")).select(*COLUMNS)
 
 
-STAGES = [("quality rules", quality), ("decontamination", uncontaminated), ("secrets", without_secrets)]
+def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sampled pieces of every document."""
+    return sampled_pieces(docs, piece_model(), keep=("doc_id", "lang", "source"))
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("near-duplicates", without_near_copies),
+    ("decontamination", uncontaminated),
+    ("secrets", without_secrets),
+    ("pieces", as_pieces),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

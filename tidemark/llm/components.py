@@ -36,6 +36,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     lineage stays short and nothing is collected but one row of sums. Edges of a node to
     itself, repeated and reversed edges are harmless; an empty table gives an empty one.
     """
+    edges = written(edges, "edges")
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None

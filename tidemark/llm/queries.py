@@ -9,9 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.chat import chat_format
 from tidemark.llm.common import table, written
 from tidemark.llm.decontaminate import decontaminate
+from tidemark.llm.html_text import extract_text
 from tidemark.llm.neighbours import quality_scores
+from tidemark.llm.pieces import sampled_pieces
 from tidemark.llm.quality_rules import quality_rules
 from tidemark.llm.secrets import secret_scan
 from tidemark.llm.simhash import simhash_components
@@ -25,6 +28,20 @@ def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op1_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampled_pieces(table(spark, sf_dir, "documents"), piece_model(), with_ids=False)
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format(table(spark, sf_dir, "conversations"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("lost", 6).alias("lost")
@@ -53,10 +70,28 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_secret_scan, op5_toxicity, op6_token_files, op7_quality_classifier, op8_simhash, op10_decontaminate)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_sampled_pieces,
+        op2_chat_format,
+        op3_quality_rules,
+        op4_secret_scan,
+        op5_toxicity,
+        op6_token_files,
+        op7_quality_classifier,
+        op8_simhash,
+        op9_main_text,
+        op10_decontaminate,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -37,11 +37,12 @@ class Encoder:
     Byte-level pieces never cross the start of a space or line break that has something
     other than white space after it, so the ids of a text are those of its words, each
     with that space or line break before it. Words recur: each is encoded once and its
-    ids are kept, up to ``most`` words, after which the store starts anew. Texts with
+    ids are kept, up to ``most`` words; then they are put aside, until as many
+    others came, and those that come again are taken back. Texts with
     other white space, or with a special token, go to the library as a whole.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 350_000):
         from tokenizers import Tokenizer
 
         t = self.tokenizer = Tokenizer.from_file(path)
@@ -53,6 +54,8 @@ class Encoder:
         for token, i in t.get_vocab().items():
             self.starts[i] = token[0] in "\u0120\u010a"
         self.known: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.learn({"\n"})
 
     def ids(self, text: str) -> np.ndarray:
@@ -68,19 +71,37 @@ class Encoder:
         return words
 
     def learn(self, words: set[str]) -> None:
-        for part in np.array_split(np.array(list(words), object), len(words) // 4096 + 1):
+        """Encodes new words, many at a time. Signs after a letter are a piece of text by
+        themselves, so a word that is known but for those only needs theirs."""
+        known, old, new, joined = self.known, self.old, [], []
+        for w in words:
+            if w in old:
+                known[w] = old[w]
+                continue
+            base = w.rstrip(".,;:!?")
+            if base and base != w and base in known and base[-1].isalpha():
+                joined.append((w, base, w[len(base) :]))
+            else:
+                new.append(w)
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
             ids = self.ids("".join([w if w[0] == "\n" else " " + w for w in part]))
-            at = [*(4 * np.flatnonzero(self.starts[ids])).tolist(), 4 * len(ids)]
+            ends = [*(4 * np.flatnonzero(self.starts[ids])).tolist(), 4 * len(ids)]
             raw = ids.tobytes()
-            self.known.update(zip(part, [raw[a:b] for a, b in zip(at, at[1:], strict=False)], strict=True))
+            known.update(zip(part, [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)], strict=True))
+        for w, base, signs in joined:
+            if signs not in self.signs:
+                self.signs[signs] = self.ids(signs).tobytes()
+            known[w] = known[base] + self.signs[signs]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as bytes, without an end id."""
         split = [self.words(t) for t in texts]
-        missing = {w for ws in split if ws for w in ws}.difference(self.known)
+        words = set().union(*filter(None, split))
+        missing = words.difference(self.known)
         if len(self.known) + len(missing) > self.most:
-            self.known.clear()
-            missing = {w for ws in split if ws for w in ws} | {"\n"}
+            self.old, self.known = self.known, {}
+            missing = words | {"\n"}
         if missing:
             self.learn(missing)
         known = self.known.__getitem__
@@ -138,7 +159,7 @@ def read_documents(f, size: int, wanted: Iterable[int] | None = None) -> Iterato
 
 
 def write_token_files(
-    docs: DataFrame, folder: str, tokenizer_path: str, text: str = "text", doc_id: str = "doc_id", level: int = 3, partitions: int | None = None
+    docs: DataFrame, folder: str, tokenizer_path: str, text: str = "text", doc_id: str = "doc_id", level: int = 1, partitions: int | None = None
 ) -> DataFrame:
     """Encodes every text, appends id 0 and writes the files to ``folder``, a URI that
     driver and executors share. Returns one row per file, in no order: path, first_id,
