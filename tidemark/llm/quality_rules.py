@@ -136,4 +136,7 @@ def quality_rules(
     lost = F.when(F.col("word_chars") == 0, 0.0).otherwise(F.lit(1.0) - F.try_divide(F.col("_left"), F.col("word_chars")))
     d = d.withColumn("base_failed", failed).withColumn("lost", lost)
     d = d.withColumn("kept", ~F.col("base_failed") & (F.col("lost") <= max_lost))
+    # A filter on the verdicts would be moved below the steps above, and each of its
+    # columns be computed anew there for each use; it isn't moved below a generator.
+    d = d.select("_row", F.inline(F.array(F.struct(*added))))
     return d.select(*[F.col("_row")[c].alias(c) for c in own], *added)
