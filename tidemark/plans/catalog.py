@@ -1,11 +1,358 @@
-"""The registered queries, and SQL for those that SQL can express."""
+"""The registered queries, and SQL for those that SQL can express.
+
+Sums of numbers depend on their order, so results are rounded to six places.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions.keys import clip_id, natural_key, of_season, session_clip
+from tidemark.functions.numbers import pearson, rounded
+from tidemark.operators import align, lookup, metrics, pooling, regression, report, rows, splits, windows
+from tidemark.plans import encoding
+from tidemark.plans.study import clips, design, recordings, responses
+from tidemark.sources.storage import table
+from tidemark.streaming.responses import binned
 
 FLAGSHIP = "lag_align_pearson"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+# Parts of the SQL that several queries share.
+CLIPS = "t AS (SELECT label::BIGINT clip, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 tr, vec_id, embedding FROM embeddings)"
+PAIRS = f"""{CLIPS}, i AS (SELECT unnest(range(1, 65)) p), a AS (SELECT x.clip, p - 1 parcel, x.embedding[p]::DOUBLE x, y.embedding[p]::DOUBLE y
+  FROM t x JOIN t y ON x.clip = y.clip AND y.tr = x.tr + 3, i)"""
+R = "covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0)"
+RESPONSES = """b AS (SELECT event_type subject, floor(epoch(ts) / 864000.0::DOUBLE)::BIGINT clip, floor(epoch(ts) / 21600.0::DOUBLE)::BIGINT tr,
+  user_id % 5 parcel, avg(value) y FROM events GROUP BY ALL)"""
+ISC = f"""{RESPONSES}, p AS (SELECT a.subject sa, b.subject sb, a.clip, a.parcel, covar_pop(a.y, b.y) / nullif(stddev_pop(a.y) * stddev_pop(b.y), 0) r
+  FROM b a JOIN b ON a.subject < b.subject AND a.clip = b.clip AND a.tr = b.tr AND a.parcel = b.parcel GROUP BY ALL),
+z AS (SELECT clip, parcel, tanh(avg(atanh(greatest(-0.9999::DOUBLE, least(0.9999::DOUBLE, r))))) isc, count(*) n_pairs FROM p WHERE r IS NOT NULL GROUP BY ALL)"""
+WINDOWS = """w AS (SELECT doc_id, n_chars / 10.0::DOUBLE secs, unnest(range(0, ceil(n_chars / 10.0::DOUBLE / 1.49::DOUBLE)::BIGINT)) tr_index FROM documents WHERE n_chars > 0),
+c AS (SELECT *, tr_index * 1.49::DOUBLE s, greatest(0::DOUBLE, tr_index * 1.49::DOUBLE - 6::DOUBLE) chunk_start FROM w),
+e AS (SELECT *, least(chunk_start + 8::DOUBLE, secs) chunk_end, s - chunk_start rel_start FROM c),
+f AS (SELECT doc_id, tr_index, chunk_start, chunk_end, rel_start, least(rel_start + 1.49::DOUBLE, chunk_end - chunk_start) rel_end FROM e)"""
+TOKENS = "[[embedding[4 * k + d + 1]::DOUBLE for d in range(0, 4)] for k in range(0, 16)]"
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with the SQL that gives the same rows."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def rounds(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: rounded(F.col(c)) for c in columns})
+
+
+@query(f"WITH {PAIRS} SELECT parcel, round({R}, 6) r, count(*) n FROM a GROUP BY parcel")
+def lag_align_pearson(spark, folder):
+    return rounds(encoding.lag_correlations(clips(spark, folder)), "r")
+
+
+@query(f"WITH {WINDOWS} SELECT doc_id, tr_index, round(chunk_start, 6) chunk_start, round(chunk_end, 6) chunk_end, round(rel_start, 6) rel_start, round(rel_end, 6) rel_end FROM f")
+def chunk_windows(spark, folder):
+    d = windows.chunk_windows(recordings(spark, folder), "seconds").drop("seconds")
+    return rounds(d, "chunk_start", "chunk_end", "rel_start", "rel_end")
+
+
+@query("""WITH n AS (SELECT label::BIGINT clip, count(*) n FROM embeddings GROUP BY label),
+k AS (SELECT *, least(n, greatest(8, round_even(n * 0.3::DOUBLE, 0)::BIGINT)) k FROM n), s AS (SELECT *, unnest(range(0, k)) sample_no FROM k)
+SELECT clip, n, sample_no, CASE WHEN k = 1 THEN 0 ELSE round_even(sample_no * ((n - 1)::DOUBLE / (k - 1)::DOUBLE), 0)::BIGINT END tr_index FROM s""")
+def uniform_sample(spark, folder):
+    sizes = table(spark, folder, "embeddings").groupBy(F.col("label").cast("long").alias("clip")).agg(F.count("*").alias("n"))
+    return windows.uniform_sample(sizes, "n", 0.3)
+
+
+@query(f"WITH {WINDOWS} SELECT doc_id, tr_index, round_even(chunk_start * 25::DOUBLE, 0)::BIGINT first_frame, least(round_even(chunk_start * 25::DOUBLE, 0)::BIGINT + round_even((chunk_end - chunk_start) * 25::DOUBLE, 0)::BIGINT, floor(n_chars / 10.0::DOUBLE * 25::DOUBLE)::BIGINT) end_frame FROM f JOIN documents USING (doc_id) WHERE end_frame > first_frame")
+def frame_ranges(spark, folder):
+    d = recordings(spark, folder).withColumn("fps", F.lit(25.0)).withColumn("frames", F.floor(F.col("seconds") * 25.0))
+    return windows.frame_ranges(windows.chunk_windows(d, "seconds"), "fps", "frames").select("doc_id", "tr_index", "first_frame", "end_frame")
+
+
+@query("""WITH n AS (SELECT doc_id, least(n_chars, 100000) n FROM documents) SELECT doc_id, CASE WHEN n <= 0 THEN []::BIGINT[] WHEN n <= 64 THEN range(0, n)
+ELSE [round_even(i * ((n - 1)::DOUBLE / 63::DOUBLE), 0)::BIGINT for i in range(0, 64)] END::VARCHAR frames FROM n""")
+def frame_subsample(spark, folder):
+    n = F.least(F.col("n_chars"), F.lit(100_000).cast("long"))
+    text = F.concat(F.lit("["), F.array_join(windows.frame_indices(n, 64).cast("array<string>"), ", "), F.lit("]"))
+    return table(spark, folder, "documents").select("doc_id", text.alias("frames"))
+
+
+@query(f"WITH {ISC} SELECT clip, parcel, round(isc, 6) isc, n_pairs FROM z")
+def isc(spark, folder):
+    return rounds(metrics.inter_subject(responses(spark, folder)), "isc")
+
+
+@query(f"WITH {ISC}, q AS (SELECT parcel, avg(isc) isc FROM z GROUP BY parcel) SELECT round(avg(isc), 6) noise_ceiling, count(*) n FROM q")
+def noise_ceiling(spark, folder):
+    return rounds(metrics.noise_ceiling(responses(spark, folder)), "noise_ceiling")
+
+
+@query("""WITH c AS (SELECT DISTINCT label::BIGINT clip FROM embeddings), r AS (SELECT clip, row_number() OVER (ORDER BY clip) rank, count(*) OVER () n FROM c)
+SELECT clip, rank, rank <= greatest(4, least(floor(n * 0.8::DOUBLE), n - 1)) train FROM r""")
+def clip_split(spark, folder):
+    return splits.clip_split(table(spark, folder, "embeddings").select(F.col("label").cast("long").alias("clip")).distinct())
+
+
+@query("SELECT vec_id, ntile(5) OVER (ORDER BY vec_id) - 1 fold FROM embeddings")
+def kfold_assign(spark, folder):
+    return splits.folds(table(spark, folder, "embeddings").select("vec_id"), 5, "vec_id")
+
+
+@query("SELECT doc_id, ntile(7) OVER (ORDER BY doc_id) - 1 shard FROM documents")
+def shard_assign(spark, folder):
+    return rows.dealt(table(spark, folder, "documents").select("doc_id"), 7, "doc_id", name="shard")
+
+
+@query(f"""WITH {CLIPS}, i AS (SELECT unnest(range(1, 65)) p), a AS (SELECT vec_id, clip, p - 1 feature, embedding[p]::DOUBLE v FROM t, i),
+m AS (SELECT feature, avg(v) m, stddev_pop(v) s FROM a WHERE clip < 8 GROUP BY feature)
+SELECT vec_id, feature, round((v - m) / CASE WHEN s > 0 THEN s ELSE 1 END, 6) z FROM a JOIN m USING (feature)""")
+def standardize(spark, folder):
+    d = clips(spark, folder).select("vec_id", "clip", F.posexplode("embedding").alias("feature", "v"))
+    d = d.select("vec_id", "clip", F.col("feature").cast("long").alias("feature"), F.col("v").cast("double").alias("v"))
+    return rounds(metrics.standardised(d.where("clip < 8"), d, "v", "feature").select("vec_id", "feature", "z"), "z")
+
+
+@query("SELECT l_returnflag flag, round(1 - sum((l_extendedprice - p) ** 2) / sum((l_extendedprice - m) ** 2), 6) r2, round(covar_pop(p, l_extendedprice) / nullif(stddev_pop(p) * stddev_pop(l_extendedprice), 0), 6) r, count(*) n FROM (SELECT *, l_quantity * 1500::DOUBLE p, avg(l_extendedprice) OVER (PARTITION BY l_returnflag) m FROM lineitem) GROUP BY 1")
+def r2_by_group(spark, folder):
+    d = table(spark, folder, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_extendedprice").alias("y"), (F.col("l_quantity") * 1500.0).alias("p"))
+    return rounds(metrics.scores(d, "flag"), "r", "r2")
+
+
+@query(f"""WITH {PAIRS}, m AS (SELECT *, avg(y) OVER (PARTITION BY clip, parcel) m FROM a),
+s AS (SELECT clip, parcel, {R} r, 1 - sum((y - x) ** 2) / nullif(sum((y - m) ** 2), 0) r2 FROM m GROUP BY clip, parcel)
+SELECT clip, round(avg(r), 6) mean_r, round(median(r), 6) median_r, round(avg(r2), 6) mean_r2, round(median(r2), 6) median_r2, count(*) n_parcels FROM s GROUP BY clip""")
+def per_clip_metrics(spark, folder):
+    d = encoding.clip_scores(encoding.lagged_pairs(clips(spark, folder)))
+    return rounds(d, "mean_r", "median_r", "mean_r2", "median_r2")
+
+
+@query(f"WITH {PAIRS}, s AS (SELECT clip, parcel, {R} r FROM a GROUP BY ALL) SELECT clip, round(avg(r), 6) mean_r, round(median(r), 6) median_r, round(max(r), 6) max_r, round(avg((r > 0)::INT::DOUBLE) * 100, 6) pct_positive FROM s GROUP BY clip")
+def metric_summary(spark, folder):
+    r = metrics.correlations(encoding.lagged_pairs(clips(spark, folder)), "clip", "parcel")
+    return rounds(metrics.summary(r, "clip"), "mean_r", "median_r", "max_r", "pct_positive")
+
+
+@query(f"WITH {PAIRS} SELECT parcel, round({R}, 6) r, count(*) n FROM a GROUP BY parcel ORDER BY r DESC NULLS LAST, parcel LIMIT 20")
+def top_parcels(spark, folder):
+    return report.top_parcels(rounds(encoding.lag_correlations(clips(spark, folder)), "r"))
+
+
+@query("""WITH e AS (SELECT min(value) lo, max(value) hi FROM events), b AS (SELECT least(59, floor((value - lo) / ((hi - lo) / 60)))::BIGINT bin, lo, hi FROM events, e)
+SELECT bin, round(min(lo) + bin * (min(hi) - min(lo)) / 60, 6) lo, count(*) n FROM b GROUP BY bin""")
+def r_histogram(spark, folder):
+    return rounds(report.histogram(table(spark, folder, "events").select("value"), "value"), "lo")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def missing_keys(spark, folder):
+    return align.missing(table(spark, folder, "documents").select("doc_id"), table(spark, folder, "labels"), "doc_id")
+
+
+@query("SELECT p_partkey, p_type FROM part WHERE contains(lower(p_type), 'standard') AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity < 1.5)")
+def unmatched_keys(spark, folder):
+    parts = table(spark, folder, "part").select("p_partkey", "p_type")
+    used = table(spark, folder, "lineitem").where("l_quantity < 1.5").select(F.col("l_partkey").alias("p_partkey"))
+    return align.unmatched(parts, used, "p_partkey", of_season(F.col("p_type"), "standard"))
+
+
+@query("SELECT user_id FROM events WHERE value > 100 GROUP BY user_id HAVING count(DISTINCT event_type) = (SELECT count(DISTINCT event_type) FROM events WHERE value > 100)")
+def shared_clips(spark, folder):
+    return align.shared_keys(table(spark, folder, "events").where("value > 100"), "user_id", "event_type")
+
+
+@query("""WITH k AS (SELECT DISTINCT o_custkey FROM orders), n AS (SELECT o_custkey, count(*) n FROM orders GROUP BY 1), m AS (SELECT o_custkey FROM n WHERE n = 1)
+SELECT c_custkey, o_orderkey FROM customer JOIN m ON c_custkey = o_custkey JOIN orders USING (o_custkey)""")
+def match_once(spark, folder):
+    orders = table(spark, folder, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+    return align.matched_once(table(spark, folder, "customer").select("c_custkey"), orders, "c_custkey").select("c_custkey", "o_orderkey")
+
+
+@query("""WITH k AS (SELECT c_custkey, 'file' || c_custkey || '_part' || c_nationkey || '.mkv' name FROM customer),
+n AS (SELECT *, [CASE WHEN regexp_full_match(t, '\\d+') THEN lpad(t, 20, '0') ELSE t END FOR t IN regexp_extract_all(lower(name), '(\\d+|\\D+)', 1)] key FROM k)
+SELECT c_custkey, name, row_number() OVER (ORDER BY key) - 1 rank FROM n""")
+def natural_sort(spark, folder):
+    d = table(spark, folder, "customer").select("c_custkey", F.concat(F.lit("file"), "c_custkey", F.lit("_part"), "c_nationkey", F.lit(".mkv")).alias("name"))
+    return rows.with_index(d.withColumn("key", natural_key(F.col("name"))), "key", name="rank").drop("key")
+
+
+@query("""WITH k AS (SELECT c_custkey, 'ses-00' || c_nationkey || '_task-S0' || (c_custkey % 3) || 'E' || lpad((c_nationkey)::VARCHAR, 2, '0') || CASE WHEN c_custkey % 4 = 0 THEN '' ELSE 'a' END key FROM customer)
+SELECT c_custkey, nullif(regexp_extract(lower(key), '(s\\d{2}e\\d{2}[a-z])', 1), '') clip, 'friends_' || split_part(key, '_task-', 2) session, contains(lower(key), 'task-s01') season_1 FROM k""")
+def session_keys(spark, folder):
+    number = F.lpad(F.col("c_nationkey").cast("string"), 2, "0")
+    key = F.concat(F.lit("ses-00"), "c_nationkey", F.lit("_task-S0"), F.col("c_custkey") % 3, F.lit("E"), number, F.when(F.col("c_custkey") % 4 == 0, "").otherwise("a"))
+    d = table(spark, folder, "customer").withColumn("key", key)
+    return d.select("c_custkey", clip_id(F.col("key")).alias("clip"), session_clip(F.col("key")).alias("session"), of_season(F.col("key")).alias("season_1"))
+
+
+@query("SELECT o_orderkey voxel, (o_custkey % 6000)::BIGINT label, round(coalesce(c_acctbal, 0), 6) r FROM orders LEFT JOIN customer ON c_custkey = o_custkey % 6000")
+def parcel_lookup(spark, folder):
+    voxels = table(spark, folder, "orders").select(F.col("o_orderkey").alias("voxel"), (F.col("o_custkey") % 6000).alias("label"))
+    parcels = table(spark, folder, "customer").select(F.col("c_custkey").alias("parcel"), F.col("c_acctbal").alias("r"))
+    return rounds(lookup.at_voxels(voxels, parcels), "r").select("voxel", "label", "r")
+
+
+@query("""WITH v AS (SELECT p_partkey vertex, CASE WHEN p_partkey % 2 = 0 THEN 'L' ELSE 'R' END hemi, round_even(p_partkey % 1100 + 0.4::DOUBLE, 0)::BIGINT k FROM part)
+SELECT vertex, hemi, round(coalesce(c_acctbal, 0), 6) r FROM v LEFT JOIN customer ON c_custkey = CASE WHEN (hemi = 'L' AND k BETWEEN 1 AND 500) OR (hemi = 'R' AND k BETWEEN 501 AND 1000) THEN k END""")
+def vertex_lookup(spark, folder):
+    hemi = F.when(F.col("p_partkey") % 2 == 0, "L").otherwise("R")
+    vertices = table(spark, folder, "part").select(F.col("p_partkey").alias("vertex"), hemi.alias("hemi"), (F.col("p_partkey") % 1100 + F.lit(0.4)).alias("label"))
+    parcels = table(spark, folder, "customer").select(F.col("c_custkey").alias("parcel"), F.col("c_acctbal").alias("r"))
+    return rounds(lookup.at_vertices(vertices, parcels), "r").select("vertex", "hemi", "r")
+
+
+@query(f"WITH {RESPONSES} SELECT parcel, round(avg(r), 6) r FROM (SELECT subject, parcel, avg(y) r FROM b GROUP BY ALL) GROUP BY parcel")
+def mean_over_subjects(spark, folder):
+    own = responses(spark, folder).groupBy("subject", "parcel").agg(F.avg("y").alias("r"))
+    return rounds(lookup.over_subjects(own), "r")
+
+
+@query(f"WITH k AS (SELECT vec_id, {TOKENS} t FROM embeddings) SELECT vec_id, d, round(list_sum([x[d + 1] for x in t]) / 16, 6) v FROM k, (SELECT unnest(range(0, 4)) d)")
+def mean_tokens_pool(spark, folder):
+    tokens = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.slice("embedding", k * 4 + 1, 4))
+    d = table(spark, folder, "embeddings").select("vec_id", F.posexplode(pooling.mean_tokens(tokens, 4)).alias("d", "v"))
+    return rounds(d.withColumn("d", F.col("d").cast("long")), "v")
+
+
+def _pooled(spark, folder, overlapping: bool) -> DataFrame:
+    tokens = F.transform("embedding", lambda v: F.array(v))
+    d = table(spark, folder, "embeddings").select("vec_id", F.posexplode(pooling.spatial(tokens, 8, 1, overlapping=overlapping)).alias("bin", "v"))
+    return rounds(d.withColumn("bin", F.col("bin").cast("long")), "v")
+
+
+def _pool_sql(ends: str) -> str:
+    return f"""WITH g AS (SELECT * FROM (VALUES {ends}) g(k, lo, hi)), i AS (SELECT unnest(range(0, 64)) p)
+SELECT vec_id, (a.k * 3 + b.k)::BIGINT bin, round(avg(embedding[p + 1]::DOUBLE), 6) v FROM embeddings, i, g a, g b
+WHERE p // 8 >= a.lo AND p // 8 < a.hi AND p % 8 >= b.lo AND p % 8 < b.hi GROUP BY ALL"""
+
+
+@query(_pool_sql("(0, 0, 2), (1, 2, 5), (2, 5, 8)"))
+def spatial_pool_bins(spark, folder):
+    return _pooled(spark, folder, False)
+
+
+@query(_pool_sql("(0, 0, 3), (1, 2, 6), (2, 5, 8)"))
+def adaptive_pool(spark, folder):
+    return _pooled(spark, folder, True)
+
+
+@query(f"""WITH {PAIRS} SELECT parcel, round((sum(x * y) - sum(x) * sum(y) / count(*)) / (sum(x * x) - sum(x) * sum(x) / count(*) + 1000), 6) slope FROM a GROUP BY parcel""")
+def ridge_univariate(spark, folder):
+    d = encoding.lagged_pairs(clips(spark, folder)).select("parcel", F.array("x").alias("x"), F.array("y").alias("y"))
+    return rounds(regression.ridge_fit(d, "parcel").select("parcel", F.get("w", F.lit(0)).alias("slope")), "slope")
+
+
+@query()
+def ridge_primal(spark, folder):
+    return rounds(encoding.ridge_test_scores(design(spark, folder)), "r", "r2")
+
+
+@query()
+def ridge_dual(spark, folder):
+    d = design(spark, folder)
+    fits = regression.ridge_fit(d.where("tr < 20"), "clip", dim=48, n_rows=20)
+    pairs = regression.long_form(regression.predict(d.where("tr >= 20"), fits, "clip"), "clip")
+    return rounds(metrics.scores(pairs, "clip", "parcel"), "r", "r2")
+
+
+@query()
+def ridge_loo(spark, folder):
+    return rounds(regression.loo_alpha(design(spark, folder, 8), "clip"), "mse")
+
+
+@query()
+def ridge_kfold(spark, folder):
+    return rounds(encoding.cross_validated(design(spark, folder), 1000.0), "mean_r", "median_r", "max_r", "pct_positive")
+
+
+@query()
+def lasso_kfold(spark, folder):
+    return rounds(encoding.cross_validated(design(spark, folder), 0.01, "lasso"), "mean_r", "median_r", "max_r", "pct_positive")
+
+
+@query(f"""WITH {CLIPS}, g AS (SELECT unnest([0, 1, 2, 3, 4, 5])::INT lag), i AS (SELECT unnest(range(1, 65)) p),
+a AS (SELECT lag, p, x.embedding[p]::DOUBLE x, y.embedding[p]::DOUBLE y FROM g, t x JOIN t y ON x.clip = y.clip, i WHERE y.tr = x.tr + lag),
+r AS (SELECT lag, p, {R} r, count(*) n FROM a GROUP BY lag, p) SELECT lag, round(avg(r), 6) mean_r, max(n) n FROM r GROUP BY lag""")
+def lag_sweep(spark, folder):
+    return rounds(encoding.sweep(clips(spark, folder), [0, 1, 2, 3, 4, 5]), "mean_r")
+
+
+@query("SELECT s_suppkey % 4 AS subject, n_name feature_key, count(*) n FROM supplier JOIN nation ON true GROUP BY ALL")
+def task_grid(spark, folder):
+    subjects = table(spark, folder, "supplier").groupBy((F.col("s_suppkey") % 4).alias("subject")).count()
+    features = table(spark, folder, "nation").select(F.col("n_name").alias("feature_key"))
+    return subjects.crossJoin(F.broadcast(features)).select("subject", "feature_key", F.col("count").alias("n"))  # four rows by the nations
+
+
+@query("SELECT round(quantile_cont(abs(c_acctbal), 0.95), 6) AS \"limit\" FROM customer WHERE c_acctbal <> 0")
+def upper_nonzero(spark, folder):
+    return rounds(report.upper_nonzero(table(spark, folder, "customer"), "c_acctbal"), "limit")
+
+
+@query("SELECT round(max(greatest(abs(l_quantity), abs(l_discount))) * 1.05::DOUBLE, 6) AS \"limit\" FROM lineitem")
+def axis_limit(spark, folder):
+    return rounds(report.axis_limit(table(spark, folder, "lineitem"), "l_quantity", "l_discount"), "limit")
+
+
+@query(f"""WITH {PAIRS}, r AS (SELECT clip, parcel, {R} r FROM a WHERE clip < 2 GROUP BY ALL)
+SELECT p.parcel, round(p.r, 6) r_a, round(q.r, 6) r_b FROM r p JOIN r q ON p.parcel = q.parcel AND p.clip = 0 AND q.clip = 1""")
+def model_comparison(spark, folder):
+    r = metrics.correlations(encoding.lagged_pairs(clips(spark, folder).where("clip < 2")), "clip", "parcel")
+    return rounds(report.side_by_side(r.where("clip = 0"), r.where("clip = 1")), "r_a", "r_b")
+
+
+@query("SELECT o_orderpriority priority, count(*) n, coalesce(list_position(['5-LOW', '1-URGENT', '3-MEDIUM'], o_orderpriority), 4)::INT place FROM orders GROUP BY ALL")
+def listed_order(spark, folder):
+    place = report.listed_order("priority", ["5-LOW", "1-URGENT", "3-MEDIUM"]).cast("int")
+    d = table(spark, folder, "orders").groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("n"))
+    return d.withColumn("place", place).orderBy("place", "priority")
+
+
+@query(f"""WITH {PAIRS}, r AS (SELECT clip, parcel, {R} r, count(*) n FROM a GROUP BY ALL), c AS (SELECT clip % 3 subject, clip, max(n) n_aligned, avg(r) r FROM r GROUP BY clip)
+SELECT subject, count(*) n_clips, sum(n_aligned)::BIGINT n_samples, round(avg(r), 6) mean_r, string_agg(clip::VARCHAR, ',' ORDER BY clip) clips FROM c GROUP BY subject""")
+def subject_report(spark, folder):
+    r = metrics.correlations(encoding.lagged_pairs(clips(spark, folder)), "clip", "parcel")
+    own = r.groupBy((F.col("clip") % 3).alias("subject"), "clip").agg(F.max("n").alias("n_aligned"), F.avg("r").alias("r"))
+    d = report.subject_report(own)
+    return rounds(d.withColumn("clips", F.array_join(F.transform("clips", lambda c: c["clip"].cast("string")), ",")), "mean_r")
+
+
+@query(f"WITH {CLIPS} SELECT clip, count(*) n_steps, max(len(embedding))::INT dim, array_to_string(list_sort(list(DISTINCT vec_id))[1:10], ',') preview FROM t GROUP BY clip")
+def alignment_counts(spark, folder):
+    d = clips(spark, folder).groupBy("clip")
+    return d.agg(F.count("*").alias("n_steps"), F.max(F.size("embedding")).alias("dim"), F.array_join(report.preview(F.col("vec_id")).cast("array<string>"), ",").alias("preview"))
+
+
+@query(f"WITH {CLIPS} SELECT a.clip, a.tr, a.vec_id, b.vec_id other FROM t a JOIN t b ON a.tr = b.tr AND a.clip = 0 AND b.clip = 1")
+def prefix_align(spark, folder):
+    d = clips(spark, folder)
+    other = d.where("clip = 1").select("tr", F.col("vec_id").alias("other"))
+    return align.same_length(d.where("clip = 0").select("clip", "tr", "vec_id"), other, ())
+
+
+@query("SELECT event_type subject, user_id % 5 parcel, epoch_us(time_bucket(INTERVAL 6 HOUR, ts)) // 1000000 start, round(avg(value), 6) y, count(*) n FROM events GROUP BY ALL")
+def binned_responses(spark, folder):
+    return rounds(binned(table(spark, folder, "events")).withColumn("start", F.unix_seconds("start")), "y")
+
+
+@query(f"WITH {PAIRS}, r AS (SELECT clip, parcel, {R} r FROM a GROUP BY ALL) SELECT clip subject, parcel % 4 feature_key, round(avg(r), 6) mean_r, round(median(r), 6) median_r, round(max(r), 6) max_r, round(avg((r > 0)::INT::DOUBLE) * 100, 6) pct_positive FROM r GROUP BY ALL")
+def result_table(spark, folder):
+    r = metrics.correlations(encoding.lagged_pairs(clips(spark, folder)), "clip", "parcel")
+    d = metrics.summary(r.select(F.col("clip").alias("subject"), (F.col("parcel") % 4).alias("feature_key"), "r"), "subject", "feature_key")
+    return rounds(report.result_table(d), "mean_r", "median_r", "max_r", "pct_positive")
+
+
+@query(f"WITH {PAIRS} SELECT clip, parcel, round({R}, 6) r, count(*) n FROM a GROUP BY clip, parcel")
+def clip_parcel_pearson(spark, folder):
+    pairs = encoding.lagged_pairs(clips(spark, folder))
+    return rounds(pairs.groupBy("clip", "parcel").agg(pearson(F.col("x"), F.col("y")).alias("r"), F.count("*").alias("n")), "r")
