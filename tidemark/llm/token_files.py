@@ -10,6 +10,7 @@ then decompresses the frames that it wants only; any zstandard tool can unpack a
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -42,7 +43,7 @@ class Encoder:
     other white space, or with a special token, go to the library as a whole.
     """
 
-    def __init__(self, path: str, most: int = 350_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         t = self.tokenizer = Tokenizer.from_file(path)
@@ -83,9 +84,10 @@ class Encoder:
                 joined.append((w, base, w[len(base) :]))
             else:
                 new.append(w)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            ids = self.ids("".join([w if w[0] == "\n" else " " + w for w in part]))
+        groups = [new[at : at + 256] for at in range(0, len(new), 256)]
+        texts = ["".join([w if w[0] == "\n" else " " + w for w in part]) for part in groups]
+        for part, found in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
             ends = [*(4 * np.flatnonzero(self.starts[ids])).tolist(), 4 * len(ids)]
             raw = ids.tobytes()
             known.update(zip(part, [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)], strict=True))
@@ -112,6 +114,8 @@ class Encoder:
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """The one of this worker process: tasks that follow each other share its words."""
+    # Spark's tasks are the threads; the library's own would only wait for each other.
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return Encoder(path)
 
 
