@@ -12,11 +12,12 @@ def top_parcels(parcels: DataFrame, n: int = 20) -> DataFrame:
 
 
 def histogram(rows: DataFrame, value: str, bins: int = 60) -> DataFrame:
-    """(bin, lo, n) of the bins of equal width that hold values; the last holds its end."""
+    """(bin, lo, n) of the bins of equal width that hold values; the last holds its end.
+    Values that are all equal are in bin 0."""
     own = rows.where(F.col(value).isNotNull())
     ends = own.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    at = F.least(F.lit(bins - 1).cast("long"), F.floor(F.try_divide(F.col(value) - F.col("_lo"), (F.col("_hi") - F.col("_lo")) / bins)))
-    d = own.crossJoin(F.broadcast(ends)).withColumn("bin", F.coalesce(at, F.lit(0)).cast("long"))  # one row
+    at = F.coalesce(F.floor(F.try_divide(F.col(value) - F.col("_lo"), (F.col("_hi") - F.col("_lo")) / bins)), F.lit(0))
+    d = own.crossJoin(F.broadcast(ends)).withColumn("bin", F.least(F.lit(bins - 1), at).cast("long"))  # one row
     lo = F.min("_lo") + F.col("bin") * (F.min("_hi") - F.min("_lo")) / bins
     return d.groupBy("bin").agg(lo.alias("lo"), F.count("*").alias("n"))
 
