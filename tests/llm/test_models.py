@@ -1,0 +1,168 @@
+"""Near-duplicates against brute force, classifiers on held-out labels, the pipeline."""
+
+from __future__ import annotations
+
+import random
+import re
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tidemark.llm import simhash as S
+from tidemark.llm.labelled import fold
+from tidemark.llm.neighbours import quality_scores
+from tidemark.llm.simhash import near_links, simhash_components
+from tidemark.llm.toxicity import LabelModel, toxicity_scores
+
+
+def plain_fingerprint(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    grams = [" ".join(w[i : i + 4]) for i in range(len(w) - 3)] if len(w) >= 4 else [" ".join(w)] * bool(w)
+    h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def components(fps, ids):
+    f = np.array(fps, np.uint64)
+    near = np.bitwise_count(f[:, None] ^ f[None, :]) <= 4
+    label = np.array(ids)
+    while True:
+        new = np.where(near, label[None, :], max(ids)).min(axis=1)
+        if (new == label).all():
+            return label.tolist()
+        label = new
+
+
+def test_simhash(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(300)]
+    base = [" ".join(rng.choices(words, k=rng.randint(1, 400))) for _ in range(60)]
+    texts = [None, "", "\n", "A b", "a B", "A b c D", "ünï Cödé über alles"] + base + base[:20]
+    for t in base[:20]:  # chains of small changes
+        for _ in range(6):
+            w = t.split()
+            w[rng.randrange(len(w))] = rng.choice(words)
+            t = " ".join(w)
+            texts.append(t)
+    ids = rng.sample(range(10_000), len(texts))
+    d = spark.createDataFrame([(i, t, "x") for i, t in zip(ids, texts)], "doc_id long, text string, fingerprint string")
+    got = {r.doc_id: r for r in simhash_components(d).collect()}
+    fps = [plain_fingerprint(t) for t in texts]
+    assert [got[i].fingerprint for i in ids] == [f"{f:016x}" for f in fps]
+    assert [got[i].component_id for i in ids] == components(fps, ids)
+    assert simhash_components(d.where("doc_id < 0")).count() == 0
+    again = simhash_components(d.union(d)).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("c")).collect()
+    assert all(r.n == 2 and r.c == got[r.doc_id].component_id for r in again)
+
+
+@pytest.mark.parametrize("block", [8192, 50])
+def test_dense_groups(spark, block):
+    """Many fingerprints that share keys: blocks of crowded keys lose no link."""
+    rng = np.random.default_rng(0)
+    center = rng.integers(0, 1 << 63, 3, dtype=np.uint64)
+    fps = {int(c) for c in center}
+    while len(fps) < 700:
+        f = int(rng.choice(np.array(sorted(fps), np.uint64)))
+        for b in rng.choice(64, rng.integers(1, 8), replace=False):
+            f ^= 1 << int(b)
+        fps.add(f)
+    fps = sorted(fps)
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    links = near_links(spark.createDataFrame(list(zip(signed, range(len(fps)))), "fp long, rep long"), block=block).collect()
+    f = np.array(fps, np.uint64)
+    label = list(range(len(fps)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for r in links:
+        a, b = sorted((root(r.a), root(r.b)))
+        label[b] = a
+    assert [root(i) for i in range(len(fps))] == components(fps, list(range(len(fps))))
+    assert len(links) < 15 * 16 * len(f)
+
+
+def test_chain_test_is_exact():
+    r, rng = S.Ring(4, 6), np.random.default_rng(1)
+    x = np.array([sum(1 << int(b) for b in rng.choice(64, k, replace=False)) for k in range(9) for _ in range(2000)], np.uint64)
+    assert (r.linked(x) == (np.bitwise_count(x) <= 4)).all()
+
+
+def held_out(df, labels, label):
+    rows = df.where("held_out").join(labels, "doc_id").select("score", "predicted", label).collect()
+    y, p = np.array([r[label] for r in rows]), np.array([r.predicted for r in rows])
+    return (y == p).mean(), len(rows)
+
+
+def test_classifiers(spark, data):
+    big = data.replace("sf0.001", "sf0.01")
+    docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    extra = spark.createDataFrame([(10**6, None), (10**6 + 1, ""), (None, "text"), (10**6 + 1, "")], "doc_id long, text string")
+    for scores, label in ((quality_scores, "quality"), (toxicity_scores, "toxic")):
+        every = docs.select("doc_id", "text").union(extra)
+        out = scores(every, labels).cache()
+        assert out.count() == docs.count() + 4
+        assert out.where("score is null or score < 0 or score > 1 or predicted is null").count() == 0
+        assert out.where("doc_id is null and held_out is not null").count() == 0
+        ends = out.where("doc_id >= 1000000").select("score").distinct().count()
+        assert ends == 1  # null and empty texts alike
+        accuracy, n = held_out(out, labels, label)
+        assert n > 50 and accuracy > 0.9
+        # Scores don't depend on labels of the held-out fold.
+        folds, own = (4, 2) if label == "quality" else (5, 0)
+        other = labels.withColumn(label, F.when(fold("doc_id", folds) == own, 1 - F.col(label)).otherwise(F.col(label)))
+        changed = scores(every, other).select("doc_id", F.round("score", 9).alias("s"))
+        assert changed.join(out.select("doc_id", F.round("score", 9).alias("t")), "doc_id").where("s <> t").count() == 0
+
+
+def test_classifiers_without_labels(spark, data):
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    none = labels.where("doc_id < 0")
+    assert quality_scores(docs, none).select("score").distinct().collect()[0].score == 0.5
+    assert toxicity_scores(docs, none).count() == docs.count()
+    assert toxicity_scores(docs.where("doc_id < 0"), labels.where("doc_id < 0")).count() == 0
+    assert quality_scores(docs.where("doc_id < 0"), labels).count() == 0
+
+
+def test_label_model():
+    """Votes of known accuracies, two of them copies of each other."""
+    rng = np.random.default_rng(3)
+    y = rng.random(20_000) < 0.2
+    votes = np.stack([np.where(y, rng.random(len(y)) < a, rng.random(len(y)) < b) for a, b in ((0.8, 0.02), (0.6, 0.01), (0.5, 0.05), (0.4, 0.02))], axis=1).astype(int)
+    votes = np.concatenate([votes, votes[:, 2:3]], axis=1)
+    rows, counts = np.unique(votes, axis=0, return_counts=True)
+    m = LabelModel(rows, counts, 0.2)
+    assert ((m.posterior(votes) >= 0.5) == y).mean() > 0.95
+    assert m.parent[4] == 2 or m.parent[2] == 4
+    assert m.accuracy[0] > m.accuracy[2]
+
+
+def test_pipeline(spark, data):
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["quality rules", "near-duplicates", "decontamination", "secrets", "pieces"]
+    docs, seen = spark.read.parquet(f"{data}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.written(stage(spark, docs, data), "stage")
+        seen.append(docs.count())
+        if name != "pieces":
+            assert docs.columns == corpus_pipeline.COLUMNS
+            assert docs.where("n_chars <> length(text)").count() == 0
+    assert seen == sorted(seen, reverse=True) and seen[-1] == seen[-2] > 0
+    assert docs.where("not lossless").count() == 0
+    run = corpus_pipeline.run(spark, data)
+    assert sorted(map(tuple, run.select("doc_id", "ids_crc32").collect())) == sorted(map(tuple, docs.select("doc_id", "ids_crc32").collect()))
+
+
+def test_pipeline_on_odd_rows(spark, data):
+    rng = random.Random(1)
+    good = "\n".join(" ".join(rng.choices([f"word{k}" for k in range(500)], k=9)) + "." for k in range(20))
+    rows = [(1, None), (2, ""), (3, good), (3, good), (None, good + "\nOne more line, of its own, here."), (4, good + "\npassword = hunter2222.")]
+    d = spark.createDataFrame([(i, t, None, "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES:
+        d = corpus_pipeline.written(stage(spark, d, data), "odd")
+    assert {r.doc_id for r in d.collect()} <= {3, 4, None} and d.count() >= 1
