@@ -189,3 +189,17 @@ def test_main_text(spark, data):
         blocks = [" ".join(html.unescape(re.sub("<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split("</?(?:p|h1)>", own)]
         assert r.text == "\n".join(filter(None, blocks))
     assert H.extract_text(d.where("page_id < 0")).count() == 0
+
+
+def test_main_text_of_layouts():
+    story = "<p>One, two, three of the story.</p><p>Four, five, six of it.</p><p>Seven.</p>"
+    text = "One, two, three of the story.\nFour, five, six of it.\nSeven."
+    noise = "<div class='notice'><p>Notice, this, is, long, and, winding, as, notices, are, at, times.</p></div>"
+    assert H.main_text(f"<body><div class='page has-sidebar sidebar'><article>{story}</article>{noise}</div></body>") == text
+    assert H.main_text(f"<body class='menu'>{noise}<div class='layout sidebar'>{story * 4}</div></body>").startswith(text)
+    assert H.main_text(f"<main><article>{story}<article class='comment'><p>I say, so, there, it, is.</p></article></article></main>") == text
+    assert H.main_text(f"<article><header><h1>Head</h1><p>By someone</p></header>{story}<footer>f</footer><aside>a</aside></article><div class='related'>x, y</div>") == f"Head\n{text}"
+    big = "".join(f"<p>Line {k}, with, commas, and more words than the others have.</p>" for k in range(40))
+    assert H.main_text(f"<article><div>{big}</div><div><p>Small end.</p></div></article><div><p>Other, text, outside, of, it, all.</p></div>").endswith("Small end.")
+    assert H.main_text(f"<div id=a>{big}</div><p>A sibling paragraph.</p><table><tr><td><a href=x>Link, list</a></table>").endswith("A sibling paragraph.")
+    assert H.main_text("<div class='ad'>A long advert, with, many, commas, in, it, for, you.</div><article><h1>T</h1><p>Short.</p></article>") == "T\nShort."

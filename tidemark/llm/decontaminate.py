@@ -26,7 +26,7 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122
 
 #: Characters of windows in one automaton, of about 100 bytes each in memory. Items
 #: beyond that go to further automata, which scan the same texts one after another.
-MAX_CHARS = 4_000_000
+MAX_CHARS = 2_000_000
 
 
 def words_of(text: str | None) -> list[str]:

@@ -40,6 +40,8 @@ UNLIKELY = re.compile(
     r"legal|copyright|share|sharing|social|related|recommended|recirc|outbrain|taboola|tags|meta|byline|login|signup|search|skip|hidden|sr-only|disclaimer|author-bio|toc)(?=$|[\s_-])"
 )
 LIKELY = re.compile(r"(?i)(?:^|[\s_-])(?:article|body|content|entry|main|page|post|story|text|blog|hentry)(?=$|[\s_-])")
+BODY = re.compile(r"(?i)article|content-body|post-body|entry-content")
+COMMENT = re.compile(r"(?i)(?:^|[\s_-])(?:comments?|reply|replies|respond|advert\w*|sponsor\w*|promo\w*)(?=$|[\s_-])")
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
@@ -49,32 +51,34 @@ HIDDEN = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "bonus", "score", "text", "links")
+    __slots__ = ("tag", "parent", "children", "dropped", "doubtful", "bonus", "score", "text", "links")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, bonus: float = 0.0):
-        self.tag, self.parent, self.dropped, self.bonus = tag, parent, dropped, bonus
+    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, doubtful: bool = False, bonus: float = 0.0):
+        self.tag, self.parent, self.dropped, self.doubtful, self.bonus = tag, parent, dropped, doubtful, bonus
         self.children: list[Node | str] = []
         self.score = 0.0
         self.text = self.links = 0  # characters below, and those of them in links
 
 
-def _role(tag: str, attributes: str, parent: Node) -> tuple[bool, float]:
-    """(left out, bonus) of an element by its tag and attributes. The header of an
-    article is kept for its headings, by text_of()."""
-    drop = tag in DROPPED and not (tag == "header" and parent.tag in ("article", "main", "section"))
+def _role(tag: str, attributes: str, parent: Node) -> tuple[bool, bool, float]:
+    """(left out, doubtful by its names, bonus) of an element by its tag and attributes.
+    The header of an article is kept for its headings, by blocks()."""
+    drop, doubt = tag in DROPPED and not (tag == "header" and parent.tag in ("article", "main", "section")), False
     bonus = 25.0 if tag == "article" else 15.0 if tag == "main" else 0.0
     if attributes and not attributes.isspace():
         a = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)}
         names = f"{a.get('class', '')} {a.get('id', '')}".strip()
-        main = tag in ("article", "main", "body", "html")
+        main = tag in ("main", "body", "html")
         if a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or HIDDEN.search(a.get("style", "")):
             drop = drop or not main
         if names and not main and tag not in HEADINGS:
-            if UNLIKELY.search(names) and not re.search(r"(?i)article|content-body|post-body|entry-content", names):
-                drop = True
+            if tag == "article":
+                doubt = bool(COMMENT.search(names))
+            elif UNLIKELY.search(names) and not BODY.search(names):
+                doubt = True
             elif LIKELY.search(names):
                 bonus += 10.0
-    return drop, bonus
+    return drop, doubt, bonus
 
 
 def parse(page: str) -> Node:
@@ -136,7 +140,7 @@ def parse(page: str) -> Node:
             if name == "hr":
                 _child(Node("hr", node))
             continue
-        drop, bonus = _role(name, attributes, node)
+        drop, doubt, bonus = _role(name, attributes, node)
         if name in RAW and not attributes.endswith("/"):
             # Its content isn't markup: what counts is the next end tag of that name.
             if low is None:
@@ -144,7 +148,7 @@ def parse(page: str) -> Node:
             stop = low.find(f"</{name}", at)
             at = end if stop < 0 else (low.find(">", stop) + 1 or end)
             continue
-        child = _child(Node(name, node, drop or node.dropped, bonus))
+        child = _child(Node(name, node, drop, doubt, bonus))
         if not attributes.endswith("/") or name in BLOCKS:
             node = child
     return root
@@ -155,9 +159,37 @@ def _child(node: Node) -> Node:
     return node
 
 
+def settle(root: Node) -> None:
+    """Leaves out elements whose names say that they aren't of the article, but for what
+    holds it nevertheless: an article or main element, or, on a page without one, most of
+    the text in several paragraphs."""
+    order, stack = [], [root]
+    while stack:
+        n = stack.pop()
+        if not n.dropped:
+            order.append(n)
+            stack.extend(c for c in n.children if isinstance(c, Node))
+    if not any(n.doubtful for n in order):
+        return
+    sums: dict[int, list[int]] = {id(n): [sum(len(c.strip()) for c in n.children if isinstance(c, str)), 0, 0] for n in order}
+    for n in reversed(order):
+        own = sums[id(n)]
+        own[1] += n.tag in ("article", "main") and not n.doubtful
+        own[2] += n.tag == "p"
+        if n.parent is not None:
+            up = sums[id(n.parent)]
+            for k in range(3):
+                up[k] += own[k]
+    total, mains, _ = sums[id(root)]
+    for n in order:
+        text, inside, paragraphs = sums[id(n)]
+        n.dropped = n.doubtful and not inside and not (not mains and paragraphs > 2 and text > 0.6 * total)
+
+
 def measure(root: Node) -> list[Node]:
     """Sets characters and link characters of all nodes that aren't left out, without
     recursion, and returns these in page order."""
+    settle(root)
     order, stack = [], [root]
     while stack:
         n = stack.pop()
@@ -179,7 +211,8 @@ def density(n: Node) -> float:
 
 
 def article(root: Node) -> list[Node]:
-    """The best container and the siblings that belong to it, in page order."""
+    """The best container and the siblings that belong to it, in page order. What the page
+    itself marks as its article or main part is taken whole and has no such siblings."""
     order = measure(root)
     candidates: dict[int, Node] = {}
     for n in order:
@@ -201,7 +234,12 @@ def article(root: Node) -> list[Node]:
     final = {k: (n.score + n.bonus) * (1.0 - density(n)) for k, n in candidates.items()}
     place = {id(n): k for k, n in enumerate(order)}
     best = max(candidates.values(), key=lambda n: (final[id(n)], -place.get(id(n), 0)))
-    if best.parent is None:
+    up = best
+    while up.parent is not None:  # an article is not cut to the best of its sections
+        up = up.parent
+        if up.tag == "article":
+            best = up
+    if best.parent is None or best.tag in ("article", "main"):
         return [best]
     least = max(10.0, 0.2 * final[id(best)])
     chosen = []
@@ -209,7 +247,7 @@ def article(root: Node) -> list[Node]:
         if not isinstance(s, Node) or s.dropped:
             continue
         plain = s.tag in ("p", *HEADINGS) and (s.text > 80 and density(s) < 0.25 or 0 < s.text <= 80 and s.links == 0)
-        if s is best or final.get(id(s), 0.0) >= least or plain and best.tag in ("div", "section", "article", "main"):
+        if s is best or final.get(id(s), 0.0) >= least or plain and best.tag in ("div", "section"):
             chosen.append(s)
     return chosen
 
