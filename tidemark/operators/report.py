@@ -59,3 +59,8 @@ def subject_report(clips: DataFrame) -> DataFrame:
     bounded by the study, not by the length of the recordings."""
     rows = F.array_sort(F.collect_list(F.struct("clip", "n_aligned", "r")))
     return clips.groupBy("subject").agg(F.count("*").alias("n_clips"), F.sum("n_aligned").alias("n_samples"), F.avg("r").alias("mean_r"), rows.alias("clips"))
+
+
+def extent(rows: DataFrame, value: str, *by: str) -> DataFrame:
+    """Least, largest and mean value of each group."""
+    return rows.groupBy(*by).agg(F.min(value).alias("least"), F.max(value).alias("largest"), F.avg(value).alias("mean"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import clip_id, natural_key, of_season, session_clip
-from tidemark.functions.numbers import pearson, rounded
+from tidemark.functions.numbers import flattened, pearson, rounded
 from tidemark.operators import align, lookup, metrics, pooling, regression, report, rows, splits, windows
 from tidemark.plans import encoding
 from tidemark.plans.study import clips, design, recordings, responses
@@ -224,6 +224,31 @@ def mean_tokens_pool(spark, folder):
     return rounds(d.withColumn("d", F.col("d").cast("long")), "v")
 
 
+@query(f"""WITH k AS (SELECT vec_id, {TOKENS} t, (vec_id % 5) * 1.49::DOUBLE a FROM embeddings), f AS (SELECT *, least(3, round_even(a / 8 * 4, 0))::BIGINT i FROM k),
+l AS (SELECT *, least(4, greatest(i + 1, round_even((a + 1.49::DOUBLE) / 8 * 4, 0)))::BIGINT j FROM f)
+SELECT vec_id, i first_step, j end_step, d, round(list_sum([x[d + 1] for x in t[4 * i + 1:4 * j]]) / (4 * (j - i)), 6) v FROM l, (SELECT unnest(range(0, 4)) d)""")
+def crop_pool(spark, folder):
+    start = (F.col("vec_id") % 5) * F.lit(1.49)
+    first, last = pooling.token_range(start, start + 1.49, 8.0, 4)
+    tokens = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.slice("embedding", k * 4 + 1, 4))
+    d = table(spark, folder, "embeddings").select("vec_id", first.alias("first_step"), last.alias("end_step"), tokens.alias("t"))
+    d = d.withColumn("t", pooling.cropped(F.col("t"), F.col("first_step"), F.col("end_step"), 4))
+    d = d.select("vec_id", "first_step", "end_step", F.posexplode(pooling.mean_tokens(F.col("t"), 4)).alias("d", "v"))
+    return rounds(d.withColumn("d", F.col("d").cast("long")), "v")
+
+
+@query(f"WITH {RESPONSES} SELECT subject, round(min(y), 6) least, round(max(y), 6) largest, round(avg(y), 6) mean FROM b GROUP BY subject")
+def response_extent(spark, folder):
+    return rounds(report.extent(responses(spark, folder), "y", "subject"), "least", "largest", "mean")
+
+
+@query("SELECT vec_id, round(list_sum([x::DOUBLE for x in embedding]), 6) total FROM embeddings")
+def flattened_sum(spark, folder):
+    nested = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.slice("embedding", k * 8 + 1, 8))
+    flat = flattened(nested).cast("array<double>")
+    return rounds(table(spark, folder, "embeddings").select("vec_id", F.aggregate(flat, F.lit(0.0), lambda s, v: s + v).alias("total")), "total")
+
+
 def _pooled(spark, folder, overlapping: bool) -> DataFrame:
     tokens = F.transform("embedding", lambda v: F.array(v))
     d = table(spark, folder, "embeddings").select("vec_id", F.posexplode(pooling.spatial(tokens, 8, 1, overlapping=overlapping)).alias("bin", "v"))
