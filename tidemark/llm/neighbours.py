@@ -26,6 +26,9 @@ from tidemark.llm.labelled import class_counts, fold, sampled, texts_of, trainin
 def shape(word: str) -> str:
     """The signs of a word: X for letters in upper case, x for other letters, 0 for
     digits, other characters as they are, and runs of one sign cut to two."""
+    body = word.rstrip(".,;:!?")
+    if body.isalpha() and len(word) - len(body) < 2:  # most words, without patterns
+        return ("X" if len(body) > 1 and body.isupper() else "x") + word[len(body) :]
     body = re.sub(r"[^\W\d_]+", lambda m: "X" if m[0].isupper() and len(m[0]) > 1 else "x", word)
     body = re.sub(r"\d+", "0", body)
     return re.sub(r"(.)\1+", r"\1\1", body)[:12]
@@ -35,13 +38,13 @@ class Features:
     """Sparse vectors of texts: ``dims`` hashed places for words, and as many for shapes
     and adjacent repeats."""
 
-    def __init__(self, dims: int, most: int = 300_000):
+    def __init__(self, dims: int, most: int = 500_000):
         self.dims, self.most = dims, most
-        self.places: dict[str, tuple[int, int]] = {}
+        self.places: dict[str, int] = {}  # of each word both places, in one number
 
-    def place(self, word: str) -> tuple[int, int]:
+    def place(self, word: str) -> int:
         at = zlib.crc32(word.lower().strip(".,;:!?").encode("utf-8", "surrogatepass")) % self.dims
-        return at, self.dims + zlib.crc32(shape(word).encode("utf-8", "surrogatepass")) % (self.dims // 8)
+        return at << 32 | self.dims + zlib.crc32(shape(word).encode("utf-8", "surrogatepass")) % (self.dims // 8)
 
     @property
     def size(self) -> int:
@@ -53,14 +56,17 @@ class Features:
         if not words:
             return np.empty(0, np.int64), np.empty(0)
         unique = Counter(words)
-        known, get = self.places, self.places.get
-        if len(known) > self.most:
+        known = self.places
+        missing = [w for w in unique if w not in known]
+        if len(known) + len(missing) > self.most:
             known.clear()
-        at = [get(w) or known.setdefault(w, self.place(w)) for w in unique]
+            missing = list(unique)
+        for w in missing:
+            known[w] = self.place(w)
         n = np.fromiter(unique.values(), np.float64, len(unique))
-        places = np.array(at, np.int64)
+        both = np.fromiter(map(known.__getitem__, unique), np.int64, len(unique))
         repeats = sum(map(eq, words, words[1:]))
-        places = np.concatenate([places[:, 0], places[:, 1], [self.size - 1]])
+        places = np.concatenate([both >> 32, both & 0xFFFFFFFF, [self.size - 1]])
         total = np.bincount(places, weights=np.concatenate([n, n, [repeats]]), minlength=self.size)
         found = np.flatnonzero(total)
         return found, total[found]
