@@ -11,6 +11,7 @@ a linear classifier on words and beginnings of words, which scores every text.
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +38,20 @@ PATTERNS = {
 _EDGE = ".,;:!?\"'()[]{}«»“”¡¿#*$%&|<>-_~"
 
 
+MOST_WORDS = 600_000  # that a worker process remembers
+_OWN: dict[str, object] = {}
+
+
+def of_process(key: str, make):
+    """What ``make`` returns, made once in this worker process for each key: tasks that
+    follow each other share its words."""
+    if key not in _OWN:
+        if len(_OWN) > 3:
+            _OWN.clear()
+        _OWN[key] = make()
+    return _OWN[key]
+
+
 def terms(word: str, longest: int = 8) -> list[str]:
     """What of a word may be in a lexicon: itself, and its beginnings of 4 letters and
     more, which are marked."""
@@ -58,6 +73,7 @@ class Voters:
     def __post_init__(self):
         self.first = len(self.names) - len(PATTERNS)
         self.known: dict[str, int] = {}
+        self.none: set[str] = set()  # words of no lexicon: most are
 
     def bits(self, word: str) -> int:
         b = 0
@@ -67,15 +83,16 @@ class Voters:
 
     def votes(self, text: str | None) -> int:
         out, several, known, text = 0, 0, self.known, text or ""
-        if len(known) > 400_000:
-            known.clear()
-        for w in set(text.split()):
-            b = known.get(w)
-            if b is None:
-                b = known[w] = self.bits(w)
+        if len(self.none) > MOST_WORDS:
+            self.none.clear()
+        for w in set(text.split()).difference(self.none):
+            b = known.get(w) or self.bits(w)
             if b:
+                known[w] = b
                 out |= b
                 several += 1
+            else:
+                self.none.add(w)
         if several > 1:
             out |= 1 << (self.first - 1)
         for k, p in enumerate(PATTERNS.values()):
@@ -146,7 +163,7 @@ class LabelModel:
         share = votes.sum(axis=1).astype(float)
         post = np.where(share > 0, np.minimum(0.95, 0.6 + 0.1 * share), 0.02)
         for step in range(rounds):
-            if step in (5, 20):
+            if step in (0, 5, 20):
                 self.parent = self.tree(votes, counts, post)
             self.fit(votes, counts, post)
             new = self.posterior(votes)
@@ -213,17 +230,20 @@ class Linear:
         self.at = {t: k for k, t in enumerate(terms_used)}
         self.n_votes, self.size = n_votes, len(terms_used) + n_votes + 1
         self.known: dict[str, tuple[int, ...]] = {}
+        self.none: set[str] = set()  # words without a term
 
     def places(self, text: str | None, votes: int) -> np.ndarray:
         known, at, out = self.known, self.at, set()
-        if len(known) > 400_000:
+        if len(self.none) + len(known) > MOST_WORDS:
             known.clear()
-        for w in set((text or "").split()):
-            found = known.get(w)
-            if found is None:
-                found = known[w] = tuple(at[t] for t in terms(w) if t in at)
+            self.none.clear()
+        for w in set((text or "").split()).difference(self.none):
+            found = known.get(w) or tuple(at[t] for t in terms(w) if t in at)
             if found:
+                known[w] = found
                 out.update(found)
+            else:
+                self.none.add(w)
         out.update(len(at) + k for k in range(self.n_votes) if votes >> k & 1)
         return np.fromiter(out, np.int64, len(out))
 
@@ -257,7 +277,7 @@ def toxicity_scores(
     alone make the label model, with a prior of 0.1, and its posterior is the score. An
     empty table gives an empty one; further columns aren't read.
     """
-    sc = docs.sparkSession.sparkContext
+    sc, run_id = docs.sparkSession.sparkContext, uuid.uuid4().hex
     docs = docs.select("doc_id", "text")
     train = training_labels(labels, label, folds, held_out)
     n0, n1 = class_counts(train)
@@ -266,7 +286,7 @@ def toxicity_scores(
     shared_voters = sc.broadcast((voters.names, voters.lexicon))
 
     def count_votes(batches):
-        v, n = Voters(*shared_voters.value), {}
+        v, n = of_process(f"{run_id} voters", lambda: Voters(*shared_voters.value)), {}
         for (texts,) in chunks(batches, "text"):
             for t in texts:
                 b = v.votes(t)
@@ -292,8 +312,9 @@ def toxicity_scores(
     shared = sc.broadcast((used, weights, label_model))
 
     def run(batches):
-        v, (used, w, model) = Voters(*shared_voters.value), shared.value
-        f = Linear(used, len(v.names))
+        v = of_process(f"{run_id} voters", lambda: Voters(*shared_voters.value))
+        used, w, model = shared.value
+        f = of_process(f"{run_id} terms", lambda: Linear(used, len(v.names)))
         for ids, texts in chunks(batches, "doc_id", "text"):
             votes = [v.votes(t) for t in texts]
             if w is None:
