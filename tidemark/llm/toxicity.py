@@ -247,8 +247,9 @@ class Linear:
         out.update(len(at) + k for k in range(self.n_votes) if votes >> k & 1)
         return np.fromiter(out, np.int64, len(out))
 
-    def fit(self, rows: list[np.ndarray], target: np.ndarray, weight: np.ndarray, ridge: float = 1e-4, rounds: int = 300) -> np.ndarray:
-        """Weights, the last one the constant, by full-batch Adam on the logistic loss."""
+    def fit(self, rows: list[np.ndarray], target: np.ndarray, weight: np.ndarray, ridge: float = 3e-5, rounds: int = 1000) -> np.ndarray:
+        """Weights, the last one the constant, by full-batch Adam on the logistic loss,
+        in steps that shrink to nothing."""
         at = np.concatenate([*rows, np.empty(0, np.int64)])
         row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
         w, m, v = np.zeros(self.size), np.zeros(self.size), np.zeros(self.size)
@@ -257,7 +258,7 @@ class Linear:
             g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) * weight / weight.sum()
             grad = np.append(np.bincount(at, weights=g[row], minlength=self.size - 1), g.sum()) + ridge * np.append(w[:-1], 0)
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-            w -= 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-6)
+            w -= 0.1 * (1 - k / (rounds + 1)) * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-6)
         return w
 
 
