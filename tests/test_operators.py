@@ -180,9 +180,13 @@ def test_ridge_on_tables(spark):
         for k in (0, 1):
             w, b = regression.solve_dual(x[k::2], y[k::2], 2.0)
             assert np.allclose(fits[k].w, w.ravel()) and np.allclose(fits[k].b, b)
-    p = {r.tr: r.p for r in regression.predict(d, regression.ridge_fit(d, "clip", alpha=2.0), "clip").collect()}
     w, b = regression.solve_dual(x[1::2], y[1::2], 2.0)
-    assert np.allclose(p[3], x[3] @ w + b)
+    odd = d.where("tr < 50").union(d.sparkSession.createDataFrame([(1, 99, None, [0.0]), (7, 98, [0.0] * 5, [0.0])], d.schema))
+    for most in (10**6, 1):  # sent to tasks, joined
+        got = regression.predict(odd, regression.ridge_fit(d, "clip", alpha=2.0), "clip", most=most).collect()
+        p = {r.tr: r.p for r in got}
+        assert np.allclose(p[3], x[3] @ w + b) and len(got) == 51 and 98 not in p
+        assert not p[99] or p[99] == [None, None]
 
 
 def test_folds_on_tables(spark):

@@ -15,6 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidemark.sources.storage import written
 
 ALPHAS = (0.1, 1.0, 10.0, 100.0, 1000.0)
 SUMS = "n double, sx array<double>, sy array<double>, xx array<double>, xy array<double>, yy array<double>"
@@ -124,9 +127,41 @@ def ridge_fit(rows: DataFrame, *by: str, alpha: float = 1000.0, scale: bool = Fa
     return grouped.groupBy(*by).applyInPandas(from_rows if dual else from_sums, schema)
 
 
-def predict(rows: DataFrame, fits: DataFrame, *by: str) -> DataFrame:
+def predict(rows: DataFrame, fits: DataFrame, *by: str, most: int = 20_000_000) -> DataFrame:
     """Rows with p, an array: X times the coefficients of the row's group, plus the
-    intercepts. One fit is a row, so the join moves few of them."""
+    intercepts; null for a null X. Rows of groups without a fit go.
+
+    Fits of at most ``most`` numbers in all are sent to every task, which multiplies whole
+    batches; more are joined to the rows and multiplied in array functions.
+    """
+    fits = written(fits, "fits")
+    if (fits.agg(F.sum(F.size("w"))).first()[0] or 0) > most:
+        return _predict_joined(rows, fits, *by)
+    known = {tuple(r[c] for c in by): (np.array(r.w).reshape(-1, len(r.b)), np.array(r.b)) for r in fits.collect()}
+    shared = rows.sparkSession.sparkContext.broadcast(known)
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = list(zip(*[b.column(names.index(c)).to_pylist() for c in by], strict=True)) if by else [()] * b.num_rows
+            stay = [i for i, k in enumerate(keys) if k in shared.value]
+            if not stay:
+                continue
+            b = b.take(pa.array(stay))
+            keys, x = [keys[i] for i in stay], b.column(names.index("x"))
+            p: list = [None] * len(stay)
+            full = [i for i, v in enumerate(x.is_valid().to_pylist()) if v]
+            for k in {keys[i] for i in full}:
+                own = [i for i in full if keys[i] == k]
+                w, c = shared.value[k]
+                for i, v in zip(own, _matrix(x.take(pa.array(own))) @ w + c, strict=True):
+                    p[i] = v
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.list_(pa.float64()))], names=[*b.schema.names, "p"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("p", T.ArrayType(T.DoubleType()))]))
+
+
+def _predict_joined(rows: DataFrame, fits: DataFrame, *by: str) -> DataFrame:
     d = rows.join(fits, list(by)) if by else rows.crossJoin(F.broadcast(fits))  # one row
     product = lambda k: F.aggregate(
         F.transform("x", lambda v, i: v * F.get("w", (i * F.size("b") + k).cast("int"))), F.lit(0.0), lambda s, v: s + v
