@@ -1,49 +1,12 @@
-"""Helpers that several operators share: tables, shared folders, batches."""
+"""Helpers that several operators share: tables, written tables, batches of texts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is ``spark.checkpoint.dir``. Where that is unset, a temporary folder is
-    used in local mode, in which there is one machine only, and elsewhere it is
-    an error.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        set_by_code = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = set_by_code.get() if set_by_code.isDefined() else None
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.sparkContext.setCheckpointDir(f"file://{folder}")
-    return f"file://{folder}"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: later steps start from
-    those files, also after executors were lost."""
-    spark, path, schema = df.sparkSession, new_path(df.sparkSession, name), df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+from tidemark.sources.storage import new_path, shared_dir, table, written
 
 
 def chunks(batches: Iterator[pa.RecordBatch], *names: str, rows: int = 512) -> Iterator[list[list]]:
@@ -60,8 +23,4 @@ def utf8(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
-
-
-__all__ = ["batch", "chunks", "new_path", "shared_dir", "table", "utf8", "written"]
+__all__ = ["chunks", "new_path", "shared_dir", "table", "utf8", "written"]

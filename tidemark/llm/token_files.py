@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import chunks
+from tidemark.llm.common import chunks, new_path
 
 # The zstandard seekable format.
 SKIPPABLE, SEEK_TABLE, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -244,6 +244,5 @@ def _rows(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
 
 
 def token_folder(spark: SparkSession) -> str:
-    from tidemark.llm.common import new_path
-
+    """A new folder for token files that all machines share."""
     return new_path(spark, "tokens")
