@@ -68,6 +68,36 @@ def test_secrets_in_layers():
     assert S.scan("%2525252541" * 3 + "\\u005cu0041")[2] > 3
 
 
+def test_secrets_in_whole_layers():
+    """Line breaks in base64, members after the first, large, broken and binary layers."""
+    rng = random.Random(8)
+    secret = b"token=abcdefgh"
+    lines = b"\n".join("".join(rng.choices("abcdefghijklmnop ", k=70)).encode() for _ in range(400)) + b"\n"
+    wrapped = base64.encodebytes(gzip.compress(lines + secret)).decode().strip()
+    assert wrapped.count("\n") > 10
+    many = base64.b64encode(gzip.compress(lines) + gzip.compress(b"x y z") + zlib.compress(secret)).decode()
+    late = base64.b64encode(gzip.compress(lines * 20 + secret + b" " + lines * 20)).decode()
+    twice = base64.b64encode(gzip.compress(gzip.compress(lines * 50 + base64.encodebytes(secret * 9) + lines * 50))).decode()
+    damaged = gzip.compress(lines + secret)[:-8] + bytes(8)
+    cases = [wrapped, wrapped.replace("\n", "\r\n"), wrapped.replace("\n", "\n    "), "CERTIFICATE-----\n" + wrapped, wrapped + "\nword", many, late, twice]
+    cases += [base64.encodebytes(b"some words before it, " * 2 + secret + b" and some after it").decode().strip(), base64.b64encode(damaged).decode(), base64.b64encode(b"\xff\x00 " + secret + b" \x01").decode(), base64.b64encode(b"x " + secret).decode()]
+    for c in cases:
+        text = f"before: {c} (after) {c}"
+        for limit in (S.MAX_LAYER, 20_000):
+            _, spans, _, bombs = S.scan(text, limit=limit)
+            assert not bombs or limit < S.MAX_LAYER
+            for at in (8, text.rindex(c)):
+                assert any(at <= a < b <= at + len(c) and k == "assign" for a, b, k in spans), (c[:40], limit)
+            assert "(after)" in S.redacted(text, spans)
+    assert S.scan(late, limit=20_000)[3] == 1
+    # A run that goes on over the place where parts are cut is in one of them.
+    inner = base64.encodebytes(gzip.compress(bytes(rng.choices(range(256), k=9_000)) + secret))
+    for k in range(0, 30_000, 1_700):
+        hidden = base64.b64encode(gzip.compress(lines[:k] + b". " + inner + b". " + lines)).decode()
+        assert any(s[2] == "assign" for s in S.scan(hidden, limit=20_000)[1]), k
+    assert S.scan(base64.b64encode(gzip.compress(b"a" * 10_000_000)).decode(), limit=100_000)[3] == 1
+
+
 def test_token_files(spark):
     rng = random.Random(5)
     signs = ["a", "b", "é", " ", " ", "\n", "\t", "'s", "1", ".", ",", "<|endoftext|>", "²", "\r", "word", "the"]
