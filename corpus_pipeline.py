@@ -23,10 +23,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of least id. Rows that repeat its id are
-    that document too; rows without id stay."""
-    near = simhash_components(docs)
-    return docs.join(near.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of near copies one document, the one of least id, or one without id if
+    none has any. Rows are told apart by a key of their own, that is written once: rows that
+    repeat an id, or have none, are documents like others."""
+    rows = written(docs.select(*COLUMNS, F.xxhash64("text").alias("_hash"), F.monotonically_increasing_id().alias("_row")), "keyed")
+    near = simhash_components(rows, doc_id="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_hash", "_row")
+    first = rows.select("_row", "doc_id", "_hash").join(near, "_row").groupBy("component_id").agg(F.min(order).alias("_first"))
+    return rows.join(first.select("_first._row"), "_row", "left_semi").select(*COLUMNS)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -166,3 +166,22 @@ def test_pipeline_on_odd_rows(spark, data):
     for _, stage in corpus_pipeline.STAGES:
         d = corpus_pipeline.written(stage(spark, d, data), "odd")
     assert {r.doc_id for r in d.collect()} <= {3, 4, None} and d.count() >= 1
+
+
+def test_near_copies_are_rows(spark, data):
+    """One row of each group stays, whether ids repeat, are null or neither."""
+    rng = random.Random(6)
+    a, b, c, d = (" ".join(rng.choices([f"word{k}" for k in range(900)], k=200)) for _ in range(4))
+    rows = [(5, a), (5, a), (2, a + "."), (5, b), (None, b), (None, c), (None, c), (7, d), (7, d), (7, c + " "), (None, None), (None, ""), (9, a + " more")]
+    label = components([plain_fingerprint(t) for _, t in rows], list(range(len(rows))))
+    groups: dict = {}
+    for (i, t), k in zip(rows, label, strict=True):
+        groups.setdefault(k, []).append((i is None, i or 0, i, t))
+    table = spark.createDataFrame([(i, t, None, "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = corpus_pipeline.without_near_copies(spark, table, data)
+    assert got.columns == corpus_pipeline.COLUMNS
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    assert len(kept) == len(groups) == 5
+    for members in groups.values():
+        least = min(m[:2] for m in members)
+        assert sum((i, t) in {m[2:] for m in members if m[:2] == least} for i, t in kept) == 1
