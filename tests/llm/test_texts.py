@@ -233,3 +233,19 @@ def test_main_text_of_layouts():
     assert H.main_text(f"<article><div>{big}</div><div><p>Small end.</p></div></article><div><p>Other, text, outside, of, it, all.</p></div>").endswith("Small end.")
     assert H.main_text(f"<div id=a>{big}</div><p>A sibling paragraph.</p><table><tr><td><a href=x>Link, list</a></table>").endswith("A sibling paragraph.")
     assert H.main_text("<div class='ad'>A long advert, with, many, commas, in, it, for, you.</div><article><h1>T</h1><p>Short.</p></article>") == "T\nShort."
+
+
+def test_main_text_keeps_sections_of_any_name():
+    """Names of sections say something else than names of page parts; only whole class
+    names leave text of the article out."""
+    long = "It is, as was said, a paragraph of the article that goes on for long enough to be one. " * 3
+    for wrap in ("<article>{}</article>", "<main>{}</main>", "<div id='content'>{}</div>"):
+        for name in ("side-effects", "related-work", "discussion", "search-algorithms", "legal-basis", "social-history"):
+            for part in (f"<section id='{name}'><h2>Head</h2><p>{long}</p><p>Short.</p></section>", f"<div id={name}><h2>Head</h2><p>{long}</p><p>Short.</p></div>"):
+                got = H.main_text("<nav>n</nav><div class='sidebar'><p>Popular, posts, here, and, there.</p></div>" + wrap.format(f"<p>{long}</p>{part}<p>{long}</p>"))
+                assert got.split("\n") == [long.strip(), "Head", long.strip(), "Short.", long.strip()], (wrap, part)
+    inside = f"<p class='side-note'>A note.</p><p id='search'>Find it.</p><div class='discussion'><p>{long}</p></div>"
+    noise = f"<div class='related'><a href=x>{long}</a></div><div class='share'>Share</div><div class='cookie-notice'><p>{long}</p></div><section class='x comments'><p>{long}</p></section>"
+    assert H.main_text(f"<article><p>{long}</p>{inside}{noise}</article>").split("\n") == [long.strip(), "A note.", "Find it.", long.strip()]
+    figure = "<figure><img src=x><figcaption>What it shows.</figcaption></figure><p><label>Name</label> of <math><mi>x</mi><mo>=</mo><mn>1</mn></math> here.</p>"
+    assert H.main_text(f"<article><p>{long}</p>{figure}</article>").split("\n")[1:] == ["What it shows.", "Name of x=1 here."]

@@ -18,13 +18,13 @@ from pyspark.sql import functions as F
 
 # Kinds of elements, and names that tell what an element is for.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript textarea title template iframe object svg math canvas select audio video noembed noframes".split())
-DROPPED = RAW | frozenset("head nav header footer aside form button menu dialog figcaption label fieldset map applet".split())
+RAW = frozenset("script style noscript textarea title template iframe object svg canvas select audio video noembed noframes".split())
+DROPPED = RAW | frozenset("head nav header footer aside form button menu dialog fieldset map applet".split())
 BLOCKS = frozenset(
-    "address article blockquote body caption center dd details div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol "
+    "address article blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol "
     "p pre section summary table tbody td tfoot th thead tr ul aside hgroup legend menu dialog".split()
 )
-PARAGRAPHS = frozenset("p pre blockquote td li dd h2 h3 h4 div section article main body center figure".split())
+PARAGRAPHS = frozenset("p pre blockquote td li dd h2 h3 h4 div section article main body center figcaption figure".split())
 CLOSES = {  # what a start tag ends if it is open, and what keeps that from being reached
     "li": ({"li"}, {"ul", "ol", "menu"}),
     "dt": ({"dt", "dd"}, {"dl"}),
@@ -34,11 +34,19 @@ CLOSES = {  # what a start tag ends if it is open, and what keeps that from bein
     "th": ({"td", "th"}, {"table", "tr"}),
     "option": ({"option"}, {"select"}),
 }
-UNLIKELY = re.compile(
-    r"(?i)(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|adsense|adslot|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w*|"
-    r"comments?|commentlist|disqus|respond|reply|replies|discussion|sidebar|side|rail|widget|menu|nav\w*|breadcrumbs?|pager|pagination|toolbar|topbar|masthead|header|footer|foot|"
-    r"legal|copyright|share|sharing|social|related|recommended|recirc|outbrain|taboola|tags|meta|byline|login|signup|search|skip|hidden|sr-only|disclaimer|author-bio|toc)(?=$|[\s_-])"
+_STRONG = (
+    r"ads?|adverts?|advertis\w*|adsense|adslot|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscri\w*|comments?|commentlist|disqus|"
+    r"sidebar|widget|nav\w*|breadcrumbs?|pager|pagination|toolbar|topbar|masthead|footer|recirc|outbrain|taboola|login|signup|hidden|sr-only|author-bio|toc"
 )
+_WEAK = r"side|related|recommended|discussion|search|legal|social|notices?|alert|respond|reply|replies|rail|menu|header|foot|share|sharing|tags|meta|byline|copyright|disclaimer|skip"
+UNLIKELY = re.compile(rf"(?i)(?:^|[\s_-])(?:{_STRONG}|{_WEAK})(?=$|[\s_-])")
+# Whole class names that are of such words only; weak ones are said of text as well.
+NOISE = re.compile(rf"(?i)(?:(?:{_STRONG}|{_WEAK})[_-])*(?:{_STRONG})(?:[_-](?:{_STRONG}|{_WEAK}))*")
+WEAK_NOISE = re.compile(rf"(?i)(?:{_WEAK})(?:[_-](?:{_WEAK}))*")
+# What an element of a weak name must have to be text: characters, and at most that share of them in links.
+LONG, LINKED = 200, 0.3
+# What names say of an element: nothing, or doubt by its id, by parts of class names, by weak or by other whole class names.
+BY_ID, BY_PART, BY_WEAK, BY_CLASS = 1, 2, 3, 4
 LIKELY = re.compile(r"(?i)(?:^|[\s_-])(?:article|body|content|entry|main|page|post|story|text|blog|hentry)(?=$|[\s_-])")
 BODY = re.compile(r"(?i)article|content-body|post-body|entry-content")
 COMMENT = re.compile(r"(?i)(?:^|[\s_-])(?:comments?|reply|replies|respond|advert\w*|sponsor\w*|promo\w*)(?=$|[\s_-])")
@@ -51,19 +59,20 @@ HIDDEN = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "doubtful", "bonus", "score", "text", "links")
+    __slots__ = ("tag", "parent", "children", "dropped", "doubtful", "noise", "bonus", "score", "text", "links")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, doubtful: bool = False, bonus: float = 0.0):
+    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, doubtful: int = 0, bonus: float = 0.0):
         self.tag, self.parent, self.dropped, self.doubtful, self.bonus = tag, parent, dropped, doubtful, bonus
         self.children: list[Node | str] = []
         self.score = 0.0
+        self.noise = True  # whether it is left out of an article, too, if in doubt
         self.text = self.links = 0  # characters below, and those of them in links
 
 
-def _role(tag: str, attributes: str, parent: Node) -> tuple[bool, bool, float]:
-    """(left out, doubtful by its names, bonus) of an element by its tag and attributes.
+def _role(tag: str, attributes: str, parent: Node) -> tuple[bool, int, float]:
+    """(left out, how its names are doubtful, bonus) of an element by its tag and attributes.
     The header of an article is kept for its headings, by blocks()."""
-    drop, doubt = tag in DROPPED and not (tag == "header" and parent.tag in ("article", "main", "section")), False
+    drop, doubt = tag in DROPPED and not (tag == "header" and parent.tag in ("article", "main", "section")), 0
     bonus = 25.0 if tag == "article" else 15.0 if tag == "main" else 0.0
     if attributes and not attributes.isspace():
         a = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)}
@@ -73,9 +82,11 @@ def _role(tag: str, attributes: str, parent: Node) -> tuple[bool, bool, float]:
             drop = drop or not main
         if names and not main and tag not in HEADINGS:
             if tag == "article":
-                doubt = bool(COMMENT.search(names))
+                doubt = BY_CLASS if COMMENT.search(names) else 0
             elif UNLIKELY.search(names) and not BODY.search(names):
-                doubt = True
+                classes = a.get("class", "").split()
+                whole = BY_CLASS if any(map(NOISE.fullmatch, classes)) else BY_WEAK if any(map(WEAK_NOISE.fullmatch, classes)) else 0
+                doubt = whole or (BY_PART if UNLIKELY.search(" ".join(classes)) else BY_ID)
             elif LIKELY.search(names):
                 bonus += 10.0
     return drop, doubt, bonus
@@ -162,7 +173,7 @@ def _child(node: Node) -> Node:
 def settle(root: Node) -> None:
     """Leaves out elements whose names say that they aren't of the article, but for what
     holds it nevertheless: an article or main element, or, on a page without one, most of
-    the text in several paragraphs."""
+    the text in several paragraphs. Long text without many links isn't left out for an id."""
     order, stack = [], [root]
     while stack:
         n = stack.pop()
@@ -171,19 +182,35 @@ def settle(root: Node) -> None:
             stack.extend(c for c in n.children if isinstance(c, Node))
     if not any(n.doubtful for n in order):
         return
-    sums: dict[int, list[int]] = {id(n): [sum(len(c.strip()) for c in n.children if isinstance(c, str)), 0, 0] for n in order}
+    sums: dict[int, list[int]] = {id(n): [sum(len(c.strip()) for c in n.children if isinstance(c, str)), 0, 0, 0] for n in order}
     for n in reversed(order):
         own = sums[id(n)]
         own[1] += n.tag in ("article", "main") and not n.doubtful
         own[2] += n.tag == "p"
+        own[3] = own[0] if n.tag == "a" else own[3]
         if n.parent is not None:
             up = sums[id(n.parent)]
-            for k in range(3):
+            for k in range(4):
                 up[k] += own[k]
-    total, mains, _ = sums[id(root)]
+    total, mains = sums[id(root)][:2]
     for n in order:
-        text, inside, paragraphs = sums[id(n)]
-        n.dropped = n.doubtful and not inside and not (not mains and paragraphs > 2 and text > 0.6 * total)
+        text, inside, paragraphs, links = sums[id(n)]
+        is_text = text >= LONG and links <= LINKED * text
+        n.dropped = bool(n.doubtful) and not inside and not (not mains and paragraphs > 2 and text > 0.6 * total) and not (n.doubtful == BY_ID and is_text)
+        n.noise = n.doubtful == BY_CLASS or n.doubtful == BY_WEAK and not is_text
+
+
+def restored(nodes: list[Node]) -> list[Node]:
+    """These nodes, with what was left out in them for no more than parts of names or an
+    id, or for a weak name although it is text."""
+    stack = [n for n in nodes if n.tag not in ("html", "body")]
+    while stack:
+        n = stack.pop()
+        if n.dropped and n.doubtful and not n.noise:
+            n.dropped = False
+        if not n.dropped:
+            stack.extend(c for c in n.children if isinstance(c, Node))
+    return nodes
 
 
 def measure(root: Node) -> list[Node]:
@@ -296,7 +323,7 @@ def blocks(nodes: list[Node]) -> list[str]:
 
 
 def main_text(page: str | None) -> str:
-    return "\n".join(blocks(article(parse(page)))) if page else ""
+    return "\n".join(blocks(restored(article(parse(page))))) if page else ""
 
 
 def extract_text(pages: DataFrame, markup: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
