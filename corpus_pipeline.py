@@ -35,7 +35,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no test items."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=tuple(COLUMNS)).where("not contaminated").select(*COLUMNS)
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=tuple(COLUMNS), unnamed=True).where("not contaminated").select(*COLUMNS)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -249,3 +249,40 @@ def test_main_text_keeps_sections_of_any_name():
     assert H.main_text(f"<article><p>{long}</p>{inside}{noise}</article>").split("\n") == [long.strip(), "A note.", "Find it.", long.strip()]
     figure = "<figure><img src=x><figcaption>What it shows.</figcaption></figure><p><label>Name</label> of <math><mi>x</mi><mo>=</mo><mn>1</mn></math> here.</p>"
     assert H.main_text(f"<article><p>{long}</p>{figure}</article>").split("\n")[1:] == ["What it shows.", "Name of x=1 here."]
+
+
+def test_token_files_of_rows_without_id(spark):
+    rows = [(3, "three"), (None, "none b"), (1, None), (None, "none a"), (None, None), (-(2**63), "least")]
+    for partitions in (1, 3):
+        folder = new_path(spark, "tokens")
+        files = written(T.write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), folder, BPE, partitions=partitions), "files")
+        got = sorted(T.read_token_files(files, folder).collect(), key=lambda r: r.start)
+        start, plain = 0, T.Encoder(BPE).tokenizer
+        want = sorted(((i, t or "") for i, t in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+        for r, (i, t) in zip(got, want, strict=True):
+            ids = np.array([*plain.encode(t, add_special_tokens=False).ids, 0], "<u4")
+            assert tuple(r) == (i, start, len(ids), zlib.crc32(ids.tobytes()))
+            start += len(ids)
+        store, root = fs.FileSystem.from_uri(folder)
+        with store.open_input_file(f"{root}/{files.orderBy('first_id').first().path}") as f:
+            assert 0 not in [i for i, _ in T.read_documents(f, f.size(), {0, 1})]
+
+
+def test_items_without_id_hit(spark, tmp_path):
+    """As the SQL has it, of the same tables."""
+    import duckdb
+
+    from tidemark.llm import queries, sql
+
+    texts = ["one two three", "other words, Secret Words", "secret words", None, "x"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    items = [(None, "secret words"), (None, "x"), (4, "two"), (5, "words"), (None, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    df = queries.op10_decontaminate(spark, str(tmp_path))
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    q = c.execute(sql.DECONTAMINATE)
+    names = [x[0] for x in q.description]
+    assert sorted(map(tuple, df.select(*names).collect())) == sorted(q.fetchall())
+    assert [r.doc_id for r in df.where("contaminated").orderBy("doc_id").collect()] == [0, 1, 2, 4]

@@ -39,9 +39,9 @@ def windows(words: list[str], n: int) -> set[str]:
     return {f" {' '.join(words[i : i + n])} " for i in range(max(1, len(words) - n + 1))} if words else set()
 
 
-def automaton(items: list[tuple[int, str]], n: int) -> ahocorasick.Automaton | None:
+def automaton(items: list[tuple[int | None, str]], n: int) -> ahocorasick.Automaton | None:
     """Of (id, text) items; its values are (number of words, ids of items)."""
-    owners: dict[str, set[int]] = {}
+    owners: dict[str, set[int | None]] = {}
     for i, text in items:
         for w in windows(words_of(text), n):
             owners.setdefault(w, set()).add(i)
@@ -54,7 +54,7 @@ def automaton(items: list[tuple[int, str]], n: int) -> ahocorasick.Automaton | N
     return a
 
 
-def scan(words: list[str], automata: list[ahocorasick.Automaton]) -> tuple[np.ndarray | None, set[int]]:
+def scan(words: list[str], automata: list[ahocorasick.Automaton]) -> tuple[np.ndarray | None, set[int | None]]:
     """(which words are hit, ids of the items found); None instead of no hits."""
     line, hit, found = f" {' '.join(words)} ", None, set()
     for a in automata:
@@ -78,7 +78,7 @@ def spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
 
 
 def decontaminate(
-    docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), n: int = 13, min_part: int = 20, max_chars: int = MAX_CHARS
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), n: int = 13, min_part: int = 20, max_chars: int = MAX_CHARS, unnamed: bool = False
 ) -> DataFrame:
     """One row per row of ``docs``: the columns ``keep``, then n_words, n_hit, n_items
     (long), items_sha256 (of the ids of the found items, sorted as strings, joined by
@@ -89,13 +89,14 @@ def decontaminate(
     windows alone are sent to the executors, in automata of at most ``max_chars``
     characters each; a task goes through them one by one over its texts, so a larger set
     costs time, not memory. Null and empty texts, in documents or items, have no words
-    and no hit; items without id are left out. Repeated items and documents are each
+    and no hit; items without id are left out or, if ``unnamed``, count for hits and, all
+    of them together, as one more of the items found, but aren't in the list of ids. Repeated items and documents are each
     judged by themselves, empty tables give empty results or no hits, and further
     columns are ignored.
     """
     sc = docs.sparkSession.sparkContext
-    items = benchmark.where("item_id is not null and text is not null").select("item_id", "text")
-    groups: list[list[tuple[int, str]]] = [[]]
+    items = benchmark.where("text is not null" if unnamed else "item_id is not null and text is not null").select("item_id", "text")
+    groups: list[list[tuple[int | None, str]]] = [[]]
     size = 0
     for row in items.toLocalIterator():
         chars = n * len(row.text)  # of its windows, about
@@ -120,7 +121,7 @@ def decontaminate(
                 cols: list[list] = [[] for _ in names]
                 for t, w, (hit, found) in zip(texts, words, results, strict=True):
                     n_hit = 0 if hit is None else int(hit.sum())
-                    digest = hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
+                    digest = hashlib.sha256(",".join(sorted(str(i) for i in found if i is not None)).encode()).hexdigest()
                     bad = n_hit > 0 and min_part * n_hit >= len(w)
                     where = "" if hit is None else ",".join(f"{x}:{y}" for x, y in spans(t, hit))
                     for c, v in zip(cols, (len(w), n_hit, len(found), digest, bad, where), strict=True):
@@ -132,9 +133,9 @@ def decontaminate(
     return kept.mapInArrow(run, ", ".join([*fields, "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_spans string"]))
 
 
-def _in_turn(words: list[list[str]], shared: list, n: int) -> list[tuple[np.ndarray | None, set[int]]]:
+def _in_turn(words: list[list[str]], shared: list, n: int) -> list[tuple[np.ndarray | None, set[int | None]]]:
     """scan() by automata of which one at a time is in memory."""
-    results: list[tuple[np.ndarray | None, set[int]]] = [(None, set())] * len(words)
+    results: list[tuple[np.ndarray | None, set[int | None]]] = [(None, set())] * len(words)
     for g in shared:
         a = automaton(g.value, n)
         for k, w in enumerate(words):

@@ -76,7 +76,7 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hit_spans")
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), unnamed=True).drop("hit_spans")
 
 
 QUERIES = {

@@ -1,8 +1,9 @@
 """Token ids in binary files that can be read document by document.
 
-A file holds, for each document in ascending id order, one independent zstandard frame
+A file holds, for each document in ascending id order, those without id first, one independent zstandard frame
 with its token ids as little-endian unsigned 32-bit integers. After them come a
-skippable frame with the document ids, and the seek table of the public zstandard
+skippable frame with the document ids (where some have none, their number stands behind
+the ids, and their own places are 0), and the seek table of the public zstandard
 seekable format: for each frame its compressed size, its size and a checksum (the low
 32 bits of the XXH64 of the content). A reader takes the table from the file's end and
 then decompresses the frames that it wants only; any zstandard tool can unpack all.
@@ -124,17 +125,19 @@ def frame(ids: bytes, compressor: zstandard.ZstdCompressor) -> tuple[bytes, int]
     return compressor.compress(ids), xxhash.xxh64_intdigest(ids) & 0xFFFFFFFF
 
 
-def tail(doc_ids: list[int], sizes: list[tuple[int, int, int]]) -> bytes:
-    """What follows the frames: document ids and seek table."""
-    index = zlib.compress(np.array(doc_ids, "<i8").tobytes(), 1)
+def tail(doc_ids: list[int | None], sizes: list[tuple[int, int, int]]) -> bytes:
+    """What follows the frames: document ids and seek table. Documents without id are
+    the first ones."""
+    nulls = doc_ids.count(None)
+    index = zlib.compress(np.array([0] * nulls + doc_ids[nulls:] + [nulls] * (nulls > 0), "<i8").tobytes(), 1)
     head = struct.pack("<II", SKIPPABLE, len(index)) + index
     # The skippable frame is in the table as well, as a frame without content.
     entries = np.array([*sizes, (len(head), 0, xxhash.xxh64_intdigest(b"") & 0xFFFFFFFF)], "<u4").tobytes()
     return head + struct.pack("<II", SEEK_TABLE, len(entries) + 9) + entries + struct.pack("<IBI", len(sizes) + 1, 0x80, SEEKABLE)
 
 
-def read_index(f, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document ids, where each frame starts, rows of compressed size, size and
+def read_index(f, size: int) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
+    """(document ids, how many of them, the first ones, stand for none, where each frame starts, rows of compressed size, size and
     checksum) of a file that is open for reading."""
     f.seek(size - 9)
     n, flags, magic = struct.unpack("<IBI", f.read(9))
@@ -145,21 +148,21 @@ def read_index(f, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts = np.concatenate([[0], np.cumsum(entries[:, 0], dtype=np.int64)])
     f.seek(int(starts[n - 1]) + 8)
     ids = np.frombuffer(zlib.decompress(f.read(int(entries[n - 1, 0]) - 8)), "<i8")
-    return ids, starts[: n - 1], entries[: n - 1]
+    return ids[: n - 1], int(ids[n - 1]) if len(ids) == n else 0, starts[: n - 1], entries[: n - 1]
 
 
-def read_documents(f, size: int, wanted: Iterable[int] | None = None) -> Iterator[tuple[int, bytes]]:
-    """(document id, its ids as bytes) of all documents, or of those wanted; only their
+def read_documents(f, size: int, wanted: Iterable[int] | None = None) -> Iterator[tuple[int | None, bytes]]:
+    """(document id or None, its ids as bytes) of all documents, or of those wanted; only their
     frames are read and decompressed, and each is held against its checksum."""
-    ids, starts, entries = read_index(f, size)
+    ids, nulls, starts, entries = read_index(f, size)
     unpack = zstandard.ZstdDecompressor()
-    rows = range(len(ids)) if wanted is None else np.flatnonzero(np.isin(ids, np.array(sorted(wanted), "<i8")))
+    rows = range(len(ids)) if wanted is None else nulls + np.flatnonzero(np.isin(ids[nulls:], np.array(sorted(wanted), "<i8")))
     for k in rows:
         f.seek(int(starts[k]))
         raw = unpack.decompress(f.read(int(entries[k, 0])), max_output_size=max(1, int(entries[k, 1])))
         if len(raw) != entries[k, 1] or xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF != entries[k, 2]:
             raise ValueError(f"document {ids[k]}: checksum differs")
-        yield int(ids[k]), raw
+        yield None if k < nulls else int(ids[k]), raw
 
 
 def write_token_files(
@@ -173,8 +176,8 @@ def write_token_files(
     their first ids. A task writes under a name of its own attempt and renames that at
     its end: a task that runs again, as after a lost executor, replaces its file by an
     equal one. A null text is an empty one: its document has the end id only. Rows
-    without id are an error; rows that repeat an id are separate documents, one after
-    another. An empty table gives no file. Memory is that of one batch of texts and the
+    without id come first and keep none; rows that repeat an id, or have none, are
+    separate documents, one after another in one file. An empty table gives no file. Memory is that of one batch of texts and the
     index of one file.
     """
     ids_of = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -186,12 +189,10 @@ def write_token_files(
         name = f"{root}/part-{part:06d}.zst"
         mine = f"{name}.{TaskContext.get().taskAttemptId()}"
         encode, compressor = encoder(tokenizer_path).encode, zstandard.ZstdCompressor(level=level)
-        doc_ids: list[int] = []
+        doc_ids: list[int | None] = []
         sizes: list[tuple[int, int, int]] = []
         out, end = None, np.array([END_ID], "<u4").tobytes()
         for ids, texts in chunks(batches, "doc_id", "text", rows=256):
-            if None in ids:
-                raise ValueError("a document has no id")
             if out is None:
                 store.create_dir(root, recursive=True)
                 out = store.open_output_stream(mine)
@@ -206,7 +207,8 @@ def write_token_files(
             if store.get_file_info(name).type != fs.FileType.NotFound:
                 store.delete_file(name)
             store.move(mine, name)
-            yield pa.RecordBatch.from_pydict({"path": [f"part-{part:06d}.zst"], "first_id": [doc_ids[0]], "n_docs": [len(doc_ids)], "n_tokens": [sum(s[1] for s in sizes) // 4]})
+            numbers = [pa.array([x], pa.int64()) for x in (doc_ids[0], len(doc_ids), sum(s[1] for s in sizes) // 4)]
+            yield pa.RecordBatch.from_arrays([pa.array([f"part-{part:06d}.zst"]), *numbers], names=["path", "first_id", "n_docs", "n_tokens"])
 
     return by_id.mapInArrow(run, "path string, first_id long, n_docs long, n_tokens long")
 
@@ -223,7 +225,7 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
         for paths, starts in chunks(batches, "path", "start"):
             for path, start in zip(paths, starts, strict=True):
                 name = f"{root}/{path}"
-                rows: list[tuple[int, int, int, int]] = []
+                rows: list[tuple[int | None, int, int, int]] = []
                 with store.open_input_file(name) as f:
                     for i, raw in read_documents(f, f.size()):
                         rows.append((i, start, len(raw) // 4, zlib.crc32(raw)))
@@ -238,7 +240,7 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
     )
 
 
-def _rows(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+def _rows(rows: list[tuple[int | None, int, int, int]]) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True)) or [()] * 4
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
