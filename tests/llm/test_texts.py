@@ -286,3 +286,22 @@ def test_items_without_id_hit(spark, tmp_path):
     names = [x[0] for x in q.description]
     assert sorted(map(tuple, df.select(*names).collect())) == sorted(q.fetchall())
     assert [r.doc_id for r in df.where("contaminated").orderBy("doc_id").collect()] == [0, 1, 2, 4]
+
+
+def test_words_are_remembered_in_bounded_bytes():
+    """Unspaced text, whose lines are words of their own, and signs after words."""
+    import tracemalloc
+
+    rng = random.Random(9)
+    letters = "漢字仮名交文章例東西南北"
+    texts = ["\n".join("".join(rng.choices(letters, k=rng.choice([30, 400]))) for _ in range(50)) for _ in range(400)]
+    e = T.Encoder(BPE, most=2 << 20)
+    tracemalloc.start()
+    for at in range(0, len(texts), 20):
+        e.encode(texts[at : at + 20])
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 12 << 20 and e.held < 6 << 20 and not any(len(w) > e.longest for w in e.known)
+    signs = ["word,", "word", "Wort!?", "x$$$", "it's.", "a'", "'s", "3,000.", "é...", "a,b", "--", "re'", "don't,", "\nword...", "l'eau:"]
+    lines = texts[:20] + [" ".join(rng.choices(signs, k=9)) for _ in range(300)]
+    assert [np.frombuffer(b, "<u4").tolist() for b in e.encode(lines)] == [e.ids(t).tolist() for t in lines]

@@ -18,9 +18,22 @@ def chunks(batches: Iterator[pa.RecordBatch], *names: str, rows: int = 512) -> I
             yield [c.slice(at, rows).to_pylist() for c in columns]
 
 
+def parts_of(texts: list, most: int) -> Iterator[list]:
+    """Runs of texts of at most ``most`` characters together, or of one longer text."""
+    at = size = 0
+    for k, t in enumerate(texts):
+        n = len(t or "")
+        if k > at and size + n > most:
+            yield texts[at:k]
+            at, size = k, 0
+        size += n
+    if len(texts) > at:
+        yield texts[at:]
+
+
 def utf8(text: str | None) -> bytes:
     """UTF-8 of a text; none for a null."""
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-__all__ = ["chunks", "new_path", "shared_dir", "table", "utf8", "written"]
+__all__ = ["chunks", "new_path", "parts_of", "shared_dir", "table", "utf8", "written"]

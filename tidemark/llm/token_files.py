@@ -11,6 +11,7 @@ then decompresses the frames that it wants only; any zstandard tool can unpack a
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -26,11 +27,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import chunks, new_path
+from tidemark.llm.common import chunks, new_path, parts_of
 
 # The zstandard seekable format.
 SKIPPABLE, SEEK_TABLE, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 END_ID = 0
+# ASCII punctuation: signs that are a piece of text of their own after a letter.
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+ENTRY = 180  # bytes, about, that a word takes beside three for each letter
+AT_ONCE = 1 << 20  # characters whose words are held at once; a longer text is taken alone
 
 
 class Encoder:
@@ -38,19 +44,25 @@ class Encoder:
 
     Byte-level pieces never cross the start of a space or line break that has something
     other than white space after it, so the ids of a text are those of its words, each
-    with that space or line break before it. Words recur: each is encoded once and its
-    ids are kept, up to ``most`` words; then they are put aside, until as many
-    others came, and those that come again are taken back. Texts with
+    with that space or line break before it. That holds for the pre-tokenizer that is
+    asked for on loading; another one raises. Words recur: each is encoded once and its
+    ids are kept, as long as they take about ``most`` bytes; then they are put aside,
+    until as many others came, and those that come again are taken back. Words of more
+    than ``longest`` characters, as in text without spaces, aren't kept. Texts with
     other white space, or with a special token, go to the library as a whole.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 128 << 20, longest: int = 128):
         from tokenizers import Tokenizer
 
         t = self.tokenizer = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
-        self.most = most
+        parts = json.loads(t.to_str())
+        rule = parts["pre_tokenizer"] or {}
+        if parts["normalizer"] or rule.get("type") != "ByteLevel" or rule.get("add_prefix_space") or not rule.get("use_regex", True):
+            raise ValueError("texts are cut for plain byte-level pieces")
+        self.most, self.longest, self.held = most, longest, 0
         self.special = [x.content for x in t.get_added_tokens_decoder().values()]
         self.starts = np.zeros(t.get_vocab_size(), bool)  # of ids that begin with a space or line break
         for token, i in t.get_vocab().items():
@@ -74,42 +86,73 @@ class Encoder:
 
     def learn(self, words: set[str]) -> None:
         """Encodes new words, many at a time. Signs after a letter are a piece of text by
-        themselves, so a word that is known but for those only needs theirs."""
+        themselves, so of such a word its beginning and its signs are encoded apart."""
         known, old, new, joined = self.known, self.old, [], []
         for w in words:
-            if w in old:
-                known[w] = old[w]
+            if (ids := old.get(w)) is not None:
+                known[w] = ids
                 continue
-            base = w.rstrip(".,;:!?")
-            if base and base != w and base in known and base[-1].isalpha():
+            base = w.rstrip(SIGNS)
+            if base != w and base and base[-1].isalpha() and base[-1] < "\u2000":
                 joined.append((w, base, w[len(base) :]))
             else:
                 new.append(w)
+        bases = {base for _, base, _ in joined if base not in known}.difference(new)
+        for base in bases:
+            if (ids := old.get(base)) is not None:
+                known[base] = ids
+            else:
+                new.append(base)
         groups = [new[at : at + 256] for at in range(0, len(new), 256)]
-        texts = ["".join([w if w[0] == "\n" else " " + w for w in part]) for part in groups]
-        for part, found in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, "<u4")
+        for part in groups:
+            text = "".join([w if w[0] == "\n" else " " + w for w in part])
+            ids = self.ids(text)
             ends = [*(4 * np.flatnonzero(self.starts[ids])).tolist(), 4 * len(ids)]
             raw = ids.tobytes()
             known.update(zip(part, [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)], strict=True))
         for w, base, signs in joined:
             if signs not in self.signs:
+                if len(self.signs) > 10_000:
+                    self.signs.clear()
                 self.signs[signs] = self.ids(signs).tobytes()
             known[w] = known[base] + self.signs[signs]
+        self.held += ENTRY * (len(words) + len(bases)) + 3 * (sum(map(len, words)) + sum(map(len, bases)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as bytes, without an end id."""
-        split = [self.words(t) for t in texts]
-        words = set().union(*filter(None, split))
-        missing = words.difference(self.known)
-        if len(self.known) + len(missing) > self.most:
-            self.old, self.known = self.known, {}
-            missing = words | {"\n"}
+        out: list[bytes] = []
+        for part in parts_of(texts, AT_ONCE):
+            out += self._encode(part)
+        return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        if self.held > self.most:
+            self.old, self.known, self.held = self.known, {}, 0
+            self.learn({"\n"})
+        out: list[bytes] = []
+        open_texts, missing, get = [], set(), self.known.get
+        for k, t in enumerate(texts):
+            ws = self.words(t)
+            if ws is None:
+                out.append(self.ids(t).tobytes())
+                continue
+            ids = list(map(get, ws))
+            unknown = [w for w, x in zip(ws, ids, strict=True) if x is None]
+            if unknown:
+                missing.update(unknown)
+                open_texts.append((k, ws, ids))
+                out.append(b"")
+            else:
+                out.append(b"".join(ids)[4:])  # less the line break that was put before the first word
         if missing:
             self.learn(missing)
-        known = self.known.__getitem__
-        # Less the line break that was put before the first word.
-        return [self.ids(t).tobytes() if ws is None else b"".join(map(known, ws))[4:] for t, ws in zip(texts, split, strict=True)]
+            for k, ws, ids in open_texts:
+                out[k] = b"".join([self.known[w] if x is None else x for w, x in zip(ws, ids, strict=True)])[4:]
+            for w in [w for w in missing if len(w) > self.longest]:
+                for own in {w, w.rstrip(SIGNS)}.intersection(self.known):
+                    del self.known[own]
+                    self.held -= ENTRY + 3 * len(own)
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -173,12 +216,13 @@ def write_token_files(
     n_docs, n_tokens.
 
     Documents are dealt to files by ranges of their id, and the files' order is that of
-    their first ids. A task writes under a name of its own attempt and renames that at
-    its end: a task that runs again, as after a lost executor, replaces its file by an
-    equal one. A null text is an empty one: its document has the end id only. Rows
+    their first ids. A task writes a file of its own attempt, which the returned row
+    names: what an attempt left that was lost or overtaken is in no row and is never
+    read. Write the rows once, and read the files that they list. A null text is an empty one: its document has the end id only. Rows
     without id come first and keep none; rows that repeat an id, or have none, are
-    separate documents, one after another in one file. An empty table gives no file. Memory is that of one batch of texts and the
-    index of one file.
+    separate documents, one after another in one file. An empty table gives no file.
+    Memory is that of one batch of texts, the index of one file and the words that a
+    process remembers, which are bounded in bytes.
     """
     ids_of = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     by_id = ids_of.repartitionByRange(*([partitions] if partitions else []), "doc_id").sortWithinPartitions("doc_id", "text")
@@ -186,8 +230,7 @@ def write_token_files(
     def run(batches):
         part = TaskContext.get().partitionId()
         store, root = fs.FileSystem.from_uri(folder)
-        name = f"{root}/part-{part:06d}.zst"
-        mine = f"{name}.{TaskContext.get().taskAttemptId()}"
+        path = f"part-{part:06d}-{TaskContext.get().taskAttemptId()}.zst"
         encode, compressor = encoder(tokenizer_path).encode, zstandard.ZstdCompressor(level=level)
         doc_ids: list[int | None] = []
         sizes: list[tuple[int, int, int]] = []
@@ -195,7 +238,7 @@ def write_token_files(
         for ids, texts in chunks(batches, "doc_id", "text", rows=256):
             if out is None:
                 store.create_dir(root, recursive=True)
-                out = store.open_output_stream(mine)
+                out = store.open_output_stream(f"{root}/{path}", compression=None)
             for i, raw in zip(ids, encode(texts), strict=True):
                 packed, check = frame(raw + end, compressor)
                 out.write(packed)
@@ -204,11 +247,8 @@ def write_token_files(
         if out is not None:
             out.write(tail(doc_ids, sizes))
             out.close()
-            if store.get_file_info(name).type != fs.FileType.NotFound:
-                store.delete_file(name)
-            store.move(mine, name)
             numbers = [pa.array([x], pa.int64()) for x in (doc_ids[0], len(doc_ids), sum(s[1] for s in sizes) // 4)]
-            yield pa.RecordBatch.from_arrays([pa.array([f"part-{part:06d}.zst"]), *numbers], names=["path", "first_id", "n_docs", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([path]), *numbers], names=["path", "first_id", "n_docs", "n_tokens"])
 
     return by_id.mapInArrow(run, "path string, first_id long, n_docs long, n_tokens long")
 
