@@ -1,73 +1,106 @@
 """Benchmark decontamination by one Aho-Corasick automaton.
 
-Test items are normalised to words and cut to windows of consecutive words. All windows
-of all items form one automaton, and each document is scanned once by it; each hit is
-mapped to the words it covers, and those to offsets of the original text.
+Test items are normalised to words. Every window of n words holds one of the runs of
+(n + 1) / 2 words that an item is cut into, so the automaton has these runs alone (and
+items of fewer than n words whole), each word once: it grows with the items, not with
+their windows. A document is scanned once; where a run is found, the words of the item
+around it are compared, and if n or more follow each other, they are hit. Hits are
+mapped to offsets of the original text.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from functools import reduce
+from collections.abc import Iterable
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyarrow import dataset, fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import utf8
+from tidemark.llm.common import new_path, utf8
 
 # Words are runs of digits, letters (of either case, in the original) and
 # whatever isn't ASCII.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
-#: Characters of windows in one automaton, of about 100 bytes each in memory. Items
-#: beyond that go to further automata, which scan the same texts one after another.
-MAX_CHARS = 2_000_000
 
-
-def words_of(text: str | None) -> list[str]:
-    """Words, A-Z in lower case. They are UTF-8 as Latin-1 characters: one for each byte."""
-    return [w.decode("latin-1") for w in utf8(text).translate(_LOWER).split()]
-
-
-def windows(words: list[str], n: int) -> set[str]:
-    """All runs of ``n`` words with spaces around; all words, where there are fewer."""
-    return {f" {' '.join(words[i : i + n])} " for i in range(max(1, len(words) - n + 1))} if words else set()
-
-
-def automaton(items: list[tuple[int | None, str]], n: int) -> ahocorasick.Automaton | None:
-    """Of (id, text) items; its values are (number of words, ids of items)."""
-    owners: dict[str, set[int | None]] = {}
-    for i, text in items:
-        for w in windows(words_of(text), n):
-            owners.setdefault(w, set()).add(i)
-    if not owners:
-        return None
-    a = ahocorasick.Automaton()
-    for w, ids in owners.items():
-        a.add_word(w, (w.count(" ") - 1, tuple(ids)))
-    a.make_automaton()
-    return a
-
-
-def scan(words: list[str], automata: list[ahocorasick.Automaton]) -> tuple[np.ndarray | None, set[int | None]]:
-    """(which words are hit, ids of the items found); None instead of no hits."""
-    line, hit, found = f" {' '.join(words)} ", None, set()
-    for a in automata:
-        at = word = 0
-        for end, (n, ids) in a.iter(line):
-            if hit is None:
-                hit = np.zeros(len(words) + 1, np.int32)
-            word += line.count(" ", at, end)  # of words that end before this space
-            at = end
-            hit[word - n] += 1
-            hit[word] -= 1
-            found.update(ids)
-    return (None, found) if hit is None else (np.cumsum(hit)[:-1] > 0, found)
+def words_of(text: str | None) -> list[bytes]:
+    """Words in UTF-8, A-Z in lower case."""
+    return utf8(text).translate(_LOWER).split()
+
+
+class Items:
+    """The automaton of test items, over numbers of words."""
+
+    def __init__(self, items: Iterable[tuple[int | None, str | None]], n: int):
+        self.n, self.part = n, (n + 1) // 2
+        self.number: dict[bytes, int] = {}
+        owners: dict[tuple[int, ...], set[int | None]] = {}  # of each text of words, its items
+        for i, text in items:
+            words = tuple([self.number.setdefault(w, len(self.number) + 1) for w in words_of(text)])
+            if words:
+                owners.setdefault(words, set()).add(i)
+        self.ids = [tuple(x) for x in owners.values()]
+        # Of each run, the words before and after it that a window may hold, and whose they are.
+        around: dict[tuple, dict[tuple, list[int]]] = {}
+        for k, words in enumerate(owners):
+            if len(words) < n:
+                around.setdefault(words, {}).setdefault((None, None), []).append(k)
+                continue
+            for at in range(0, len(words) - self.part + 1, self.part):
+                end = at + self.part
+                own = (words[max(0, end - n) : at], words[end : at + n])
+                around.setdefault(words[at:end], {}).setdefault(own, []).append(k)
+        self.automaton = None
+        if around:
+            self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+            for run, own in around.items():
+                self.automaton.add_word(run, (len(run), [(x, y, tuple(ks)) for (x, y), ks in own.items()]))
+            self.automaton.make_automaton()
+
+    def scan(self, words: list[bytes]) -> tuple[np.ndarray | None, set[int | None]]:
+        """(which words are hit, ids of the items found); None instead of no hits."""
+        if self.automaton is None or not words:
+            return None, set()
+        get = self.number.get
+        line = tuple([get(w, 0) for w in words])
+        hit, found, n = None, set(), self.n
+        for last, (size, owners) in self.automaton.iter(line):
+            end = last + 1
+            at = end - size
+            for before, after, ks in owners:
+                x, y = at, end
+                if before is not None:
+                    for w in reversed(before):
+                        if not x or line[x - 1] != w:
+                            break
+                        x -= 1
+                    for w in after:
+                        if y == len(line) or line[y] != w:
+                            break
+                        y += 1
+                    if y - x < n:
+                        continue
+                if hit is None:
+                    hit = np.zeros(len(words) + 1, np.int32)
+                hit[x] += 1
+                hit[y] -= 1
+                found.update(ks)
+        return (None, set()) if hit is None else (np.cumsum(hit)[:-1] > 0, {i for k in found for i in self.ids[k]})
+
+
+@lru_cache(maxsize=1)
+def items_at(folder: str, n: int) -> Items:
+    """Those of a written table, built once in this worker process."""
+    store, root = fs.FileSystem.from_uri(folder)
+    files = dataset.dataset(root, filesystem=store, format="parquet")
+    return Items((row for b in files.to_batches(columns=["item_id", "text"]) for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)), n)
 
 
 def spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
@@ -78,69 +111,48 @@ def spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
 
 
 def decontaminate(
-    docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), n: int = 13, min_part: int = 20, max_chars: int = MAX_CHARS, unnamed: bool = False
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), n: int = 13, min_part: int = 20, unnamed: bool = False
 ) -> DataFrame:
     """One row per row of ``docs``: the columns ``keep``, then n_words, n_hit, n_items
     (long), items_sha256 (of the ids of the found items, sorted as strings, joined by
     commas), contaminated (some word is hit, and one in ``min_part`` of the words or more),
     hit_spans (start:end of the runs of hit words in the text, joined by commas).
 
-    ``benchmark`` has item_id and text. It is a stated set of test items, and its
-    windows alone are sent to the executors, in automata of at most ``max_chars``
-    characters each; a task goes through them one by one over its texts, so a larger set
-    costs time, not memory. Null and empty texts, in documents or items, have no words
-    and no hit; items without id are left out or, if ``unnamed``, count for hits and, all
-    of them together, as one more of the items found, but aren't in the list of ids. Repeated items and documents are each
-    judged by themselves, empty tables give empty results or no hits, and further
-    columns are ignored.
+    ``benchmark`` has item_id and text. It is a stated set of test items: it is written to
+    the shared folder, where each worker process reads it and builds its automaton once,
+    of some 200 bytes a word; the driver never holds it. Null and empty texts, in
+    documents or items, have no words and no hit; items without id are left out or, if
+    ``unnamed``, count for hits and, all of them together, as one more of the items
+    found, but aren't in the list of ids. Repeated items and documents are each judged by
+    themselves, texts of any length are scanned whole, empty tables give empty results or
+    no hits, and further columns are ignored.
     """
-    sc = docs.sparkSession.sparkContext
-    items = benchmark.where("text is not null" if unnamed else "item_id is not null and text is not null").select("item_id", "text")
-    groups: list[list[tuple[int | None, str]]] = [[]]
-    size = 0
-    for row in items.toLocalIterator():
-        chars = n * len(row.text)  # of its windows, about
-        if size + chars > max_chars and groups[-1]:
-            groups, size = [*groups, []], 0
-        groups[-1].append((row.item_id, row.text))
-        size += chars
-    shared = [sc.broadcast(g) for g in groups if g]
+    folder = new_path(docs.sparkSession, "items")
+    items = benchmark.where("text is not null" if unnamed else "item_id is not null and text is not null")
+    items.select("item_id", "text").write.parquet(folder)
     kept = docs.select(*keep, F.col(text).alias("_text"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]]
     names = "n_words n_hit n_items items_sha256 contaminated hit_spans".split()
 
     def run(batches):
-        built = [a for g in shared if (a := automaton(g.value, n))] if len(shared) < 2 else None
+        items = items_at(folder, n)
         for b in batches:
             at = b.schema.get_field_index("_text")
             for start in range(0, b.num_rows, 512):
                 part = b.slice(start, 512)
-                texts = part.column(at).to_pylist()
-                words = [words_of(t) for t in texts]
-                results = [scan(w, built) for w in words] if built is not None else _in_turn(words, shared, n)
                 cols: list[list] = [[] for _ in names]
-                for t, w, (hit, found) in zip(texts, words, results, strict=True):
+                for value in part.column(at):
+                    t = value.as_py()
+                    words = words_of(t)
+                    hit, found = items.scan(words)
                     n_hit = 0 if hit is None else int(hit.sum())
                     digest = hashlib.sha256(",".join(sorted(str(i) for i in found if i is not None)).encode()).hexdigest()
-                    bad = n_hit > 0 and min_part * n_hit >= len(w)
+                    bad = n_hit > 0 and min_part * n_hit >= len(words)
                     where = "" if hit is None else ",".join(f"{x}:{y}" for x, y in spans(t, hit))
-                    for c, v in zip(cols, (len(w), n_hit, len(found), digest, bad, where), strict=True):
+                    for c, v in zip(cols, (len(words), n_hit, len(found), digest, bad, where), strict=True):
                         c.append(v)
                 types = [pa.int64()] * 3 + [pa.string(), pa.bool_(), pa.string()]
                 arrays = [part.column(i) for i in range(at)] + [pa.array(c, k) for c, k in zip(cols, types, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*part.schema.names[:at], *names])
 
     return kept.mapInArrow(run, ", ".join([*fields, "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_spans string"]))
-
-
-def _in_turn(words: list[list[str]], shared: list, n: int) -> list[tuple[np.ndarray | None, set[int | None]]]:
-    """scan() by automata of which one at a time is in memory."""
-    results: list[tuple[np.ndarray | None, set[int | None]]] = [(None, set())] * len(words)
-    for g in shared:
-        a = automaton(g.value, n)
-        for k, w in enumerate(words):
-            hit, found = scan(w, [a] if a else [])
-            old, had = results[k]
-            hits = [h for h in (old, hit) if h is not None]
-            results[k] = (reduce(np.logical_or, hits) if hits else None, had | found)
-    return results
