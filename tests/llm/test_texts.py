@@ -332,3 +332,50 @@ def test_decontaminate_by_a_large_benchmark(spark):
                     found |= ids
         got, ids = made.scan([w.encode() for w in pieces])
         assert ids == found and (np.flatnonzero(got).tolist() if got is not None else []) == sorted(hit)
+
+
+def lattice(m, word):
+    """(chance, origin from the word's first node, piece) of all edges of a known word."""
+    last = int(m.last.all[m.known[word]])
+    first = last - len(word) + (word[:1] == "\n")
+    out = []
+    for node in range(first, last + 1):
+        e = int(m.edge.all[node])
+        while not out or out[-1][0] < 2 or e == m.edge.all[node]:
+            out.append((float(m.chance.all[e]), max(-1, int(m.origin.all[e]) - first), int(m.token.all[e])))
+            e += 1
+            if out[-1][0] >= 2:
+                break
+    return out
+
+
+def test_chances_of_a_word_alone_and_among_others():
+    rng = random.Random(4)
+    parts = ["th", "er", "on", "ing", "é", "a", "st", "ion", "qu", "\n", "x1"]
+    words = sorted({"".join(rng.choices(parts[:9], k=rng.randrange(1, 9))) for _ in range(3000)} | {"\n" + "".join(rng.choices(parts[:9], k=4)) for _ in range(200)})
+    together = P.Model(PIECES)
+    together.learn(words)
+    alone = P.Model(PIECES)
+    for w in words[::7]:
+        alone.learn([w])
+        assert lattice(alone, w) == lattice(together, w), w
+
+
+def test_lattices_are_held_in_bounded_bytes():
+    rng = random.Random(5)
+    m = P.Model(PIECES, most=4 << 20)
+    for _ in range(40):
+        texts = ["\n".join("".join(rng.choices("漢字仮名交文章例東西南北abc", k=400)) for _ in range(20)) for _ in range(10)]
+        m.sample(texts, list(range(10)), 0)
+        assert m.held < 12 << 20
+    assert len(m.chance.room) * 12 < 32 << 20
+
+
+def test_long_words_have_the_same_lattice(monkeypatch):
+    word = "".join(random.Random(6).choices(["th", "er", "on", "é", "漢", "ing"], k=300))
+    a, b = P.Model(PIECES), P.Model(PIECES)
+    a.learn([word])
+    monkeypatch.setattr(P, "LONG", 100)
+    b.learn([word])
+    x, y = lattice(a, word), lattice(b, word)
+    assert [e[1:] for e in x] == [e[1:] for e in y] and max(abs(e[0] - f[0]) for e, f in zip(x, y, strict=True)) < 1e-6

@@ -6,8 +6,9 @@ proportion to its weight. Draws depend on the seed, the row's key and the place
 row only, so a row has the same segmentation wherever and whenever it is made.
 
 No piece goes past a space but at its beginning, and none holds a line break: the
-lattice of a text falls apart into those of its words, which recur and are kept. Draws
-for all words of a batch are made together, a piece at a time.
+lattice of a text falls apart into those of its words, which recur and are kept, as
+long as they take a bounded number of bytes. Draws for all words of a batch are made
+together, a piece at a time.
 """
 
 from __future__ import annotations
@@ -21,9 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import parts_of, slices
+
 SPACE = "▁"
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  # an odd number; products wrap
 LITERAL = 0x110000  # beyond all characters
+ENTRY = 150  # bytes, about, that a word takes beside its lattice
+AT_ONCE = 1 << 18  # characters whose lattices are made together
+LONG = 4096  # a longer word is taken alone
 
 
 class Pool:
@@ -52,7 +58,7 @@ class Model:
     piece of their own are written as the pieces of their bytes.
     """
 
-    def __init__(self, path: str, theta: float = 1.0, offset: float = 10.0, most: int = 200_000):
+    def __init__(self, path: str, theta: float = 1.0, offset: float = 10.0, most: int = 160 << 20):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -152,21 +158,11 @@ class Model:
         node, origin = first + end - 1, np.where(end == size, -1, first + end - size - 1)
         starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
         weight = np.where(token < self.size, self.weights[np.minimum(token, self.size - 1)], self.byte_weight)
-        total, chance = np.zeros(int(length.sum()) + 1), np.empty(len(node))
-        bounds = np.searchsorted(end[starts], np.arange(1, int(length.max()) + 2))
-        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):  # a place in all words
-            if lo == hi:
-                continue
-            at = starts[lo:hi] - starts[lo]
-            s = slice(starts[lo], starts[hi] if hi < len(starts) else len(node))
-            way = np.where(origin[s] < 0, 0.0, total[origin[s]]) + weight[s]
-            n = np.diff(np.append(at, len(way)))
-            top = np.repeat(np.maximum.reduceat(way, at), n)
-            ways = np.exp(way - top)
-            sums = np.add.reduceat(ways, at)
-            total[node[s][at]] = top[at] + np.log(sums)
-            share = np.cumsum(ways / np.repeat(sums, n))
-            chance[s] = share - np.repeat(np.append(0.0, share[at[1:] - 1]), n)
+        total, chance = np.zeros(int(length.sum())), np.empty(len(node))
+        if len(length) == 1 and length[0] > LONG:
+            chance[:] = _chances_of_one(starts.tolist(), node[starts].tolist(), origin.tolist(), weight.tolist())
+        else:
+            self._chances(starts, end, node, origin, weight, total, chance, int(length.max()))
         chance[np.append(starts[1:], len(node)) - 1] = 2.0  # the last one takes the rest
         nodes, edges = self.edge.n, self.chance.n
         into = np.empty(int(length.sum()), np.int64)
@@ -179,6 +175,32 @@ class Model:
             self.known[p] = k
         self.last.add(nodes + base + length - 1)
 
+    @staticmethod
+    def _chances(starts, end, node, origin, weight, total, chance, longest: int) -> None:
+        """Fills ``chance``, a place in all words at once."""
+        bounds = np.searchsorted(end[starts], np.arange(1, longest + 2))
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):  # a place in all words
+            if lo == hi:
+                continue
+            s = slice(starts[lo], starts[hi] if hi < len(starts) else len(node))
+            at = starts[lo:hi] - s.start
+            way = np.where(origin[s] < 0, 0.0, total[origin[s]]) + weight[s]
+            n = np.diff(np.append(at, len(way)))
+            top = np.repeat(np.maximum.reduceat(way, at), n)
+            # Sums within a node only: they don't depend on the words beside it.
+            ways = np.exp(way - top)
+            for k in range(1, int(n.max())):
+                on = at[n > k] + k
+                ways[on] += ways[on - 1]
+            sums = ways[at + n - 1]
+            total[node[s][at]] = top[at] + np.log(sums)
+            chance[s] = ways / np.repeat(sums, n)
+
+    @property
+    def held(self) -> int:
+        """Bytes, about, that the known words take."""
+        return ENTRY * len(self.known) + 8 * self.edge.n + 12 * self.chance.n
+
     @staticmethod
     def words(text: str) -> list[str]:
         """The parts of a text: bare after a space (one is thought before the text), or
@@ -188,12 +210,15 @@ class Model:
     def sample(self, texts: list[str], keys: list[int], seed: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, where each text's begin and the last one's end)."""
         parts = [self.words(t) for t in texts]
-        missing = {w for ws in parts for w in ws}.difference(self.known)
-        if len(self.known) + len(missing) > self.most:
+        if self.held > self.most:
             self.forget()
-            missing = {w for ws in parts for w in ws}
+        missing = {w for ws in parts for w in ws}.difference(self.known)
         if missing:
-            self.learn(list(missing))
+            for some in parts_of([w for w in missing if len(w) <= LONG], AT_ONCE):
+                self.learn(some)
+            for w in missing:
+                if len(w) > LONG:
+                    self.learn([w])
         number = self.known.__getitem__
         counts = np.array([len(ws) for ws in parts], np.int64)
         word = np.array([k for ws in parts for k in map(number, ws)], np.int64)
@@ -236,6 +261,20 @@ class Model:
         return b"".join(map(self.bytes_of.__getitem__, ids))[1:].decode()
 
 
+def _chances_of_one(starts: list[int], nodes: list[int], origin: list[int], weight: list[float]) -> list[float]:
+    """The same for one long word, in whose places there is nothing to do at once."""
+    total, out = [0.0] * len(nodes), []
+    for node, a, b in zip(nodes, starts, [*starts[1:], len(origin)], strict=True):
+        ways = [weight[k] if origin[k] < 0 else total[origin[k]] + weight[k] for k in range(a, b)]
+        top, upto, sums = max(ways), 0.0, []
+        for way in ways:
+            upto += math.exp(way - top)
+            sums.append(upto)
+        total[node] = top + math.log(upto)
+        out += [x / upto for x in sums]
+    return out
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     """A well mixed 64-bit number for each number, by multiplications and shifts."""
     with np.errstate(over="ignore"):
@@ -261,7 +300,7 @@ def sampled_pieces(
     equal ids, and a null key counts as 0. A null text is an empty one, and an empty text
     is the piece of the space before it. Any other text is encoded without loss,
     whatever its characters. An empty table gives an empty one. Words of any length are
-    taken whole. ``keep`` may name any columns but the added ones.
+    taken whole; what a process holds grows with the longest text, not with the table. ``keep`` may name any columns but the added ones.
     """
     kept = docs.select(*keep, F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-2]]
@@ -271,8 +310,7 @@ def sampled_pieces(
         m = model(model_path, theta)
         for b in batches:
             at = b.num_columns - 2
-            for start in range(0, b.num_rows, 256):
-                part = b.slice(start, 256)
+            for part in slices(b, at + 1, 256, 1 << 20):
                 texts = part.column(at + 1).to_pylist()
                 ids, upto = m.sample(texts, part.column(at).to_pylist(), seed)
                 bounds = list(zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True))
@@ -292,7 +330,9 @@ def sampled_pieces(
 
 
 def decoded_pieces(rows: DataFrame, model_path: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` and text of rows with an array of ids; null for null ids."""
+    """The columns ``keep`` and text of rows with an array of ids; null for null ids, and
+    an empty text for no ids. Rows are independent: repeated ones, further columns and an
+    empty table change nothing."""
     kept = rows.select(*keep, F.col(ids).alias("_ids"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]]
 
