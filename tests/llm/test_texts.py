@@ -379,3 +379,31 @@ def test_long_words_have_the_same_lattice(monkeypatch):
     b.learn([word])
     x, y = lattice(a, word), lattice(b, word)
     assert [e[1:] for e in x] == [e[1:] for e in y] and max(abs(e[0] - f[0]) for e, f in zip(x, y, strict=True)) < 1e-6
+
+
+def test_secrets_in_deep_and_other_layers():
+    import bz2
+    import lzma
+    import time
+
+    secret = b"token=abcdefgh"
+    bare = zlib.compressobj(9, zlib.DEFLATED, -15)
+    raw = bare.compress(b"words of any kind, " * 3 + secret) + bare.flush()
+    b64 = lambda x: base64.b64encode(x).decode()
+    cases = [b64(raw), b64(bz2.compress(secret)), b64(lzma.compress(secret * 50)), "https://host/path/" + b64(secret), "name_" + b64(secret) + "/x", b64(bz2.compress(secret) + gzip.compress(b"x"))]
+    for c in cases:
+        text = f"before {c} (after)"
+        _, spans, _, _ = S.scan(text)
+        assert any(7 <= a < b <= 7 + len(c) and k == "assign" for a, b, k in spans), c
+        assert "before" in S.redacted(text, spans) and "(after)" in S.redacted(text, spans)
+    # Escapes nested deeper than they are unwrapped one by one, and as deep as texts are long.
+    deep = "tok%" + "25" * 30 + "65n=%2561bcdefgh rest"
+    assert (0, deep.index(" "), "assign") in S.scan(deep)[1]
+    mixed = "se\\u005cu0025%32%35%35%43u0063ret=abcdefgh"
+    assert any(k == "assign" for _, _, k in S.scan(mixed)[1])
+    start = time.perf_counter()
+    text = "password%" + "25" * 50_000 + "3Dabcdefgh é"
+    spans = S.scan(text)[1]
+    assert (0, len(text) - 2, "assign") in spans and time.perf_counter() - start < 20
+    layer = S.Layer("ab%2541\\u0025%34%32c%C3%A9%ff").settled()
+    assert layer.text == "abABcé\ufffd" and [layer.span(k, k + 1) for k in range(7)] == [(0, 1), (1, 2), (2, 7), (7, 19), (19, 20), (20, 26), (26, 29)]
