@@ -407,3 +407,26 @@ def test_secrets_in_deep_and_other_layers():
     assert (0, len(text) - 2, "assign") in spans and time.perf_counter() - start < 20
     layer = S.Layer("ab%2541\\u0025%34%32c%C3%A9%ff").settled()
     assert layer.text == "abABcé\ufffd" and [layer.span(k, k + 1) for k in range(7)] == [(0, 1), (1, 2), (2, 7), (7, 19), (19, 20), (20, 26), (26, 29)]
+
+
+def test_main_text_in_forms():
+    """A page that is all in one form keeps its text; forms beside or in an article go."""
+    long = "It is, as was said, a paragraph of the article that goes on for long enough to be one. " * 3
+    small = "<form action=x><fieldset><legend>Search</legend><label>Find</label><input name=q><button>Go</button></fieldset></form>"
+    want = [long.strip()] * 4
+    body = f"<p>{long}</p>" * 4
+    assert H.main_text(f"<body><form id='aspnetForm' method=post><div class=menu><a href=/>Home</a></div><div id='content'>{body}</div></form></body>").split("\n") == want
+    assert H.main_text(f"<body><form><fieldset>{body}</fieldset></form></body>").split("\n") == want
+    assert H.main_text(f"<form class='x'><article>{body}{small}</article></form>").split("\n") == want
+    assert H.main_text(f"<body>{small}<div>{body}</div>{small}</body>").split("\n") == want
+
+
+def test_main_text_takes_time_by_length_only():
+    import time
+
+    start = time.perf_counter()
+    for page in ("<div>" * 20_000 + "a" + "</x></p></li>" * 20_000, "<b>" * 20_000 + "<div></div>" * 20_000 + "a", "<ul><li>" + "<div>" * 10_000 + "<li>" * 10_000 + "a", "<table>" + "<div>" * 20_000 + "</b></p>" * 20_000 + "a"):
+        assert H.main_text(page) == "a"
+    assert time.perf_counter() - start < 20
+    long = "word, " * 400_000
+    assert H.main_text(f"<article><p>{long}</p></article>") == long.strip()

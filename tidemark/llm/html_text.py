@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,7 +21,8 @@ from pyspark.sql import functions as F
 # Kinds of elements, and names that tell what an element is for.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript textarea title template iframe object svg canvas select audio video noembed noframes".split())
-DROPPED = RAW | frozenset("head nav header footer aside form button menu dialog fieldset map applet".split())
+DROPPED = RAW | frozenset("head nav header footer aside button menu dialog map applet".split())
+FORMS = frozenset("form fieldset".split())  # some pages are all in one
 BLOCKS = frozenset(
     "address article blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol "
     "p pre section summary table tbody td tfoot th thead tr ul aside hgroup legend menu dialog".split()
@@ -34,6 +37,8 @@ CLOSES = {  # what a start tag ends if it is open, and what keeps that from bein
     "th": ({"td", "th"}, {"table", "tr"}),
     "option": ({"option"}, {"select"}),
 }
+# End tags that don't reach beyond these elements.
+LIGHT, WALLS = frozenset("p b i a span li div".split()), ("table", "article", "body")
 _STRONG = (
     r"ads?|adverts?|advertis\w*|adsense|adslot|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscri\w*|comments?|commentlist|disqus|"
     r"sidebar|widget|nav\w*|breadcrumbs?|pager|pagination|toolbar|topbar|masthead|footer|recirc|outbrain|taboola|login|signup|hidden|sr-only|author-bio|toc"
@@ -59,10 +64,11 @@ HIDDEN = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "doubtful", "noise", "bonus", "score", "text", "links")
+    __slots__ = ("tag", "parent", "children", "block", "dropped", "doubtful", "noise", "bonus", "score", "text", "links")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool = False, doubtful: int = 0, bonus: float = 0.0):
         self.tag, self.parent, self.dropped, self.doubtful, self.bonus = tag, parent, dropped, doubtful, bonus
+        self.block: Node = self if tag in BLOCKS or parent is None else parent.block  # the nearest that is one
         self.children: list[Node | str] = []
         self.score = 0.0
         self.noise = True  # whether it is left out of an article, too, if in doubt
@@ -73,6 +79,7 @@ def _role(tag: str, attributes: str, parent: Node) -> tuple[bool, int, float]:
     """(left out, how its names are doubtful, bonus) of an element by its tag and attributes.
     The header of an article is kept for its headings, by blocks()."""
     drop, doubt = tag in DROPPED and not (tag == "header" and parent.tag in ("article", "main", "section")), 0
+    doubt = BY_CLASS if tag in FORMS else doubt
     bonus = 25.0 if tag == "article" else 15.0 if tag == "main" else 0.0
     if attributes and not attributes.isspace():
         a = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)}
@@ -83,6 +90,8 @@ def _role(tag: str, attributes: str, parent: Node) -> tuple[bool, int, float]:
         if names and not main and tag not in HEADINGS:
             if tag == "article":
                 doubt = BY_CLASS if COMMENT.search(names) else 0
+            elif doubt:
+                pass
             elif UNLIKELY.search(names) and not BODY.search(names):
                 classes = a.get("class", "").split()
                 whole = BY_CLASS if any(map(NOISE.fullmatch, classes)) else BY_WEAK if any(map(WEAK_NOISE.fullmatch, classes)) else 0
@@ -92,14 +101,36 @@ def _role(tag: str, attributes: str, parent: Node) -> tuple[bool, int, float]:
     return drop, doubt, bonus
 
 
+class Path:
+    """The open elements, from the root on, and where in that path those of each name are."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places = [root], {root.tag: [0]}
+
+    def last(self, names: Iterable[str]) -> int:
+        """Place of the innermost open element of these names; 0, the root's, if there is none."""
+        return max([self.places[n][-1] for n in names if self.places.get(n)], default=0)
+
+    def cut(self, place: int) -> None:
+        """Ends the element at a place and all inside it; never the root."""
+        while len(self.nodes) > max(1, place):
+            self.places[self.nodes.pop().tag].pop()
+
+    def open(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(_child(node))
+
+
 def parse(page: str) -> Node:
     """The tree of a page. Wrong or missing end tags are mended as browsers do: a block
     ends an open paragraph, a list item the one before it, and an end tag whatever is
-    open inside its element."""
+    open inside its element. Nothing is searched from tag to tag, so that time grows with
+    the page only."""
     root = Node("html", None)
-    node, at, end = root, 0, len(page)
+    path, at, end = Path(root), 0, len(page)
     low = None
     while at < end:
+        node = path.nodes[-1]
         start = page.find("<", at)
         if start < 0:
             node.children.append(page[at:])
@@ -116,33 +147,24 @@ def parse(page: str) -> Node:
         if not name:
             continue
         if m[1] or m[4]:
-            up = node
-            while up is not None and up.tag != name:
-                if up.tag in ("table", "article", "body") and name in ("p", "b", "i", "a", "span", "li", "div") and up.tag != name:
-                    up = None
-                    break
-                up = up.parent
-            if up is not None and up is not root:
-                node = up.parent
+            place = path.last((name,))
+            if place and not (name in LIGHT and path.last(WALLS) > place):
+                path.cut(place)
             continue
         if name in ("html", "body"):
             if name == "body" and node.tag != "body":
-                node = _child(Node("body", root))
+                path.cut(1)
+                path.open(Node("body", root))
             continue
-        if name in BLOCKS:
-            up = node
-            while up is not root and up.tag not in BLOCKS:
-                up = up.parent
-            if up.tag == "p":
-                node = up.parent
+        if name in BLOCKS and node.block.tag == "p":
+            path.cut(path.last(("p",)))
         if name in CLOSES:
             ends, stops = CLOSES[name]
-            up, last = node, None
-            while up is not root and up.tag not in stops:
-                if up.tag in ends:
-                    last = up
-                up = up.parent
-            node = last.parent if last is not None else node
+            stop = path.last(stops)
+            outer = [own[k] for own in map(path.places.get, ends) if own and (k := bisect_right(own, stop)) < len(own)]
+            if outer:
+                path.cut(min(outer))
+        node = path.nodes[-1]
         attributes = m[3] or m[6] or ""
         if name == "br":
             node.children.append(" ")
@@ -159,9 +181,11 @@ def parse(page: str) -> Node:
             stop = low.find(f"</{name}", at)
             at = end if stop < 0 else (low.find(">", stop) + 1 or end)
             continue
-        child = _child(Node(name, node, drop, doubt, bonus))
+        child = Node(name, node, drop, doubt, bonus)
         if not attributes.endswith("/") or name in BLOCKS:
-            node = child
+            path.open(child)
+        else:
+            _child(child)
     return root
 
 
