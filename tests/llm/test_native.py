@@ -90,14 +90,14 @@ MESSAGES = [
 
 def test_chat(spark):
     d = spark.createDataFrame([(*m, "extra") for m in MESSAGES], "conv_id long, turn long, role string, text string, body string")
-    rows = chat_format(d).orderBy("conv_id", "branch", "turn").collect()
+    rows = chat_format(d).orderBy("conv_id", "place", "turn").collect()
     one = [(r.turn, r.reply_to) for r in rows if r.conv_id == 1]
     assert one == [(0, None), (1, 0), (3, 1), (4, 3), (4, 3), (2, 0), (5, 2)]
     by = {(r.conv_id, r.turn): r for r in rows}
     assert by[1, 3].body == "Why?" and by[1, 3].quote_levels == 2 and by[1, 5].body == "no"
     assert by[2, 3].reply_to == 0 and by[2, 3].role == "user" and by[2, 3].formatted.count("<|im_end|>") == 1
     assert by[4, 20_000].reply_to == 9_000 and by[4, 9_000].reply_to == 4
-    assert by[None, 1].branch is None and by[3, None].branch is None and len(rows) == len(MESSAGES)
+    assert by[None, 1].place is None and by[3, None].place is None and len(rows) == len(MESSAGES)
     assert chat_format(d.where("conv_id = 77")).count() == 0
 
 
@@ -106,7 +106,7 @@ def test_chat_is_reply_order(spark):
     parents = {k: (k * 7) % k if k % 3 == 0 else k - 1 for k in range(1, 40)}
     text = {k: f"unique words number {k} here" for k in range(40)}
     rows = [(1, 0, "u", text[0])] + [(1, k, "u", f"> {text[p]}\n{text[k]}") for k, p in parents.items()]
-    got = chat_format(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("branch", "turn").collect()
+    got = chat_format(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("place", "turn").collect()
     assert {r.turn: r.reply_to for r in got if r.turn} == parents
     children: dict = {}
     for k, p in parents.items():
@@ -118,6 +118,119 @@ def test_chat_is_reply_order(spark):
     assert [r.turn for r in got] == walk(0)
 
 
+def conversations(rng):
+    """Generated conversations: quotes of passages, paragraphs and lines, folded anew, at
+    several levels, with introductions, of repeated words and of nothing that was said."""
+    import textwrap
+
+    vocabulary = [f"word{k}" for k in range(400)]
+    common = ["thanks a lot", "I agree with all of that", "yes"]
+    rows = []
+    for conv, size in enumerate([300, 60, 60, 1, 2, 40]):
+        said: list[list[str]] = []  # the own paragraphs of each turn
+        turns = sorted(rng.sample(range(size * 3), size))
+        for k, turn in enumerate(turns):
+            own = ["\n".join(textwrap.wrap(" ".join(rng.choices(vocabulary, k=rng.randint(3, 25))), 60)) for _ in range(rng.randint(1, 3))]
+            if rng.random() < 0.2:
+                own.append(rng.choice(common))
+            out, near = [], k if conv == 5 else min(k, 30)
+            if k and rng.random() < (0.95 if conv == 5 else 0.5):
+                for _ in range(rng.choice([1, 1, 2])):
+                    back = 2 if conv == 5 and k > 1 else rng.randint(1, near)
+                    paragraphs = said[k - back]
+                    how = rng.randrange(4)
+                    quoted = paragraphs if how == 0 else [rng.choice(paragraphs)] if how < 3 else [rng.choice(rng.choice(paragraphs).split("\n"))]
+                    text = "\n\n".join("\n".join(textwrap.wrap(p.replace("\n", " "), 45)) if how == 2 else p for p in quoted)
+                    mark = "> " * rng.choice([1, 1, 1, 2, 3])
+                    out.append(rng.choice(["", "On Monday A wrote:\n"]) + "\n".join(mark + x for x in text.split("\n")))
+                    out.append(own.pop() if len(own) > 1 and rng.random() < 0.5 else "")
+            if rng.random() < 0.05:
+                out.append("> nobody said these words")
+            rows.append((conv, turn, rng.choice(["user", "assistant"]), "\n".join(x for x in [*out, "\n\n".join(own)] if x)))
+            said.append([*own, *[x for x in out if x and not x.startswith((">", "On"))]])
+    return rows
+
+
+def plain_links(rows):
+    """What each turn answers, by looking through all earlier turns."""
+    norm = lambda t: re.sub(r"[\W_]+", " ", t.lower()).strip()
+    level = lambda x: re.match(r"(?:[ \t]*>)*", x)[0].count(">")
+    told, reply = {}, {}
+    for conv, turn, _, text in sorted(rows):
+        lines = text.split("\n")
+        earlier = [t for c, t in told if c == conv]
+        scores = {}
+        for depth in {level(x) for x in lines} - {0}:
+            own = [re.sub(r"^(?:[ \t]*>)+", "", x) if level(x) == depth else None for x in lines]
+            units = {norm(x) for x in own if x is not None}
+            for blank in (False, True):
+                run = []
+                for x in [*own, None]:
+                    if x is None or (blank and not norm(x)):
+                        units.add(norm("\n".join(run)))
+                        run = []
+                    else:
+                        run.append(x)
+            for u in units - {""}:
+                if found := [t for t in earlier if u in told[conv, t]]:
+                    key = (depth, max(found))
+                    scores[key] = scores.get(key, 0) + len(u)
+        if scores:
+            reply[conv, turn] = max((-d, n, t) for (d, t), n in scores.items())[2]
+        else:
+            reply[conv, turn] = max(earlier, default=None)
+        quoting = any(level(x) for x in lines)
+        own = ["" if level(x) or re.match(r"(?i)on .{1,200} wrote:$", x) else x for x in lines]
+        body = "\n".join(x for x, y in zip(own, lines, strict=True) if x or not y.strip()) if quoting else text
+        told[conv, turn] = {norm(x) for x in [*lines, body, *re.split(r"\n\s*\n", "\n".join(own))] if not level(x) or x == body} - {""}
+        if quoting:
+            told[conv, turn] -= {norm(x) for x in lines if level(x)} - {norm(x) for x in own}
+    return reply
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+def test_chat_against_brute_force(spark, block):
+    import random
+
+    rows = conversations(random.Random(block))
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = chat_format(d, block=block).collect()
+    want = plain_links(rows)
+    assert {(r.conv_id, r.turn): r.reply_to for r in got} == want
+    assert sum(p is not None and p != max((t for c, t in want if c == conv and t < turn), default=None) for (conv, turn), p in want.items()) > 60
+    for conv in range(6):
+        children: dict = {}
+        for (c, t), p in sorted(want.items()):
+            if c == conv:
+                children.setdefault(p, []).append(t)
+        order, stack = [], list(reversed(children[None]))
+        while stack:
+            order.append(stack.pop())
+            stack.extend(reversed(children.get(order[-1], [])))
+        mine = sorted((r for r in got if r.conv_id == conv), key=lambda r: (r.place, r.turn))
+        assert [r.turn for r in mine] == order
+
+
+def test_chat_of_deep_and_broad_threads(spark):
+    """Each second message quotes the one two before it: threads nest as deep as there
+    are turns. And one message that most others quote."""
+    deep = [(1, k, "u", (f"> unique number {k - 2}\n" if k % 2 == 0 and k else "") + f"unique number {k}") for k in range(1200)]
+    broad = [(2, k, "u", ("> the first one\n" if k else "the first one") + f"\nanswer {k}" * (k > 0)) for k in range(600)]
+    d = spark.createDataFrame(deep + broad, "conv_id long, turn long, role string, text string")
+    got = chat_format(d, block=64).collect()
+    for conv, parents in ((1, {k: k - 2 if k % 2 == 0 else k - 1 for k in range(1, 1200)}), (2, dict.fromkeys(range(1, 600), 0))):
+        mine = sorted((r for r in got if r.conv_id == conv), key=lambda r: (r.place, r.turn))
+        assert {r.turn: r.reply_to for r in mine if r.turn} == parents
+        children: dict = {}
+        for k, p in parents.items():
+            children.setdefault(p, []).append(k)
+        order, stack = [], [0]
+        while stack:
+            order.append(stack.pop())
+            stack.extend(reversed(children.get(order[-1], [])))
+        assert [r.turn for r in mine] == order
+
+
 def test_registered(spark, data):
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES] == list(range(1, 11))
     assert queries.QUERIES["op2_chat_format"](spark, data).where(F.col("formatted").isNull()).count() == 0
