@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tidemark.llm import simhash as S
 from tidemark.llm.labelled import fold
+from tidemark.llm import neighbours as N
 from tidemark.llm.neighbours import quality_scores
 from tidemark.llm.simhash import near_links, simhash_components
 from tidemark.llm.toxicity import LabelModel, toxicity_scores
@@ -185,3 +186,98 @@ def test_near_copies_are_rows(spark, data):
     for members in groups.values():
         least = min(m[:2] for m in members)
         assert sum((i, t) in {m[2:] for m in members if m[:2] == least} for i, t in kept) == 1
+
+
+def test_label_model_against_enumeration():
+    """The tree is the best of all, and posteriors are those of the whole joint chances."""
+    from itertools import product
+
+    rng = np.random.default_rng(5)
+    n = 4
+    votes = np.array(list(product((0, 1), repeat=n)))
+    for _ in range(5):
+        counts, post = rng.integers(1, 500, len(votes)), rng.random(len(votes))
+
+        def information(a, b):
+            total = 0.0
+            for w in (counts * post, counts * (1 - post)):
+                w = w / w.sum() * (w.sum() / counts.sum())
+                for x, y in product((0, 1), repeat=2):
+                    both, one, other = (w[m].sum() / w.sum() for m in ((votes[:, a] == x) & (votes[:, b] == y), votes[:, a] == x, votes[:, b] == y))
+                    total += w.sum() * both * np.log(both / (one * other))
+            return total
+
+        parent = LabelModel.tree(votes, counts.astype(float), post, least=0.0)
+        assert parent[0] == -1
+        chosen = sum(information(j, parent[j]) for j in range(1, n))
+        best = 0.0
+        for ups in product(range(n), repeat=n - 1):
+            edges = list(zip(range(1, n), ups, strict=True))
+            reached, grown = {0}, True
+            while grown:
+                grown = {a for a, b in edges if b in reached} - reached
+                reached |= grown
+            if len(reached) == n:
+                best = max(best, sum(information(a, b) for a, b in edges))
+        assert abs(chosen - best) < 1e-6
+        m = LabelModel(votes, counts, 0.3)
+        joint = np.ones((2, len(votes)))
+        for c in (0, 1):
+            for k, v in enumerate(votes):
+                for j in range(n):
+                    p = m.chance[c, j, v[m.parent[j]] if m.parent[j] >= 0 else 0]
+                    joint[c, k] *= p if v[j] else 1 - p
+        assert np.allclose(joint.sum(axis=1), 1)
+        assert np.allclose(m.posterior(votes), 0.3 * joint[1] / (0.3 * joint[1] + 0.7 * joint[0]))
+
+
+def test_votes_of_neighbours_against_a_loop():
+    rng = np.random.default_rng(6)
+    x, y = rng.standard_normal((30, 8)), (rng.random(200) < 0.4).astype(float)
+    known, weight = rng.standard_normal((200, 8)), rng.random(200)
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    got = N.vote(unit(x) @ unit(known).T, y, weight, 0.25, 7, 4.0)
+    for row, score in zip(unit(x), got, strict=True):
+        near = sorted(range(200), key=lambda k: -float(row @ unit(known)[k]))[:7]
+        w = [max(0.0, float(row @ unit(known)[k])) ** 4 * weight[k] for k in near]
+        assert abs((sum(a * y[k] for a, k in zip(w, near, strict=True)) + 1e-3 * 0.25) / (sum(w) + 1e-3) - score) < 1e-9
+
+
+def test_quality_against_brute_force(spark, data):
+    """Scores of the query by dense vectors, all documents in one matrix."""
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    got = {r.doc_id: r.score for r in quality_scores(docs, labels, rank=500).collect()}
+    rows, f = docs.select("doc_id", "text").orderBy("doc_id").collect(), N.Features(8192)
+    dense = np.zeros((len(rows), f.size))
+    for k, r in enumerate(rows):
+        at, n = f.counts(r.text)
+        dense[k, at] = n
+    idf = np.log((1 + len(rows)) / (1 + (dense > 0).sum(axis=0))) + 0.1
+    for own, scale in ((slice(0, 8192), np.log1p), (slice(8192, None), lambda v: v)):
+        part = scale(dense[:, own]) * idf[own]
+        dense[:, own] = part / np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-300)
+    y = {r.doc_id: r.quality for r in labels.where(fold("doc_id", 4) != 2).collect()}
+    train = [k for k, r in enumerate(rows) if r.doc_id in y]
+    target = np.array([y[rows[k].doc_id] for k in train], float)
+    # All directions of the sample are kept: a document's part outside them has no cosine.
+    u = np.linalg.svd(dense[train], full_matrices=False)[2]
+    u = u[: np.linalg.matrix_rank(dense[train])]
+    latent = dense @ u.T
+    latent /= np.linalg.norm(latent, axis=1, keepdims=True) + 1e-9
+    prior = target.mean()
+    weight = np.where(target == 1, prior / target.sum(), (1 - prior) / (1 - target).sum()) * len(target)
+    want = N.vote(latent @ latent[train].T, target, weight, prior, 25, 4.0)
+    assert max(abs(got[r.doc_id] - w) for r, w in zip(rows, want, strict=True)) < 0.02
+
+
+def test_classifiers_on_odd_texts(spark, data):
+    """Very long texts, and words of any length, which no process remembers."""
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{data}/labels.parquet")
+    odd = spark.createDataFrame([(10**6, "w" * 3_000_000), (10**6 + 1, " ".join(f"v{k}" for k in range(300_000)) + " you are an idiot, moron"), (10**6 + 2, "\n" * 100_000)], "doc_id long, text string")
+    for scores in (quality_scores, toxicity_scores):
+        got = {r.doc_id: r.score for r in scores(docs.union(odd), labels).where("doc_id >= 1000000").collect()}
+        assert len(got) == 3 and all(0 <= s <= 1 for s in got.values())
+    f = N.Features(64, most=1 << 16)
+    for k in range(300):
+        f.counts(" ".join(f"{k}-{j}" for j in range(50)) + " " + "x" * 5000)
+    assert f.held < 1 << 18 and not any(len(w) > 64 for w in f.places)

@@ -23,6 +23,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import chunks, written
 from tidemark.llm.labelled import class_counts, fold, sampled, texts_of, training_labels
 
+ENTRY = 170  # bytes, about, that a remembered word takes beside two for each letter
+
+
 def shape(word: str) -> str:
     """The signs of a word: X for letters in upper case, x for other letters, 0 for
     digits, other characters as they are, and runs of one sign cut to two."""
@@ -31,15 +34,15 @@ def shape(word: str) -> str:
         return ("X" if len(body) > 1 and body.isupper() else "x") + word[len(body) :]
     body = re.sub(r"[^\W\d_]+", lambda m: "X" if m[0].isupper() and len(m[0]) > 1 else "x", word)
     body = re.sub(r"\d+", "0", body)
-    return re.sub(r"(.)\1+", r"\1\1", body)[:12]
+    return re.sub(r"(.)\1+", r"\1\1", body)
 
 
 class Features:
     """Sparse vectors of texts: ``dims`` hashed places for words, and as many for shapes
     and adjacent repeats."""
 
-    def __init__(self, dims: int, most: int = 500_000):
-        self.dims, self.most = dims, most
+    def __init__(self, dims: int, most: int = 96 << 20, longest: int = 64):
+        self.dims, self.most, self.longest, self.held = dims, most, longest, 0
         self.places: dict[str, int] = {}  # of each word both places, in one number
 
     def place(self, word: str) -> int:
@@ -57,14 +60,17 @@ class Features:
             return np.empty(0, np.int64), np.empty(0)
         unique = Counter(words)
         known = self.places
-        missing = [w for w in unique if w not in known]
-        if len(known) + len(missing) > self.most:
+        if self.held > self.most:
             known.clear()
-            missing = list(unique)
-        for w in missing:
-            known[w] = self.place(w)
+            self.held = 0
+        own = list(map(known.get, unique))
+        for k, w in [(k, w) for k, (w, at) in enumerate(zip(unique, own, strict=True)) if at is None]:
+            own[k] = self.place(w)
+            if len(w) <= self.longest:
+                known[w] = own[k]
+                self.held += ENTRY + 2 * len(w)
         n = np.fromiter(unique.values(), np.float64, len(unique))
-        both = np.fromiter(map(known.__getitem__, unique), np.int64, len(unique))
+        both = np.array(own, np.int64)
         repeats = sum(map(eq, words, words[1:]))
         places = np.concatenate([both >> 32, both & 0xFFFFFFFF, [self.size - 1]])
         total = np.bincount(places, weights=np.concatenate([n, n, [repeats]]), minlength=self.size)
@@ -106,6 +112,21 @@ def inverse_frequencies(docs: DataFrame, dims: int) -> np.ndarray:
     return np.log((1 + total[-1]) / (1 + total[:-1])) + 0.1
 
 
+def sparse(sample: DataFrame, dims: int, idf: np.ndarray) -> DataFrame:
+    """(doc_id, y, places, weights) of a labelled sample (doc_id, text, y): what the driver
+    gets of it is at most one number a place and text, however long the texts are."""
+
+    def run(batches):
+        f = features(dims)
+        for ids, ys, texts in chunks(batches, "doc_id", "y", "text", rows=64):
+            found = [f.vector(t, idf) for t in texts]
+            cols = [pa.array(ids, pa.int64()), pa.array(ys, pa.int32()), pa.array([a for a, _ in found], pa.list_(pa.int64())), pa.array([v for _, v in found], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "y", "places", "weights"])
+
+    own = sample.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("y").cast("int").alias("y"), "text")
+    return own.mapInArrow(run, "doc_id long, y int, places array<long>, weights array<double>")
+
+
 def latent_basis(rows: np.ndarray, rank: int, seed: int = 7, rounds: int = 4) -> np.ndarray:
     """The leading right singular vectors of a matrix, one a column, by randomised
     subspace iteration."""
@@ -145,16 +166,14 @@ def quality_scores(
     n0, n1 = class_counts(train)
     prior = n1 / (n0 + n1) if n0 + n1 else 0.5
     sample = written(texts_of(docs, sampled(train, per_class)), "labelled") if n0 and n1 else None
-    rows = sample.orderBy("doc_id").collect() if sample is not None else []
-    y = np.array([r.y for r in rows], np.float64)
     model = None
-    if 0 < y.sum() < len(y):
+    if sample is not None and sample.select("y").distinct().count() == 2:
         idf = inverse_frequencies(docs, dims)
-        f = Features(dims)
-        matrix = np.zeros((len(rows), f.size), np.float32)
+        rows = sparse(sample, dims, idf).orderBy("doc_id").collect()
+        y = np.array([r.y for r in rows], np.float64)
+        matrix = np.zeros((len(rows), Features(dims).size), np.float32)
         for i, r in enumerate(rows):
-            at, v = f.vector(r.text, idf)
-            matrix[i, at] = v
+            matrix[i, r.places] = r.weights
         basis = latent_basis(matrix, rank)
         latent = matrix @ basis
         latent /= np.linalg.norm(latent, axis=1, keepdims=True) + 1e-9

@@ -38,7 +38,9 @@ PATTERNS = {
 _EDGE = ".,;:!?\"'()[]{}«»“”¡¿#*$%&|<>-_~"
 
 
-MOST_WORDS = 600_000  # that a worker process remembers
+MOST_BYTES = 96 << 20  # of words that a worker process remembers, in each of its lists
+LONGEST = 64  # characters of a word that is remembered
+ENTRY = 90  # bytes, about, that a word takes beside two for each letter
 _OWN: dict[str, object] = {}
 
 
@@ -74,6 +76,7 @@ class Voters:
         self.first = len(self.names) - len(PATTERNS)
         self.known: dict[str, int] = {}
         self.none: set[str] = set()  # words of no lexicon: most are
+        self.held = 0
 
     def bits(self, word: str) -> int:
         b = 0
@@ -82,19 +85,22 @@ class Voters:
         return b
 
     def votes(self, text: str | None) -> int:
-        out, several, known, text = 0, 0, self.known, text or ""
-        if len(self.none) > MOST_WORDS:
+        out, known, text = 0, self.known, text or ""
+        if self.held > MOST_BYTES:
             self.none.clear()
+            known.clear()
+            self.held = 0
         for w in set(text.split()).difference(self.none):
-            b = known.get(w) or self.bits(w)
-            if b:
-                known[w] = b
-                out |= b
-                several += 1
-            else:
-                self.none.add(w)
-        if several > 1:
-            out |= 1 << (self.first - 1)
+            b = known.get(w)
+            if b is None:
+                b = self.bits(w)
+                if len(w) <= LONGEST:
+                    self.held += ENTRY + 2 * len(w)
+                    if b:
+                        known[w] = b
+                    else:
+                        self.none.add(w)
+            out |= b
         for k, p in enumerate(PATTERNS.values()):
             if p.search(text):
                 out |= 1 << (self.first + k)
@@ -138,9 +144,8 @@ def telling_terms(sample: DataFrame, z: float, most: int) -> list[str]:
 
 def make_voters(mined: list[str], parts: int) -> Voters:
     """The written lexicons, then the mined words and the mined beginnings cut into
-    ``parts`` lexicons each, from the most to the least precise, then a voter for several
-    different words of the lexicons, then the patterns."""
-    names = [*LEXICONS, *[f"words_{k}" for k in range(parts)], *[f"starts_{k}" for k in range(parts)], "several", *PATTERNS]
+    ``parts`` lexicons each, from the most to the least precise, then the patterns."""
+    names = [*LEXICONS, *[f"words_{k}" for k in range(parts)], *[f"starts_{k}" for k in range(parts)], *PATTERNS]
     lexicon: dict[str, int] = {}
     for k, words in enumerate(LEXICONS.values()):
         for w in words:
@@ -231,19 +236,25 @@ class Linear:
         self.n_votes, self.size = n_votes, len(terms_used) + n_votes + 1
         self.known: dict[str, tuple[int, ...]] = {}
         self.none: set[str] = set()  # words without a term
+        self.held = 0
 
     def places(self, text: str | None, votes: int) -> np.ndarray:
         known, at, out = self.known, self.at, set()
-        if len(self.none) + len(known) > MOST_WORDS:
+        if self.held > MOST_BYTES:
             known.clear()
             self.none.clear()
+            self.held = 0
         for w in set((text or "").split()).difference(self.none):
-            found = known.get(w) or tuple(at[t] for t in terms(w) if t in at)
-            if found:
-                known[w] = found
-                out.update(found)
-            else:
-                self.none.add(w)
+            found = known.get(w)
+            if found is None:
+                found = tuple(at[t] for t in terms(w) if t in at)
+                if len(w) <= LONGEST:
+                    self.held += ENTRY + 2 * len(w)
+                    if found:
+                        known[w] = found
+                    else:
+                        self.none.add(w)
+            out.update(found)
         out.update(len(at) + k for k in range(self.n_votes) if votes >> k & 1)
         return np.fromiter(out, np.int64, len(out))
 
@@ -262,6 +273,31 @@ class Linear:
         return w
 
 
+def voted(sample: DataFrame, names: list[str], lexicon: dict[str, int]) -> DataFrame:
+    """(doc_id, text, votes) of the rows of a labelled sample."""
+    shared = sample.sparkSession.sparkContext.broadcast((names, lexicon))
+
+    def run(batches):
+        v = Voters(*shared.value)
+        for ids, texts in chunks(batches, "doc_id", "text", rows=64):
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array([v.votes(t) for t in texts], pa.int64())], names=["doc_id", "text", "votes"])
+
+    return sample.select("doc_id", "text").mapInArrow(run, "doc_id long, text string, votes long")
+
+
+def placed(seen: DataFrame, used: list[str], n_votes: int) -> DataFrame:
+    """(doc_id, places): the terms and votes of each text, by their numbers."""
+    shared = seen.sparkSession.sparkContext.broadcast(used)
+
+    def run(batches):
+        f = Linear(shared.value, n_votes)
+        for ids, votes, texts in chunks(batches, "doc_id", "votes", "text", rows=64):
+            places = [np.sort(f.places(t, b)) for t, b in zip(texts, votes, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.list_(pa.int64()))], names=["doc_id", "places"])
+
+    return seen.select("doc_id", "votes", "text").mapInArrow(run, "doc_id long, places array<long>")
+
+
 def toxicity_scores(
     docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held_out: int = 0, threshold: float = 0.5,
     per_class: int = 2500, parts: int = 3, least: int = 5, precision: float = 0.95, z: float = 4.0, most: int = 4000,
@@ -301,15 +337,17 @@ def toxicity_scores(
     label_model = LabelModel(table, np.array([r.n for r in patterns] or [1]), prior)
     used, weights = [], None
     if sample is not None:
-        rows = sample.orderBy("doc_id").collect()
-        votes = [voters.votes(r.text) for r in rows]
-        target = label_model.posterior(spread(votes))
-        posteriors = docs.sparkSession.createDataFrame([(r.doc_id, float(q)) for r, q in zip(rows, target, strict=True)], "doc_id long, target double")
+        # Of the sampled texts only votes and terms reach the driver, not the texts.
+        seen = written(voted(sample, voters.names, voters.lexicon), "voted")
+        found = seen.select("doc_id", "votes").orderBy("doc_id").collect()
+        target = label_model.posterior(spread([r.votes for r in found]))
+        posteriors = docs.sparkSession.createDataFrame([(r.doc_id, float(q)) for r, q in zip(found, target, strict=True)], "doc_id long, target double")
         used = telling_terms(sample.join(F.broadcast(posteriors), "doc_id"), z, most)
+        rows = placed(seen, used, len(voters.names)).orderBy("doc_id").collect()
         linear = Linear(used, len(voters.names))
-        size = {y: max(1, sum(r.y == y for r in rows)) for y in (0, 1)}
-        share = np.array([(prior if r.y else 1 - prior) / size[r.y] for r in rows])
-        weights = linear.fit([linear.places(r.text, v) for r, v in zip(rows, votes, strict=True)], target, share)
+        # Both classes weigh as they do among all labels, each text by its posterior.
+        share = prior * target / max(target.sum(), 1e-9) + (1 - prior) * (1 - target) / max((1 - target).sum(), 1e-9)
+        weights = linear.fit([np.array(r.places, np.int64) for r in rows], target, share)
     shared = sc.broadcast((used, weights, label_model))
 
     def run(batches):
