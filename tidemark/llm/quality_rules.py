@@ -57,10 +57,10 @@ def _twice(pairs: Column) -> Column:
 
 
 def line_passes(line: Column) -> Column:
-    """Whether a line stays: it is blank, or it ends as a sentence does (but for up to
-    eight closing signs) or has one that ends before another, isn't mostly symbols or separators as in a menu, and is neither
+    """Whether a line stays: it is blank, or it ends as a sentence does (but for
+    closing signs) or has one that ends before another, isn't mostly symbols or separators as in a menu, and is neither
     a lone navigation entry nor boilerplate."""
-    end = F.right(F.rtrim(F.right(line, F.lit(9)), F.lit(CLOSERS)), F.lit(1))
+    end = F.right(F.rtrim(line, F.lit(CLOSERS)), F.lit(1))
     gaps = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
     punctuated = ((end != "") & (F.instr(F.lit(TERMINALS), end) > 0)) | line.rlike(SENTENCE)
     marked = F.regexp_count(line, F.lit(MARKS)) * 4 > gaps + 1

@@ -19,7 +19,7 @@ g AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w),
 d AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) > 1),
 r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM d, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
 l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS "at" FROM w),
-e AS (SELECT *, right(rtrim(right(line, 9), {_CLOSERS}), 1) AS last, length(line) - length(replace(line, ' ', '')) AS gaps FROM l),
+e AS (SELECT *, right(rtrim(line, {_CLOSERS}), 1) AS last, length(line) - length(replace(line, ' ', '')) AS gaps FROM l),
 k AS (SELECT doc_id, line, "at" FROM e WHERE NOT regexp_matches(line, {_text(rules.NOT_SPACE)})
   OR (((last <> '' AND contains({_text(rules.TERMINALS)}, last)) OR regexp_matches(line, {_text(rules.SENTENCE)})) AND len(regexp_extract_all(line, {_text(rules.MARKS)})) * 4 <= gaps + 1
     AND NOT (gaps <= 12 AND regexp_matches(trim(line), {_text(rules.NAVIGATION)})) AND NOT regexp_matches(line, {_text(rules.BOILERPLATE)}))),
