@@ -44,7 +44,7 @@ def test_quality_measures(spark):
 def test_quality_verdicts(spark):
     clean = "\n".join(" ".join(f"word{k * 31 + j * 7}" for j in range(9)) + "." for k in range(12))
     cases = {
-        "clean": (clean, True), "closers": (clean.replace(".\n", "." + "\"')]” " * 9 + "\n"), True), "footer": (clean + "\nAll rights reserved.\nHome | About | Contact", True),
+        "clean": (clean, True), "closers": (clean.replace(".\n", "." + "\"')]”" * 9 + "\n"), True), "footer": (clean + "\nAll rights reserved.\nHome | About | Contact", True),
         "menu": ("\n".join(f"item{k} | thing{k} | other{k} | more{k} | last{k}." for k in range(20)), False),
         "symbols": ("\n".join(f"$$$ word{k} &&& noun{k} %%% verb{k} ### end{k}." for k in range(20)), False),
     }
