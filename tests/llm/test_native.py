@@ -52,7 +52,7 @@ def test_quality_verdicts(spark):
     got = {r.name: r for r in quality_rules(d).where("kept or not kept").collect()}
     assert {k: r.kept for k, r in got.items()} == {k: v for k, (_, v) in cases.items()}
     assert got["footer"].clean_text == clean and got["clean"].lost == 0
-    assert quality_rules(d).where("kept").count() == 2  # filters above the steps end, too
+    assert quality_rules(d).where("kept").count() == 3  # filters above the steps end, too
 
 
 def test_quality_empty_and_repeated(spark):
