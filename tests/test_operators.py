@@ -156,18 +156,20 @@ def test_ridge_kernels():
     assert np.allclose(a.T @ (c - a @ w), 5.0 * w)  # normal equations
     v, e = regression.solve_dual(x, y, 5.0)
     assert np.allclose(w, v) and np.allclose(b, e)
-    errors = []
-    for alpha in regression.ALPHAS:
-        out = []
+    parts, loo = regression.decomposed(n, *sums), []
+    for k in range(0, 30, 10):  # in any parts of the rows
+        loo.append(regression.left_out_errors(x[k : k + 10], y[k : k + 10], n, parts, regression.ALPHAS))
+    s = x.std(0)
+    for alpha, got in zip(regression.ALPHAS, np.sum(loo, axis=0), strict=True):
+        error = 0.0
         for i in range(len(x)):
             k = np.arange(len(x)) != i
-            wi, bi = regression.solve_dual(x[k], y[k], alpha)
-            out.append(((y[i] - x[i] @ wi - bi) ** 2).mean())
-        errors.append(np.mean(out))
-    alpha, got = regression.leave_one_out(x, y)
-    assert np.allclose(got, errors) and alpha == regression.ALPHAS[int(np.argmin(errors))]
-    wl, _ = regression.lasso(n, *sums, 0.1)
-    s = x.std(0)
+            # The scale is that of all rows; the constant is fitted anew.
+            wi, bi = regression.solve_dual(x[k] / s, y[k], alpha)
+            error += ((y[i] - x[i] / s @ wi - bi) ** 2).sum()
+        assert np.isclose(got, error)
+    wl, _, done = regression.lasso(n, *sums, 0.1)
+    assert done and not regression.lasso(n, *sums, 0.1, rounds=1)[2]
     g = (a / s).T @ (c - a @ wl) / n  # subgradient
     assert np.all(np.abs(g) <= 0.1 + 1e-6) and np.allclose(g[np.abs(wl) > 1e-9], 0.1 * np.sign(wl)[np.abs(wl) > 1e-9], atol=1e-6)
 
@@ -175,14 +177,14 @@ def test_ridge_kernels():
 def test_ridge_on_tables(spark):
     x, y = fixed(1, 60, 5, 2)
     d = spark.createDataFrame([(i % 2, i, x[i].tolist(), y[i].tolist()) for i in range(60)], "clip int, tr int, x array<double>, y array<double>")
-    for dim, n in ((None, None), (50, 30)):  # from sums, from rows
-        fits = {r.clip: r for r in regression.ridge_fit(d, "clip", alpha=2.0, dim=dim, n_rows=n).collect()}
+    for form in (None, "rows", "sums"):
+        fits = {r.clip: r for r in regression.ridge_fit(d, "clip", alpha=2.0, form=form).collect()}
         for k in (0, 1):
             w, b = regression.solve_dual(x[k::2], y[k::2], 2.0)
             assert np.allclose(fits[k].w, w.ravel()) and np.allclose(fits[k].b, b)
     w, b = regression.solve_dual(x[1::2], y[1::2], 2.0)
     odd = d.where("tr < 50").union(d.sparkSession.createDataFrame([(1, 99, None, [0.0]), (7, 98, [0.0] * 5, [0.0])], d.schema))
-    for most in (10**6, 1):  # sent to tasks, joined
+    for most in (10**6, 1):  # fits read whole, row by row
         got = regression.predict(odd, regression.ridge_fit(d, "clip", alpha=2.0), "clip", most=most).collect()
         p = {r.tr: r.p for r in got}
         assert np.allclose(p[3], x[3] @ w + b) and len(got) == 51 and 98 not in p
@@ -201,6 +203,132 @@ def test_folds_on_tables(spark):
         p[test] = x[test] / s @ w + b
     r = [np.corrcoef(p[:, k], y[:, k])[0, 1] for k in range(2)]
     assert got.mean_r == pytest.approx(np.mean(r)) and got.max_r == pytest.approx(max(r))
+    # A parcel that doesn't vary counts as 0.
+    flat = d.withColumn("y", F.concat("y", F.array(F.lit(1.0))))
+    got = encoding.cross_validated(flat, 3.0, "ridge", 4).first()
+    assert got.mean_r == pytest.approx(sum(r) / 3)
+
+
+def test_groups_with_few_rows_are_solved_from_them(spark):
+    x, y = fixed(3, 60, 9, 2)
+    d = spark.createDataFrame([("few" if i < 6 else "many", i, x[i].tolist(), y[i].tolist()) for i in range(60)] + [(None, 60 + i, x[i].tolist(), y[i].tolist()) for i in range(6)], "clip string, tr int, x array<double>, y array<double>")
+    fits = {r.clip: r for r in regression.ridge_fit(d, "clip", alpha=2.0).collect()}
+    for k, s in (("few", slice(0, 6)), ("many", slice(6, 60))):
+        w, b = regression.solve_dual(x[s], y[s], 2.0)
+        assert np.allclose(fits[k].w, w.ravel()) and np.allclose(fits[k].b, b)
+    p = {r.tr: r.p for r in regression.predict(d, regression.ridge_fit(d, "clip", alpha=2.0), "clip").collect()}
+    w, b = regression.solve_dual(x[6:60], y[6:60], 2.0)
+    assert np.allclose(p[30], x[30] @ w + b)
+
+
+def test_leave_one_out_of_many_rows(spark):
+    """More rows than one task takes at a time, and wide sums in several tiles."""
+    n = 21_000
+    d = spark.range(n).select((F.col("id") % 1).alias("clip"), F.array(*[F.sin(F.col("id") * (k + 1) * 0.7) for k in range(100)]).alias("x"), F.array(F.cos(F.col("id") * 0.3) + F.sin(F.col("id") * 0.7), F.rand(1)).alias("y"))
+    assert 100 * 100 > regression.TILE
+    rows = d.collect()
+    x, y = np.array([r.x for r in rows]), np.array([r.y for r in rows])
+    fit = regression.loo_fit(spark.createDataFrame(rows, d.schema).repartition(5), "clip").first()
+    z = (x - x.mean(0)) / x.std(0)
+    c, gram, errors = y - y.mean(0), None, []
+    gram = z.T @ z
+    for alpha in regression.ALPHAS:
+        inverse = np.linalg.inv(gram + alpha * np.eye(100))
+        h = 1 / n + np.einsum("ij,jk,ik->i", z, inverse, z)
+        errors.append((((c - z @ (inverse @ (z.T @ c))) / (1 - h)[:, None]) ** 2).mean())
+    assert fit.alpha == regression.ALPHAS[int(np.argmin(errors))] and fit.mse == pytest.approx(min(errors))
+    w = np.linalg.inv(gram + fit.alpha * np.eye(100)) @ z.T @ c
+    assert np.allclose(np.array(fit.w).reshape(100, 2), w / x.std(0)[:, None], atol=1e-8)
+
+
+def test_ranks_within_groups(spark):
+    d = spark.createDataFrame([(k % 3 if k % 7 else None, k) for k in range(200)], "g int, k int").repartition(9)
+    for g in (0, 1, 2):
+        got = sorted(values(rows.with_rank(d.where("g is not null"), ("g",), "k").where(f"g = {g}"), "k", "rank"))
+        assert [r for _, r in got] == list(range(len(got)))
+
+
+def test_crop_and_pool(spark):
+    rng = np.random.default_rng(4)
+    video, image = rng.normal(size=(4, 5, 5, 2)), rng.normal(size=(6, 10, 2))
+    d = spark.createDataFrame([(video.reshape(-1, 2).tolist(), image.reshape(-1, 2).tolist(), 2.1, 5.0)], "v array<array<double>>, i array<array<double>>, a double, b double")
+    got = d.select(pooling.crop_pool(F.col("v"), F.col("a"), F.col("b"), 8.0, 4, 25, 2).alias("v"), pooling.crop_pool(F.col("i"), F.col("a"), F.col("b"), 8.0, 6, 10, 2).alias("i")).first()
+
+    def plain(grid, steps):
+        a, b = round(2.1 / 8 * steps), round(5.0 / 8 * steps)
+        ends = pooling.bins(grid.shape[1], 3, True)
+        return np.array([[grid[a:b, t:u, x:z].mean((0, 1, 2)) for x, z in ends] for t, u in ends]).ravel()
+
+    assert np.allclose(got.v, plain(video, 4)) and np.allclose(got.i, plain(image[:, 1:].reshape(6, 3, 3, 2), 6))
+    with pytest.raises(ValueError):
+        pooling.crop_pool(F.col("v"), F.col("a"), F.col("b"), 8.0, 4, 7, 2)
+
+
+def test_percentile(spark):
+    for n in (1, 2, 7, 40):
+        v = np.random.default_rng(n).normal(size=n)
+        d = spark.createDataFrame([(float(k),) for k in v] + [(0.0,), (None,)], "v double").repartition(3)
+        assert report.upper_nonzero(d, "v").first().limit == pytest.approx(np.percentile(np.abs(v), 95))
+    assert report.upper_nonzero(d.where("v = 0"), "v").first().limit is None
+
+
+def test_settings_and_recordings(spark, tmp_path):
+    (tmp_path / "run.json").write_text('{"lag_trs": 2, "subjects": ["a"], "tr": 2}')
+    found = files.settings(spark, f"{tmp_path}/run.json", force=True)
+    assert found["lag_trs"] == 2 and found["tr"] == 2.0 and found["force"] is True and found["train_fraction"] == 0.8
+    for bad in ({"lag": 1}, {"lag_trs": "2"}, {"force": 1}):
+        with pytest.raises(ValueError):
+            files.settings(spark, None, **bad)
+    (tmp_path / "movies").mkdir()
+    for n in ("a.mkv", "b.mkv", "c.mkv"):
+        (tmp_path / "movies" / n).write_bytes(b"1")
+    found = files.recordings(spark, str(tmp_path / "movies"))
+    assert values(files.allowed(found, spark.createDataFrame([("b.mkv",), ("b.mkv",)], "name string")), "name") == [("b.mkv",)]
+    with pytest.raises(FileNotFoundError, match="z.mkv"):
+        files.allowed(found, spark.createDataFrame([("b.mkv",), ("z.mkv",)], "name string"))
+    assert values(files.shuffled(found), "name") == values(files.shuffled(found.repartition(3)), "name")
+    assert files.vector("x", "bfloat16") is not None
+    with pytest.raises(ValueError):
+        files.vector("x", "int8")
+    out = f"{tmp_path}/out"
+    assert files.finished(spark, out).count() == 0
+    f = spark.createDataFrame([("s01e01a", "k", t, [0.5, float(t)]) for t in range(3)], "clip string, feature_key string, tr long, x array<double>")
+    m = spark.createDataFrame([("s01e01a", "k", 25.0, [{"tr_index": 0}])], "clip string, feature_key string, fps double, rows array<map<string,int>>")
+    files.write_recording(f, m, out)
+    files.write_recording(f.withColumn("clip", F.lit("s01e02b")), m.withColumn("clip", F.lit("s01e02b")), out)
+    work = spark.createDataFrame([("s01e01a", "k"), ("s01e02b", "k"), ("s01e03a", "k")], "clip string, feature_key string")
+    assert values(files.unfinished(work, files.finished(spark, out), "clip", "feature_key"), "clip") == [("s01e03a",)]
+    assert spark.read.parquet(f"{out}/features").count() == 6 and spark.read.json(f"{out}/manifest").count() == 2
+
+
+def test_subject_analysis(spark, tmp_path):
+    """Against plain NumPy, with clips that one side lacks; written, and one subject again."""
+    rng = np.random.default_rng(8)
+    x = {c: rng.normal(size=(12 + c, 3)) for c in range(7)}
+    y = {(s, c): np.vstack([np.zeros((3, 2)), x[c] @ rng.normal(size=(3, 2)) * 0.2 + rng.normal(size=(12 + c, 2))]) if c < 6 else rng.normal(size=(9, 2)) for s in "ab" for c in (*range(6 if s == "a" else 5), 9) if c != 9}
+    y["a", 9] = rng.normal(size=(5, 2))
+    features = spark.createDataFrame([(c, t, v.tolist()) for c in x for t, v in enumerate(x[c])], "clip long, tr long, x array<double>")
+    responses = spark.createDataFrame([(s, c, t, v.tolist()) for (s, c), m in y.items() for t, v in enumerate(m)], "subject string, clip long, tr long, y array<double>")
+    predictions, reports = encoding.subject_analysis(features, responses)
+    got = {r.subject: r for r in reports.collect()}
+    for s, n in (("a", 6), ("b", 5)):
+        train = max(4, min(int(n * 0.8), n - 1))
+        z, t = np.vstack([x[c] for c in range(train)]), np.vstack([y[s, c][3:] for c in range(train)])
+        alpha, _ = regression.decomposed(float(len(z)), z.sum(0), t.sum(0), (z.T @ z).ravel(), (z.T @ t).ravel()), None
+        errors = regression.left_out_errors(z, t, float(len(z)), alpha, regression.ALPHAS)
+        best = regression.ALPHAS[int(np.argmin(errors))]
+        w, b = regression.solve_dual(z / z.std(0), t, best)
+        p, truth = np.vstack([x[c] for c in range(train, n)]) / z.std(0) @ w + b, np.vstack([y[s, c][3:] for c in range(train, n)])
+        r = [np.corrcoef(p[:, k], truth[:, k])[0, 1] for k in range(2)]
+        g = got[s]
+        assert g.alpha == best and g.mean_test_pearson == pytest.approx(np.mean(r)) and (g.n_train_samples, g.n_test_samples) == (len(z), len(p))
+        assert g.train_clip_ids == list(range(train)) and g.test_clip_ids == list(range(train, n)) and g.feature_dim == 3 and g.num_targets == 2
+        assert g.missing_clips == [c for c in range(7) if c >= n] and g.unmatched_clips == ([9] if s == "a" else [])
+        assert [c.clip for c in g.per_clip_test_metrics] == list(range(train, n)) and g.per_clip_alignment[0].num_response_trs_raw == 15
+    files.write_analysis(predictions, reports, f"{tmp_path}/out")
+    files.write_analysis(predictions.where("subject = 'b'"), reports.where("subject = 'b'"), f"{tmp_path}/out")
+    assert spark.read.json(f"{tmp_path}/out/summary").count() == 2
+    assert spark.read.parquet(f"{tmp_path}/out/predictions").count() == predictions.count()
 
 
 @settings(max_examples=30, deadline=None)

@@ -27,11 +27,6 @@ def rounded(x: Column, places: int = 6) -> Column:
     return F.round(x, places)
 
 
-def dot(x: Column, w: Column) -> Column:
-    """Inner product of two arrays."""
-    return F.aggregate(F.zip_with(x, w, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-
-
 def flattened(x: Column, depth: int = 1) -> Column:
     """An array without its inner nesting of so many levels."""
     for _ in range(depth):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LAG = 3
@@ -28,9 +28,9 @@ def same_length(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ("cli
 
 def matched_once(wanted: DataFrame, files: DataFrame, key: str = "clip") -> DataFrame:
     """``wanted`` with the file of their key where exactly one file has it."""
-    w = Window.partitionBy(key)
-    single = files.where(F.col(key).isNotNull()).withColumn("_n", F.count("*").over(w)).where("_n = 1").drop("_n")
-    return wanted.join(single, key)
+    others = [c for c in files.columns if c != key]
+    single = files.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"), F.first(F.struct(*others)).alias("_file")).where("_n = 1")
+    return wanted.join(single.select(key, *[F.col("_file")[c].alias(c) for c in others]), key)
 
 
 def missing(wanted: DataFrame, found: DataFrame, key: str) -> DataFrame:
@@ -38,9 +38,11 @@ def missing(wanted: DataFrame, found: DataFrame, key: str) -> DataFrame:
     return wanted.join(found.select(key).distinct(), key, "left_anti")
 
 
-def unmatched(files: DataFrame, used: DataFrame, key: str, condition: Column) -> DataFrame:
-    """Files that nothing used, of those that fulfil the condition."""
-    return missing(files.where(condition), used, key)
+def unmatched(files: DataFrame, used: DataFrame, key: str, condition: Column, use: Column | None = None) -> DataFrame:
+    """Files that nothing used, of those that fulfil the condition. With ``use``, a file is
+    used if that holds for one of its rows in ``used``."""
+    own = used if use is None else used.groupBy(key).agg(F.bool_or(use).alias("_used")).where("_used")
+    return missing(files.where(condition), own, key)
 
 
 def shared_keys(rows: DataFrame, key: str, group: str) -> DataFrame:

@@ -16,10 +16,11 @@ def mean_tokens(tokens: Column, dim: int) -> Column:
     return _mean(tokens, dim)
 
 
-def _mean(tokens: Column, dim: int) -> Column:
+def _mean(tokens: Column, dim: int, n: Column | None = None) -> Column:
     zero = F.array_repeat(F.lit(0.0), dim)
     total = F.aggregate(tokens, zero, lambda s, t: F.zip_with(s, t, lambda a, b: a + b.cast("double")))
-    return F.transform(total, lambda v: F.try_divide(v, F.size(tokens).cast("double")))
+    n = F.size(tokens) if n is None else n
+    return F.transform(total, lambda v: F.try_divide(v, n.cast("double")))
 
 
 def grid_of(n: int, times: tuple[int, ...] = (16, 8, 32, 12, 24)) -> tuple[int, int]:
@@ -42,12 +43,38 @@ def bins(n: int, out: int, overlapping: bool) -> list[tuple[int, int]]:
 def spatial(tokens: Column, side: int, dim: int, out: int = 3, steps: int = 1, overlapping: bool = False) -> Column:
     """Means over out × out bins of the grid and over all time steps: one array of
     out * out * dim numbers, by row and column of bins."""
-    ranges, parts = bins(side, out, overlapping), []
-    for top, bottom in ranges:
-        for left, right in ranges:
-            at = [t * side * side + y * side + x for t in range(steps) for y in range(top, bottom) for x in range(left, right)]
-            parts.append(_mean(F.array(*[F.get(tokens, F.lit(k)) for k in at]), dim))
-    return F.concat(*parts)
+    return _binned(tokens, F.lit(0), F.lit(steps), side * side, side, dim, bins(side, out, overlapping))
+
+
+def _binned(tokens: Column, first: Column, last: Column, per_step: int, side: int, dim: int, ranges: list[tuple[int, int]]) -> Column:
+    """Means over bins of the grid of the time steps from ``first`` until ``last``. A bin's
+    tokens are told by their number, so the plan doesn't grow with the grid."""
+    ahead = per_step - side * side  # tokens of a step that aren't of the grid
+
+    def inside(top: int, bottom: int, left: int, right: int):
+        def test(_, i):
+            step, at = F.floor(i / per_step), i % per_step - ahead
+            y, x = F.floor(at / side), at % side
+            return (at >= 0) & (step >= first) & (step < last) & (y >= top) & (y < bottom) & (x >= left) & (x < right)
+
+        return test
+
+    size = lambda top, bottom, left, right: (last - first) * ((bottom - top) * (right - left))
+    cells = [(*rows, *columns) for rows in ranges for columns in ranges]
+    return F.concat(*[_mean(F.filter(tokens, inside(*c)), dim, size(*c)) for c in cells])
+
+
+def crop_pool(tokens: Column, rel_start: Column, rel_end: Column, length: float, steps: int, per_step: int, dim: int, out: int = 3) -> Column:
+    """Tokens of a window, cropped to the time steps that stand for a part of it, as means
+    over out × out adaptive bins of the grid. ``steps`` are time steps of a video, or
+    images; if the tokens of an image but one are a square, the first stands for the
+    whole and is left out."""
+    side = math.isqrt(per_step - 1)
+    side = side if per_step > 1 and side * side == per_step - 1 else math.isqrt(per_step)
+    if per_step - side * side not in (0, 1):
+        raise ValueError(f"{per_step} tokens are no square")
+    first, last = token_range(rel_start, rel_end, length, steps)
+    return _binned(tokens, first, last, per_step, side, dim, bins(side, out, True))
 
 
 def token_range(rel_start: Column, rel_end: Column, length: float, steps: int) -> tuple[Column, Column]:

@@ -1,26 +1,28 @@
 """Ridge and lasso regression of responses on features.
 
 Rows have features X (an array) and responses Y (an array). A fit needs sums over rows
-only: each task adds up the products of its rows, and the sums meet in an aggregation by
-group. What is solved on one machine is a matrix as wide as the features, or, where
-there are fewer rows than features, as the rows of one group: the choice is made from
-both numbers, and its limit is a parameter.
+only: each task adds up the products of its rows, and hands them on in tiles, which are
+added up by group. What is solved on one machine is a matrix as wide as the features,
+or, where a group has fewer rows than features, as its rows: both numbers are measured.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyarrow import dataset, fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.sources.storage import written
+from tidemark.sources.storage import new_path, written
 
 ALPHAS = (0.1, 1.0, 10.0, 100.0, 1000.0)
-SUMS = "n double, sx array<double>, sy array<double>, xx array<double>, xy array<double>, yy array<double>"
+TILE = 8192  # numbers that are shuffled and added up together
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -29,42 +31,81 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def _kinds(rows: DataFrame, by: tuple[str, ...]) -> list[str]:
+    return [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by]
+
+
+def _groups(b: pa.RecordBatch, by: tuple[str, ...]) -> list[tuple[tuple, np.ndarray]]:
+    """(key, places of its rows) of each group of a batch."""
+    code = np.zeros(b.num_rows, np.int64)
+    for c in by:
+        column = b.column(b.schema.get_field_index(c)).dictionary_encode()
+        code = code * (len(column.dictionary) + 1) + column.indices.fill_null(len(column.dictionary)).to_numpy(zero_copy_only=False)
+    _, first, group = np.unique(code, return_index=True, return_inverse=True)
+    order = np.argsort(group, kind="stable")
+    cuts = np.searchsorted(group[order], np.arange(len(first) + 1))
+    return [(tuple(b.column(b.schema.get_field_index(c))[int(k)].as_py() for c in by), order[x:y]) for k, x, y in zip(first, cuts, cuts[1:], strict=False)]
+
+
 def gram(rows: DataFrame, *by: str, x: str = "x", y: str = "y") -> DataFrame:
-    """(by, part, i, v): per group the sums that a fit needs, as numbers. part 0 is the
-    number of rows, 1 and 2 the sums of X and Y, 3 the products XᵀX, 4 XᵀY, 5 the squares
-    of Y. Each task adds up its own rows first, so what is shuffled doesn't grow with the
-    rows."""
-    kinds = {c: rows.schema[c].dataType.simpleString() for c in by}
-    own = rows.select(*by, F.col(x).alias("_x"), F.col(y).alias("_y")).where("_x is not null and _y is not null")
+    """(by, part, i, v): per group the sums that a fit needs, in tiles of numbers. part 0 is
+    the number of rows, 1 and 2 the sums of X and Y, 3 the products XᵀX, 4 XᵀY, 5 the
+    squares of Y. Each task adds up its own rows first, so what is shuffled doesn't grow
+    with the rows. Groups may have numbers of features and responses of their own."""
+    full = rows.select(*by, F.col(x).alias("_x"), F.col(y).alias("_y")).where("_x is not null and _y is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, list[np.ndarray]] = {}
         for b in batches:
             if not b.num_rows:
                 continue
-            keys = list(zip(*[b.column(i).to_pylist() for i in range(len(by))], strict=True)) if by else [()] * b.num_rows
-            xs, ys = _matrix(b.column(len(by))), _matrix(b.column(len(by) + 1))
-            number = {k: i for i, k in enumerate(dict.fromkeys(keys))}
-            group = np.array([number[k] for k in keys])
-            for k, i in number.items():
-                a, c = xs[group == i], ys[group == i]
+            for key, at in _groups(b, by):
+                own = b.take(pa.array(at))
+                a, c = _matrix(own.column(len(by))), _matrix(own.column(len(by) + 1))
                 parts = [np.array([len(a)], float), a.sum(0), c.sum(0), (a.T @ a).ravel(), (a.T @ c).ravel(), (c * c).sum(0)]
-                sums[k] = parts if k not in sums else [p + q for p, q in zip(sums[k], parts, strict=True)]
-        for k, parts in sums.items():
+                if key in sums:
+                    for s, p in zip(sums[key], parts, strict=True):
+                        s += p
+                else:
+                    sums[key] = parts
+        for key, parts in sums.items():
             for n, p in enumerate(parts):
-                cols = [pa.array([v] * len(p), own_types[i]) for i, v in enumerate(k)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array([n] * len(p), pa.int32()), pa.array(np.arange(len(p)), pa.int64()), pa.array(p)], names=[*by, "part", "i", "v"])
+                tiles = [p[at : at + TILE].astype("<f8").tobytes() for at in range(0, len(p), TILE)]
+                cols = [pa.array([v] * len(tiles), k) for v, k in zip(key, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([n] * len(tiles), pa.int32()), pa.array(range(len(tiles)), pa.int64()), pa.array(tiles, pa.binary())], names=[*by, "part", "i", "v"])
 
     from pyspark.sql.pandas.types import to_arrow_type
 
-    own_types = [to_arrow_type(rows.schema[c].dataType) for c in by]
-    fields = [f"`{c}` {k}" for c, k in kinds.items()] + ["part int, i long, v double"]
-    return own.mapInArrow(run, ", ".join(fields)).groupBy(*by, "part", "i").agg(F.sum("v").alias("v"))
+    types = [to_arrow_type(rows.schema[c].dataType) for c in by]
+    return added(full.mapInArrow(run, ", ".join([*_kinds(rows, by), "part int, i long, v binary"])), *by)
+
+
+def added(tiles: DataFrame, *by: str) -> DataFrame:
+    """Tiles of equal (by, part, i) added up, one after another in their order."""
+    keys = [*by, "part", "i"]
+    d = tiles.select(*keys, "v").repartition(*keys).sortWithinPartitions(*keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, total, names = None, None, [*keys, "v"]
+        for b in batches:
+            for k in range(b.num_rows):
+                key, v = tuple(b.column(j)[k] for j in range(len(keys))), np.frombuffer(b.column(len(keys))[k].as_py(), "<f8")
+                if last is not None and all(p.equals(q) for p, q in zip(key, last, strict=True)):
+                    total = total + v
+                    continue
+                if last is not None:
+                    yield pa.RecordBatch.from_arrays([*[pa.array([p.as_py()], p.type) for p in last], pa.array([total.tobytes()], pa.binary())], names=names)
+                last, total = key, v
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([*[pa.array([p.as_py()], p.type) for p in last], pa.array([total.tobytes()], pa.binary())], names=names)
+
+    return d.mapInArrow(run, d.schema)
 
 
 def _sums(pdf) -> list[np.ndarray]:
+    """The sums of one group, from its tiles."""
     pdf = pdf.sort_values(["part", "i"])
-    return [pdf.v[pdf.part == k].to_numpy() for k in range(6)]
+    return [np.frombuffer(b"".join(pdf.v[pdf.part == k]), "<f8") for k in range(6)]
 
 
 def solve_primal(n: float, sx: np.ndarray, sy: np.ndarray, xx: np.ndarray, xy: np.ndarray, alpha: float, scale: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -88,32 +129,15 @@ def solve_dual(x: np.ndarray, y: np.ndarray, alpha: float) -> tuple[np.ndarray,
     return w, my - mx @ w
 
 
-def leave_one_out(x: np.ndarray, y: np.ndarray, alphas: tuple[float, ...] = ALPHAS) -> tuple[float, list[float]]:
-    """(best alpha, mean squared errors): each row predicted without itself, from one
-    decomposition. X has a row each; the constant is part of the leverage."""
-    n = len(x)
-    a, c = x - x.mean(0), y - y.mean(0)
-    u, s, _ = np.linalg.svd(a, full_matrices=False)
-    uy, errors = u.T @ c, []
-    for alpha in alphas:
-        shrink = s**2 / (s**2 + alpha)
-        leverage = 1 / n + (u**2 @ shrink)
-        rest = (c - u @ (shrink[:, None] * uy)) / np.maximum(1 - leverage, 1e-12)[:, None]
-        errors.append(float((rest**2).mean()))
-    return alphas[int(np.argmin(errors))], errors
-
-
-def ridge_fit(rows: DataFrame, *by: str, alpha: float = 1000.0, scale: bool = False, dim: int | None = None, n_rows: int | None = None, most_rows: int = 20_000) -> DataFrame:
+def ridge_fit(rows: DataFrame, *by: str, alpha: float = 1000.0, scale: bool = False, form: str | None = None, most_rows: int = 20_000) -> DataFrame:
     """(by, w, b): per group the coefficients (an array of d * p numbers, by feature) and
-    the intercepts. With more features than rows, where a group has at most ``most_rows``
-    rows, a group's rows are solved together; else from the sums of products."""
-    kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by]
+    the intercepts. Groups with fewer rows than features, and at most ``most_rows``, are
+    solved from their rows, all others from the sums of products; ``form`` ("rows" or
+    "sums") decides instead of these counts."""
+    kinds = _kinds(rows, by)
     schema = ", ".join([*kinds, "w array<double>, b array<double>"])
-    dual = dim is not None and n_rows is not None and dim > n_rows and n_rows <= most_rows and not scale
 
     def out(key: tuple, w: np.ndarray, b: np.ndarray):
-        import pandas as pd
-
         return pd.DataFrame([(*key, w.ravel().tolist(), b.tolist())], columns=[*by, "w", "b"])
 
     def from_rows(key, pdf):
@@ -123,52 +147,83 @@ def ridge_fit(rows: DataFrame, *by: str, alpha: float = 1000.0, scale: bool = Fa
         n, sx, sy, xx, xy, _ = _sums(pdf)
         return out(key, *solve_primal(n[0], sx, sy, xx, xy, alpha, scale))
 
-    grouped = rows.select(*by, "x", "y") if dual else gram(rows, *by)
-    return grouped.groupBy(*by).applyInPandas(from_rows if dual else from_sums, schema)
+    by_rows = lambda d: d.select(*by, "x", "y").where("x is not null and y is not null").groupBy(*by).applyInPandas(from_rows, schema)
+    by_sums = lambda d: gram(d, *by).groupBy(*by).applyInPandas(from_sums, schema)
+    if form or scale or not by:
+        return by_rows(rows) if form == "rows" else by_sums(rows)
+    sizes = rows.where("x is not null and y is not null").groupBy(*by).agg(F.count("*").alias("_n"), F.max(F.size("x")).alias("_d"))
+    sizes = written(sizes.select(*by, ((F.col("_n") < F.col("_d")) & (F.col("_n") <= most_rows)).alias("_few")), "sizes")
+    kinds_of = {r["_few"] for r in sizes.select("_few").distinct().collect()}
+    if kinds_of <= {False}:
+        return by_sums(rows)
+    few = by_rows(rows.join(sizes.where("_few"), list(by), "left_semi"))
+    return few if kinds_of == {True} else few.union(by_sums(rows.join(sizes.where("not _few"), list(by), "left_semi")))
+
+
+@lru_cache(maxsize=4)
+def _table_at(path: str, columns: tuple[str, ...], by: tuple[str, ...]) -> dict[tuple, tuple]:
+    store, root = fs.FileSystem.from_uri(path)
+    own = dataset.dataset(root, filesystem=store, format="parquet").to_table(columns=[*by, *columns])
+    keys = zip(*[own.column(c).to_pylist() for c in by], strict=True) if by else [()] * own.num_rows
+    return {k: tuple(_numbers(own.column(c)[i]) for c in columns) for i, k in enumerate(keys)}
+
+
+@lru_cache(maxsize=4)
+def _row_at(path: str, columns: tuple[str, ...], by: tuple[str, ...], key: tuple) -> tuple | None:
+    store, root = fs.FileSystem.from_uri(path)
+    own = dataset.dataset(root, filesystem=store, format="parquet")
+    wanted = None
+    for c, v in zip(by, key, strict=True):
+        test = dataset.field(c).is_null() if v is None else dataset.field(c) == v
+        wanted = test if wanted is None else wanted & test
+    found = own.to_table(columns=list(columns), filter=wanted)
+    return tuple(_numbers(found.column(c)[0]) for c in columns) if found.num_rows else None
+
+
+def _numbers(x: pa.Scalar):
+    """Arrays of numbers as they lie there, other values as Python's."""
+    return x.values.to_numpy(zero_copy_only=False) if isinstance(x, pa.ListScalar) and x.is_valid else x.as_py()
+
+
+class Fits:
+    """Rows of a small table by key, for the tasks: it is written to the shared folder, and
+    worker processes read it from there, whole up to ``most`` numbers and row by row
+    beyond. The driver gets one number."""
+
+    def __init__(self, fits: DataFrame, by: tuple[str, ...], columns: tuple[str, ...], most: int):
+        spark, self.by, self.columns = fits.sparkSession, by, columns
+        self.path = new_path(spark, "fits")
+        fits.select(*by, *columns).write.parquet(self.path)
+        sizes = sum((F.size(c) for c in columns if isinstance(fits.schema[c].dataType, T.ArrayType)), F.lit(0))
+        self.whole = (spark.read.parquet(self.path).agg(F.sum(sizes.cast("long"))).first()[0] or 0) <= most
+
+    def get(self, key: tuple) -> tuple | None:
+        return _table_at(self.path, self.columns, self.by).get(key) if self.whole else _row_at(self.path, self.columns, self.by, key)
 
 
 def predict(rows: DataFrame, fits: DataFrame, *by: str, most: int = 20_000_000) -> DataFrame:
     """Rows with p, an array: X times the coefficients of the row's group, plus the
-    intercepts; null for a null X. Rows of groups without a fit go.
-
-    Fits of at most ``most`` numbers in all are sent to every task, which multiplies whole
-    batches; more are joined to the rows and multiplied in array functions.
-    """
-    fits = written(fits, "fits")
-    if (fits.agg(F.sum(F.size("w"))).first()[0] or 0) > most:
-        return _predict_joined(rows, fits, *by)
-    known = {tuple(r[c] for c in by): (np.array(r.w).reshape(-1, len(r.b)), np.array(r.b)) for r in fits.collect()}
-    shared = rows.sparkSession.sparkContext.broadcast(known)
-    names = rows.columns
+    intercepts; null for a null X. Rows of groups without a fit go. Whole batches are
+    multiplied."""
+    known, names = Fits(fits, by, ("w", "b"), most), rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = list(zip(*[b.column(names.index(c)).to_pylist() for c in by], strict=True)) if by else [()] * b.num_rows
-            stay = [i for i, k in enumerate(keys) if k in shared.value]
-            if not stay:
-                continue
-            b = b.take(pa.array(stay))
-            keys, x = [keys[i] for i in stay], b.column(names.index("x"))
-            p: list = [None] * len(stay)
-            full = [i for i, v in enumerate(x.is_valid().to_pylist()) if v]
-            for k in {keys[i] for i in full}:
-                own = [i for i in full if keys[i] == k]
-                w, c = shared.value[k]
-                for i, v in zip(own, _matrix(x.take(pa.array(own))) @ w + c, strict=True):
-                    p[i] = v
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.list_(pa.float64()))], names=[*b.schema.names, "p"])
+            for key, at in _groups(b, by) if b.num_rows else ():
+                if (fit := known.get(key)) is None:
+                    continue
+                own = b.take(pa.array(at))
+                x = own.column(names.index("x"))
+                full = np.flatnonzero(x.is_valid().to_numpy(zero_copy_only=False))
+                p: list = [None] * len(at)
+                if len(full):
+                    for i, v in zip(full, _matrix(x.take(pa.array(full))) @ fit[0].reshape(-1, len(fit[1])) + fit[1], strict=True):
+                        p[i] = v
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(p, pa.list_(pa.float64()))], names=[*b.schema.names, "p"])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("p", T.ArrayType(T.DoubleType()))]))
 
 
-def _predict_joined(rows: DataFrame, fits: DataFrame, *by: str) -> DataFrame:
-    d = rows.join(fits, list(by)) if by else rows.crossJoin(F.broadcast(fits))  # one row
-    product = lambda k: F.aggregate(
-        F.transform("x", lambda v, i: v * F.get("w", (i * F.size("b") + k).cast("int"))), F.lit(0.0), lambda s, v: s + v
-    )
-    return d.withColumn("p", F.transform(F.col("b"), lambda b, k: b + product(k))).drop("w", "b")
-
-
 def long_form(rows: DataFrame, *keep: str) -> DataFrame:
     """One row per parcel of rows with y and p: keep, parcel, y, p."""
     both = F.posexplode(F.arrays_zip("y", "p")).alias("parcel", "_z")
@@ -176,9 +231,10 @@ def long_form(rows: DataFrame, *keep: str) -> DataFrame:
     return d.select(*keep, F.col("parcel").cast("long").alias("parcel"), F.col("_z.y").cast("double").alias("y"), F.col("_z.p").alias("p"))
 
 
-def lasso(n: float, sx: np.ndarray, sy: np.ndarray, xx: np.ndarray, xy: np.ndarray, alpha: float, rounds: int = 5000, tol: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
-    """(coefficients, intercepts) on X divided by its population deviation, by coordinate
-    descent on the sums: minimises residual squares / (2 n) + alpha * |coefficients|."""
+def lasso(n: float, sx: np.ndarray, sy: np.ndarray, xx: np.ndarray, xy: np.ndarray, alpha: float, rounds: int = 5000, tol: float = 1e-9) -> tuple[np.ndarray, np.ndarray, bool]:
+    """(coefficients, intercepts, whether they converged) on X divided by its population
+    deviation, by coordinate descent on the sums: minimises residual squares / (2 n) +
+    alpha * |coefficients|."""
     d = len(sx)
     mean = sx / n
     c = xx.reshape(d, d) / n - np.outer(mean, mean)
@@ -186,7 +242,7 @@ def lasso(n: float, sx: np.ndarray, sy: np.ndarray, xx: np.ndarray, xy: np.ndarr
     std = np.sqrt(np.maximum(np.diag(c), 0))
     std[std <= 1e-12] = 1.0
     c, g = c / np.outer(std, std), g / std[:, None]
-    w = np.zeros_like(g)
+    w, biggest = np.zeros_like(g), np.inf
     for _ in range(rounds):
         biggest = 0.0
         for j in range(d):
@@ -199,41 +255,106 @@ def lasso(n: float, sx: np.ndarray, sy: np.ndarray, xx: np.ndarray, xy: np.ndarr
         if biggest < tol:
             break
     w = w / std[:, None]
-    return w, sy / n - mean @ w
+    return w, sy / n - mean @ w, biggest < tol
 
 
 def fold_fits(rows: DataFrame, k: int, alpha: float, model: str = "ridge", fold: str = "fold") -> DataFrame:
-    """(fold, w, b): for each fold the fit to all others. The sums of each fold are made
-    once; those of the others are all less the fold's own."""
-    sums = gram(rows, fold)
-    others = sums.groupBy("part", "i").agg(F.sum("v").alias("_all")).join(sums, ["part", "i"])
-    others = others.select(fold, "part", "i", (F.col("_all") - F.col("v")).alias("v"))
+    """(fold, w, b, converged): for each fold the fit to all others. The sums of each fold
+    are made once; those of the others are all less the fold's own."""
+    sums = written(gram(rows, fold), "sums")
+    every = added(sums, *()).select("part", "i", F.col("v").alias("_all"))
+    both = sums.join(every, ["part", "i"]).select(fold, "part", "i", "v", "_all")
+
+    def less(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = [(np.frombuffer(q, "<f8") - np.frombuffer(p, "<f8")).tobytes() for p, q in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(v, pa.binary())], names=b.schema.names[:4])
 
     def fit(key, pdf):
-        import pandas as pd
+        n, sx, sy, xx, xy, _ = _sums(pdf)
+        w, b, done = lasso(n[0], sx, sy, xx, xy, alpha) if model == "lasso" else (*solve_primal(n[0], sx, sy, xx, xy, alpha, scale=True), True)
+        return pd.DataFrame([(*key, w.ravel().tolist(), b.tolist(), done)], columns=[fold, "w", "b", "converged"])
+
+    others = both.mapInArrow(less, both.drop("_all").schema)
+    return others.groupBy(fold).applyInPandas(fit, ", ".join([*_kinds(rows, (fold,)), "w array<double>, b array<double>, converged boolean"]))
+
+
+def decomposed(n: float, sx: np.ndarray, sy: np.ndarray, xx: np.ndarray, xy: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(mean and deviation of X, mean of Y, directions d × d, their squared lengths, their
+    products with Y) of standardised features."""
+    d = len(sx)
+    mean = sx / n
+    xtx = xx.reshape(d, d) - n * np.outer(mean, mean)
+    std = np.sqrt(np.maximum(np.diag(xtx), 0) / n)
+    std[std <= 1e-12] = 1.0
+    length, directions = np.linalg.eigh(xtx / np.outer(std, std))
+    return mean, std, sy / n, directions, np.maximum(length, 0), directions.T @ ((xy.reshape(d, -1) - np.outer(mean, sy)) / std[:, None])
 
+
+def left_out_errors(x: np.ndarray, y: np.ndarray, n: float, parts: tuple[np.ndarray, ...], alphas: tuple[float, ...]) -> list[float]:
+    """Per alpha the sum of squared errors of these rows, each predicted without itself. The
+    constant is part of the leverage."""
+    mean, std, my, directions, length, xy = parts
+    q, c, out = ((x - mean) / std) @ directions, y - my, []
+    for alpha in alphas:
+        leverage = 1 / n + (q**2) @ (1 / (length + alpha))
+        rest = (c - q @ (xy / (length + alpha)[:, None])) / np.maximum(1 - leverage, 1e-12)[:, None]
+        out.append(float((rest**2).sum()))
+    return out
+
+
+def loo_fit(rows: DataFrame, *by: str, alphas: tuple[float, ...] = ALPHAS, most: int = 20_000_000) -> DataFrame:
+    """(by, alpha, mse, w, b): per group the alpha of least leave-one-out error on
+    standardised features, of equals the first, and the ridge fit with it. The products
+    of a group are decomposed once; a second pass over its rows, of which there may be
+    any number, adds up their errors."""
+    rows = rows.where("x is not null and y is not null")
+    names = ("mean", "std", "my", "directions", "length", "xy")
+
+    def decompose(key, pdf):
         n, sx, sy, xx, xy, _ = _sums(pdf)
-        w, b = lasso(n[0], sx, sy, xx, xy, alpha) if model == "lasso" else solve_primal(n[0], sx, sy, xx, xy, alpha, scale=True)
-        return pd.DataFrame([(*key, w.ravel().tolist(), b.tolist())], columns=[fold, "w", "b"])
+        return pd.DataFrame([(*key, float(n[0]), *[p.ravel().tolist() for p in decomposed(n[0], sx, sy, xx, xy)])], columns=[*by, "n", *names])
+
+    parts = gram(rows, *by).groupBy(*by).applyInPandas(decompose, ", ".join([*_kinds(rows, by), "n double", *[f"{c} array<double>" for c in names]]))
+    parts = written(parts, "decomposed")
+    known = Fits(parts, by, ("n", *names), most)
+    own = rows.select(*by, "x", "y")
+
+    def shaped(fit: tuple) -> tuple[float, tuple[np.ndarray, ...]]:
+        n, mean, std, my, directions, length, xy = fit
+        return n, (mean, std, my, directions.reshape(len(mean), -1), length, xy.reshape(len(mean), -1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for key, at in _groups(b, by) if b.num_rows else ():
+                part = b.take(pa.array(at))
+                x, y = _matrix(part.column(len(by))), _matrix(part.column(len(by) + 1))
+                errors = left_out_errors(x, y, *shaped(known.get(key)), alphas)
+                cols = [pa.array([v] * len(alphas), k) for v, k in zip(key, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(range(len(alphas)), pa.int32()), pa.array(errors), pa.array([float(y.size)] * len(alphas))], names=[*by, "_k", "_e", "_n"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
 
-    return others.groupBy(fold).applyInPandas(fit, f"`{fold}` {rows.schema[fold].dataType.simpleString()}, w array<double>, b array<double>")
+    types = [to_arrow_type(rows.schema[c].dataType) for c in by]
+    errors = own.mapInArrow(run, ", ".join([*_kinds(rows, by), "_k int, _e double, _n double"])).groupBy(*by, "_k").agg((F.sum("_e") / F.sum("_n")).alias("_mse"))
+    best = errors.groupBy(*by).agg(F.min(F.struct("_mse", "_k")).alias("_best"))
+    chosen = parts.join(best, list(by)) if by else parts.crossJoin(F.broadcast(best))  # one row each
 
+    def solve(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                _, (mean, std, my, directions, length, xy) = shaped(tuple(r[c] for c in ("n", *names)))
+                alpha = alphas[int(r["_k"])]
+                w = directions @ (xy / (length + alpha)[:, None]) / std[:, None]
+                out.append((*[r[c] for c in by], alpha, r["_mse"], w.ravel().tolist(), (my - mean @ w).tolist()))
+            yield pd.DataFrame(out, columns=[*by, "alpha", "mse", "w", "b"])
 
-def loo_alpha(rows: DataFrame, *by: str, alphas: tuple[float, ...] = ALPHAS, most_rows: int = 20_000) -> DataFrame:
-    """(by, alpha, mse): per group the alpha of least leave-one-out error on standardised
-    features. A group's rows are decomposed together: ``most_rows`` bounds them, and a
-    larger group raises."""
-    kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by]
-    sizes = rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    if sizes > most_rows:
-        raise ValueError(f"a group has {sizes} rows; leave-one-out takes {most_rows}")
+    chosen = chosen.select(*by, "n", *names, "_best._mse", "_best._k")
+    return chosen.mapInPandas(solve, ", ".join([*_kinds(rows, by), "alpha double, mse double, w array<double>, b array<double>"]))
 
-    def choose(key, pdf):
-        import pandas as pd
 
-        x, y = np.stack(pdf.x.to_numpy()).astype(float), np.stack(pdf.y.to_numpy()).astype(float)
-        std = x.std(0)
-        alpha, errors = leave_one_out((x - x.mean(0)) / np.where(std > 1e-12, std, 1.0), y, alphas)
-        return pd.DataFrame([(*key, alpha, min(errors))], columns=[*by, "alpha", "mse"])
+def loo_alpha(rows: DataFrame, *by: str, alphas: tuple[float, ...] = ALPHAS) -> DataFrame:
+    """(by, alpha, mse): per group the alpha of least leave-one-out error."""
+    return loo_fit(rows, *by, alphas=alphas).select(*by, "alpha", "mse")
 
-    return rows.select(*by, "x", "y").groupBy(*by).applyInPandas(choose, ", ".join([*kinds, "alpha double, mse double"]))

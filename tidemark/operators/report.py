@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.rows import with_index
+
 
 def top_parcels(parcels: DataFrame, n: int = 20) -> DataFrame:
     """The n parcels of highest r; of equals those of lower number."""
@@ -23,8 +25,13 @@ def histogram(rows: DataFrame, value: str, bins: int = 60) -> DataFrame:
 
 
 def upper_nonzero(rows: DataFrame, value: str, share: float = 0.95) -> DataFrame:
-    """One row: the percentile of the absolute values that aren't 0."""
-    return rows.where(F.col(value) != 0).agg(F.percentile(F.abs(value), share).alias("limit"))
+    """One row: the percentile of the absolute values that aren't 0, between the two values
+    around it in proportion. Values are sorted by ranges, and two of them picked by place."""
+    own = with_index(rows.where(F.col(value) != 0).select(F.abs(value).cast("double").alias("_v")), "_v", name="_place")
+    at = own.agg((F.lit(share) * (F.count("*") - 1)).alias("_at"))
+    near = own.crossJoin(F.broadcast(at)).where(F.abs(F.col("_place") - F.col("_at")) < 1)  # one row
+    rest = F.max("_at") - F.floor(F.max("_at"))
+    return near.agg((F.min("_v") + rest * (F.max("_v") - F.min("_v"))).alias("limit"))
 
 
 def axis_limit(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -32,9 +39,10 @@ def axis_limit(rows: DataFrame, a: str, b: str) -> DataFrame:
     return rows.agg((F.max(F.greatest(F.abs(a), F.abs(b))) * 1.05).alias("limit"))
 
 
-def side_by_side(a: DataFrame, b: DataFrame, key: str = "parcel") -> DataFrame:
-    """r of two models per parcel, as r_a and r_b."""
-    return a.select(key, F.col("r").alias("r_a")).join(b.select(key, F.col("r").alias("r_b")), key)
+def side_by_side(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
+    """r of two models per parcel, or other keys, as r_a and r_b."""
+    keys = list(keys or ("parcel",))
+    return a.select(*keys, F.col("r").alias("r_a")).join(b.select(*keys, F.col("r").alias("r_b")), keys)
 
 
 def listed_order(column: str, values: list[str]) -> Column:

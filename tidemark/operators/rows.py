@@ -20,6 +20,18 @@ def with_index(df: DataFrame, *order: str, name: str = "index") -> DataFrame:
     return d.join(F.broadcast(starts), "_p").withColumn(name, F.col("_i") - F.col("_least") + F.col("_start")).drop("_p", "_i", "_least", "_start")
 
 
+def with_rank(df: DataFrame, group: tuple[str, ...], *order: str, name: str = "rank") -> DataFrame:
+    """``df`` with each row's place from 0 among the rows of its group. Groups may be of any
+    length: rows are dealt by ranges of (group, order), and what is summed are the counts
+    of each group in each range."""
+    d = df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
+    d = written(d.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()), "ranked")
+    parts = d.groupBy("_p", *group).agg(F.count("*").alias("_n"), F.min("_i").alias("_least"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = parts.select("_p", *group, "_least", before.alias("_start"))
+    return d.join(starts, ["_p", *group]).withColumn(name, F.col("_i") - F.col("_least") + F.col("_start")).drop("_p", "_i", "_least", "_start")
+
+
 def contiguous(index: Column, n: Column, parts: int) -> Column:
     """Which of ``parts`` runs of rows holds a place; the first n % parts runs have one row
     more."""

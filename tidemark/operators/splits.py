@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.rows import dealt
+from tidemark.operators.rows import dealt, with_index, with_rank
 
 
 def clip_split(clips: DataFrame, order: str = "clip", fraction: float = 0.8, least_train: int = 4, least_test: int = 1, group: tuple[str, ...] = ()) -> DataFrame:
     """``clips`` with rank (from 1), train (boolean): the first clips in order train, so many
     as the fraction rounded down, within the least numbers of both parts. Raises where a
     group has too few clips. A clip is one row here, whatever its length."""
-    every = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    d = clips.withColumn("_n", F.count("*").over(every)).withColumn("rank", F.row_number().over(every.orderBy(order)).cast("long"))
+    d = with_rank(clips, group, order) if group else with_index(clips, order, name="rank")
+    counts = d.groupBy(*group).agg(F.count("*").alias("_n"))
+    d = d.join(counts, list(group)) if group else d.crossJoin(F.broadcast(counts))  # one row
+    d = d.withColumn("rank", F.col("rank") + 1)
     n_train = F.greatest(F.lit(least_train), F.least(F.floor(F.col("_n") * F.lit(fraction)), F.col("_n") - least_test))
     few = F.raise_error(F.concat(F.lit("too few clips to split: "), F.col("_n").cast("string"))).cast("boolean")
     train = F.when(F.col("_n") < least_train + least_test, few).otherwise(F.col("rank") <= n_train)
@@ -25,6 +27,7 @@ def folds(rows: DataFrame, k: int, *order: str) -> DataFrame:
     return dealt(rows, k, *order, name="fold")
 
 
-def of_part(rows: DataFrame, split: DataFrame, train: bool, key: str = "clip") -> DataFrame:
+def of_part(rows: DataFrame, split: DataFrame, train: bool, *keys: str) -> DataFrame:
     """Rows of the clips of one part."""
-    return rows.join(split.where(F.col("train") == train).select(key), key, "left_semi")
+    keys = list(keys or ("clip",))
+    return rows.join(split.where(F.col("train") == train).select(*keys), keys, "left_semi")

@@ -12,7 +12,8 @@ TR, LENGTH, LEAD = 1.49, 8.0, 6.0  # seconds: step, window, and how much of it c
 
 def chunk_windows(clips: DataFrame, duration: str, tr: float = TR, length: float = LENGTH, lead: float = LEAD, exact_steps: bool = False) -> DataFrame:
     """One row per step of each recording, with the window that ends after the step:
-    tr_index, chunk_start, chunk_end, and rel_start, rel_end of the step within it.
+    tr_index, tr_start, tr_end (of the step), chunk_start, chunk_end, and rel_start,
+    rel_end of the step within it.
 
     Steps are counted as ceil(duration / tr). ``exact_steps`` adds the step up instead,
     as a loop would, which gives one more or less at some exact multiples of the step.
@@ -28,6 +29,7 @@ def chunk_windows(clips: DataFrame, duration: str, tr: float = TR, length: float
         n = F.aggregate(starts, state, step)["n"]
     d = clips.where(F.col(duration) > 0).withColumn("tr_index", F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)))
     start = F.col("tr_index") * F.lit(tr)
+    d = d.withColumn("tr_start", start).withColumn("tr_end", start + tr)
     d = d.withColumn("chunk_start", F.greatest(F.lit(0.0), start - lead))
     d = d.withColumn("chunk_end", F.least(F.col("chunk_start") + length, F.col(duration).cast("double")))
     d = d.withColumn("rel_start", start - F.col("chunk_start"))

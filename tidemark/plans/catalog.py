@@ -35,7 +35,17 @@ z AS (SELECT clip, parcel, tanh(avg(atanh(greatest(-0.9999::DOUBLE, least(0.9999
 WINDOWS = """w AS (SELECT doc_id, n_chars / 10.0::DOUBLE secs, unnest(range(0, ceil(n_chars / 10.0::DOUBLE / 1.49::DOUBLE)::BIGINT)) tr_index FROM documents WHERE n_chars > 0),
 c AS (SELECT *, tr_index * 1.49::DOUBLE s, greatest(0::DOUBLE, tr_index * 1.49::DOUBLE - 6::DOUBLE) chunk_start FROM w),
 e AS (SELECT *, least(chunk_start + 8::DOUBLE, secs) chunk_end, s - chunk_start rel_start FROM c),
-f AS (SELECT doc_id, tr_index, chunk_start, chunk_end, rel_start, least(rel_start + 1.49::DOUBLE, chunk_end - chunk_start) rel_end FROM e)"""
+f AS (SELECT doc_id, tr_index, s, chunk_start, chunk_end, rel_start, least(rel_start + 1.49::DOUBLE, chunk_end - chunk_start) rel_end FROM e)"""
+TOKENS_64 = "n AS (SELECT vec_id, (vec_id % 5) * 1.49::DOUBLE s, unnest(range(0, 64)) p, unnest(embedding)::DOUBLE v FROM embeddings)"
+CROP = """g AS (SELECT *, least({steps} - 1, round_even(s / 8 * {steps}, 0))::BIGINT i, p // {grid} step, p % {grid} - {ahead} spot FROM n),
+c AS (SELECT *, least({steps}, greatest(i + 1, round_even((s + 1.49::DOUBLE) / 8 * {steps}, 0)))::BIGINT j, spot // {side} y, spot % {side} x FROM g)"""
+BINS_4, BINS_2 = (f"(SELECT * FROM (VALUES {x}) q(k, lo, hi))" for x in ("(0, 0, 2), (1, 1, 3), (2, 2, 4)", "(0, 0, 1), (1, 0, 2), (2, 1, 2)"))
+# One feature and 63 responses at each step, and sums of them by group.
+ONE = f"""{CLIPS}, i AS (SELECT unnest(range(2, 65)) p), o AS (SELECT clip, tr, vec_id, p - 2 parcel, embedding[1]::DOUBLE x, embedding[p]::DOUBLE y FROM t, i)"""
+SCORES = "round(covar_pop(p, y) / nullif(stddev_pop(p) * stddev_pop(y), 0), 6) r, round(1 - sum((y - p) ** 2) / sum((y - m) ** 2), 6) r2, count(*) n"
+SUMMARY = "round(avg(r), 6) mean_r, round(median(r), 6) median_r, round(max(r), 6) max_r, round(avg((r > 0)::INT::DOUBLE) * 100, 6) pct_positive"
+ALPHAS = "(SELECT unnest([0.1, 1, 10, 100, 1000])::DOUBLE alpha)"
+TRAINING = "h AS (SELECT clip, row_number() OVER (ORDER BY clip) <= greatest(4, least(floor(count(*) OVER () * 0.8::DOUBLE), count(*) OVER () - 1)) train FROM (SELECT DISTINCT clip FROM t))"
 TOKENS = "[[embedding[4 * k + d + 1]::DOUBLE for d in range(0, 4)] for k in range(0, 16)]"
 
 
@@ -60,10 +70,10 @@ def lag_align_pearson(spark, folder):
     return rounds(encoding.lag_correlations(clips(spark, folder)), "r")
 
 
-@query(f"WITH {WINDOWS} SELECT doc_id, tr_index, round(chunk_start, 6) chunk_start, round(chunk_end, 6) chunk_end, round(rel_start, 6) rel_start, round(rel_end, 6) rel_end FROM f")
+@query(f"WITH {WINDOWS} SELECT doc_id, tr_index, round(s, 6) tr_start, round(s + 1.49::DOUBLE, 6) tr_end, round(chunk_start, 6) chunk_start, round(chunk_end, 6) chunk_end, round(rel_start, 6) rel_start, round(rel_end, 6) rel_end FROM f")
 def chunk_windows(spark, folder):
     d = windows.chunk_windows(recordings(spark, folder), "seconds").drop("seconds")
-    return rounds(d, "chunk_start", "chunk_end", "rel_start", "rel_end")
+    return rounds(d, "tr_start", "tr_end", "chunk_start", "chunk_end", "rel_start", "rel_end")
 
 
 @query("""WITH n AS (SELECT label::BIGINT clip, count(*) n FROM embeddings GROUP BY label),
@@ -80,11 +90,10 @@ def frame_ranges(spark, folder):
     return windows.frame_ranges(windows.chunk_windows(d, "seconds"), "fps", "frames").select("doc_id", "tr_index", "first_frame", "end_frame")
 
 
-@query("""WITH n AS (SELECT doc_id, least(n_chars, 100000) n FROM documents) SELECT doc_id, CASE WHEN n <= 0 THEN []::BIGINT[] WHEN n <= 64 THEN range(0, n)
+@query("""WITH n AS (SELECT doc_id, n_chars n FROM documents) SELECT doc_id, CASE WHEN n <= 0 THEN []::BIGINT[] WHEN n <= 64 THEN range(0, n)
 ELSE [round_even(i * ((n - 1)::DOUBLE / 63::DOUBLE), 0)::BIGINT for i in range(0, 64)] END::VARCHAR frames FROM n""")
 def frame_subsample(spark, folder):
-    n = F.least(F.col("n_chars"), F.lit(100_000).cast("long"))
-    text = F.concat(F.lit("["), F.array_join(windows.frame_indices(n, 64).cast("array<string>"), ", "), F.lit("]"))
+    text = F.concat(F.lit("["), F.array_join(windows.frame_indices(F.col("n_chars"), 64).cast("array<string>"), ", "), F.lit("]"))
     return table(spark, folder, "documents").select("doc_id", text.alias("frames"))
 
 
@@ -162,13 +171,13 @@ def missing_keys(spark, folder):
 @query("SELECT p_partkey, p_type FROM part WHERE contains(lower(p_type), 'standard') AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity < 1.5)")
 def unmatched_keys(spark, folder):
     parts = table(spark, folder, "part").select("p_partkey", "p_type")
-    used = table(spark, folder, "lineitem").where("l_quantity < 1.5").select(F.col("l_partkey").alias("p_partkey"))
-    return align.unmatched(parts, used, "p_partkey", of_season(F.col("p_type"), "standard"))
+    used = table(spark, folder, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_quantity")
+    return align.unmatched(parts, used, "p_partkey", of_season(F.col("p_type"), "standard"), F.col("l_quantity") < 1.5)
 
 
-@query("SELECT user_id FROM events WHERE value > 100 GROUP BY user_id HAVING count(DISTINCT event_type) = (SELECT count(DISTINCT event_type) FROM events WHERE value > 100)")
+@query("SELECT user_id FROM events GROUP BY user_id HAVING count(DISTINCT event_type) = (SELECT count(DISTINCT event_type) FROM events)")
 def shared_clips(spark, folder):
-    return align.shared_keys(table(spark, folder, "events").where("value > 100"), "user_id", "event_type")
+    return align.shared_keys(table(spark, folder, "events"), "user_id", "event_type")
 
 
 @query("""WITH k AS (SELECT DISTINCT o_custkey FROM orders), n AS (SELECT o_custkey, count(*) n FROM orders GROUP BY 1), m AS (SELECT o_custkey FROM n WHERE n = 1)
@@ -271,6 +280,28 @@ def adaptive_pool(spark, folder):
     return _pooled(spark, folder, True)
 
 
+@query(f"""WITH {TOKENS_64}, {CROP.format(steps=4, grid=16, ahead=0, side=4)}
+SELECT vec_id, (a.k * 3 + b.k)::BIGINT bin, round(avg(v), 6) v FROM c, {BINS_4} a, {BINS_4} b
+WHERE step >= i AND step < j AND y >= a.lo AND y < a.hi AND x >= b.lo AND x < b.hi GROUP BY ALL""")
+def crop_pool_video(spark, folder):
+    return _crop_pooled(spark, folder, 4, 16)
+
+
+@query(f"""WITH {TOKENS_64}, {CROP.format(steps=12, grid=5, ahead=1, side=2)}
+SELECT vec_id, (a.k * 3 + b.k)::BIGINT bin, round(avg(v), 6) v FROM c, {BINS_2} a, {BINS_2} b
+WHERE p < 60 AND spot >= 0 AND step >= i AND step < j AND y >= a.lo AND y < a.hi AND x >= b.lo AND x < b.hi GROUP BY ALL""")
+def crop_pool_images(spark, folder):
+    return _crop_pooled(spark, folder, 12, 5)
+
+
+def _crop_pooled(spark, folder, steps: int, per_step: int) -> DataFrame:
+    start = (F.col("vec_id") % 5) * F.lit(1.49)
+    tokens = F.transform(F.slice("embedding", 1, steps * per_step), lambda v: F.array(v))
+    pooled = pooling.crop_pool(tokens, start, start + 1.49, 8.0, steps, per_step, 1)
+    d = table(spark, folder, "embeddings").select("vec_id", F.posexplode(pooled).alias("bin", "v"))
+    return rounds(d.withColumn("bin", F.col("bin").cast("long")), "v")
+
+
 @query(f"""WITH {PAIRS} SELECT parcel, round((sum(x * y) - sum(x) * sum(y) / count(*)) / (sum(x * x) - sum(x) * sum(x) / count(*) + 1000), 6) slope FROM a GROUP BY parcel""")
 def ridge_univariate(spark, folder):
     d = encoding.lagged_pairs(clips(spark, folder)).select("parcel", F.array("x").alias("x"), F.array("y").alias("y"))
@@ -282,12 +313,30 @@ def ridge_primal(spark, folder):
     return rounds(encoding.ridge_test_scores(design(spark, folder)), "r", "r2")
 
 
+def _next_block(features: DataFrame, **how) -> DataFrame:
+    """Scores of each block of 20 steps by the fit to the block before it."""
+    d = features.withColumn("block", F.floor(F.col("tr") / 20))
+    fits = regression.ridge_fit(d, "clip", "block", **how).withColumn("block", F.col("block") + 1)
+    pairs = regression.long_form(regression.predict(d, fits, "clip", "block"), "clip")
+    return rounds(metrics.scores(pairs, "clip", "parcel"), "r", "r2")
+
+
 @query()
 def ridge_dual(spark, folder):
-    d = design(spark, folder)
-    fits = regression.ridge_fit(d.where("tr < 20"), "clip", dim=48, n_rows=20)
-    pairs = regression.long_form(regression.predict(d.where("tr >= 20"), fits, "clip"), "clip")
-    return rounds(metrics.scores(pairs, "clip", "parcel"), "r", "r2")
+    return _next_block(design(spark, folder))
+
+
+@query(f"""WITH {ONE}, b AS (SELECT *, tr // 20 block FROM o), f AS (SELECT clip, block, parcel, avg(x) mx, avg(y) my, (sum(x * y) - sum(x) * sum(y) / count(*)) / (sum(x * x) - sum(x) * sum(x) / count(*) + 1000) w FROM b GROUP BY ALL),
+e AS (SELECT b.clip, b.parcel, y, my + (x - mx) * w p FROM b JOIN f ON b.clip = f.clip AND b.parcel = f.parcel AND b.block = f.block + 1),
+m AS (SELECT *, avg(y) OVER (PARTITION BY clip, parcel) m FROM e) SELECT clip, parcel, {SCORES} FROM m GROUP BY clip, parcel""")
+def ridge_dual_one(spark, folder):
+    return _next_block(design(spark, folder, 1), form="rows")
+
+
+@query(f"""WITH {ONE}, {TRAINING}, f AS (SELECT parcel, avg(x) mx, avg(y) my, (sum(x * y) - sum(x) * sum(y) / count(*)) / (sum(x * x) - sum(x) * sum(x) / count(*) + 1000) w FROM o JOIN h USING (clip) WHERE train GROUP BY parcel),
+e AS (SELECT parcel, y, my + (x - mx) * w p FROM o JOIN h USING (clip) JOIN f USING (parcel) WHERE NOT train), m AS (SELECT *, avg(y) OVER (PARTITION BY parcel) m FROM e) SELECT parcel, {SCORES} FROM m GROUP BY parcel""")
+def ridge_primal_one(spark, folder):
+    return rounds(encoding.ridge_test_scores(design(spark, folder, 1)), "r", "r2")
 
 
 @query()
@@ -295,16 +344,81 @@ def ridge_loo(spark, folder):
     return rounds(regression.loo_alpha(design(spark, folder, 8), "clip"), "mse")
 
 
+@query(f"""WITH {ONE}, s AS (SELECT *, x - avg(x) OVER w a, y - avg(y) OVER w c, stddev_pop(x) OVER w s, count(*) OVER w n FROM o WINDOW w AS (PARTITION BY clip, parcel)),
+z AS (SELECT clip, parcel, n, a / CASE WHEN s > 0 THEN s ELSE 1 END z, c FROM s), g AS (SELECT clip, parcel, sum(z * z) zz, sum(z * c) zc FROM z GROUP BY ALL),
+e AS (SELECT clip, alpha, avg(((c - z * zc / (zz + alpha)) / (1 - 1.0 / n - z * z / (zz + alpha))) ** 2) mse FROM z JOIN g USING (clip, parcel), {ALPHAS} GROUP BY ALL)
+SELECT clip, arg_min(alpha, mse) alpha, round(min(mse), 6) mse FROM e GROUP BY clip""")
+def ridge_loo_one(spark, folder):
+    return rounds(regression.loo_alpha(design(spark, folder, 1), "clip"), "mse")
+
+
+def _kfold_sql(w: str) -> str:
+    return f"""WITH {ONE}, k AS (SELECT clip, tr, ntile(5) OVER (ORDER BY clip, tr) fold FROM t), b AS (SELECT o.*, fold FROM o JOIN k USING (clip, tr)),
+f AS (SELECT j.fold, parcel, count(*) n, avg(x) mx, avg(y) my, stddev_pop(x) s, covar_pop(x, y) / stddev_pop(x) c FROM b JOIN (SELECT unnest(range(1, 6)) fold) j ON b.fold <> j.fold GROUP BY ALL),
+e AS (SELECT parcel, y, my + (x - mx) * {w} / s p FROM b JOIN f USING (fold, parcel)), q AS (SELECT parcel, coalesce(covar_pop(p, y) / nullif(stddev_pop(p) * stddev_pop(y), 0), 0) r FROM e GROUP BY parcel)
+SELECT {SUMMARY} FROM q"""
+
+
 @query()
 def ridge_kfold(spark, folder):
     return rounds(encoding.cross_validated(design(spark, folder), 1000.0), "mean_r", "median_r", "max_r", "pct_positive")
 
 
+@query(_kfold_sql("(n * c / (n + 1000))"))
+def ridge_kfold_one(spark, folder):
+    return rounds(encoding.cross_validated(design(spark, folder, 1), 1000.0), "mean_r", "median_r", "max_r", "pct_positive")
+
+
 @query()
 def lasso_kfold(spark, folder):
     return rounds(encoding.cross_validated(design(spark, folder), 0.01, "lasso"), "mean_r", "median_r", "max_r", "pct_positive")
 
 
+@query(_kfold_sql("(sign(c) * greatest(abs(c) - 0.01, 0))"))
+def lasso_kfold_one(spark, folder):
+    return rounds(encoding.cross_validated(design(spark, folder, 1), 0.01, "lasso"), "mean_r", "median_r", "max_r", "pct_positive")
+
+
+def _study(spark, folder, features: int) -> tuple[DataFrame, DataFrame]:
+    """Features, and the responses of two subjects: the first and the other parcels."""
+    d = design(spark, folder, features)
+    half = F.floor(F.size("y") / 2).cast("int")
+    parts = (("a", F.slice("y", F.lit(1), half)), ("b", F.slice("y", half + 1, F.size("y") - half)))
+    own = F.inline(F.array(*[F.struct(F.lit(s).alias("subject"), y.alias("y")) for s, y in parts]))
+    return d.select("clip", "tr", "x"), d.select("clip", "tr", "y").select("clip", "tr", "y", own).toDF("clip", "tr", "_", "subject", "y").select("subject", "clip", "tr", "y")
+
+
+REPORTED = ("alpha", "lag_trs", "n_train_samples", "n_test_samples", "num_matched_clips", "num_targets", "mean_test_pearson", "median_test_pearson", "mean_test_r2", "median_test_r2")
+
+
+def _reports(spark, folder, features: int) -> DataFrame:
+    d = encoding.subject_analysis(*_study(spark, folder, features))[1]
+    ids = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    tested = F.array_join(F.transform("per_clip_test_metrics", lambda c: F.concat_ws(":", c["clip"].cast("string"), c["num_test_trs"].cast("string"))), ",").alias("tested")
+    d = d.select("subject", *REPORTED, ids("train_clip_ids"), ids("test_clip_ids"), tested)
+    return rounds(d, *[c for c in REPORTED if "test_" in c and c != "n_test_samples"])
+
+
+@query()
+def subject_analysis(spark, folder):
+    return _reports(spark, folder, 8)
+
+
+@query(f"""WITH {ONE}, {TRAINING}, l AS (SELECT CASE WHEN a.parcel < 31 THEN 'a' ELSE 'b' END subject, a.clip, a.tr, a.parcel, train, a.x, b.y FROM o a JOIN o b ON a.clip = b.clip AND a.parcel = b.parcel AND b.tr = a.tr + 3 JOIN h ON a.clip = h.clip),
+s AS (SELECT *, x - avg(x) OVER w a, y - avg(y) OVER w c, stddev_pop(x) OVER w s, count(*) OVER w n FROM l WHERE train WINDOW w AS (PARTITION BY parcel)), z AS (SELECT subject, parcel, n, a / s z, c FROM s),
+g AS (SELECT parcel, sum(z * z) zz, sum(z * c) zc FROM z GROUP BY ALL), e AS (SELECT subject, alpha, avg(((c - z * zc / (zz + alpha)) / (1 - 1.0 / n - z * z / (zz + alpha))) ** 2) mse FROM z JOIN g USING (parcel), {ALPHAS} GROUP BY ALL),
+k AS (SELECT subject, arg_min(alpha, mse) alpha FROM e GROUP BY subject), f AS (SELECT parcel, avg(x) mx, avg(y) my, stddev_pop(x) s FROM l WHERE train GROUP BY parcel),
+p AS (SELECT l.subject, l.parcel, l.clip, y, my + (x - mx) / s * zc / (zz + alpha) p, avg(y) OVER (PARTITION BY l.parcel) m FROM l JOIN f USING (parcel) JOIN g USING (parcel) JOIN k ON k.subject = l.subject WHERE NOT train),
+r AS (SELECT subject, parcel, coalesce(covar_pop(p, y) / nullif(stddev_pop(p) * stddev_pop(y), 0), 0) r, 1 - sum((y - p) ** 2) / sum((y - m) ** 2) r2 FROM p GROUP BY ALL),
+c AS (SELECT subject, clip, train, count(DISTINCT tr) n, count(DISTINCT parcel) parcels FROM l GROUP BY ALL),
+d AS (SELECT subject, sum(n) FILTER (train)::BIGINT n_train_samples, sum(n) FILTER (NOT train)::BIGINT n_test_samples, count(*) num_matched_clips, max(parcels)::INT num_targets, string_agg(clip::VARCHAR, ',' ORDER BY clip) FILTER (train) train_clip_ids,
+string_agg(clip::VARCHAR, ',' ORDER BY clip) FILTER (NOT train) test_clip_ids, string_agg(clip || ':' || n, ',' ORDER BY clip) FILTER (NOT train) tested FROM c GROUP BY subject)
+SELECT subject, alpha, 3 lag_trs, n_train_samples, n_test_samples, num_matched_clips, num_targets, round(avg(r), 6) mean_test_pearson, round(median(r), 6) median_test_pearson, round(avg(r2), 6) mean_test_r2, round(median(r2), 6) median_test_r2, train_clip_ids, test_clip_ids, tested
+FROM r JOIN k USING (subject) JOIN d USING (subject) GROUP BY ALL""")
+def subject_analysis_one(spark, folder):
+    return _reports(spark, folder, 1)
+
+
 @query(f"""WITH {CLIPS}, g AS (SELECT unnest([0, 1, 2, 3, 4, 5])::INT lag), i AS (SELECT unnest(range(1, 65)) p),
 a AS (SELECT lag, p, x.embedding[p]::DOUBLE x, y.embedding[p]::DOUBLE y FROM g, t x JOIN t y ON x.clip = y.clip, i WHERE y.tr = x.tr + lag),
 r AS (SELECT lag, p, {R} r, count(*) n FROM a GROUP BY lag, p) SELECT lag, round(avg(r), 6) mean_r, max(n) n FROM r GROUP BY lag""")
@@ -329,11 +443,11 @@ def axis_limit(spark, folder):
     return rounds(report.axis_limit(table(spark, folder, "lineitem"), "l_quantity", "l_discount"), "limit")
 
 
-@query(f"""WITH {PAIRS}, r AS (SELECT clip, parcel, {R} r FROM a WHERE clip < 2 GROUP BY ALL)
-SELECT p.parcel, round(p.r, 6) r_a, round(q.r, 6) r_b FROM r p JOIN r q ON p.parcel = q.parcel AND p.clip = 0 AND q.clip = 1""")
+@query(f"""WITH {PAIRS}, r AS (SELECT clip, parcel, {R} r FROM a GROUP BY ALL)
+SELECT p.clip, p.parcel, round(p.r, 6) r_a, round(q.r, 6) r_b FROM r p JOIN r q ON p.parcel = q.parcel AND q.clip = p.clip + 1""")
 def model_comparison(spark, folder):
-    r = metrics.correlations(encoding.lagged_pairs(clips(spark, folder).where("clip < 2")), "clip", "parcel")
-    return rounds(report.side_by_side(r.where("clip = 0"), r.where("clip = 1")), "r_a", "r_b")
+    r = metrics.correlations(encoding.lagged_pairs(clips(spark, folder)), "clip", "parcel")
+    return rounds(report.side_by_side(r, r.withColumn("clip", F.col("clip") - 1), "clip", "parcel"), "r_a", "r_b")
 
 
 @query("SELECT o_orderpriority priority, count(*) n, coalesce(list_position(['5-LOW', '1-URGENT', '3-MEDIUM'], o_orderpriority), 4)::INT place FROM orders GROUP BY ALL")
@@ -358,11 +472,11 @@ def alignment_counts(spark, folder):
     return d.agg(F.count("*").alias("n_steps"), F.max(F.size("embedding")).alias("dim"), F.array_join(report.preview(F.col("vec_id")).cast("array<string>"), ",").alias("preview"))
 
 
-@query(f"WITH {CLIPS} SELECT a.clip, a.tr, a.vec_id, b.vec_id other FROM t a JOIN t b ON a.tr = b.tr AND a.clip = 0 AND b.clip = 1")
+@query(f"WITH {CLIPS} SELECT a.clip, a.tr, a.vec_id, b.vec_id other FROM t a JOIN t b ON a.tr = b.tr AND b.clip = a.clip + 1")
 def prefix_align(spark, folder):
     d = clips(spark, folder)
-    other = d.where("clip = 1").select("tr", F.col("vec_id").alias("other"))
-    return align.same_length(d.where("clip = 0").select("clip", "tr", "vec_id"), other, ())
+    other = d.select((F.col("clip") - 1).alias("clip"), "tr", F.col("vec_id").alias("other"))
+    return align.same_length(d.select("clip", "tr", "vec_id"), other)
 
 
 @query("SELECT event_type subject, user_id % 5 parcel, epoch_us(time_bucket(INTERVAL 6 HOUR, ts)) // 1000000 start, round(avg(value), 6) y, count(*) n FROM events GROUP BY ALL")

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.align import LAG, lag_align
 from tidemark.operators.metrics import correlations, over_parcels, scores, summary
-from tidemark.operators.regression import fold_fits, long_form, predict, ridge_fit
+from tidemark.operators.regression import ALPHAS, fold_fits, long_form, loo_fit, predict, ridge_fit
+from tidemark.operators.report import preview
 from tidemark.operators.splits import clip_split, folds, of_part
+from tidemark.sources.storage import written
 
 
 def lagged_pairs(rows: DataFrame, lag: int = LAG) -> DataFrame:
@@ -35,10 +37,10 @@ def ridge_test_scores(rows: DataFrame, alpha: float = 1000.0, lag: int = 0) -> D
 
 def cross_validated(rows: DataFrame, alpha: float, model: str = "ridge", k: int = 5, *order: str) -> DataFrame:
     """One row of mean, median and maximum r and the percentage above 0, of predictions for
-    each fold from all others, pooled before they are scored."""
+    each fold from all others, pooled before they are scored. An undefined r counts as 0."""
     dealt = folds(rows, k, *(order or ("clip", "tr")))
     predicted = predict(dealt, fold_fits(dealt, k, alpha, model), "fold")
-    return summary(correlations(long_form(predicted, "fold"), "parcel", x="p"))
+    return summary(correlations(long_form(predicted, "fold"), "parcel", x="p", zero_fill=True))
 
 
 def clip_scores(pairs: DataFrame) -> DataFrame:
@@ -56,3 +58,55 @@ def sweep(rows: DataFrame, lags: list[int]) -> DataFrame:
     both = both.select("lag", F.posexplode(F.arrays_zip("embedding", "later")).alias("parcel", "_z"))
     r = correlations(both.select("lag", "parcel", F.col("_z.embedding").cast("double").alias("x"), F.col("_z.later").cast("double").alias("y")), "lag", "parcel")
     return r.groupBy("lag").agg(F.avg("r").alias("mean_r"), F.max("n").alias("n"))
+
+
+def subject_analysis(
+    features: DataFrame, responses: DataFrame, alphas: tuple[float, ...] = ALPHAS, lag: int = LAG, fraction: float = 0.8, least_train: int = 4, least_test: int = 1
+) -> tuple[DataFrame, DataFrame]:
+    """(predictions, reports) of the main analysis: features (clip, tr, x) and responses
+    (subject, clip, tr, y) are aligned; per subject the first clips train, with the alpha
+    of least leave-one-out error on standardised features, and the others are predicted.
+
+    predictions: subject, clip, tr, y, p. reports: per subject alpha, lag_trs, counts of
+    samples, features, targets and clips, the clips of both parts and those without a
+    partner, mean and median scores over parcels, and arrays of each clip's alignment and
+    scores. A subject has as many clips as were shown: such arrays are bounded by the
+    study, not by the length of recordings.
+    """
+    aligned = written(lag_align(features, responses, lag=lag), "aligned")
+    clips = aligned.groupBy("subject", "clip").agg(F.count("*").alias("num_aligned_trs"), preview(F.col("tr")).alias("tr_preview"))
+    split = written(clip_split(clips, fraction=fraction, least_train=least_train, least_test=least_test, group=("subject",)), "split")
+    keys = ("subject", "clip")
+    train, test = of_part(aligned, split, True, *keys), of_part(aligned, split, False, *keys)
+    fits = written(loo_fit(train, "subject", alphas=alphas), "alphas")
+    predictions = written(predict(test, fits, "subject").select(*keys, "tr", "y", "p"), "predictions")
+    pairs = written(long_form(predictions, *keys), "pairs")
+    r = scores(pairs, "subject", "parcel", zero_fill=True)
+    whole = over_parcels(r, "subject").select("subject", *[F.col(c).alias(c.replace("_r2", "_test_r2") if c.endswith("r2") else c.replace("_r", "_test_pearson")) for c in ("mean_r", "median_r", "mean_r2", "median_r2")])
+    each = over_parcels(scores(pairs, *keys, "parcel", zero_fill=True), *keys).withColumnRenamed("n_parcels", "_n")
+    tested = each.join(split.select(*keys, "num_aligned_trs"), list(keys))
+    tested = tested.groupBy("subject").agg(F.array_sort(F.collect_list(F.struct("clip", F.col("num_aligned_trs").alias("num_test_trs"), F.col("mean_r").alias("mean_test_pearson"), F.col("mean_r2").alias("mean_test_r2")))).alias("per_clip_test_metrics"))
+    raw_x = features.groupBy("clip").agg(F.count("*").alias("num_feature_trs_raw"))
+    raw_y = responses.groupBy(*keys).agg(F.count("*").alias("num_response_trs_raw"))
+    alignment = split.join(raw_x, "clip").join(raw_y, list(keys))
+    ids = lambda on: F.array_sort(F.collect_list(F.when(F.col("train") == on, F.col("clip"))))
+    counts = alignment.groupBy("subject").agg(
+        F.sum(F.when(F.col("train"), F.col("num_aligned_trs")).otherwise(0)).alias("n_train_samples"),
+        F.sum(F.when(~F.col("train"), F.col("num_aligned_trs")).otherwise(0)).alias("n_test_samples"),
+        F.count("*").alias("num_matched_clips"),
+        ids(True).alias("train_clip_ids"),
+        ids(False).alias("test_clip_ids"),
+        F.array_sort(F.collect_list(F.struct("clip", "num_feature_trs_raw", "num_response_trs_raw", "num_aligned_trs", "tr_preview"))).alias("per_clip_alignment"),
+    )
+    subjects, matched = split.select("subject").distinct(), split.select(*keys)
+    wanted = subjects.join(features.select("clip").distinct())  # each clip is asked of each subject
+    gathered = lambda d, name: d.join(matched, list(keys), "left_anti").groupBy("subject").agg(F.array_sort(F.collect_list("clip")).alias(name))
+    missing, unmatched = gathered(wanted, "missing_clips"), gathered(responses.select(*keys).distinct(), "unmatched_clips")
+    sizes = fits.select("subject", "alpha", F.size("b").alias("num_targets"), (F.size("w") / F.size("b")).cast("int").alias("feature_dim"))
+    reports = sizes.withColumn("lag_trs", F.lit(lag)).withColumn("train_fraction", F.lit(fraction))
+    for part in (counts, whole, tested):
+        reports = reports.join(part, "subject")
+    for part in (missing, unmatched):
+        name = part.columns[1]
+        reports = reports.join(part, "subject", "left").withColumn(name, F.coalesce(name, F.array().cast(part.schema[name].dataType)))
+    return predictions, reports

@@ -7,16 +7,17 @@ step, ten days for a clip, and its value for the response.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.rows import with_rank
 from tidemark.sources.storage import table
 
 
 def clips(spark: SparkSession, folder: str) -> DataFrame:
-    """(clip, tr, vec_id, embedding). A clip is a recording of bounded length."""
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")).cast("long") - 1
-    return table(spark, folder, "embeddings").select(F.col("label").cast("long").alias("clip"), rank.alias("tr"), "vec_id", "embedding")
+    """(clip, tr, vec_id, embedding). Clips may be of any length."""
+    d = table(spark, folder, "embeddings").select(F.col("label").cast("long").alias("clip"), "vec_id", "embedding")
+    return with_rank(d, ("clip",), "vec_id", name="tr").select("clip", "tr", "vec_id", "embedding")
 
 
 def responses(spark: SparkSession, folder: str) -> DataFrame:
@@ -36,4 +37,4 @@ def design(spark: SparkSession, folder: str, features: int = 48) -> DataFrame:
     """(clip, tr, vec_id, x, y): the first numbers of an embedding as features, the others,
     at the same step, as responses."""
     d = clips(spark, folder).withColumn("v", F.col("embedding").cast("array<double>"))
-    return d.select("clip", "tr", "vec_id", F.slice("v", 1, features).alias("x"), F.slice("v", features + 1, 1024).alias("y"))
+    return d.select("clip", "tr", "vec_id", F.slice("v", 1, features).alias("x"), F.slice("v", F.lit(features + 1), F.size("v") - features).alias("y"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +17,13 @@ RESULT = T.StructType(
     + [T.StructField(n, T.DoubleType()) for n in ("mean_r", "median_r", "max_r", "pct_positive")]
 )
 
+# Names and defaults of the settings of a run.
+SETTINGS = {
+    "tr": 1.49, "chunk_length": 8.0, "seconds_before_chunk": 6.0, "sample_fraction": 0.1, "minimum_samples": 8, "feature_key": "enc-last-ln",
+    "lag_trs": 3, "train_fraction": 0.8, "minimum_train_clips": 4, "minimum_test_clips": 1, "ridge_alphas": [0.1, 1.0, 10.0, 100.0, 1000.0],
+    "subjects": [], "input_root": "", "output_root": "", "force": False,
+}
+
 
 def recordings(spark: SparkSession, root: str, pattern: str = "*.{mkv,mp4}") -> DataFrame:
     """(path, name, length, key): files below ``root`` by name; sort by key for the natural
@@ -26,10 +36,30 @@ def recordings(spark: SparkSession, root: str, pattern: str = "*.{mkv,mp4}") ->
 
 
 def allowed(files: DataFrame, names: DataFrame) -> DataFrame:
-    """Files whose name is listed in ``names`` (name)."""
+    """Files whose name is listed in ``names`` (name). Raises if a listed one isn't there."""
+    absent = [r.name for r in names.distinct().join(files.select("name").distinct(), "name", "left_anti").orderBy("name").limit(10).collect()]
+    if absent:
+        raise FileNotFoundError(f"listed but not found: {', '.join(map(str, absent))}")
     return files.join(names.distinct(), "name", "left_semi")
 
 
+def settings(spark: SparkSession, path: str | None = None, **own) -> dict:
+    """The settings of a run: those that a JSON file and then arguments give, else the
+    defaults. Names that are unknown, and values of another kind, raise."""
+    given = json.loads(spark.read.text(path, wholetext=True).first()[0]) if path else {}
+    if not isinstance(given, dict):
+        raise ValueError("settings are names with values")
+    found = dict(SETTINGS)
+    for name, value in {**given, **own}.items():
+        if name not in SETTINGS:
+            raise ValueError(f"unknown setting {name}; known are {', '.join(SETTINGS)}")
+        kind = float if isinstance(SETTINGS[name], float) else type(SETTINGS[name])
+        if isinstance(value, bool) != (kind is bool) or not isinstance(value, (int, float) if kind is float else kind):
+            raise ValueError(f"{name} is {value!r}, not of kind {kind.__name__}")
+        found[name] = kind(value)
+    return found
+
+
 def shuffled(files: DataFrame, path: str = "path") -> DataFrame:
     """Files in an order that looks random but depends on their paths only."""
     return files.orderBy(F.xxhash64(path), path)
@@ -58,6 +88,34 @@ def write_features(features: DataFrame, path: str) -> None:
     features.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("feature_key").parquet(path)
 
 
+def write_recording(features: DataFrame, manifest: DataFrame, path: str) -> None:
+    """Features (clip, feature_key, …), the manifest (clip, feature_key and what is known
+    of each recording) and, last of all, a marker for each that is done: what has no
+    marker is made again, whatever else is there."""
+    keys = ("clip", "feature_key")
+    features.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(f"{path}/features")
+    manifest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).json(f"{path}/manifest")
+    done = manifest.select(*keys, F.lit("ok").alias("status")).distinct()
+    done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(f"{path}/done")
+
+
+def finished(spark: SparkSession, path: str) -> DataFrame:
+    """(clip, feature_key) of the recordings that have a marker; none if nothing is there."""
+    try:
+        return spark.read.parquet(f"{path}/done").select(F.col("clip").cast("string").alias("clip"), F.col("feature_key").cast("string").alias("feature_key"))
+    except AnalysisException:
+        return spark.createDataFrame([], "clip string, feature_key string")
+
+
+def write_analysis(predictions: DataFrame, reports: DataFrame, path: str) -> None:
+    """Predictions and reports by subject: subjects that are written again are replaced,
+    others stay. Then a summary of all reports, in one file."""
+    predictions.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("subject").parquet(f"{path}/predictions")
+    reports.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("subject").json(f"{path}/reports")
+    every = reports.sparkSession.read.schema(reports.schema).json(f"{path}/reports")
+    every.orderBy("subject").coalesce(1).write.mode("overwrite").json(f"{path}/summary")
+
+
 def unfinished(work: DataFrame, done: DataFrame, *keys: str) -> DataFrame:
     """What of ``work`` has no finished counterpart: how an interrupted run goes on."""
     return work.join(done.select(*keys).distinct(), list(keys), "left_anti")
