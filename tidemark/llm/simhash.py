@@ -165,7 +165,8 @@ def _sorted_runs(batches: Iterator[pa.RecordBatch], names: list[str], rows: int
 def near_links(classes: DataFrame, distance: int = 4, segments: int = 6, block: int = 8192) -> DataFrame:
     """(a, b) ties between the ids of classes (fp, rep): two classes are tied, directly
     or through others, if and only if a chain of fingerprints leads from one to the
-    other in steps of at most ``distance`` bits."""
+    other in steps of at most ``distance`` bits. Fingerprints are given once each; no classes,
+    or a single one, have no ties."""
     ring = Ring(distance, segments)
     rows = classes.select("fp", "rep", F.explode(F.array(*ring.key_columns("fp"))).alias("key"))
     crowded = rows.groupBy("key").count().where(F.col("count") > block)
@@ -197,7 +198,13 @@ def simhash_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     empty table gives an empty one.
     """
     fps = written(with_fingerprints(docs, text, doc_id, width), "fingerprints")
-    classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "classes")
+    classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("rep is not null"), "classes")
     parts = connected_components(near_links(classes, distance))
-    of = classes.join(parts, classes.rep == parts.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(of, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = classes.join(parts, classes.rep == parts.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"), "rep", "n")
+    # A document that is alone is its own component; the others of a fingerprint, of which
+    # there may be very many, are dealt to parts of it before they are joined.
+    of = of.where("n > 1 or component_id <> rep").drop("rep", "n")
+    rows = fps.withColumn("_s", F.pmod(F.xxhash64("doc_id"), F.lit(256)).cast("int"))
+    near = rows.select("fp", "_s").distinct().join(of, "fp")
+    d = rows.join(near, ["fp", "_s"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return d.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
