@@ -14,7 +14,7 @@ from tidemark.functions.keys import clip_id, natural_key, session_clip
 from tidemark.functions.numbers import fisher
 from tidemark.operators import align, lookup, metrics, pooling, regression, report, rows, splits, windows
 from tidemark.plans import encoding
-from tidemark.sources import files
+from tidemark.sources import files, storage
 from tidemark.streaming.responses import binned
 
 
@@ -372,3 +372,15 @@ def test_stream_equals_table(spark, data, tmp_path):
     q.stop()
     a = {(r.subject, r.parcel, r.start): r.n for r in spark.table("binned").collect()}
     assert a == {(r.subject, r.parcel, r.start): r.n for r in binned(spark.read.parquet(f"{data}/events.parquet")).collect()}
+
+
+def test_spread(spark, tmp_path):
+    spark.range(1000).withColumn("t", F.lit("x")).coalesce(1).write.parquet(f"{tmp_path}/one.parquet")
+    d = storage.spread(storage.table(spark, str(tmp_path), "one"))
+    assert d.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sorted(r.id for r in d.collect()) == list(range(1000))
+    many = spark.range(0, 1000, 1, 8 * spark.sparkContext.defaultParallelism)
+    assert storage.spread(many) is many
+    full = spark.range(0, 1000, 1, spark.sparkContext.defaultParallelism)
+    assert storage.spread(full) is full
+    assert storage.spread(spark.range(0)).count() == 0

@@ -6,12 +6,26 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table for work that costs far more than to move its rows. A file is read by one
+    task for each of its row groups, so small tables may keep only a few of all cores busy;
+    their rows are dealt anew. Tables with work for all are left alone, without a shuffle:
+    they aren't looked at if they have four splits for each core, and else by a job that
+    reads no column."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= 4 * cores:
+        return df
+    filled = df.select(F.spark_partition_id().alias("split")).distinct().count()
+    return df if filled >= cores else df.repartition(cores)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, which driver and executors share. Where that is unset, a
     temporary folder in local mode, in which there is one machine, and else an error."""
