@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from tidemark.sources.storage import new_path, shared_dir, table, written
+from tidemark.sources.storage import new_path, shared_dir, spread, table, written
 
 
 def chunks(batches: Iterator[pa.RecordBatch], *names: str, rows: int = 512, most: int = 1 << 22) -> Iterator[list[list]]:
@@ -53,4 +53,4 @@ def utf8(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-__all__ = ["chunks", "new_path", "parts_of", "shared_dir", "slices", "table", "utf8", "written"]
+__all__ = ["chunks", "new_path", "parts_of", "shared_dir", "slices", "spread", "table", "utf8", "written"]

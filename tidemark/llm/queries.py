@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import sql
 from tidemark.llm.chat import chat_format
-from tidemark.llm.common import table, written
+from tidemark.llm.common import spread, table, written
 from tidemark.llm.decontaminate import decontaminate
 from tidemark.llm.html_text import extract_text
 from tidemark.llm.neighbours import quality_scores
@@ -23,6 +23,11 @@ from tidemark.llm.token_files import read_token_files, token_folder, write_token
 from tidemark.llm.toxicity import toxicity_scores
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table of texts, with work for all cores."""
+    return spread(table(spark, sf_dir, name))
+
+
 def byte_bpe() -> str:
     import public_tokenizers
 
@@ -36,7 +41,7 @@ def piece_model() -> str:
 
 
 def op1_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampled_pieces(table(spark, sf_dir, "documents"), piece_model(), with_ids=False)
+    return sampled_pieces(texts(spark, sf_dir), piece_model(), with_ids=False)
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,17 +49,17 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+    return quality_rules(texts(spark, sf_dir).select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("lost", 6).alias("lost")
     )
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan(table(spark, sf_dir, "documents"), with_text=False)
+    return secret_scan(texts(spark, sf_dir), with_text=False)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity_scores(texts(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,19 +69,19 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_scores(texts(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_components(table(spark, sf_dir, "documents"))
+    return simhash_components(texts(spark, sf_dir))
 
 
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_text(table(spark, sf_dir, "pages"))
+    return extract_text(texts(spark, sf_dir, "pages"))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), unnamed=True).drop("hit_spans")
+    return decontaminate(texts(spark, sf_dir), table(spark, sf_dir, "benchmark"), unnamed=True).drop("hit_spans")
 
 
 QUERIES = {
