@@ -10,6 +10,8 @@ document of any length is one row's work in n log n.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,7 @@ CLOSERS = "\"'”’»)]}* \t\r"
 TERMINALS = ".!?…:;。！？．"
 SENTENCE = r"[.!?…。！？][\"'”’»)\]]* +[^ ]"
 MARKS = r"[#*$%&|<>!~=_^+]{2,}|[|»›·•]"
+ANY_MARK = r"[#*$%&|<>!~=_^+»›·•]"
 BOILERPLATE = (
     r"(?i)\b(?:all rights reserved|copyright (?:\(c\)|©|[0-9])|cookies? (?:policy|settings)|we use cookies|accept (?:all )?cookies|"
     r"privacy policy|terms of (?:use|service)|terms (?:and|&) conditions|enable javascript|requires javascript|"
@@ -28,6 +31,11 @@ BOILERPLATE = (
     r"skip to (?:main )?content|back to top|read more|todos los derechos reservados|tous droits réservés|"
     r"alle rechte vorbehalten|lorem ipsum)\b"
 )
+# In lower case, something of every match of the above: texts without any have no boilerplate.
+STEMS = (
+    "rights reserved", "copyright", "cookie", "privacy policy", "terms ", "javascript", "subscribe to our", "sign up for our", "share this", "follow us on",
+    "powered by", "click here to", "skip to", "back to top", "read more", "todos los derechos reservados", "tous droits r", "alle rechte vorbehalten", "lorem ipsum",
+)
 NAVIGATION = r"(?i)^(?:home|menu|search|log ?in|sign in|sign up|register|next|previous|contact(?: us)?|about(?: us)?|faq|help|sitemap)(?: *[|>»›·•/-].*)?$"
 
 
@@ -42,30 +50,30 @@ def _spaces(text: Column) -> Column:
 
 def _twice(pairs: Column) -> Column:
     """Positions ``i`` of those sorted structs (x, i) whose x occurs twice or more."""
-    n = F.size(pairs)
-    return F.when(n < 2, F.array().cast("array<int>")).otherwise(
-        F.array_distinct(
-            F.flatten(
-                F.zip_with(
-                    F.slice(pairs, F.lit(1), n - 1),
-                    F.slice(pairs, F.lit(2), n - 1),
-                    lambda a, b: F.when(a["x"] == b["x"], F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>")),
-                )
-            )
-        )
-    )
+    equal = F.filter(pairs, lambda p, k: (p["x"] == F.get(pairs, k - 1)["x"]) | (p["x"] == F.get(pairs, k + 1)["x"]))
+    return F.transform(equal, lambda p: p["i"])
+
+
+def may_hold_boilerplate(text: Column) -> Column:
+    """False only where no line of a text can be boilerplate: a plain search, much cheaper
+    than the pattern."""
+    low = F.lower(text)
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in STEMS])
 
 
-def line_passes(line: Column) -> Column:
+def line_passes(line: Column, boilerplate: Column | None = None) -> Column:
     """Whether a line stays: it is blank, or it ends as a sentence does (but for
     closing signs) or has one that ends before another, isn't mostly symbols or separators as in a menu, and is neither
-    a lone navigation entry nor boilerplate."""
+    a lone navigation entry nor boilerplate. ``boilerplate``, if given, is false where the
+    line is known not to be any."""
     end = F.right(F.rtrim(line, F.lit(CLOSERS)), F.lit(1))
     gaps = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
     punctuated = ((end != "") & (F.instr(F.lit(TERMINALS), end) > 0)) | line.rlike(SENTENCE)
-    marked = F.regexp_count(line, F.lit(MARKS)) * 4 > gaps + 1
+    # One look at each character before the alternatives.
+    marked = F.regexp_count(line, F.lit(f"(?={ANY_MARK})(?:{MARKS})")) * 4 > gaps + 1
+    unsure = F.lit(True) if boilerplate is None else boilerplate
     navigation = (gaps <= 12) & F.trim(line).rlike(NAVIGATION)
-    return ~line.rlike(NOT_SPACE) | (punctuated & ~marked & ~navigation & ~line.rlike(BOILERPLATE))
+    return ~line.rlike(NOT_SPACE) | (punctuated & ~marked & ~navigation & ~(unsure & line.rlike(BOILERPLATE)))
 
 
 def quality_rules(
@@ -88,7 +96,7 @@ def quality_rules(
     whole = F.coalesce(docs[text], F.lit(""))
     # Each step that is used inside a later array function is a column of its own, for
     # it to be computed once a row.
-    d = docs.select(carried, whole.alias("_t"), words_of(docs[text]).alias("_w"), F.split(whole, "\n").alias("_lines"))
+    d = docs.select(carried, whole.alias("_t"), words_of(docs[text]).alias("_w"), F.split(whole, "\n").alias("_lines"), may_hold_boilerplate(whole).alias("_unsure"))
     d = d.select(
         "*",
         F.when(
@@ -101,7 +109,7 @@ def quality_rules(
         .otherwise(F.array().cast("array<bigint>"))
         .alias("_h"),
         F.filter("_lines", lambda x: x.rlike(NOT_SPACE)).alias("_full"),
-        F.filter("_lines", line_passes).alias("_stay"),
+        F.filter("_lines", lambda x: line_passes(x, F.col("_unsure"))).alias("_stay"),
     )
     # Equal hashes only nominate windows; the windows themselves decide.
     d = d.select(
