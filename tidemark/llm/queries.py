@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import sql
+from tidemark.llm.alignment import counted_links, linked_by, token_groups
 from tidemark.llm.chat import chat_format
 from tidemark.llm.common import spread, table, written
 from tidemark.llm.decontaminate import decontaminate
@@ -84,6 +85,13 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(texts(spark, sf_dir), table(spark, sf_dir, "benchmark"), unnamed=True).drop("hit_spans")
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = token_groups(texts(spark, sf_dir), byte_bpe(), piece_model())
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    rows = written(groups.select("doc_id", "n_a", "n_b", "n_groups", "n_links", digest, "pairs", "times"), "alignments")
+    return counted_links(rows, linked_by(byte_bpe(), piece_model()))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -97,6 +105,7 @@ QUERIES = {
         op8_simhash,
         op9_main_text,
         op10_decontaminate,
+        op12_token_alignment,
     )
 }
 
