@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import sql
 from tidemark.llm.alignment import counted_links, linked_by, token_groups
+from tidemark.llm.centroids import centroid_clusters
 from tidemark.llm.chat import chat_format
 from tidemark.llm.common import spread, table, written
 from tidemark.llm.decontaminate import decontaminate
@@ -21,6 +22,7 @@ from tidemark.llm.quality_rules import quality_rules
 from tidemark.llm.secrets import secret_scan
 from tidemark.llm.simhash import simhash_components
 from tidemark.llm.token_files import read_token_files, token_folder, write_token_files
+from tidemark.llm.top_products import top_products
 from tidemark.llm.toxicity import toxicity_scores
 
 
@@ -85,6 +87,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(texts(spark, sf_dir), table(spark, sf_dir, "benchmark"), unnamed=True).drop("hit_spans")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(spread(table(spark, sf_dir, "embeddings")))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = token_groups(texts(spark, sf_dir), byte_bpe(), piece_model())
     digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
@@ -92,6 +98,10 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted_links(rows, linked_by(byte_bpe(), piece_model()))
 
 
+def op13_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(spread(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -105,8 +115,10 @@ QUERIES = {
         op8_simhash,
         op9_main_text,
         op10_decontaminate,
+        op11_centroids,
         op12_token_alignment,
+        op13_top_products,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_quality_rules": sql.QUALITY_RULES, "op10_decontaminate": sql.DECONTAMINATE}
+ORACLE_SQL: dict[str, str] = {"op3_quality_rules": sql.QUALITY_RULES, "op10_decontaminate": sql.DECONTAMINATE, "op11_centroids": sql.CENTROIDS, "op13_top_products": sql.TOP_PRODUCTS}

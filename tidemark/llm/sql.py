@@ -47,3 +47,28 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN j USING (doc_id)
 """
+
+_FINITE = "embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0"
+
+
+def _round(n: int) -> str:
+    """Vectors at their nearest centroids of round n, and the centroids of the next round."""
+    return f"""
+n{n} AS (SELECT vec_id, c, d FROM (SELECT vec_id, c, list_sum([(k.v[i] - c{n}.v[i]) * (k.v[i] - c{n}.v[i]) FOR i IN range(1, 65)])::BIGINT AS d FROM k, c{n}) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1),
+m{n} AS (SELECT c, list(m ORDER BY i) AS v FROM (SELECT c, i, floor(sum(x) / count(*))::BIGINT AS m FROM (SELECT c, unnest(range(1, 65)) AS i, unnest(v) AS x FROM n{n} JOIN k USING (vec_id)) GROUP BY c, i) GROUP BY c),
+c{n + 1} AS (SELECT c, coalesce(m{n}.v, c{n}.v) AS v FROM c{n} LEFT JOIN m{n} USING (c)),"""
+
+
+CENTROIDS = f"""
+WITH k AS (SELECT vec_id, [floor(64 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings WHERE len(embedding) = 64 AND {_FINITE}),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, v FROM k QUALIFY c < 16),{"".join(map(_round, range(4)))}
+s AS (SELECT c, sum(d)::BIGINT AS cluster_inertia FROM n3 GROUP BY c)
+SELECT vec_id, c::INT AS cluster, d AS distance, cluster_inertia, (SELECT sum(d)::BIGINT FROM n3) AS inertia, sha256(array_to_string(v, ',')) AS centroid_sha256
+FROM n3 JOIN s USING (c) JOIN c3 USING (c)
+"""
+
+TOP_PRODUCTS = f"""
+WITH k AS (SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings WHERE {_FINITE}),
+p AS (SELECT q.vec_id AS query_id, o.vec_id, list_inner_product(q.v, o.v)::BIGINT AS score FROM k q JOIN k o ON q.vec_id % 50 = 0 AND o.vec_id <> q.vec_id)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM p QUALIFY rank <= 5
+"""
