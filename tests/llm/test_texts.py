@@ -266,6 +266,18 @@ def test_token_files_of_rows_without_id(spark):
             assert 0 not in [i for i, _ in T.read_documents(f, f.size(), {0, 1})]
 
 
+def test_token_files_of_one_id_are_many(spark):
+    """Rows without id, or with a single one, are dealt to files like others, copies too."""
+    for i in (None, 7):
+        folder = new_path(spark, "tokens")
+        texts = ["the same text"] * 300 + [f"text {k}" for k in range(300)]
+        files = written(T.write_token_files(spark.createDataFrame([(i, t) for t in texts], "doc_id long, text string").repartition(4), folder, BPE, partitions=6), "files")
+        sizes = [r.n_docs for r in files.collect()]
+        assert sum(sizes) == 600 and len(sizes) >= 4 and max(sizes) < 300
+        got = sorted(T.read_token_files(files, folder).collect(), key=lambda r: r.start)
+        assert len(got) == 600 and all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
+
+
 def test_items_without_id_hit(spark, tmp_path):
     """As the SQL has it, of the same tables."""
     import duckdb

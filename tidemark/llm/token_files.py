@@ -20,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyarrow import fs
@@ -35,8 +36,50 @@ END_ID = 0
 # ASCII punctuation: signs that are a piece of text of their own after a letter.
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
-ENTRY = 180  # bytes, about, that a word takes beside three for each letter
-AT_ONCE = 1 << 20  # characters whose words are held at once; a longer text is taken alone
+ENTRY = 130  # bytes, about, that a word takes beside its letters and ids
+AT_ONCE = 1 << 21  # characters whose words are held at once; a longer text is taken alone
+
+
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of all items of runs that begin at ``starts``, run after run."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+class Runs:
+    """Runs of numbers by word, in one array that grows at its end."""
+
+    def __init__(self, kind: str, entry: int):
+        self.number: dict[str, int] = {}
+        self.kind, self.entry, self.held = np.dtype(kind), entry, 0
+        self.start, self.size, self.items = np.empty(1024, np.int64), np.empty(1024, np.int64), np.empty(1024, self.kind)
+        self.n = self.used = 0
+
+    def add(self, words: list[str], sizes: np.ndarray, items: np.ndarray) -> np.ndarray:
+        """The numbers of new words, whose runs follow each other in ``items``."""
+        n, used = self.n + len(words), self.used + len(items)
+        if n > len(self.start):
+            self.start, self.size = (np.concatenate([x[: self.n], np.empty(n - self.n + self.n // 2, np.int64)]) for x in (self.start, self.size))
+        if used > len(self.items):
+            self.items = np.concatenate([self.items[: self.used], np.empty(used - self.used + self.used // 2, self.kind)])
+        self.start[self.n : n] = self.used + np.cumsum(sizes) - sizes
+        self.size[self.n : n] = sizes
+        self.items[self.used : used] = items
+        numbers = np.arange(self.n, n)
+        self.number.update(zip(words, numbers.tolist(), strict=True))
+        self.held += self.entry * len(words) + sum(map(len, words)) + self.kind.itemsize * len(items)
+        self.n, self.used = n, used
+        return numbers
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """The numbers of words; -1 for those that aren't here."""
+        get = self.number.get
+        return np.array([get(w, -1) for w in words], np.int64)
+
+    def taken(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, items) of these runs, one after another."""
+        sizes = self.size[numbers]
+        return sizes, self.items[ragged(self.start[numbers], sizes)]
 
 
 class Encoder:
@@ -45,11 +88,12 @@ class Encoder:
     Byte-level pieces never cross the start of a space or line break that has something
     other than white space after it, so the ids of a text are those of its words, each
     with that space or line break before it. That holds for the pre-tokenizer that is
-    asked for on loading; another one raises. Words recur: each is encoded once and its
-    ids are kept, as long as they take about ``most`` bytes; then they are put aside,
-    until as many others came, and those that come again are taken back. Words of more
-    than ``longest`` characters, as in text without spaces, aren't kept. Texts with
-    other white space, or with a special token, go to the library as a whole.
+    asked for on loading; another one raises. Words recur: the different words of a batch
+    are found first, and each is encoded once and its ids are kept, as long as they take
+    about ``most`` bytes; then they are put aside, until as many others came, and those
+    that come again are taken back. Words of more than ``longest`` characters, as in text
+    without spaces, aren't kept. Texts with other white space, or with a special token,
+    go to the library as a whole.
     """
 
     def __init__(self, path: str, most: int = 128 << 20, longest: int = 128):
@@ -62,61 +106,75 @@ class Encoder:
         rule = parts["pre_tokenizer"] or {}
         if parts["normalizer"] or rule.get("type") != "ByteLevel" or rule.get("add_prefix_space") or not rule.get("use_regex", True):
             raise ValueError("texts are cut for plain byte-level pieces")
-        self.most, self.longest, self.held = most, longest, 0
+        self.most, self.longest = most, longest
         self.special = [x.content for x in t.get_added_tokens_decoder().values()]
         self.starts = np.zeros(t.get_vocab_size(), bool)  # of ids that begin with a space or line break
         for token, i in t.get_vocab().items():
             self.starts[i] = token[0] in "\u0120\u010a"
-        self.known: dict[str, bytes] = {}
-        self.signs: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.learn({"\n"})
+        self.words_of, self.old = Runs("<u4", ENTRY), Runs("<u4", ENTRY)
+
+    @property
+    def held(self) -> int:
+        return self.words_of.held
+
+    @property
+    def known(self) -> dict[str, int]:
+        return self.words_of.number
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def words(self, text: str) -> list[str] | None:
-        """The words of a text: bare after a space, else with the line break before them;
-        the first has one put before it. None if the text must be encoded as a whole."""
-        words = text.replace("\n", " \n").split(" ")
-        if "" in words or "\n\n\n" in text or "\n\n " in text or text.endswith("\n\n") or not text.replace("\n", "").isprintable() or any(x in text for x in self.special):
+    def spaced(self, text: str) -> str | None:
+        """A text with spaces between its words: bare after a space, else with the line break
+        before them; the first has one put before it. None if the text must be encoded
+        as a whole."""
+        if not text or text[0] in " \n" or "  " in text or text[-1] == " " or " \n" in text or "\n\n\n" in text or "\n\n " in text or text.endswith("\n\n") or any(x in text for x in self.special):
             return None
-        words[0] = "\n" + words[0]
-        return words
-
-    def learn(self, words: set[str]) -> None:
-        """Encodes new words, many at a time. Signs after a letter are a piece of text by
-        themselves, so of such a word its beginning and its signs are encoded apart."""
-        known, old, new, joined = self.known, self.old, [], []
-        for w in words:
-            if (ids := old.get(w)) is not None:
-                known[w] = ids
-                continue
+        spaced = text.replace("\n", " \n")
+        return "\n" + spaced if text.replace("\n", "").isprintable() else None
+
+    def words(self, text: str) -> list[str] | None:
+        """The words of spaced(), if there are any."""
+        spaced = self.spaced(text)
+        return spaced.split(" ") if spaced else None
+
+    def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, ids) of words, by the library, many at a time."""
+        sizes, found = [np.empty(0, np.int64)], [np.empty(0, "<u4")]
+        for at in range(0, len(words), 1024):
+            ids = self.ids("".join([w if w[0] == "\n" else " " + w for w in words[at : at + 1024]]))
+            sizes.append(np.diff(np.append(np.flatnonzero(self.starts[ids]), len(ids))))
+            found.append(ids)
+        return np.concatenate(sizes), np.concatenate(found)
+
+    def learn(self, words: list[str]) -> None:
+        """Encodes new words. Signs after a letter are a piece of text by themselves, so of
+        such a word its beginning and its signs are encoded apart."""
+        known = self.words_of
+        again = self.old.of(words)
+        at = np.flatnonzero(again >= 0)
+        known.add([words[k] for k in at.tolist()], *self.old.taken(again[at]))
+        new, joined = [], []
+        for w in [words[k] for k in np.flatnonzero(again < 0).tolist()]:
             base = w.rstrip(SIGNS)
             if base != w and base and base[-1].isalpha() and base[-1] < "\u2000":
                 joined.append((w, base, w[len(base) :]))
             else:
                 new.append(w)
-        bases = {base for _, base, _ in joined if base not in known}.difference(new)
-        for base in bases:
-            if (ids := old.get(base)) is not None:
-                known[base] = ids
-            else:
-                new.append(base)
-        groups = [new[at : at + 256] for at in range(0, len(new), 256)]
-        for part in groups:
-            text = "".join([w if w[0] == "\n" else " " + w for w in part])
-            ids = self.ids(text)
-            ends = [*(4 * np.flatnonzero(self.starts[ids])).tolist(), 4 * len(ids)]
-            raw = ids.tobytes()
-            known.update(zip(part, [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)], strict=True))
-        for w, base, signs in joined:
-            if signs not in self.signs:
-                if len(self.signs) > 10_000:
-                    self.signs.clear()
-                self.signs[signs] = self.ids(signs).tobytes()
-            known[w] = known[base] + self.signs[signs]
-        self.held += ENTRY * (len(words) + len(bases)) + 3 * (sum(map(len, words)) + sum(map(len, bases)))
+        new += {base for _, base, _ in joined if base not in known.number}.difference(new)
+        known.add(new, *self.encoded(new))
+        if joined:
+            signs = list({x for _, _, x in joined})
+            ids = [self.ids(x) for x in signs]
+            ends = Runs("<u4", 0)
+            ends.add(signs, np.array(list(map(len, ids)), np.int64), np.concatenate(ids))
+            parts = [own.taken(own.of([x[k] for x in joined])) for k, own in ((1, known), (2, ends))]
+            sizes = parts[0][0] + parts[1][0]
+            out = np.empty(int(sizes.sum()), "<u4")
+            starts = np.cumsum(sizes) - sizes
+            for k, (n, items) in enumerate(parts):
+                out[ragged(starts + k * parts[0][0], n)] = items
+            known.add([w for w, _, _ in joined], sizes, out)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as bytes, without an end id."""
@@ -127,31 +185,27 @@ class Encoder:
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         if self.held > self.most:
-            self.old, self.known, self.held = self.known, {}, 0
-            self.learn({"\n"})
-        out: list[bytes] = []
-        open_texts, missing, get = [], set(), self.known.get
-        for k, t in enumerate(texts):
-            ws = self.words(t)
-            if ws is None:
-                out.append(self.ids(t).tobytes())
-                continue
-            ids = list(map(get, ws))
-            unknown = [w for w, x in zip(ws, ids, strict=True) if x is None]
-            if unknown:
-                missing.update(unknown)
-                open_texts.append((k, ws, ids))
-                out.append(b"")
-            else:
-                out.append(b"".join(ids)[4:])  # less the line break that was put before the first word
-        if missing:
-            self.learn(missing)
-            for k, ws, ids in open_texts:
-                out[k] = b"".join([self.known[w] if x is None else x for w, x in zip(ws, ids, strict=True)])[4:]
-            for w in [w for w in missing if len(w) > self.longest]:
-                for own in {w, w.rstrip(SIGNS)}.intersection(self.known):
-                    del self.known[own]
-                    self.held -= ENTRY + 3 * len(own)
+            self.old, self.words_of = self.words_of, Runs("<u4", ENTRY)
+        spaced = [self.spaced(t) for t in texts]
+        words = pc.split_pattern(pa.array([t for t in spaced if t is not None], pa.string()), " ")
+        place = words.flatten().dictionary_encode()
+        # No word holds a space: to join and split them is faster than to take them one by one.
+        one = pa.ListArray.from_arrays(pa.array([0, len(place.dictionary)], pa.int32()), place.dictionary)
+        different = pc.binary_join(one, " ")[0].as_py().split(" ") if len(place.dictionary) else []
+        known = self.words_of
+        number = known.of(different)
+        missing = np.flatnonzero(number < 0).tolist()
+        self.learn([different[k] for k in missing])
+        number[missing] = known.of([different[k] for k in missing])
+        sizes, ids = known.taken(number[place.indices.to_numpy()])
+        ends = np.concatenate([[0], np.cumsum(sizes)])[words.offsets.to_numpy()].tolist()
+        # The line break that was put before a text is one id.
+        found = (ids[a + 1 : b].tobytes() for a, b in zip(ends, ends[1:], strict=False))
+        out = [self.ids(t).tobytes() if x is None else next(found) for t, x in zip(texts, spaced, strict=True)]
+        for w in [different[k] for k in missing if len(different[k]) > self.longest]:
+            for own in {w, w.rstrip(SIGNS)}.intersection(known.number):
+                known.held -= known.entry + len(own)  # its ids go with the others
+                del known.number[own]
         return out
 
 
@@ -220,12 +274,16 @@ def write_token_files(
     names: what an attempt left that was lost or overtaken is in no row and is never
     read. Write the rows once, and read the files that they list. A null text is an empty one: its document has the end id only. Rows
     without id come first and keep none; rows that repeat an id, or have none, are
-    separate documents, one after another in one file. An empty table gives no file.
+    separate documents, one after another in the order of what their texts begin with,
+    in as many files as others. An empty table gives no file.
     Memory is that of one batch of texts, the index of one file and the words that a
     process remembers, which are bounded in bytes.
     """
     ids_of = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    by_id = ids_of.repartitionByRange(*([partitions] if partitions else []), "doc_id").sortWithinPartitions("doc_id", "text")
+    # Behind the id, a key by which rows that have none, or share one, are dealt to many files.
+    order = ("doc_id", "_begin", "_hash", "_row")
+    keyed = ids_of.select("doc_id", "text", F.substring("text", 1, 64).alias("_begin"), F.xxhash64("text").alias("_hash"), F.monotonically_increasing_id().alias("_row"))
+    by_id = keyed.repartitionByRange(*([partitions] if partitions else []), *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(batches):
         part = TaskContext.get().partitionId()
@@ -235,7 +293,7 @@ def write_token_files(
         doc_ids: list[int | None] = []
         sizes: list[tuple[int, int, int]] = []
         out, end = None, np.array([END_ID], "<u4").tobytes()
-        for ids, texts in chunks(batches, "doc_id", "text", rows=256):
+        for ids, texts in chunks(batches, "doc_id", "text", rows=1024):
             if out is None:
                 store.create_dir(root, recursive=True)
                 out = store.open_output_stream(f"{root}/{path}", compression=None)
