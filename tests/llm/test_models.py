@@ -246,7 +246,7 @@ def test_votes_of_neighbours_against_a_loop():
 def test_quality_against_brute_force(spark, data):
     """Scores of the query by dense vectors, all documents in one matrix."""
     docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
-    got = {r.doc_id: r.score for r in quality_scores(docs, labels, rank=500).collect()}
+    got = {r.doc_id: r.score for r in quality_scores(docs, labels).collect()}
     rows, f = docs.select("doc_id", "text").orderBy("doc_id").collect(), N.Features(8192)
     dense = np.zeros((len(rows), f.size))
     for k, r in enumerate(rows):
@@ -259,15 +259,40 @@ def test_quality_against_brute_force(spark, data):
     y = {r.doc_id: r.quality for r in labels.where(fold("doc_id", 4) != 2).collect()}
     train = [k for k, r in enumerate(rows) if r.doc_id in y]
     target = np.array([y[rows[k].doc_id] for k in train], float)
-    # All directions of the sample are kept: a document's part outside them has no cosine.
-    u = np.linalg.svd(dense[train], full_matrices=False)[2]
-    u = u[: np.linalg.matrix_rank(dense[train])]
+    u = np.linalg.svd(dense[train], full_matrices=False)[2][: min(64, np.linalg.matrix_rank(dense[train]))]
     latent = dense @ u.T
     latent /= np.linalg.norm(latent, axis=1, keepdims=True) + 1e-9
     prior = target.mean()
     weight = np.where(target == 1, prior / target.sum(), (1 - prior) / (1 - target).sum()) * len(target)
-    want = N.vote(latent @ latent[train].T, target, weight, prior, 25, 4.0)
-    assert max(abs(got[r.doc_id] - w) for r, w in zip(rows, want, strict=True)) < 0.02
+    for r, v in zip(rows, latent, strict=True):
+        c = [round(float(v @ latent[k]), 6) for k in train]
+        last = sorted(c, reverse=True)[:25][-1]
+        above, ties = sum(x > last for x in c), sum(x == last for x in c)
+        w = [max(x, 0) ** 4 * weight[k] * (1 if x > last else (min(25, len(c)) - above) / ties) if x >= last else 0 for k, x in enumerate(c)]
+        want = (sum(x * t for x, t in zip(w, target)) + 1e-3 * prior) / (sum(w) + 1e-3)
+        assert abs(got[r.doc_id] - want) < 1e-6, r.doc_id
+    for n in (1, 7):  # a row's score is the same whatever rows are in its task
+        again = {r.doc_id: r.score for r in quality_scores(docs.repartition(n), labels).collect()}
+        assert again == got
+
+
+def test_ties_share_their_places():
+    """Equal neighbours count alike, whatever their order, and rows alone as in a block."""
+    rng = np.random.default_rng(3)
+    latent = rng.standard_normal((60, 8))
+    latent[:] = latent[0] / np.linalg.norm(latent[0])
+    y = (rng.random(60) < 0.5).astype(float)
+    rows = np.concatenate([latent[:1], rng.standard_normal((99, 8))])
+    score = N.vote(N.cosines(rows, latent), y, np.ones(60), 0.5, 25, 4.0)
+    order = rng.permutation(60)
+    assert np.allclose(score, N.vote(N.cosines(rows, latent[order]), y[order], np.ones(60), 0.5, 25, 4.0), rtol=0, atol=1e-12)
+    assert abs(score[0] - y.mean()) < 1e-3
+    known = rng.standard_normal((2000, 64))
+    known /= np.linalg.norm(known, axis=1, keepdims=True)
+    y, many = (rng.random(2000) < 0.5).astype(float), rng.standard_normal((256, 64))
+    whole = N.vote(N.cosines(many, known), y, np.ones(2000), 0.5, 25, 4.0)
+    alone = np.concatenate([N.vote(N.cosines(many[k : k + 1], known), y, np.ones(2000), 0.5, 25, 4.0) for k in range(256)])
+    assert (whole == alone).all()
 
 
 def test_classifiers_on_odd_texts(spark, data):

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import chunks, written
 from tidemark.llm.labelled import class_counts, fold, sampled, texts_of, training_labels
 
+BLOCK = 256  # rows whose products are taken together
 ENTRY = 170  # bytes, about, that a remembered word takes beside two for each letter
 
 
@@ -127,23 +128,35 @@ def sparse(sample: DataFrame, dims: int, idf: np.ndarray) -> DataFrame:
     return own.mapInArrow(run, "doc_id long, y int, places array<long>, weights array<double>")
 
 
-def latent_basis(rows: np.ndarray, rank: int, seed: int = 7, rounds: int = 4) -> np.ndarray:
-    """The leading right singular vectors of a matrix, one a column, by randomised
-    subspace iteration."""
-    q = np.random.default_rng(seed).standard_normal((rows.shape[1], min(rank + 16, *rows.shape))).astype(np.float32)
-    for _ in range(rounds):
-        q, _ = np.linalg.qr(rows.T @ (rows @ q))
-    u, _, vt = np.linalg.svd(rows @ q, full_matrices=False)
-    return (q @ vt.T)[:, :rank].astype(np.float32)
+def latent_basis(rows: np.ndarray, rank: int) -> np.ndarray:
+    """The leading right singular vectors of a matrix, one a column, from the products of its
+    rows, of which there are few. Directions of no length are left out."""
+    squares, u = np.linalg.eigh(rows @ rows.T)
+    keep = np.flatnonzero(squares > squares[-1] * 1e-12)[::-1][:rank]
+    return rows.T @ (u[:, keep] / np.sqrt(squares[keep]))
 
 
 def vote(cosines: np.ndarray, y: np.ndarray, weight: np.ndarray, prior: float, k: int, power: float) -> np.ndarray:
     """Share of label 1 among the k nearest of each row, weighted by similarity and by
-    class; the prior has the weight of one weak neighbour."""
-    k = min(k, cosines.shape[1])
-    near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-    w = np.maximum(np.take_along_axis(cosines, near, axis=1), 0.0) ** power * weight[near]
-    return ((w * y[near]).sum(axis=1) + 1e-3 * prior) / (w.sum(axis=1) + 1e-3)
+    class; the prior has the weight of one weak neighbour. Neighbours that tie for the
+    last places share these. Each row's sums are over its own neighbours, in their order."""
+    n, k = len(cosines), min(k, cosines.shape[1])
+    last = np.partition(cosines, cosines.shape[1] - k, axis=1)[:, cosines.shape[1] - k]
+    row, near = np.nonzero(cosines >= last[:, None])
+    c = cosines[row, near]
+    tied = c == last[row]
+    ties = np.bincount(row[tied], minlength=n)
+    share = (k - np.bincount(row[~tied], minlength=n)) / ties
+    w = np.maximum(c, 0.0) ** power * weight[near] * np.where(tied, share[row], 1.0)
+    return (np.bincount(row, weights=w * y[near], minlength=n) + 1e-3 * prior) / (np.bincount(row, weights=w, minlength=n) + 1e-3)
+
+
+def cosines(rows: np.ndarray, latent: np.ndarray, places: int = 6) -> np.ndarray:
+    """Cosines of rows with vectors of length 1, rounded so that the last digits, which
+    depend on what is multiplied together, decide nothing. Products are of one size."""
+    block = np.zeros((BLOCK, rows.shape[1]))
+    block[: len(rows)] = rows / (np.linalg.norm(rows, axis=1, keepdims=True) + 1e-9)
+    return np.round(block @ latent.T, places)[: len(rows)]
 
 
 def quality_scores(
@@ -171,7 +184,7 @@ def quality_scores(
         idf = inverse_frequencies(docs, dims)
         rows = sparse(sample, dims, idf).orderBy("doc_id").collect()
         y = np.array([r.y for r in rows], np.float64)
-        matrix = np.zeros((len(rows), Features(dims).size), np.float32)
+        matrix = np.zeros((len(rows), Features(dims).size))
         for i, r in enumerate(rows):
             matrix[i, r.places] = r.weights
         basis = latent_basis(matrix, rank)
@@ -183,16 +196,15 @@ def quality_scores(
 
     def run(batches):
         m, f = shared.value, features(dims)
-        for ids, texts in chunks(batches, "doc_id", "text", rows=256):
+        for ids, texts in chunks(batches, "doc_id", "text", rows=BLOCK):
             scores = np.full(len(ids), prior)
             if m:
                 idf, basis, latent, y, weight = m
-                block = np.zeros((len(ids), basis.shape[1]), np.float32)
+                block = np.zeros((len(ids), basis.shape[1]))
                 for i, t in enumerate(texts):
                     at, v = f.vector(t, idf)
                     block[i] = v @ basis[at]
-                block /= np.linalg.norm(block, axis=1, keepdims=True) + 1e-9
-                scores = np.clip(vote(block @ latent.T, y, weight, prior, k, power), 0.0, 1.0)
+                scores = np.clip(vote(cosines(block, latent), y, weight, prior, k, power), 0.0, 1.0)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
