@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import slices
+
 # Kinds of elements, and names that tell what an element is for.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript textarea title template iframe object svg canvas select audio video noembed noframes".split())
@@ -43,62 +45,97 @@ _STRONG = (
     r"ads?|adverts?|advertis\w*|adsense|adslot|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscri\w*|comments?|commentlist|disqus|"
     r"sidebar|widget|nav\w*|breadcrumbs?|pager|pagination|toolbar|topbar|masthead|footer|recirc|outbrain|taboola|login|signup|hidden|sr-only|author-bio|toc"
 )
-_WEAK = r"side|related|recommended|discussion|search|legal|social|notices?|alert|respond|reply|replies|rail|menu|header|foot|share|sharing|tags|meta|byline|copyright|disclaimer|skip"
+_WEAK = r"side|related|recommended|discussion|thread|answers|search|legal|social|notices?|alert|respond|reply|replies|rail|menu|header|foot|share|sharing|tags|meta|byline|copyright|disclaimer|skip"
 UNLIKELY = re.compile(rf"(?i)(?:^|[\s_-])(?:{_STRONG}|{_WEAK})(?=$|[\s_-])")
 # Whole class names that are of such words only; weak ones are said of text as well.
 NOISE = re.compile(rf"(?i)(?:(?:{_STRONG}|{_WEAK})[_-])*(?:{_STRONG})(?:[_-](?:{_STRONG}|{_WEAK}))*")
 WEAK_NOISE = re.compile(rf"(?i)(?:{_WEAK})(?:[_-](?:{_WEAK}))*")
+# Parts of names, between hyphens and the like, that say for certain what an element is for.
+CERTAIN = frozenset("comment comments commentlist disqus ad ads advert adverts advertisement advertisements advertising adsense adslot sponsor sponsors sponsored cookie cookies notice notices".split())
+# Parts of names of what stands behind an article.
+FOLLOWS = frozenset("related recommended thread answers respond reply replies share sharing social rail".split())
+# Names that say what an element has or lacks, not what it is, and ids that are so whatever heading they are of.
+DENIED = re.compile(r"(?i)(?<![\w-])(?:no|not|without|has|have|with|hide|show)[_-][\w-]+")
+REMARKS = frozenset("comment comments disqus".split())
 # What an element of a weak name must have to be text: characters, and at most that share of them in links.
 LONG, LINKED = 200, 0.3
-# What names say of an element: nothing, or doubt by its id, by parts of class names, by weak or by other whole class names.
-BY_ID, BY_PART, BY_WEAK, BY_CLASS = 1, 2, 3, 4
+# What names say of an element: nothing, or doubt by its id, by parts of class names, by weak or by other whole class names,
+# or by a part that is certain.
+BY_ID, BY_PART, BY_WEAK, BY_CLASS, SURE = 1, 2, 3, 4, 5
 LIKELY = re.compile(r"(?i)(?:^|[\s_-])(?:article|body|content|entry|main|page|post|story|text|blog|hentry)(?=$|[\s_-])")
 BODY = re.compile(r"(?i)article|content-body|post-body|entry-content")
 COMMENT = re.compile(r"(?i)(?:^|[\s_-])(?:comments?|reply|replies|respond|advert\w*|sponsor\w*|promo\w*)(?=$|[\s_-])")
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-TAG = re.compile(r"""<!--(?:>|->|.*?(?:-->|--!>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
+TAG = re.compile(r"""<!--(?:>|->|.*?(?:-->|--!>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 HIDDEN = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "block", "dropped", "doubtful", "noise", "bonus", "score", "text", "links")
+    __slots__ = ("tag", "parent", "children", "block", "dropped", "doubtful", "noise", "bonus", "score", "text", "links", "name", "follows")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool = False, doubtful: int = 0, bonus: float = 0.0):
         self.tag, self.parent, self.dropped, self.doubtful, self.bonus = tag, parent, dropped, doubtful, bonus
         self.block: Node = self if tag in BLOCKS or parent is None else parent.block  # the nearest that is one
         self.children: list[Node | str] = []
-        self.score = 0.0
+        self.score, self.name, self.follows = 0.0, "", False
         self.noise = True  # whether it is left out of an article, too, if in doubt
         self.text = self.links = 0  # characters below, and those of them in links
 
 
-def _role(tag: str, attributes: str, parent: Node) -> tuple[bool, int, float]:
-    """(left out, how its names are doubtful, bonus) of an element by its tag and attributes.
+def parts_of(names: str) -> list[str]:
+    return re.split(r"[\s_-]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", names).lower())
+
+
+def certain(names: str) -> bool:
+    """Whether a whole part of a name says for certain that an element isn't of the article."""
+    return not CERTAIN.isdisjoint(parts_of(DENIED.sub(" ", names)))
+
+
+def _role(tag: str, attributes: str, parent: Node) -> tuple[bool, int, float, str, bool]:
+    """(left out, how its names are doubtful, bonus, id, whether it follows articles) of an element by its tag and attributes.
     The header of an article is kept for its headings, by blocks()."""
-    drop, doubt = tag in DROPPED and not (tag == "header" and parent.tag in ("article", "main", "section")), 0
+    drop, doubt, name, follows = tag in DROPPED and not (tag == "header" and parent.tag in ("article", "main", "section")), 0, "", False
     doubt = BY_CLASS if tag in FORMS else doubt
     bonus = 25.0 if tag == "article" else 15.0 if tag == "main" else 0.0
     if attributes and not attributes.isspace():
         a = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)}
-        names = f"{a.get('class', '')} {a.get('id', '')}".strip()
+        name = a.get("id", "")
+        names = DENIED.sub(" ", f"{a.get('class', '')} {name}").strip()
         main = tag in ("main", "body", "html")
         if a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or HIDDEN.search(a.get("style", "")):
             drop = drop or not main
         if names and not main and tag not in HEADINGS:
-            if tag == "article":
+            if certain(names):
+                doubt = SURE
+            elif tag == "article":
                 doubt = BY_CLASS if COMMENT.search(names) else 0
             elif doubt:
                 pass
             elif UNLIKELY.search(names) and not BODY.search(names):
                 classes = a.get("class", "").split()
                 whole = BY_CLASS if any(map(NOISE.fullmatch, classes)) else BY_WEAK if any(map(WEAK_NOISE.fullmatch, classes)) else 0
+                follows = not FOLLOWS.isdisjoint(parts_of(names))
                 doubt = whole or (BY_PART if UNLIKELY.search(" ".join(classes)) else BY_ID)
             elif LIKELY.search(names):
                 bonus += 10.0
-    return drop, doubt, bonus
+    return drop, doubt, bonus, name, follows
+
+
+def slug(text: str) -> str:
+    """A heading as generators of pages make an id of it."""
+    return re.sub(r"[\W_]+", "-", html.unescape(text).lower()).strip("-")
+
+
+def titled(n: Node) -> bool:
+    """Whether an element is the section of a heading: its id is made of the heading that it
+    begins with. Remarks of readers are remarks also below such a heading."""
+    if not n.name or n.name.lower() in REMARKS:
+        return False
+    first = next((c for c in n.children if isinstance(c, Node) or c.strip()), None)
+    return isinstance(first, Node) and first.tag in HEADINGS and slug(_inline(first)) == slug(n.name)
 
 
 class Path:
@@ -173,7 +210,7 @@ def parse(page: str) -> Node:
             if name == "hr":
                 _child(Node("hr", node))
             continue
-        drop, doubt, bonus = _role(name, attributes, node)
+        drop, doubt, bonus, own_id, follows = _role(name, attributes, node)
         if name in RAW and not attributes.endswith("/"):
             # Its content isn't markup: what counts is the next end tag of that name.
             if low is None:
@@ -182,6 +219,7 @@ def parse(page: str) -> Node:
             at = end if stop < 0 else (low.find(">", stop) + 1 or end)
             continue
         child = Node(name, node, drop, doubt, bonus)
+        child.name, child.follows = own_id if doubt else "", follows
         if not attributes.endswith("/") or name in BLOCKS:
             path.open(child)
         else:
@@ -195,9 +233,11 @@ def _child(node: Node) -> Node:
 
 
 def settle(root: Node) -> None:
-    """Leaves out elements whose names say that they aren't of the article, but for what
-    holds it nevertheless: an article or main element, or, on a page without one, most of
-    the text in several paragraphs. Long text without many links isn't left out for an id."""
+    """Leaves out elements whose names say that they aren't of the article, but for the
+    sections of headings, and for what holds the article nevertheless: an article or main
+    element, or, on a page without one, most of the text in several paragraphs. Long text
+    without many links isn't left out for an id. What is named for certain is held to be
+    the article only if there is none elsewhere."""
     order, stack = [], [root]
     while stack:
         n = stack.pop()
@@ -206,6 +246,9 @@ def settle(root: Node) -> None:
             stack.extend(c for c in n.children if isinstance(c, Node))
     if not any(n.doubtful for n in order):
         return
+    for n in order:
+        if n.doubtful and titled(n):
+            n.doubtful = 0
     sums: dict[int, list[int]] = {id(n): [sum(len(c.strip()) for c in n.children if isinstance(c, str)), 0, 0, 0] for n in order}
     for n in reversed(order):
         own = sums[id(n)]
@@ -215,25 +258,35 @@ def settle(root: Node) -> None:
         if n.parent is not None:
             up = sums[id(n.parent)]
             for k in range(4):
-                up[k] += own[k]
+                up[k] += own[k] if k != 1 or n.doubtful != SURE else 0
     total, mains = sums[id(root)][:2]
     for n in order:
         text, inside, paragraphs, links = sums[id(n)]
-        is_text = text >= LONG and links <= LINKED * text
-        n.dropped = bool(n.doubtful) and not inside and not (not mains and paragraphs > 2 and text > 0.6 * total) and not (n.doubtful == BY_ID and is_text)
-        n.noise = n.doubtful == BY_CLASS or n.doubtful == BY_WEAK and not is_text
+        is_text, most = text >= LONG and links <= LINKED * text, not mains and paragraphs > 2 and text > 0.6 * total
+        if n.doubtful == SURE:
+            n.dropped = not most
+        else:
+            n.dropped = bool(n.doubtful) and not inside and not most and not (n.doubtful == BY_ID and is_text)
+        n.noise = n.doubtful in (BY_CLASS, SURE) or n.doubtful == BY_WEAK and not is_text
 
 
 def restored(nodes: list[Node]) -> list[Node]:
     """These nodes, with what was left out in them for no more than parts of names or an
-    id, or for a weak name although it is text."""
-    stack = [n for n in nodes if n.tag not in ("html", "body")]
+    id, or for a weak name although it is text; but not related pages and answers, if they
+    stand behind the last paragraph that isn't in doubt itself."""
+    order, stack, last = [], [(n, False) for n in reversed(nodes) if n.tag not in ("html", "body")], -1
     while stack:
-        n = stack.pop()
-        if n.dropped and n.doubtful and not n.noise:
+        n, doubt = stack.pop()
+        doubt = doubt or n.dropped or bool(n.doubtful)
+        if n.dropped and (n.noise or not n.doubtful):
+            continue
+        if n.tag == "p" and not doubt and _inline(n).strip():
+            last = len(order)
+        order.append(n)
+        stack.extend((c, doubt) for c in reversed(n.children) if isinstance(c, Node))
+    for k, n in enumerate(order):
+        if n.dropped and (k < last or last < 0 or not n.follows):
             n.dropped = False
-        if not n.dropped:
-            stack.extend(c for c in n.children if isinstance(c, Node))
     return nodes
 
 
@@ -356,7 +409,8 @@ def extract_text(pages: DataFrame, markup: str = "html", keep: tuple[str, ...] =
 
     A null or empty page, and one without any text, has an empty text. Pages of any
     length and depth are parsed whole, without recursion. Rows are independent: repeated
-    rows, further columns and an empty table change nothing.
+    rows, further columns and an empty table change nothing. ``keep`` may name any columns
+    but the added ones.
     """
     kept = pages.select(*keep, F.col(markup).alias("_html"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]]
@@ -364,8 +418,7 @@ def extract_text(pages: DataFrame, markup: str = "html", keep: tuple[str, ...] =
     def run(batches):
         for b in batches:
             at = b.num_columns - 1
-            for start in range(0, b.num_rows, 128):
-                part = b.slice(start, 128)
+            for part in slices(b, at, 128, 1 << 22):
                 texts = [main_text(x) for x in part.column(at).to_pylist()]
                 arrays = [part.column(i) for i in range(at)] + [pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*part.schema.names[:at], "text", "n_chars"])
