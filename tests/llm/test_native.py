@@ -55,6 +55,21 @@ def test_quality_verdicts(spark):
     assert quality_rules(d).where("kept").count() == 3  # filters above the steps end, too
 
 
+def test_navigation_lines_by_their_words(spark):
+    """What starts like a menu entry is one up to a number of words, which is a parameter."""
+    menu = "Home | " + " ".join(f"part{k}" for k in range(17)) + "."  # 19 words
+    text = "\n".join(" ".join(f"word{k * 31 + j * 7}" for j in range(9)) + "." for k in range(12)) + "\n" + menu
+    d = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    assert [quality_rules(d, menu_words=n).first().n_lines_kept for n in (13, 18, 19, 1000)] == [13, 13, 12, 12]
+
+
+def test_long_lines_announce_quotes(spark):
+    for line in ("On " + "some day " * 60 + "A wrote:", "Am " + "Tag " * 90 + "schrieb A" + " B" * 100 + ":"):
+        d = spark.createDataFrame([(1, 0, "x", "First words here."), (1, 1, "y", f"{line}\n> First words here.\nAnd more.")], "conv_id long, turn int, role string, text string")
+        got = "\n".join(str(r) for r in chat_format(d).collect())
+        assert "And more." in got and "some day" not in got and "Tag" not in got
+
+
 def test_quality_empty_and_repeated(spark):
     d = spark.createDataFrame([(1, GOOD), (1, GOOD), (None, None)], "doc_id int, text string")
     assert quality_rules(d).count() == 3 and quality_rules(d.where("doc_id = 9")).count() == 0
@@ -180,7 +195,7 @@ def plain_links(rows):
         else:
             reply[conv, turn] = max(earlier, default=None)
         quoting = any(level(x) for x in lines)
-        own = ["" if level(x) or re.match(r"(?i)on .{1,200} wrote:$", x) else x for x in lines]
+        own = ["" if level(x) or re.match(r"(?i)on .+ wrote:$", x) else x for x in lines]
         body = "\n".join(x for x, y in zip(own, lines, strict=True) if x or not y.strip()) if quoting else text
         told[conv, turn] = {norm(x) for x in [*lines, body, *re.split(r"\n\s*\n", "\n".join(own))] if not level(x) or x == body} - {""}
         if quoting:

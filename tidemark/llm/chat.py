@@ -21,7 +21,7 @@ from tidemark.operators.rows import with_index
 # Quote marks, lines that announce a quote, and the frame of a message.
 MARK = r"^(?:[ \t]*>)+"
 QUOTED = r"(?m)^[ \t]*>"
-ANNOUNCED = r"(?i)^\s*(?:on .{1,200} wrote|le .{1,200} a écrit|am .{1,200} schrieb.{0,80}|el .{1,200} escribió|-+ ?original message ?-+)\s*:?\s*$"
+ANNOUNCED = r"(?i)^\s*(?:on .+ wrote|le .+ a écrit|am .+ schrieb.*|el .+ escribió|-+ ?original message ?-+)\s*:?\s*$"
 START, END = "<|im_start|>", "<|im_end|>"
 BLOCK = 4096
 

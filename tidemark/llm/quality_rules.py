@@ -38,6 +38,8 @@ STEMS = (
 )
 NAVIGATION = r"(?i)^(?:home|menu|search|log ?in|sign in|sign up|register|next|previous|contact(?: us)?|about(?: us)?|faq|help|sitemap)(?: *[|>»›·•/-].*)?$"
 
+MENU_WORDS = 13  # of a navigation entry, at most
+
 
 def words_of(text: Column) -> Column:
     """Maximal runs of characters other than space and \\t\\n\\v\\f\\r; none for a null."""
@@ -61,23 +63,24 @@ def may_hold_boilerplate(text: Column) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in STEMS])
 
 
-def line_passes(line: Column, boilerplate: Column | None = None) -> Column:
+def line_passes(line: Column, boilerplate: Column | None = None, menu_words: int = MENU_WORDS) -> Column:
     """Whether a line stays: it is blank, or it ends as a sentence does (but for
     closing signs) or has one that ends before another, isn't mostly symbols or separators as in a menu, and is neither
-    a lone navigation entry nor boilerplate. ``boilerplate``, if given, is false where the
-    line is known not to be any."""
+    a lone navigation entry nor boilerplate. A navigation entry has at most ``menu_words``
+    words: what starts like one and goes on for longer is a sentence. ``boilerplate``, if
+    given, is false where the line is known not to be any."""
     end = F.right(F.rtrim(line, F.lit(CLOSERS)), F.lit(1))
     gaps = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
     punctuated = ((end != "") & (F.instr(F.lit(TERMINALS), end) > 0)) | line.rlike(SENTENCE)
     # One look at each character before the alternatives.
     marked = F.regexp_count(line, F.lit(f"(?={ANY_MARK})(?:{MARKS})")) * 4 > gaps + 1
     unsure = F.lit(True) if boilerplate is None else boilerplate
-    navigation = (gaps <= 12) & F.trim(line).rlike(NAVIGATION)
+    navigation = (gaps < menu_words) & F.trim(line).rlike(NAVIGATION)
     return ~line.rlike(NOT_SPACE) | (punctuated & ~marked & ~navigation & ~(unsure & line.rlike(BOILERPLATE)))
 
 
 def quality_rules(
-    docs: DataFrame, text: str = "text", min_words: int = 50, max_repeat_percent: int = 50, max_lost: float = 0.5
+    docs: DataFrame, text: str = "text", min_words: int = 50, max_repeat_percent: int = 50, max_lost: float = 0.5, menu_words: int = MENU_WORDS
 ) -> DataFrame:
     """``docs`` with the measures and verdicts of the rules added.
 
@@ -85,6 +88,8 @@ def quality_rules(
     base_failed, n_lines, n_lines_kept (long), clean_text (the lines that stay, in
     order), lost (share of word characters in the removed lines), kept.
 
+    A line that starts like a navigation entry is one up to ``menu_words`` words.
+
     A null or empty text has no words: it fails, with lost 0 and an empty clean_text.
     Rows are independent, so repeated rows and ids give repeated results; an empty
     table gives an empty one. Columns of ``docs`` stay, but for those named as an added
@@ -109,7 +114,7 @@ def quality_rules(
         .otherwise(F.array().cast("array<bigint>"))
         .alias("_h"),
         F.filter("_lines", lambda x: x.rlike(NOT_SPACE)).alias("_full"),
-        F.filter("_lines", lambda x: line_passes(x, F.col("_unsure"))).alias("_stay"),
+        F.filter("_lines", lambda x: line_passes(x, F.col("_unsure"), menu_words)).alias("_stay"),
     )
     # Equal hashes only nominate windows; the windows themselves decide.
     d = d.select(

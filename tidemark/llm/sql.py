@@ -22,7 +22,7 @@ l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS "at
 e AS (SELECT *, right(rtrim(line, {_CLOSERS}), 1) AS last, length(line) - length(replace(line, ' ', '')) AS gaps FROM l),
 k AS (SELECT doc_id, line, "at" FROM e WHERE NOT regexp_matches(line, {_text(rules.NOT_SPACE)})
   OR (((last <> '' AND contains({_text(rules.TERMINALS)}, last)) OR regexp_matches(line, {_text(rules.SENTENCE)})) AND len(regexp_extract_all(line, {_text(rules.MARKS)})) * 4 <= gaps + 1
-    AND NOT (gaps <= 12 AND regexp_matches(trim(line), {_text(rules.NAVIGATION)})) AND NOT regexp_matches(line, {_text(rules.BOILERPLATE)}))),
+    AND NOT (gaps < {rules.MENU_WORDS} AND regexp_matches(trim(line), {_text(rules.NAVIGATION)})) AND NOT regexp_matches(line, {_text(rules.BOILERPLATE)}))),
 c AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY "at") AS clean FROM k GROUP BY doc_id),
 m AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum([length(x) FOR x IN w]), 0)::BIGINT AS word_chars,
   len(regexp_extract_all(t, {_text(rules.SYMBOLS)}))::BIGINT AS n_symbols,
