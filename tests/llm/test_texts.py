@@ -421,6 +421,32 @@ def test_secrets_in_deep_and_other_layers():
     assert layer.text == "abABcé\ufffd" and [layer.span(k, k + 1) for k in range(7)] == [(0, 1), (1, 2), (2, 7), (7, 19), (19, 20), (20, 26), (26, 29)]
 
 
+def test_secrets_of_every_step():
+    """Each of the layers between is scanned: a run of digits has other spans in each."""
+    for depth in (5, 30, 200):
+        run = "25" * depth + "41"
+        text = f"x %{run}bcdefgh"
+        spans = S.scan(text)[1]
+        # In the layer with k times "25" less, the first "%" stands for what was decoded so far.
+        assert spans == [(3 + 2 * k, 3 + len(run) + 5, "hex") for k in range(depth) if len(run) - 2 * k + 5 >= 24], depth
+
+
+def test_secrets_in_long_layers_take_little():
+    """What stands for ranges of the original doesn't take an entry for each character."""
+    import tracemalloc
+
+    rng = random.Random(4)
+    plain = " ".join(rng.choices(["plain", "words", "of", "kinds"], k=800_000)) + " token=abcdefgh end"
+    text = "before " + base64.b64encode(plain.encode()).decode()
+    tracemalloc.start()
+    spans = S.scan(text)[1]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    at = plain.index("token=")
+    assert spans == [(7 + at * 8 // 6, 7 + ((at + 14) * 8 + 5) // 6, "assign")]
+    assert len(text) > 5_000_000 and peak < 100 << 20
+
+
 def test_main_text_in_forms():
     """A page that is all in one form keeps its text; forms beside or in an article go."""
     long = "It is, as was said, a paragraph of the article that goes on for long enough to be one. " * 3
