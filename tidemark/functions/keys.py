@@ -9,10 +9,12 @@ CLIP = r"(s\d{2}e\d{2}[a-z])"
 
 
 def natural_key(name: Column) -> Column:
-    """An array by which names sort with their numbers in numerical order: runs of digits
-    are padded to 20 places, other runs are in lower case."""
-    runs = F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.transform(runs, lambda t: F.when(t.rlike(r"^\d+$"), F.lpad(t, 20, "0")).otherwise(t))
+    """An array by which names sort with their numbers in numerical order, whatever their
+    length: runs of digits are, without leading zeros, behind the number of their digits;
+    other runs are in lower case."""
+    runs = F.regexp_extract_all(F.lower(name), F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
+    number = lambda t: F.concat(F.lpad(F.length(t).cast("string"), 10, "0"), t)
+    return F.transform(runs, lambda t: F.when(t.rlike("^[0-9]"), number(F.ltrim(t, F.lit("0")))).otherwise(t))
 
 
 def clip_id(name: Column) -> Column:

@@ -8,20 +8,19 @@ from pyspark.sql import functions as F
 from tidemark.functions.numbers import fisher, pearson
 
 
-def r2(y: Column, p: Column, mean: Column) -> Column:
-    """1 - residual / total sum of squares, with the group's mean of y given in each row.
-    Where y doesn't vary: 1 if there is no residual, else 0."""
-    rest, total = F.sum((y - p) * (y - p)), F.sum((y - mean) * (y - mean))
+def r2(y: Column, p: Column) -> Column:
+    """1 - residual / total sum of squares of a group, over the rows that have both. Where y
+    doesn't vary: 1 if there is no residual, else 0."""
+    own = F.when(p.isNotNull(), y)
+    rest, total = F.sum((y - p) * (y - p)), F.var_pop(own) * F.count(own)
     return F.when(total > 0, 1 - F.try_divide(rest, total)).when(total.isNull(), None).otherwise(F.when(rest == 0, 1.0).otherwise(0.0))
 
 
 def scores(pairs: DataFrame, *by: str, y: str = "y", p: str = "p", zero_fill: bool = False) -> DataFrame:
-    """Per group: r, r2 and n of responses and predictions. ``zero_fill`` puts 0 for an
-    undefined r."""
-    means = pairs.groupBy(*by).agg(F.avg(y).alias("_mean"))
-    d = pairs.join(means, list(by))
+    """Per group: r, r2 and n of responses and predictions, in one pass. ``zero_fill`` puts 0
+    for an undefined r."""
     r = pearson(F.col(p), F.col(y))
-    return d.groupBy(*by).agg((F.coalesce(r, F.lit(0.0)) if zero_fill else r).alias("r"), r2(F.col(y), F.col(p), F.col("_mean")).alias("r2"), F.count("*").alias("n"))
+    return pairs.groupBy(*by).agg((F.coalesce(r, F.lit(0.0)) if zero_fill else r).alias("r"), r2(F.col(y), F.col(p)).alias("r2"), F.count("*").alias("n"))
 
 
 def correlations(pairs: DataFrame, *by: str, x: str = "x", y: str = "y", zero_fill: bool = False) -> DataFrame:

@@ -19,16 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators.kernels import complete
+from tidemark.operators.tiles import TILE, added, matrix
 from tidemark.sources.storage import new_path, written
 
 ALPHAS = (0.1, 1.0, 10.0, 100.0, 1000.0)
-TILE = 8192  # numbers that are shuffled and added up together
-
-
-def _matrix(column: pa.Array) -> np.ndarray:
-    """Rows of an array column of equal lengths."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)
 
 
 def _kinds(rows: DataFrame, by: tuple[str, ...]) -> list[str]:
@@ -51,8 +46,9 @@ def gram(rows: DataFrame, *by: str, x: str = "x", y: str = "y") -> DataFrame:
     """(by, part, i, v): per group the sums that a fit needs, in tiles of numbers. part 0 is
     the number of rows, 1 and 2 the sums of X and Y, 3 the products XᵀX, 4 XᵀY, 5 the
     squares of Y. Each task adds up its own rows first, so what is shuffled doesn't grow
-    with the rows. Groups may have numbers of features and responses of their own."""
-    full = rows.select(*by, F.col(x).alias("_x"), F.col(y).alias("_y")).where("_x is not null and _y is not null")
+    with the rows. Groups may have numbers of features and responses of their own. Rows
+    with an array that is null, or holds null or NaN, take no part; part 0 counts the others."""
+    full = rows.select(*by, F.col(x).alias("_x"), F.col(y).alias("_y")).where(complete("_x", "_y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, list[np.ndarray]] = {}
@@ -61,7 +57,7 @@ def gram(rows: DataFrame, *by: str, x: str = "x", y: str = "y") -> DataFrame:
                 continue
             for key, at in _groups(b, by):
                 own = b.take(pa.array(at))
-                a, c = _matrix(own.column(len(by))), _matrix(own.column(len(by) + 1))
+                a, c = matrix(own.column(len(by))), matrix(own.column(len(by) + 1))
                 parts = [np.array([len(a)], float), a.sum(0), c.sum(0), (a.T @ a).ravel(), (a.T @ c).ravel(), (c * c).sum(0)]
                 if key in sums:
                     for s, p in zip(sums[key], parts, strict=True):
@@ -80,28 +76,6 @@ def gram(rows: DataFrame, *by: str, x: str = "x", y: str = "y") -> DataFrame:
     return added(full.mapInArrow(run, ", ".join([*_kinds(rows, by), "part int, i long, v binary"])), *by)
 
 
-def added(tiles: DataFrame, *by: str) -> DataFrame:
-    """Tiles of equal (by, part, i) added up, one after another in their order."""
-    keys = [*by, "part", "i"]
-    d = tiles.select(*keys, "v").repartition(*keys).sortWithinPartitions(*keys)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, total, names = None, None, [*keys, "v"]
-        for b in batches:
-            for k in range(b.num_rows):
-                key, v = tuple(b.column(j)[k] for j in range(len(keys))), np.frombuffer(b.column(len(keys))[k].as_py(), "<f8")
-                if last is not None and all(p.equals(q) for p, q in zip(key, last, strict=True)):
-                    total = total + v
-                    continue
-                if last is not None:
-                    yield pa.RecordBatch.from_arrays([*[pa.array([p.as_py()], p.type) for p in last], pa.array([total.tobytes()], pa.binary())], names=names)
-                last, total = key, v
-        if last is not None:
-            yield pa.RecordBatch.from_arrays([*[pa.array([p.as_py()], p.type) for p in last], pa.array([total.tobytes()], pa.binary())], names=names)
-
-    return d.mapInArrow(run, d.schema)
-
-
 def _sums(pdf) -> list[np.ndarray]:
     """The sums of one group, from its tiles."""
     pdf = pdf.sort_values(["part", "i"])
@@ -129,11 +103,11 @@ def solve_dual(x: np.ndarray, y: np.ndarray, alpha: float) -> tuple[np.ndarray,
     return w, my - mx @ w
 
 
-def ridge_fit(rows: DataFrame, *by: str, alpha: float = 1000.0, scale: bool = False, form: str | None = None, most_rows: int = 20_000) -> DataFrame:
+def ridge_fit(rows: DataFrame, *by: str, alpha: float = 1000.0, scale: bool = False, form: str | None = None, most_numbers: int = 8_000_000) -> DataFrame:
     """(by, w, b): per group the coefficients (an array of d * p numbers, by feature) and
-    the intercepts. Groups with fewer rows than features, and at most ``most_rows``, are
-    solved from their rows, all others from the sums of products; ``form`` ("rows" or
-    "sums") decides instead of these counts."""
+    the intercepts. Groups with fewer rows than features, and at most ``most_numbers`` of
+    them, are solved from their rows, all others from the sums of products; ``form`` ("rows"
+    or "sums") decides instead of these counts. For very many features see kernel_ridge()."""
     kinds = _kinds(rows, by)
     schema = ", ".join([*kinds, "w array<double>, b array<double>"])
 
@@ -147,12 +121,12 @@ def ridge_fit(rows: DataFrame, *by: str, alpha: float = 1000.0, scale: bool = Fa
         n, sx, sy, xx, xy, _ = _sums(pdf)
         return out(key, *solve_primal(n[0], sx, sy, xx, xy, alpha, scale))
 
-    by_rows = lambda d: d.select(*by, "x", "y").where("x is not null and y is not null").groupBy(*by).applyInPandas(from_rows, schema)
+    by_rows = lambda d: d.select(*by, "x", "y").where(complete("x", "y")).groupBy(*by).applyInPandas(from_rows, schema)
     by_sums = lambda d: gram(d, *by).groupBy(*by).applyInPandas(from_sums, schema)
     if form or scale or not by:
         return by_rows(rows) if form == "rows" else by_sums(rows)
-    sizes = rows.where("x is not null and y is not null").groupBy(*by).agg(F.count("*").alias("_n"), F.max(F.size("x")).alias("_d"))
-    sizes = written(sizes.select(*by, ((F.col("_n") < F.col("_d")) & (F.col("_n") <= most_rows)).alias("_few")), "sizes")
+    sizes = rows.where(complete("x", "y")).groupBy(*by).agg(F.count("*").alias("_n"), F.max(F.size("x")).alias("_d"))
+    sizes = written(sizes.select(*by, ((F.col("_n") < F.col("_d")) & (F.col("_n") * F.col("_d") <= most_numbers)).alias("_few")), "sizes")
     kinds_of = {r["_few"] for r in sizes.select("_few").distinct().collect()}
     if kinds_of <= {False}:
         return by_sums(rows)
@@ -203,7 +177,7 @@ class Fits:
 
 def predict(rows: DataFrame, fits: DataFrame, *by: str, most: int = 20_000_000) -> DataFrame:
     """Rows with p, an array: X times the coefficients of the row's group, plus the
-    intercepts; null for a null X. Rows of groups without a fit go. Whole batches are
+    intercepts; null for an X that is null or holds null or NaN. Rows of groups without a fit go. Whole batches are
     multiplied."""
     known, names = Fits(fits, by, ("w", "b"), most), rows.columns
 
@@ -217,8 +191,9 @@ def predict(rows: DataFrame, fits: DataFrame, *by: str, most: int = 20_000_000)
                 full = np.flatnonzero(x.is_valid().to_numpy(zero_copy_only=False))
                 p: list = [None] * len(at)
                 if len(full):
-                    for i, v in zip(full, _matrix(x.take(pa.array(full))) @ fit[0].reshape(-1, len(fit[1])) + fit[1], strict=True):
-                        p[i] = v
+                    found = matrix(x.take(pa.array(full))) @ fit[0].reshape(-1, len(fit[1])) + fit[1]
+                    for i, v, ok in zip(full, found, ~np.isnan(found).any(axis=1), strict=True):
+                        p[i] = v if ok else None
                 yield pa.RecordBatch.from_arrays([*own.columns, pa.array(p, pa.list_(pa.float64()))], names=[*b.schema.names, "p"])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("p", T.ArrayType(T.DoubleType()))]))
@@ -308,7 +283,7 @@ def loo_fit(rows: DataFrame, *by: str, alphas: tuple[float, ...] = ALPHAS, most:
     standardised features, of equals the first, and the ridge fit with it. The products
     of a group are decomposed once; a second pass over its rows, of which there may be
     any number, adds up their errors."""
-    rows = rows.where("x is not null and y is not null")
+    rows = rows.where(complete("x", "y"))
     names = ("mean", "std", "my", "directions", "length", "xy")
 
     def decompose(key, pdf):
@@ -328,7 +303,7 @@ def loo_fit(rows: DataFrame, *by: str, alphas: tuple[float, ...] = ALPHAS, most:
         for b in batches:
             for key, at in _groups(b, by) if b.num_rows else ():
                 part = b.take(pa.array(at))
-                x, y = _matrix(part.column(len(by))), _matrix(part.column(len(by) + 1))
+                x, y = matrix(part.column(len(by))), matrix(part.column(len(by) + 1))
                 errors = left_out_errors(x, y, *shaped(known.get(key)), alphas)
                 cols = [pa.array([v] * len(alphas), k) for v, k in zip(key, types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(range(len(alphas)), pa.int32()), pa.array(errors), pa.array([float(y.size)] * len(alphas))], names=[*by, "_k", "_e", "_n"])

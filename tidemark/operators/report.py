@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.rows import with_index
+from tidemark.operators.rows import with_sums
 
 
 def top_parcels(parcels: DataFrame, n: int = 20) -> DataFrame:
@@ -26,10 +26,13 @@ def histogram(rows: DataFrame, value: str, bins: int = 60) -> DataFrame:
 
 def upper_nonzero(rows: DataFrame, value: str, share: float = 0.95) -> DataFrame:
     """One row: the percentile of the absolute values that aren't 0, between the two values
-    around it in proportion. Values are sorted by ranges, and two of them picked by place."""
-    own = with_index(rows.where(F.col(value) != 0).select(F.abs(value).cast("double").alias("_v")), "_v", name="_place")
-    at = own.agg((F.lit(share) * (F.count("*") - 1)).alias("_at"))
-    near = own.crossJoin(F.broadcast(at)).where(F.abs(F.col("_place") - F.col("_at")) < 1)  # one row
+    around it in proportion. Values are counted first, so that one that is very common is
+    one row, and summed up by ranges of values; two are picked by place."""
+    counts = rows.where(F.col(value) != 0).groupBy(F.abs(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    own = with_sums(counts, "_v", "_n", name="_before")
+    at = own.agg((F.lit(share) * (F.sum("_n") - 1)).alias("_at"))
+    # A value has all places from _before on, up to _before + _n - 1.
+    near = own.crossJoin(F.broadcast(at)).where((F.col("_before") < F.col("_at") + 1) & (F.col("_before") + F.col("_n") - 1 > F.col("_at") - 1))  # one row
     rest = F.max("_at") - F.floor(F.max("_at"))
     return near.agg((F.min("_v") + rest * (F.max("_v") - F.min("_v"))).alias("limit"))
 
@@ -56,9 +59,13 @@ def result_table(results: DataFrame) -> DataFrame:
     return results.select("subject", "feature_key", "mean_r", "median_r", "max_r", "pct_positive").orderBy("subject", "feature_key")
 
 
-def preview(values: Column, n: int = 10) -> Column:
-    """The n least values of a group, as an array."""
-    return F.slice(F.array_sort(F.collect_set(values)), 1, n)
+def least_values(rows: DataFrame, value: str, name: str, *by: str, n: int = 10) -> DataFrame:
+    """(by, name): the n least different values of each group, as an array. Equal rows are
+    put together first; then each task hands on no more than n of a group."""
+    order = Window.partitionBy(*by).orderBy(value)
+    own = rows.where(F.col(value).isNotNull()).select(*by, value).distinct()
+    own = own.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= n)
+    return own.groupBy(*by).agg(F.array_sort(F.collect_list(value)).alias(name))
 
 
 def subject_report(clips: DataFrame) -> DataFrame:

@@ -20,6 +20,16 @@ def with_index(df: DataFrame, *order: str, name: str = "index") -> DataFrame:
     return d.join(F.broadcast(starts), "_p").withColumn(name, F.col("_i") - F.col("_least") + F.col("_start")).drop("_p", "_i", "_least", "_start")
 
 
+def with_sums(df: DataFrame, order: str, value: str, name: str = "before") -> DataFrame:
+    """``df`` with the sum of ``value`` over the rows before each, in the order of a column
+    without ties: ranges are sorted and summed apart, and their sums, one row each, then."""
+    d = written(df.repartitionByRange(order).withColumn("_p", F.spark_partition_id()), "ranges")
+    upto = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = d.groupBy("_p").agg(F.sum(value).alias("_s")).select("_p", F.coalesce(F.sum("_s").over(upto), F.lit(0)).alias("_start"))  # one row per range
+    inside = F.coalesce(F.sum(value).over(Window.partitionBy("_p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return d.withColumn("_i", inside).join(F.broadcast(starts), "_p").withColumn(name, F.col("_i") + F.col("_start")).drop("_p", "_i", "_start")
+
+
 def with_rank(df: DataFrame, group: tuple[str, ...], *order: str, name: str = "rank") -> DataFrame:
     """``df`` with each row's place from 0 among the rows of its group. Groups may be of any
     length: rows are dealt by ranges of (group, order), and what is summed are the counts
@@ -28,8 +38,27 @@ def with_rank(df: DataFrame, group: tuple[str, ...], *order: str, name: str = "r
     d = written(d.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()), "ranked")
     parts = d.groupBy("_p", *group).agg(F.count("*").alias("_n"), F.min("_i").alias("_least"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = parts.select("_p", *group, "_least", before.alias("_start"))
-    return d.join(starts, ["_p", *group]).withColumn(name, F.col("_i") - F.col("_least") + F.col("_start")).drop("_p", "_i", "_least", "_start")
+    starts = parts.select(F.col("_p").alias("_q"), *[F.col(g).alias(f"_g{k}") for k, g in enumerate(group)], "_least", before.alias("_start"))
+    return _joined(d, starts, {"_p": "_q"} | {g: f"_g{k}" for k, g in enumerate(group)}).withColumn(name, F.col("_i") - F.col("_least") + F.col("_start")).drop("_p", "_i", "_least", "_start")
+
+
+def _joined(d: DataFrame, starts: DataFrame, keys: dict[str, str]) -> DataFrame:
+    """``d`` with the row of ``starts`` of equal keys, of which null is one as well."""
+    same = [F.col(a).eqNullSafe(F.col(b)) for a, b in keys.items()]
+    return d.join(starts, same).drop(*keys.values())
+
+
+def with_rank_by_id(df: DataFrame, group: tuple[str, ...], key: str, name: str = "rank", block: int = 1 << 16) -> DataFrame:
+    """The same where rows are in the order of an integer ``key`` that doesn't repeat much:
+    groups of any length are cut into blocks of so many ids, ranked there, and the counts
+    of the blocks are summed. Nothing is written on the way. A null key comes first."""
+    d = df.withColumn("_b", F.floor(F.col(key) / F.lit(block)))
+    counts = d.groupBy(*group, "_b").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col("_b").alias("_c"), *[F.col(g).alias(f"_g{k}") for k, g in enumerate(group)], before.alias("_start"))
+    inside = F.row_number().over(Window.partitionBy(*group, "_b").orderBy(key)) - 1
+    d = _joined(d.withColumn("_i", inside), starts, {"_b": "_c"} | {g: f"_g{k}" for k, g in enumerate(group)})
+    return d.withColumn(name, F.col("_i") + F.col("_start")).drop("_b", "_i", "_start")
 
 
 def contiguous(index: Column, n: Column, parts: int) -> Column:

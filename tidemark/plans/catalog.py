@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.keys import clip_id, natural_key, of_season, session_clip
 from tidemark.functions.numbers import flattened, pearson, rounded
-from tidemark.operators import align, lookup, metrics, pooling, regression, report, rows, splits, windows
+from tidemark.operators import align, kernels, lookup, metrics, pooling, regression, report, rows, splits, windows
 from tidemark.plans import encoding
 from tidemark.plans.study import clips, design, recordings, responses
 from tidemark.sources.storage import table
@@ -37,6 +37,7 @@ c AS (SELECT *, tr_index * 1.49::DOUBLE s, greatest(0::DOUBLE, tr_index * 1.49::
 e AS (SELECT *, least(chunk_start + 8::DOUBLE, secs) chunk_end, s - chunk_start rel_start FROM c),
 f AS (SELECT doc_id, tr_index, s, chunk_start, chunk_end, rel_start, least(rel_start + 1.49::DOUBLE, chunk_end - chunk_start) rel_end FROM e)"""
 TOKENS_64 = "n AS (SELECT vec_id, (vec_id % 5) * 1.49::DOUBLE s, unnest(range(0, 64)) p, unnest(embedding)::DOUBLE v FROM embeddings)"
+TOKENS_65 = "n AS (SELECT vec_id, (vec_id % 5) * 1.49::DOUBLE s, unnest(range(0, 65)) p, unnest(list_append(embedding, embedding[1]))::DOUBLE v FROM embeddings)"
 CROP = """g AS (SELECT *, least({steps} - 1, round_even(s / 8 * {steps}, 0))::BIGINT i, p // {grid} step, p % {grid} - {ahead} spot FROM n),
 c AS (SELECT *, least({steps}, greatest(i + 1, round_even((s + 1.49::DOUBLE) / 8 * {steps}, 0)))::BIGINT j, spot // {side} y, spot % {side} x FROM g)"""
 BINS_4, BINS_2 = (f"(SELECT * FROM (VALUES {x}) q(k, lo, hi))" for x in ("(0, 0, 2), (1, 1, 3), (2, 2, 4)", "(0, 0, 1), (1, 0, 2), (2, 1, 2)"))
@@ -188,7 +189,7 @@ def match_once(spark, folder):
 
 
 @query("""WITH k AS (SELECT c_custkey, 'file' || c_custkey || '_part' || c_nationkey || '.mkv' name FROM customer),
-n AS (SELECT *, [CASE WHEN regexp_full_match(t, '\\d+') THEN lpad(t, 20, '0') ELSE t END FOR t IN regexp_extract_all(lower(name), '(\\d+|\\D+)', 1)] key FROM k)
+n AS (SELECT *, [CASE WHEN regexp_full_match(t, '\\d+') THEN lpad(length(ltrim(t, '0'))::VARCHAR, 10, '0') || ltrim(t, '0') ELSE t END FOR t IN regexp_extract_all(lower(name), '(\\d+|\\D+)', 1)] key FROM k)
 SELECT c_custkey, name, row_number() OVER (ORDER BY key) - 1 rank FROM n""")
 def natural_sort(spark, folder):
     d = table(spark, folder, "customer").select("c_custkey", F.concat(F.lit("file"), "c_custkey", F.lit("_part"), "c_nationkey", F.lit(".mkv")).alias("name"))
@@ -287,16 +288,17 @@ def crop_pool_video(spark, folder):
     return _crop_pooled(spark, folder, 4, 16)
 
 
-@query(f"""WITH {TOKENS_64}, {CROP.format(steps=12, grid=5, ahead=1, side=2)}
+@query(f"""WITH {TOKENS_65}, {CROP.format(steps=13, grid=5, ahead=1, side=2)}
 SELECT vec_id, (a.k * 3 + b.k)::BIGINT bin, round(avg(v), 6) v FROM c, {BINS_2} a, {BINS_2} b
-WHERE p < 60 AND spot >= 0 AND step >= i AND step < j AND y >= a.lo AND y < a.hi AND x >= b.lo AND x < b.hi GROUP BY ALL""")
+WHERE spot >= 0 AND step >= i AND step < j AND y >= a.lo AND y < a.hi AND x >= b.lo AND x < b.hi GROUP BY ALL""")
 def crop_pool_images(spark, folder):
-    return _crop_pooled(spark, folder, 12, 5)
+    return _crop_pooled(spark, folder, 13, 5)
 
 
 def _crop_pooled(spark, folder, steps: int, per_step: int) -> DataFrame:
+    """Tokens of one number each; where there is one too few, the first comes once more."""
     start = (F.col("vec_id") % 5) * F.lit(1.49)
-    tokens = F.transform(F.slice("embedding", 1, steps * per_step), lambda v: F.array(v))
+    tokens = F.transform(F.slice(F.concat("embedding", F.slice("embedding", 1, 1)), 1, steps * per_step), lambda v: F.array(v))
     pooled = pooling.crop_pool(tokens, start, start + 1.49, 8.0, steps, per_step, 1)
     d = table(spark, folder, "embeddings").select("vec_id", F.posexplode(pooled).alias("bin", "v"))
     return rounds(d.withColumn("bin", F.col("bin").cast("long")), "v")
@@ -313,24 +315,75 @@ def ridge_primal(spark, folder):
     return rounds(encoding.ridge_test_scores(design(spark, folder)), "r", "r2")
 
 
+def _blocks(features: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Training rows by block of 20 steps, and each block's steps as test rows of the one before."""
+    d = features.withColumn("block", F.floor(F.col("tr") / 20))
+    return d, d.withColumn("block", F.col("block") - 1).drop("y")
+
+
 def _next_block(features: DataFrame, **how) -> DataFrame:
     """Scores of each block of 20 steps by the fit to the block before it."""
-    d = features.withColumn("block", F.floor(F.col("tr") / 20))
-    fits = regression.ridge_fit(d, "clip", "block", **how).withColumn("block", F.col("block") + 1)
-    pairs = regression.long_form(regression.predict(d, fits, "clip", "block"), "clip")
+    train, test = _blocks(features)
+    p = kernels.kernel_ridge(train, test, "clip", "block", order=("tr",), **how)[1]
+    pairs = regression.long_form(p.join(features.select("clip", "tr", "y"), ["clip", "tr"]), "clip")
     return rounds(metrics.scores(pairs, "clip", "parcel"), "r", "r2")
 
 
+def _next_block_sql(alpha: str) -> str:
+    return f"""WITH {ONE}, b AS (SELECT *, tr // 20 block FROM o), f AS (SELECT clip, block, parcel, avg(x) mx, avg(y) my, (sum(x * y) - sum(x) * sum(y) / count(*)) / (sum(x * x) - sum(x) * sum(x) / count(*) + {alpha}) w FROM b GROUP BY ALL),
+e AS (SELECT b.clip, b.parcel, y, my + (x - mx) * w p FROM b JOIN f ON b.clip = f.clip AND b.parcel = f.parcel AND b.block = f.block + 1),
+m AS (SELECT *, avg(y) OVER (PARTITION BY clip, parcel) m FROM e) SELECT clip, parcel, {SCORES} FROM m GROUP BY clip, parcel"""
+
+
 @query()
 def ridge_dual(spark, folder):
     return _next_block(design(spark, folder))
 
 
-@query(f"""WITH {ONE}, b AS (SELECT *, tr // 20 block FROM o), f AS (SELECT clip, block, parcel, avg(x) mx, avg(y) my, (sum(x * y) - sum(x) * sum(y) / count(*)) / (sum(x * x) - sum(x) * sum(x) / count(*) + 1000) w FROM b GROUP BY ALL),
-e AS (SELECT b.clip, b.parcel, y, my + (x - mx) * w p FROM b JOIN f ON b.clip = f.clip AND b.parcel = f.parcel AND b.block = f.block + 1),
-m AS (SELECT *, avg(y) OVER (PARTITION BY clip, parcel) m FROM e) SELECT clip, parcel, {SCORES} FROM m GROUP BY clip, parcel""")
+@query(_next_block_sql("1000"))
 def ridge_dual_one(spark, folder):
-    return _next_block(design(spark, folder, 1), form="rows")
+    return _next_block(design(spark, folder, 1))
+
+
+def _wide(spark, folder) -> DataFrame:
+    """All products of two of the first 48 numbers as features, the other 16 as responses."""
+    products = F.flatten(F.transform("x", lambda a: F.transform("x", lambda b: a * b)))
+    return design(spark, folder, 48).withColumn("x", products)
+
+
+def _copies(spark, folder) -> DataFrame:
+    """One feature, 500 times: as good as a penalty of a 500th."""
+    return design(spark, folder, 1).withColumn("x", F.flatten(F.array_repeat("x", 500)))
+
+
+@query()
+def ridge_wide(spark, folder):
+    return _next_block(_wide(spark, folder))
+
+
+@query(_next_block_sql("2.0"))
+def ridge_wide_one(spark, folder):
+    return _next_block(_copies(spark, folder), numbers=2048)
+
+
+def _left_out(features: DataFrame) -> DataFrame:
+    """Of each block of steps the alpha of least leave-one-out error."""
+    train = _blocks(features)[0]
+    fits = kernels.kernel_ridge(train, None, "clip", "block", order=("tr",), alphas=regression.ALPHAS, scale=True)[0]
+    return rounds(fits.select("clip", "block", "alpha", "mse", "n", "feature_dim"), "mse")
+
+
+@query()
+def loo_wide(spark, folder):
+    return _left_out(_wide(spark, folder))
+
+
+@query(f"""WITH {ONE}, s AS (SELECT *, tr // 20 block, x - avg(x) OVER w a, y - avg(y) OVER w c, stddev_pop(x) OVER w s, count(*) OVER w n FROM o WINDOW w AS (PARTITION BY clip, tr // 20, parcel)),
+z AS (SELECT clip, block, parcel, n, a / CASE WHEN s > 1e-12 THEN s ELSE 1 END z, c FROM s), g AS (SELECT clip, block, parcel, sum(z * z) zz, sum(z * c) zc FROM z GROUP BY ALL),
+e AS (SELECT clip, block, alpha, max(n) n, avg(((c - z * zc / (zz + alpha / 500)) / greatest(1e-12, 1 - 1.0::DOUBLE / n - z * z / (zz + alpha / 500))) ** 2) mse FROM z JOIN g USING (clip, block, parcel), {ALPHAS} GROUP BY ALL)
+SELECT clip, block, arg_min(alpha, mse) alpha, round(min(mse), 6) mse, max(n) n, 500 feature_dim FROM e GROUP BY clip, block""")
+def loo_wide_one(spark, folder):
+    return _left_out(_copies(spark, folder))
 
 
 @query(f"""WITH {ONE}, {TRAINING}, f AS (SELECT parcel, avg(x) mx, avg(y) my, (sum(x * y) - sum(x) * sum(y) / count(*)) / (sum(x * x) - sum(x) * sum(x) / count(*) + 1000) w FROM o JOIN h USING (clip) WHERE train GROUP BY parcel),
@@ -468,8 +521,10 @@ def subject_report(spark, folder):
 
 @query(f"WITH {CLIPS} SELECT clip, count(*) n_steps, max(len(embedding))::INT dim, array_to_string(list_sort(list(DISTINCT vec_id))[1:10], ',') preview FROM t GROUP BY clip")
 def alignment_counts(spark, folder):
-    d = clips(spark, folder).groupBy("clip")
-    return d.agg(F.count("*").alias("n_steps"), F.max(F.size("embedding")).alias("dim"), F.array_join(report.preview(F.col("vec_id")).cast("array<string>"), ",").alias("preview"))
+    d = clips(spark, folder)
+    counts = d.groupBy("clip").agg(F.count("*").alias("n_steps"), F.max(F.size("embedding")).alias("dim"))
+    first = report.least_values(d, "vec_id", "preview", "clip")
+    return counts.join(first, "clip").withColumn("preview", F.array_join(F.col("preview").cast("array<string>"), ","))
 
 
 @query(f"WITH {CLIPS} SELECT a.clip, a.tr, a.vec_id, b.vec_id other FROM t a JOIN t b ON a.tr = b.tr AND b.clip = a.clip + 1")

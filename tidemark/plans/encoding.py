@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.align import LAG, lag_align
 from tidemark.operators.metrics import correlations, over_parcels, scores, summary
 from tidemark.operators.regression import ALPHAS, fold_fits, long_form, loo_fit, predict, ridge_fit
-from tidemark.operators.report import preview
+from tidemark.operators.report import least_values
 from tidemark.operators.splits import clip_split, folds, of_part
 from tidemark.sources.storage import written
 
@@ -74,7 +74,8 @@ def subject_analysis(
     study, not by the length of recordings.
     """
     aligned = written(lag_align(features, responses, lag=lag), "aligned")
-    clips = aligned.groupBy("subject", "clip").agg(F.count("*").alias("num_aligned_trs"), preview(F.col("tr")).alias("tr_preview"))
+    clips = aligned.groupBy("subject", "clip").agg(F.count("*").alias("num_aligned_trs"))
+    clips = clips.join(least_values(aligned, "tr", "tr_preview", "subject", "clip"), ["subject", "clip"])
     split = written(clip_split(clips, fraction=fraction, least_train=least_train, least_test=least_test, group=("subject",)), "split")
     keys = ("subject", "clip")
     train, test = of_part(aligned, split, True, *keys), of_part(aligned, split, False, *keys)
@@ -98,10 +99,13 @@ def subject_analysis(
         ids(False).alias("test_clip_ids"),
         F.array_sort(F.collect_list(F.struct("clip", "num_feature_trs_raw", "num_response_trs_raw", "num_aligned_trs", "tr_preview"))).alias("per_clip_alignment"),
     )
-    subjects, matched = split.select("subject").distinct(), split.select(*keys)
-    wanted = subjects.join(features.select("clip").distinct())  # each clip is asked of each subject
-    gathered = lambda d, name: d.join(matched, list(keys), "left_anti").groupBy("subject").agg(F.array_sort(F.collect_list("clip")).alias(name))
-    missing, unmatched = gathered(wanted, "missing_clips"), gathered(responses.select(*keys).distinct(), "unmatched_clips")
+    matched = split.select(*keys)
+    # Each clip is asked of each subject: a subject's clips, of which there are as many as were
+    # shown, are taken from all of them, which are one row.
+    every = features.agg(F.collect_set("clip").alias("_every"))
+    own = matched.groupBy("subject").agg(F.collect_set("clip").alias("_own")).crossJoin(F.broadcast(every))
+    missing = own.select("subject", F.array_sort(F.array_except("_every", "_own")).alias("missing_clips"))
+    unmatched = responses.select(*keys).distinct().join(matched, list(keys), "left_anti").groupBy("subject").agg(F.array_sort(F.collect_list("clip")).alias("unmatched_clips"))
     sizes = fits.select("subject", "alpha", F.size("b").alias("num_targets"), (F.size("w") / F.size("b")).cast("int").alias("feature_dim"))
     reports = sizes.withColumn("lag_trs", F.lit(lag)).withColumn("train_fraction", F.lit(fraction))
     for part in (counts, whole, tested):

@@ -10,14 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.rows import with_rank
+from tidemark.operators.rows import with_rank_by_id
 from tidemark.sources.storage import table
 
 
 def clips(spark: SparkSession, folder: str) -> DataFrame:
     """(clip, tr, vec_id, embedding). Clips may be of any length."""
     d = table(spark, folder, "embeddings").select(F.col("label").cast("long").alias("clip"), "vec_id", "embedding")
-    return with_rank(d, ("clip",), "vec_id", name="tr").select("clip", "tr", "vec_id", "embedding")
+    return with_rank_by_id(d, ("clip",), "vec_id", name="tr").select("clip", "tr", "vec_id", "embedding")
 
 
 def responses(spark: SparkSession, folder: str) -> DataFrame:
