@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import kernels, regression
+from tidemark.operators import kernels, metrics, regression
+from tidemark.plans import encoding
 
 
 def frame(spark, x, y, g="a", first=0):
@@ -104,3 +105,88 @@ def test_sums_leave_rows_with_holes_out(spark):
     assert np.allclose(a.w, b.w) and np.allclose(a.b, b.b)
     p = {r.tr: r.p for r in regression.predict(holes, regression.ridge_fit(d, "g"), "g").collect()}
     assert p[90] is None and p[92] is None and p[91] is not None
+
+
+def test_sweep_reports_what_fails(spark):
+    """Variants that can't be run have a reason, the others their scores."""
+    rng = np.random.default_rng(7)
+    y = rng.standard_normal((80, 3))
+    step = [(c, t, y[10 * c + t].tolist()) for c in range(8) for t in range(10)]
+    x = {(c, t): [float(v) for v in rng.standard_normal(2)] + [v[0] + 0.1 * rng.standard_normal()] for c, t, v in step}
+    rows = [("good", c, t, x[c, t]) for c, t, _ in step]
+    rows += [("few", c, t, x[c, t]) for c, t, _ in step if c < 4]
+    rows += [("uneven", c, t, x[c, t][: 1 + c % 2]) for c, t, _ in step]
+    rows += [("elsewhere", c + 100, t, x[c, t]) for c, t, _ in step] + [("empty", 1, 1, None), ("short", 1, 0, [1.0])]
+    features = spark.createDataFrame(rows, "feature_key string, clip int, tr int, x array<double>")
+    responses = spark.createDataFrame(step, "clip int, tr int, y array<double>")
+    got = {(r.feature_key, r.lag, r.alpha): r for r in encoding.analysis_sweep(features, responses, (0, 9), (0.5, 50.0)).collect()}
+    assert len(got) == 6 * 2 * 2
+    reasons = {"few": "too few clips to split: 4", "uneven": "rows with different numbers of features or responses", "elsewhere": "no aligned steps", "empty": "no aligned steps", "short": "no aligned steps"}
+    for (key, lag, _), r in got.items():
+        if lag == 9 or key != "good":  # clips of one step don't count
+            assert r.status == (reasons[key] if key in reasons and lag == 0 else "no aligned steps") and r.mean_r is None and r.n_train is None
+    a = np.array([x[c, t] for c, t, _ in step])
+    train = np.arange(80) < 60
+    for alpha in (0.5, 50.0):
+        r = got["good", 0, alpha]
+        p = plain(a[train], y[train], a[~train], alpha, True)
+        rs = [np.corrcoef(p[:, k], y[~train][:, k])[0, 1] for k in range(3)]
+        r2 = 1 - ((p - y[~train]) ** 2).sum(0) / ((y[~train] - y[~train].mean(0)) ** 2).sum(0)
+        assert r.status == "ok" and (r.n_clips, r.n_train, r.n_test) == (8, 60, 20)
+        assert np.allclose([r.mean_r, r.median_r, r.mean_r2, r.median_r2], [np.mean(rs), np.median(rs), np.mean(r2), np.median(r2)])
+    assert encoding.analysis_sweep(features.where("false"), responses, (0,), (1.0,)).count() == 0
+
+
+def test_analysis_of_wide_features(spark):
+    """A whole analysis has the same result with features that are copies, on either side."""
+    rng = np.random.default_rng(9)
+    y = rng.standard_normal((60, 4))
+    rows = [(k // 10, k % 10, [float(y[k, 0] + rng.standard_normal()), float(rng.standard_normal())], y[k].tolist()) for k in range(60)]
+    d = spark.createDataFrame(rows, "clip int, tr int, x array<double>, y array<double>")
+    own = d.select(F.lit("s").alias("subject"), "clip", "tr", "y")
+    found = []
+    for n in (1, 64):
+        x = d.select("clip", "tr", F.flatten(F.array_repeat("x", n)).alias("x"))
+        p, r = encoding.subject_analysis(x, own, alphas=tuple(a * n for a in (1.0, 100.0)), lag=0)
+        found.append(([q.p for q in p.orderBy("clip", "tr").collect()], r.first()))
+    assert np.allclose(found[0][0], found[1][0]) and found[1][1].feature_dim == 128 and found[1][1].alpha == 64 * found[0][1].alpha
+    assert found[0][1].mean_test_pearson == pytest.approx(found[1][1].mean_test_pearson) and found[1][1].num_targets == 4
+
+
+def test_correlations_of_subjects_in_one_pass(spark):
+    """As from pairs of rows, with holes, subjects that don't vary, large means and ties of steps."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for s in "abcd":
+        for clip in range(2):
+            for parcel in range(3):
+                for tr in range(12):
+                    if rng.random() < 0.8:
+                        v = 1e6 + rng.standard_normal() + (tr if s in "ab" else 0)
+                        rows.append((s, clip, tr, parcel, 1e6 + 5.0 if s == "d" and parcel == 1 else None if rng.random() < 0.1 else v))
+    rows += [("a", 9, 0, 0, 1.0), (None, 0, 0, 0, 1.0), ("b", 9, 1, 0, float("nan"))]
+    d = spark.createDataFrame(rows, "subject string, clip int, tr int, parcel int, y double").repartition(3)
+    got = {(r.a, r.b, r.clip, r.parcel): r for r in metrics.subject_correlations(d).collect()}
+    y = {(s, c, p, t): v for s, c, t, p, v in rows if s and v is not None and v == v}
+    want = 0
+    for a, b in ("ab", "ac", "ad", "bc", "bd", "cd"):
+        for c in range(2):
+            for p in range(3):
+                both = [(y[a, c, p, t], y[b, c, p, t]) for t in range(12) if (a, c, p, t) in y and (b, c, p, t) in y]
+                if not both:
+                    continue
+                want += 1
+                u, v = np.array(both).T
+                r = got[a, b, c, p]
+                assert r.n == len(both)
+                if len(both) < 2 or u.std() == 0 or v.std() == 0:
+                    assert r.r is None
+                else:
+                    assert r.r == pytest.approx(np.corrcoef(u, v)[0, 1], abs=1e-6)
+    assert len(got) == want
+    plan = metrics.subject_correlations(d)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    for few in (d.where("subject = 'a'"), d.where("false")):
+        assert metrics.inter_subject(few).count() == 0
+    table = d.join(d.where("subject = 'a'").select("clip").distinct(), "clip")
+    assert metrics.noise_ceiling(table).count() == 1

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.keys import clip_id, natural_key, session_clip
 from tidemark.functions.numbers import fisher
-from tidemark.operators import align, lookup, metrics, pooling, regression, report, rows, splits, windows
+from tidemark.operators import align, lasso, lookup, metrics, pooling, regression, report, rows, splits, windows
 from tidemark.plans import encoding
 from tidemark.sources import files, storage
 from tidemark.streaming.responses import binned
@@ -168,8 +168,11 @@ def test_ridge_kernels():
             wi, bi = regression.solve_dual(x[k] / s, y[k], alpha)
             error += ((y[i] - x[i] / s @ wi - bi) ** 2).sum()
         assert np.isclose(got, error)
-    wl, _, done = regression.lasso(n, *sums, 0.1)
-    assert done and not regression.lasso(n, *sums, 0.1, rounds=1)[2]
+    mean, std, corr, prod = lasso.standardised(n, *sums)
+    assert np.allclose(mean, x.mean(0)) and np.allclose(std, s)
+    wl, off = lasso.lasso_block(corr, prod.copy(), 0.1)
+    assert off < 1e-9 and lasso.lasso_block(corr, prod.copy(), 1e-4, rounds=1)[1] > 1e-9
+    wl = wl / s[:, None]
     g = (a / s).T @ (c - a @ wl) / n  # subgradient
     assert np.all(np.abs(g) <= 0.1 + 1e-6) and np.allclose(g[np.abs(wl) > 1e-9], 0.1 * np.sign(wl)[np.abs(wl) > 1e-9], atol=1e-6)
 
@@ -241,6 +244,83 @@ def test_leave_one_out_of_many_rows(spark):
     assert np.allclose(np.array(fit.w).reshape(100, 2), w / x.std(0)[:, None], atol=1e-8)
 
 
+def slow_lasso(c, g, alpha, rounds=20_000):
+    """Plain coordinate descent over all features, one target after another."""
+    w = np.zeros_like(g)
+    for t in range(g.shape[1]):
+        for _ in range(rounds):
+            before = w[:, t].copy()
+            for j in range(len(c)):
+                if c[j, j] > 1e-12:
+                    rho = g[j, t] - c[j] @ w[:, t] + c[j, j] * w[j, t]
+                    w[j, t] = np.sign(rho) * max(abs(rho) - alpha, 0) / c[j, j]
+            if np.abs(w[:, t] - before).max() < 1e-12:
+                break
+    return w
+
+
+@pytest.mark.parametrize("rows, d", [(200, 12), (15, 40)])
+def test_lasso_fits_by_blocks_of_targets(spark, rows, d):
+    rng = np.random.default_rng(rows)
+    x = rng.standard_normal((rows, d)) @ rng.standard_normal((d, d)) * 0.3
+    x[:, 1] = 4.0  # doesn't vary
+    y = x[:, :3] @ rng.standard_normal((3, 5)) + rng.standard_normal((rows, 5))
+    data = [(k % 3, k, x[k].tolist(), y[k].tolist()) for k in range(rows)]
+    frame = spark.createDataFrame(data, "fold int, k int, x array<double>, y array<double>").repartition(3)
+    sums = regression.gram(frame, "fold")
+    got = {r.fold: r for r in lasso.lasso_fits(sums, "fold", 0.2, targets=2).collect()}
+    assert set(got) == {0, 1, 2}
+    for f, r in got.items():
+        own = np.arange(rows) % 3 == f
+        a, b = x[own], y[own]
+        mean, std, c, g = lasso.standardised(len(a), a.sum(0), b.sum(0), (a.T @ a).ravel(), (a.T @ b).ravel())
+        w = slow_lasso(c, g, 0.2) / std[:, None]
+        assert r.converged and r.breach < 1e-6
+        # Of fits that aren't unique, predictions are.
+        assert np.allclose(a @ np.reshape(r.w, (d, 5)) + r.b, a @ w + b.mean(0) - mean @ w, atol=1e-5)
+        if rows > 100:
+            assert np.allclose(np.reshape(r.w, (d, 5)), w, atol=1e-6) and np.allclose(r.b, b.mean(0) - mean @ w, atol=1e-6)
+
+
+def test_ranks_with_null_groups(spark):
+    d = spark.createDataFrame([("a", 3), ("a", 1), (None, 5), (None, 4), (None, 200_000), ("b", 9)], "g string, k long")
+    want = {("a", 1): 0, ("a", 3): 1, (None, 4): 0, (None, 5): 1, (None, 200_000): 2, ("b", 9): 0}
+    for got in (rows.with_rank(d, ("g",), "k"), rows.with_rank_by_id(d, ("g",), "k"), rows.with_rank_by_id(d, ("g",), "k", block=2)):
+        assert {(r.g, r.k): r["rank"] for r in got.collect()} == want
+    many = spark.range(5000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7 - 9000).alias("k"))
+    got = {(r.g, r.k): r["rank"] for r in rows.with_rank_by_id(many, ("g",), "k", block=100).collect()}
+    assert all(got[i % 3, i * 7 - 9000] == i // 3 for i in range(5000))
+
+
+def test_long_numbers_in_names(spark):
+    names = ["a" + "9" * 21, "a" + "1" * 21, "a" + "1" * 20 + "2", "a" + "9" * 20, "a10", "a007", "a8", "A9b", "a9"]
+    d = spark.createDataFrame([(n,) for n in names], "n string")
+    want = sorted(names, key=lambda n: (int("".join(c for c in n if c.isdigit())), "b" in n))
+    assert [r.n for r in d.orderBy(natural_key(F.col("n"))).collect()] == want
+
+
+def test_least_values(spark):
+    d = spark.createDataFrame([("a", k % 40) for k in range(400)] + [(None, 1), (None, None), ("b", None)], "g string, k int").repartition(3)
+    got = {r.g: r.first for r in report.least_values(d, "k", "first", "g").collect()}
+    assert got == {"a": list(range(10)), None: [1]}
+    plan = report.least_values(d, "k", "first", "g")._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "collect_set" not in plan
+
+
+def test_percentile_of_one_common_value(spark):
+    values = [5.0] * 9000 + [float(k) for k in range(1000)] + [-7.5] * 20 + [0.0] * 100
+    d = spark.createDataFrame([(v,) for v in values], "v double")
+    for share in (0.95, 0.5, 0.0, 1.0, 0.9137):
+        assert report.upper_nonzero(d, "v", share).first()[0] == pytest.approx(np.percentile(np.abs([v for v in values if v]), 100 * share))
+
+
+def test_scores_in_one_pass(spark):
+    d = spark.createDataFrame([("a", 1.0, 2.0), ("a", 3.0, 3.0), ("a", 4.0, None), ("c", 2.0, 2.0), ("c", 2.0, 2.0), ("d", 2.0, 1.0), ("d", 2.0, 2.0)], "g string, y double, p double")
+    got = {r.g: (r.r2, r.n) for r in metrics.scores(d, "g").collect()}
+    assert got["a"] == (pytest.approx(0.5), 3) and got["c"] == (1.0, 2) and got["d"] == (0.0, 2)
+    assert metrics.scores(d, "g")._jdf.queryExecution().executedPlan().toString().count("Join") == 0
+
+
 def test_ranks_within_groups(spark):
     d = spark.createDataFrame([(k % 3 if k % 7 else None, k) for k in range(200)], "g int, k int").repartition(9)
     for g in (0, 1, 2):

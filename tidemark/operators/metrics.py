@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.numbers import fisher, pearson
+from tidemark.operators.tiles import grouped
 
 
 def r2(y: Column, p: Column) -> Column:
@@ -42,10 +48,63 @@ def summary(parcel_scores: DataFrame, *by: str) -> DataFrame:
 
 
 def subject_correlations(responses: DataFrame, by: tuple[str, ...] = ("clip", "parcel")) -> DataFrame:
-    """r of each unordered pair of subjects (a, b) over the steps that both have."""
-    a = responses.select(F.col("subject").alias("a"), *by, "tr", F.col("y").alias("x"))
-    b = responses.select(F.col("subject").alias("b"), *by, "tr", "y")
-    return correlations(a.join(b, [*by, "tr"]).where("a < b"), "a", "b", *by)
+    """(a, b, by, r, n): r of each unordered pair of subjects over the steps that both have.
+
+    The responses of a step, one a subject, are put side by side; each task adds up its
+    steps' products of all pairs as matrices, and what is shuffled is one row for each
+    pair, group and task. Subjects, of whom a study has a bounded number, are listed and
+    their means taken first: products are of what is left, so that large means cost no
+    digits. A response that is null or NaN isn't there; of several of a subject at one
+    step the mean is taken."""
+    own = responses.where(F.col("y").isNotNull() & ~F.isnan(F.col("y").cast("double")) & F.col("subject").isNotNull())
+    means = {r["subject"]: r["m"] for r in own.groupBy("subject").agg(F.avg("y").alias("m")).collect()}  # one row a subject
+    subjects = sorted(means)
+    if len(subjects) < 2:
+        subjects = (subjects + [None, None])[:2]
+    kind, number = responses.schema["subject"].dataType, {s: k for k, s in enumerate(subjects)}
+    steps = own.groupBy(*by, "tr").agg(F.collect_list(F.struct("subject", F.col("y").cast("double").alias("y"))).alias("_all"))
+    first, second = np.triu_indices(len(subjects), 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            lists = b.column(b.num_columns - 1)
+            flat = lists.flatten()
+            row = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            who = np.array([number[s] for s in flat.field("subject").to_pylist()], np.int64)
+            left = flat.field("y").to_numpy(zero_copy_only=False) - np.array([means[subjects[k]] for k in who.tolist()])
+            there, y = np.zeros((b.num_rows, len(subjects))), np.zeros((b.num_rows, len(subjects)))
+            np.add.at(there, (row, who), 1.0)
+            np.add.at(y, (row, who), left)
+            y /= np.maximum(there, 1.0)
+            there = np.minimum(there, 1.0)
+            for key, at in grouped(b, by):
+                m, v = there[at], y[at]
+                # Of each pair: steps that both have, and sums, squares and products over these.
+                parts = np.stack([m.T @ m, v.T @ m, m.T @ v, (v * v).T @ m, m.T @ (v * v), v.T @ v])[:, first, second]
+                sums[key] = sums[key] + parts if key in sums else parts
+        for key, parts in sums.items():
+            some = np.flatnonzero(parts[0])
+            pairs = [[subjects[k] for k in at[some].tolist()] for at in (first, second)]
+            yield pa.RecordBatch.from_pydict(
+                {"a": pa.array(pairs[0], types["a"]), "b": pa.array(pairs[1], types["b"]), **{c: pa.array([v] * len(some), types[c]) for c, v in zip(by, key, strict=True)}}
+                | {c: pa.array(p[some]) for c, p in zip(names, parts, strict=True)}
+            )
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    names = ("n", "sa", "sb", "saa", "sbb", "sab")
+    fields = [T.StructField("a", kind), T.StructField("b", kind), *[responses.schema[c] for c in by], *[T.StructField(c, T.DoubleType()) for c in names]]
+    types = {f.name: to_arrow_type(f.dataType) for f in fields}
+    total = steps.select(*by, "_all").mapInArrow(run, T.StructType(fields)).groupBy("a", "b", *by).agg(*[F.sum(c).alias(c) for c in names])
+    square = lambda s, ss: ss - F.col(s) * F.col(s) / F.col("n")
+    va, vb = square("sa", F.col("saa")), square("sb", F.col("sbb"))
+    # What rounding leaves of a side that doesn't vary isn't variation.
+    varies = (va > F.col("saa") * 1e-13) & (vb > F.col("sbb") * 1e-13)
+    r = F.when(varies, F.try_divide(F.col("sab") - F.col("sa") * F.col("sb") / F.col("n"), F.sqrt(va) * F.sqrt(vb)))
+    return total.select("a", "b", *by, r.alias("r"), F.col("n").cast("long").alias("n"))
 
 
 def inter_subject(responses: DataFrame, by: tuple[str, ...] = ("clip", "parcel")) -> DataFrame:

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.kernels import complete
-from tidemark.operators.tiles import TILE, added, matrix
+from tidemark.operators.lasso import lasso_fits
+from tidemark.operators.tiles import TILE, added, grouped, matrix
 from tidemark.sources.storage import new_path, written
 
 ALPHAS = (0.1, 1.0, 10.0, 100.0, 1000.0)
@@ -30,18 +31,6 @@ def _kinds(rows: DataFrame, by: tuple[str, ...]) -> list[str]:
     return [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by]
 
 
-def _groups(b: pa.RecordBatch, by: tuple[str, ...]) -> list[tuple[tuple, np.ndarray]]:
-    """(key, places of its rows) of each group of a batch."""
-    code = np.zeros(b.num_rows, np.int64)
-    for c in by:
-        column = b.column(b.schema.get_field_index(c)).dictionary_encode()
-        code = code * (len(column.dictionary) + 1) + column.indices.fill_null(len(column.dictionary)).to_numpy(zero_copy_only=False)
-    _, first, group = np.unique(code, return_index=True, return_inverse=True)
-    order = np.argsort(group, kind="stable")
-    cuts = np.searchsorted(group[order], np.arange(len(first) + 1))
-    return [(tuple(b.column(b.schema.get_field_index(c))[int(k)].as_py() for c in by), order[x:y]) for k, x, y in zip(first, cuts, cuts[1:], strict=False)]
-
-
 def gram(rows: DataFrame, *by: str, x: str = "x", y: str = "y") -> DataFrame:
     """(by, part, i, v): per group the sums that a fit needs, in tiles of numbers. part 0 is
     the number of rows, 1 and 2 the sums of X and Y, 3 the products XᵀX, 4 XᵀY, 5 the
@@ -55,7 +44,7 @@ def gram(rows: DataFrame, *by: str, x: str = "x", y: str = "y") -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            for key, at in _groups(b, by):
+            for key, at in grouped(b, by):
                 own = b.take(pa.array(at))
                 a, c = matrix(own.column(len(by))), matrix(own.column(len(by) + 1))
                 parts = [np.array([len(a)], float), a.sum(0), c.sum(0), (a.T @ a).ravel(), (a.T @ c).ravel(), (c * c).sum(0)]
@@ -183,7 +172,7 @@ def predict(rows: DataFrame, fits: DataFrame, *by: str, most: int = 20_000_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for key, at in _groups(b, by) if b.num_rows else ():
+            for key, at in grouped(b, by) if b.num_rows else ():
                 if (fit := known.get(key)) is None:
                     continue
                 own = b.take(pa.array(at))
@@ -206,36 +195,9 @@ def long_form(rows: DataFrame, *keep: str) -> DataFrame:
     return d.select(*keep, F.col("parcel").cast("long").alias("parcel"), F.col("_z.y").cast("double").alias("y"), F.col("_z.p").alias("p"))
 
 
-def lasso(n: float, sx: np.ndarray, sy: np.ndarray, xx: np.ndarray, xy: np.ndarray, alpha: float, rounds: int = 5000, tol: float = 1e-9) -> tuple[np.ndarray, np.ndarray, bool]:
-    """(coefficients, intercepts, whether they converged) on X divided by its population
-    deviation, by coordinate descent on the sums: minimises residual squares / (2 n) +
-    alpha * |coefficients|."""
-    d = len(sx)
-    mean = sx / n
-    c = xx.reshape(d, d) / n - np.outer(mean, mean)
-    g = xy.reshape(d, -1) / n - np.outer(mean, sy / n)
-    std = np.sqrt(np.maximum(np.diag(c), 0))
-    std[std <= 1e-12] = 1.0
-    c, g = c / np.outer(std, std), g / std[:, None]
-    w, biggest = np.zeros_like(g), np.inf
-    for _ in range(rounds):
-        biggest = 0.0
-        for j in range(d):
-            if c[j, j] <= 1e-12:
-                continue
-            rho = g[j] - c[j] @ w + c[j, j] * w[j]
-            new = np.sign(rho) * np.maximum(np.abs(rho) - alpha, 0) / c[j, j]
-            biggest = max(biggest, float(np.abs(new - w[j]).max()))
-            w[j] = new
-        if biggest < tol:
-            break
-    w = w / std[:, None]
-    return w, sy / n - mean @ w, biggest < tol
-
-
 def fold_fits(rows: DataFrame, k: int, alpha: float, model: str = "ridge", fold: str = "fold") -> DataFrame:
-    """(fold, w, b, converged): for each fold the fit to all others. The sums of each fold
-    are made once; those of the others are all less the fold's own."""
+    """(fold, w, b, converged, and breach for lasso): for each fold the fit to all others. The
+    sums of each fold are made once; those of the others are all less the fold's own."""
     sums = written(gram(rows, fold), "sums")
     every = added(sums, *()).select("part", "i", F.col("v").alias("_all"))
     both = sums.join(every, ["part", "i"]).select(fold, "part", "i", "v", "_all")
@@ -247,10 +209,12 @@ def fold_fits(rows: DataFrame, k: int, alpha: float, model: str = "ridge", fold:
 
     def fit(key, pdf):
         n, sx, sy, xx, xy, _ = _sums(pdf)
-        w, b, done = lasso(n[0], sx, sy, xx, xy, alpha) if model == "lasso" else (*solve_primal(n[0], sx, sy, xx, xy, alpha, scale=True), True)
-        return pd.DataFrame([(*key, w.ravel().tolist(), b.tolist(), done)], columns=[fold, "w", "b", "converged"])
+        w, b = solve_primal(n[0], sx, sy, xx, xy, alpha, scale=True)
+        return pd.DataFrame([(*key, w.ravel().tolist(), b.tolist(), True)], columns=[fold, "w", "b", "converged"])
 
     others = both.mapInArrow(less, both.drop("_all").schema)
+    if model == "lasso":
+        return lasso_fits(others, fold, alpha)
     return others.groupBy(fold).applyInPandas(fit, ", ".join([*_kinds(rows, (fold,)), "w array<double>, b array<double>, converged boolean"]))
 
 
@@ -266,6 +230,24 @@ def decomposed(n: float, sx: np.ndarray, sy: np.ndarray, xx: np.ndarray, xy: np.
     return mean, std, sy / n, directions, np.maximum(length, 0), directions.T @ ((xy.reshape(d, -1) - np.outer(mean, sy)) / std[:, None])
 
 
+def ridge_alphas(rows: DataFrame, *by: str, alphas: tuple[float, ...] = ALPHAS) -> DataFrame:
+    """(by, w, b, error): per group the ridge fits on standardised features for all alphas, from
+    one decomposition; they are put side by side, as if there were so many times the
+    responses. A group whose fit fails has the reason in error, and no fit."""
+
+    def fit(key, pdf):
+        try:
+            n, sx, sy, xx, xy, _ = _sums(pdf)
+            mean, std, my, directions, length, along = decomposed(n[0], sx, sy, xx, xy)
+            w = np.concatenate([directions @ (along / (length + alpha)[:, None]) / std[:, None] for alpha in alphas], axis=1)
+            out = (w.ravel().tolist(), (np.tile(my, len(alphas)) - mean @ w).tolist(), None)
+        except (np.linalg.LinAlgError, ValueError) as e:
+            out = (None, None, f"failed: {e}")
+        return pd.DataFrame([(*key, *out)], columns=[*by, "w", "b", "error"])
+
+    return gram(rows, *by).groupBy(*by).applyInPandas(fit, ", ".join([*_kinds(rows, by), "w array<double>, b array<double>, error string"]))
+
+
 def left_out_errors(x: np.ndarray, y: np.ndarray, n: float, parts: tuple[np.ndarray, ...], alphas: tuple[float, ...]) -> list[float]:
     """Per alpha the sum of squared errors of these rows, each predicted without itself. The
     constant is part of the leverage."""
@@ -301,7 +283,7 @@ def loo_fit(rows: DataFrame, *by: str, alphas: tuple[float, ...] = ALPHAS, most:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for key, at in _groups(b, by) if b.num_rows else ():
+            for key, at in grouped(b, by) if b.num_rows else ():
                 part = b.take(pa.array(at))
                 x, y = matrix(part.column(len(by))), matrix(part.column(len(by) + 1))
                 errors = left_out_errors(x, y, *shaped(known.get(key)), alphas)

@@ -21,6 +21,18 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def grouped(b: pa.RecordBatch, by: tuple[str, ...]) -> list[tuple[tuple, np.ndarray]]:
+    """(key, places of its rows) of each group of a batch."""
+    code = np.zeros(b.num_rows, np.int64)
+    for c in by:
+        column = b.column(b.schema.get_field_index(c)).dictionary_encode()
+        code = code * (len(column.dictionary) + 1) + column.indices.fill_null(len(column.dictionary)).to_numpy(zero_copy_only=False)
+    _, first, group = np.unique(code, return_index=True, return_inverse=True)
+    order = np.argsort(group, kind="stable")
+    cuts = np.searchsorted(group[order], np.arange(len(first) + 1))
+    return [(tuple(b.column(b.schema.get_field_index(c))[int(k)].as_py() for c in by), order[x:y]) for k, x, y in zip(first, cuts, cuts[1:], strict=False)]
+
+
 def added(tiles: DataFrame, *by: str) -> DataFrame:
     """Tiles (by, part, i, v) of equal keys added up. Each task numbers what it hands on, and
     tiles of a key are added in that order, so that sums don't change from run to run."""

@@ -472,6 +472,42 @@ def subject_analysis_one(spark, folder):
     return _reports(spark, folder, 1)
 
 
+def _sweep_features(d: DataFrame, width: int, start: int) -> DataFrame:
+    """Features of two keys, and those of a third that has too few clips."""
+    v = F.col("embedding").cast("array<double>")
+    key = lambda name, at: d.select(F.lit(name).alias("feature_key"), "clip", "tr", F.slice(v, at, width).alias("x"))
+    return key("first", 1).union(key("second", 1 + start)).union(key("few", 1).where("clip < 3"))
+
+
+def _sweep(spark, folder, width: int, start: int) -> DataFrame:
+    d = clips(spark, folder)
+    y = F.slice(F.col("embedding").cast("array<double>"), F.lit(1 + start + width), F.size("embedding") - start - width)
+    out = encoding.analysis_sweep(_sweep_features(d, width, start), d.select("clip", "tr", y.alias("y")), (0, 3), (1.0, 1000.0))
+    return rounds(out, "mean_r", "median_r", "mean_r2", "median_r2")
+
+
+@query()
+def analysis_sweep(spark, folder):
+    return _sweep(spark, folder, 16, 16)
+
+
+@query(f"""WITH {CLIPS}, i AS (SELECT unnest(range(3, 65)) p), g AS (SELECT unnest([0, 3])::INT lag),
+f AS (SELECT 'first' feature_key, clip, tr, embedding[1]::DOUBLE x FROM t UNION ALL SELECT 'second', clip, tr, embedding[2]::DOUBLE FROM t UNION ALL SELECT 'few', clip, tr, embedding[1]::DOUBLE FROM t WHERE clip < 3),
+a AS (SELECT feature_key, lag, f.clip, f.tr, p parcel, x, t.embedding[p]::DOUBLE y FROM f, g, t, i WHERE t.clip = f.clip AND t.tr = f.tr + lag),
+n AS (SELECT feature_key, lag, clip, count(DISTINCT tr) n FROM a GROUP BY ALL HAVING count(DISTINCT tr) > 1),
+h AS (SELECT *, row_number() OVER (PARTITION BY feature_key, lag ORDER BY clip) rank, count(*) OVER (PARTITION BY feature_key, lag) c FROM n),
+l AS (SELECT *, rank <= greatest(4, least(floor(c * 0.8::DOUBLE), c - 1)) train FROM h WHERE c >= 5), b AS (SELECT a.*, train FROM a JOIN l USING (feature_key, lag, clip)),
+s AS (SELECT feature_key, lag, parcel, avg(x) mx, avg(y) my, stddev_pop(x) s, count(*) k, covar_pop(x, y) c FROM b WHERE train GROUP BY ALL), v AS (SELECT unnest([1, 1000])::DOUBLE alpha),
+e AS (SELECT feature_key, lag, alpha, parcel, y, my + (x - mx) / s * (k * c / s) / (k + alpha) p FROM b JOIN s USING (feature_key, lag, parcel), v WHERE NOT train), m AS (SELECT *, avg(y) OVER (PARTITION BY feature_key, lag, alpha, parcel) m FROM e),
+r AS (SELECT feature_key, lag, alpha, parcel, coalesce(covar_pop(p, y) / nullif(stddev_pop(p) * stddev_pop(y), 0), 0) r, 1 - sum((y - p) ** 2) / sum((y - m) ** 2) r2 FROM m GROUP BY ALL),
+o AS (SELECT feature_key, lag, alpha, round(avg(r), 6) mean_r, round(median(r), 6) median_r, round(avg(r2), 6) mean_r2, round(median(r2), 6) median_r2 FROM r GROUP BY ALL),
+q AS (SELECT feature_key, lag, sum(n) FILTER (train)::BIGINT n_train, sum(n) FILTER (NOT train)::BIGINT n_test FROM l GROUP BY ALL), u AS (SELECT feature_key, lag, max(c) n_clips FROM h GROUP BY ALL)
+SELECT feature_key, lag, alpha, CASE WHEN n_clips IS NULL THEN 'no aligned steps' WHEN n_clips < 5 THEN 'too few clips to split: ' || n_clips ELSE 'ok' END status, coalesce(n_clips, 0) n_clips, n_train, n_test, mean_r, median_r, mean_r2, median_r2
+FROM (SELECT DISTINCT feature_key FROM f) JOIN g ON true JOIN v ON true LEFT JOIN u USING (feature_key, lag) LEFT JOIN q USING (feature_key, lag) LEFT JOIN o USING (feature_key, lag, alpha)""")
+def analysis_sweep_one(spark, folder):
+    return _sweep(spark, folder, 1, 1)
+
+
 @query(f"""WITH {CLIPS}, g AS (SELECT unnest([0, 1, 2, 3, 4, 5])::INT lag), i AS (SELECT unnest(range(1, 65)) p),
 a AS (SELECT lag, p, x.embedding[p]::DOUBLE x, y.embedding[p]::DOUBLE y FROM g, t x JOIN t y ON x.clip = y.clip, i WHERE y.tr = x.tr + lag),
 r AS (SELECT lag, p, {R} r, count(*) n FROM a GROUP BY lag, p) SELECT lag, round(avg(r), 6) mean_r, max(n) n FROM r GROUP BY lag""")
