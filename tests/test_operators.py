@@ -119,8 +119,10 @@ def test_pooling(spark):
     assert pooling.grid_of(3136) == (16, 14) and pooling.grid_of(8 * 49) == (8, 7)
     t = np.arange(2 * 9 * 2, dtype=float).reshape(18, 2)
     d = spark.createDataFrame([(t.tolist(),)], "t array<array<double>>")
-    got = d.select(pooling.spatial(F.col("t"), 3, 2, out=3, steps=2).alias("s"), pooling.mean_tokens(F.col("t"), 2).alias("m"), pooling.cropped(F.col("t"), F.lit(1), F.lit(2), 9).alias("c")).first()
-    assert np.allclose(got.s, t.reshape(2, 9, 2).mean(0).ravel()) and np.allclose(got.m, t.mean(0)) and np.allclose(got.c, t[9:])
+    got = d.select(pooling.mean_tokens(F.col("t"), 2).alias("m"), pooling.cropped(F.col("t"), F.lit(1), F.lit(2), 9).alias("c")).first()
+    assert np.allclose(got.m, t.mean(0)) and np.allclose(got.c, t[9:])
+    assert np.allclose(pooling.pooled(d, "t", per_step=9).first().pooled, t.reshape(2, 9, 2).mean(0).ravel())
+    assert np.allclose(pooling.pooled(d, "t", out=None).first().pooled, t.mean(0))
     assert pooling.without_class_token(F.col("t"), 18)[1] == 18 and pooling.without_class_token(F.col("t"), 17)[1] == 16
 
 
@@ -332,16 +334,34 @@ def test_crop_and_pool(spark):
     rng = np.random.default_rng(4)
     video, image = rng.normal(size=(4, 5, 5, 2)), rng.normal(size=(6, 10, 2))
     d = spark.createDataFrame([(video.reshape(-1, 2).tolist(), image.reshape(-1, 2).tolist(), 2.1, 5.0)], "v array<array<double>>, i array<array<double>>, a double, b double")
-    got = d.select(pooling.crop_pool(F.col("v"), F.col("a"), F.col("b"), 8.0, 4, 25, 2).alias("v"), pooling.crop_pool(F.col("i"), F.col("a"), F.col("b"), 8.0, 6, 10, 2).alias("i")).first()
+    crop = lambda c, steps, per_step: pooling.crop_pooled(d, c, "a", rel_start=F.col("a"), rel_end=F.col("b"), length=8.0, steps=steps, per_step=per_step).first().pooled
 
     def plain(grid, steps):
         a, b = round(2.1 / 8 * steps), round(5.0 / 8 * steps)
         ends = pooling.bins(grid.shape[1], 3, True)
         return np.array([[grid[a:b, t:u, x:z].mean((0, 1, 2)) for x, z in ends] for t, u in ends]).ravel()
 
-    assert np.allclose(got.v, plain(video, 4)) and np.allclose(got.i, plain(image[:, 1:].reshape(6, 3, 3, 2), 6))
+    assert np.allclose(crop("v", 4, 25), plain(video, 4)) and np.allclose(crop("i", 6, 10), plain(image[:, 1:].reshape(6, 3, 3, 2), 6))
     with pytest.raises(ValueError):
-        pooling.crop_pool(F.col("v"), F.col("a"), F.col("b"), 8.0, 4, 7, 2)
+        crop("v", 4, 7)
+
+
+def test_pooling_of_real_size(spark):
+    """A row of 3,136 tokens of 64 numbers, as 16 steps of 14 × 14, and odd rows."""
+    import time
+
+    rng = np.random.default_rng(6)
+    t = rng.normal(size=(3136, 64)).astype(np.float32)
+    d = spark.createDataFrame([(1, t.tolist(), 3, 9), (2, None, 0, 1), (3, [], 0, 1), (4, t[:196].tolist(), 0, 99), (5, t[:392].tolist(), 2, 2)], "id int, t array<array<float>>, a int, b int")
+    got = {r.id: r.pooled for r in pooling.pooled(d, "t", "id", per_step=196, first="a", last="b", overlapping=True).collect()}
+    grid = t.reshape(16, 14, 14, 64).astype(float)
+    plain = lambda g: np.array([[g[:, a:b, x:y].mean((0, 1, 2)) for x, y in pooling.bins(14, 3, True)] for a, b in pooling.bins(14, 3, True)]).ravel()
+    assert np.allclose(got[1], plain(grid[3:9])) and np.allclose(got[4], plain(grid[:1])) and got[2] is got[3] is got[5] is None
+    start = time.process_time()
+    for _ in range(10):
+        pooling.bin_means(grid, 3, 9, pooling.bins(14, 3, True))
+    assert time.process_time() - start < 5
+    assert np.allclose(pooling.pooled(d.where("id = 1"), "t", "id").first().pooled, np.array([[grid[:, a:b, x:y].mean((0, 1, 2)) for x, y in pooling.bins(14, 3, False)] for a, b in pooling.bins(14, 3, False)]).ravel())
 
 
 def test_percentile(spark):

@@ -1,14 +1,19 @@
-"""Pooling of token grids, in array functions: a row's tokens stay in its row.
+"""Pooling of token grids: a row's tokens stay in its row.
 
-Tokens are an array of arrays (token, feature), in the order time, height, width.
+Tokens are an array of arrays (token, feature), in the order time, height, width. Bins
+and crops are sums over boxes of that grid, taken from sums that are cumulated once.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def mean_tokens(tokens: Column, dim: int) -> Column:
@@ -40,41 +45,86 @@ def bins(n: int, out: int, overlapping: bool) -> list[tuple[int, int]]:
     return [(a, max(b, a + 1)) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def spatial(tokens: Column, side: int, dim: int, out: int = 3, steps: int = 1, overlapping: bool = False) -> Column:
-    """Means over out × out bins of the grid and over all time steps: one array of
-    out * out * dim numbers, by row and column of bins."""
-    return _binned(tokens, F.lit(0), F.lit(steps), side * side, side, dim, bins(side, out, overlapping))
-
-
-def _binned(tokens: Column, first: Column, last: Column, per_step: int, side: int, dim: int, ranges: list[tuple[int, int]]) -> Column:
-    """Means over bins of the grid of the time steps from ``first`` until ``last``. A bin's
-    tokens are told by their number, so the plan doesn't grow with the grid."""
-    ahead = per_step - side * side  # tokens of a step that aren't of the grid
-
-    def inside(top: int, bottom: int, left: int, right: int):
-        def test(_, i):
-            step, at = F.floor(i / per_step), i % per_step - ahead
-            y, x = F.floor(at / side), at % side
-            return (at >= 0) & (step >= first) & (step < last) & (y >= top) & (y < bottom) & (x >= left) & (x < right)
-
-        return test
-
-    size = lambda top, bottom, left, right: (last - first) * ((bottom - top) * (right - left))
-    cells = [(*rows, *columns) for rows in ranges for columns in ranges]
-    return F.concat(*[_mean(F.filter(tokens, inside(*c)), dim, size(*c)) for c in cells])
-
-
-def crop_pool(tokens: Column, rel_start: Column, rel_end: Column, length: float, steps: int, per_step: int, dim: int, out: int = 3) -> Column:
-    """Tokens of a window, cropped to the time steps that stand for a part of it, as means
-    over out × out adaptive bins of the grid. ``steps`` are time steps of a video, or
-    images; if the tokens of an image but one are a square, the first stands for the
-    whole and is left out."""
-    side = math.isqrt(per_step - 1)
+def grid_side(per_step: int) -> int:
+    """Side of the square that the tokens of a step are; if all but one are a square, the
+    first stands for the whole and isn't of it."""
+    side = math.isqrt(per_step - 1) if per_step > 1 else 1
     side = side if per_step > 1 and side * side == per_step - 1 else math.isqrt(per_step)
     if per_step - side * side not in (0, 1):
         raise ValueError(f"{per_step} tokens are no square")
+    return side
+
+
+def cumulated(grid: np.ndarray) -> np.ndarray:
+    """Sums of a grid (time, height, width, feature) up to each place, from 0 on."""
+    out = np.zeros([n + 1 for n in grid.shape[:3]] + [grid.shape[3]])
+    np.cumsum(grid, axis=0, dtype=np.float64, out=out[1:, 1:, 1:])
+    np.cumsum(out, axis=1, out=out)
+    np.cumsum(out, axis=2, out=out)
+    return out
+
+
+def bin_means(grid: np.ndarray, first: int, last: int, ranges: list[tuple[int, int]]) -> np.ndarray:
+    """Means of the bins (ranges of rows by ranges of columns) over the time steps from ``first``
+    until ``last``, by eight look-ups in the cumulated sums for each."""
+    sums = cumulated(grid)
+    part = sums[last] - sums[first]
+    lo, hi = (np.array(x) for x in zip(*ranges, strict=True))
+    total = part[np.ix_(hi, hi)] - part[np.ix_(lo, hi)] - part[np.ix_(hi, lo)] + part[np.ix_(lo, lo)]
+    size = (last - first) * np.outer(hi - lo, hi - lo)
+    return total / size[:, :, None]
+
+
+def pooled(
+    rows: DataFrame, tokens: str, *keep: str, per_step: int | None = None, out: int | None = 3, overlapping: bool = False, first: str | None = None, last: str | None = None, name: str = "pooled"
+) -> DataFrame:
+    """The columns ``keep`` and an array: means of tokens (an array of arrays of equal lengths)
+    over out × out bins of the grid of a time step, by row and column of bins, and over the
+    time steps from the column ``first`` until ``last`` (all, if they aren't given); or, if
+    ``out`` is None, over all tokens of these steps. ``per_step`` are the tokens of a time
+    step, or of an image; grid_of() tells it by their number if it isn't given. Bins are cut
+    at truncated even steps, or ``overlapping``. Null tokens, and no tokens, give null.
+
+    Rows are Arrow lists; a grid is cumulated once a row, and nothing else is copied."""
+    ends = [F.col(c).cast("int").alias(n) if c else F.lit(None).cast("int").alias(n) for c, n in ((first, "_first"), (last, "_last"))]
+    kept = rows.select(*keep, *ends, F.col(tokens).alias("_tokens"))
+    fields = [*kept.schema.fields[:-3], T.StructField(name, T.ArrayType(T.DoubleType()))]
+
+    def one(x: pa.ListScalar, a: int | None, b: int | None) -> np.ndarray | None:
+        if not x.is_valid or not len(x.values):
+            return None
+        n = len(x.values)
+        each = per_step or (n // grid_of(n)[0] if out else n)
+        flat = x.values.flatten().to_numpy(zero_copy_only=False)
+        if n % each or len(flat) % n:
+            raise ValueError(f"{n} tokens with {len(flat)} numbers are no time steps of {each}")
+        grid = flat.reshape(n // each, each, -1)
+        a, b = max(0, a or 0), len(grid) if b is None else min(b, len(grid))
+        if a >= b:
+            return None
+        if out is None:
+            return grid[a:b].mean(axis=(0, 1), dtype=np.float64)
+        side = grid_side(each)
+        square = grid[:, each - side * side :].reshape(len(grid), side, side, -1)
+        return bin_means(square[a:b], 0, b - a, bins(side, out, overlapping)).ravel()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column(b.num_columns - 1)
+            ends = [b.column(b.num_columns - k).to_pylist() for k in (3, 2)]
+            means = [one(x[k], p, q) for k, (p, q) in enumerate(zip(*ends, strict=True))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-3], pa.array(means, pa.list_(pa.float64()))], names=[f.name for f in fields])
+
+    return kept.mapInArrow(run, T.StructType(fields))
+
+
+def crop_pooled(rows: DataFrame, tokens: str, *keep: str, rel_start: Column, rel_end: Column, length: float, steps: int, per_step: int, name: str = "pooled") -> DataFrame:
+    """Tokens of a window of ``length``, cropped to the time steps, or images, that stand for a
+    part of it, as means over 3 × 3 adaptive bins of the grid."""
+    grid_side(per_step)
     first, last = token_range(rel_start, rel_end, length, steps)
-    return _binned(tokens, first, last, per_step, side, dim, bins(side, out, True))
+    d = rows.select(*keep, first.alias("_from"), last.alias("_until"), F.col(tokens).alias("_whole"))
+    return pooled(d, "_whole", *keep, per_step=per_step, overlapping=True, first="_from", last="_until", name=name)
 
 
 def token_range(rel_start: Column, rel_end: Column, length: float, steps: int) -> tuple[Column, Column]:

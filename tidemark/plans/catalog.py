@@ -230,7 +230,8 @@ def mean_over_subjects(spark, folder):
 @query(f"WITH k AS (SELECT vec_id, {TOKENS} t FROM embeddings) SELECT vec_id, d, round(list_sum([x[d + 1] for x in t]) / 16, 6) v FROM k, (SELECT unnest(range(0, 4)) d)")
 def mean_tokens_pool(spark, folder):
     tokens = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.slice("embedding", k * 4 + 1, 4))
-    d = table(spark, folder, "embeddings").select("vec_id", F.posexplode(pooling.mean_tokens(tokens, 4)).alias("d", "v"))
+    d = pooling.pooled(table(spark, folder, "embeddings").withColumn("t", tokens), "t", "vec_id", out=None)
+    d = d.select("vec_id", F.posexplode("pooled").alias("d", "v"))
     return rounds(d.withColumn("d", F.col("d").cast("long")), "v")
 
 
@@ -242,8 +243,8 @@ def crop_pool(spark, folder):
     first, last = pooling.token_range(start, start + 1.49, 8.0, 4)
     tokens = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.slice("embedding", k * 4 + 1, 4))
     d = table(spark, folder, "embeddings").select("vec_id", first.alias("first_step"), last.alias("end_step"), tokens.alias("t"))
-    d = d.withColumn("t", pooling.cropped(F.col("t"), F.col("first_step"), F.col("end_step"), 4))
-    d = d.select("vec_id", "first_step", "end_step", F.posexplode(pooling.mean_tokens(F.col("t"), 4)).alias("d", "v"))
+    d = pooling.pooled(d, "t", "vec_id", "first_step", "end_step", per_step=4, out=None, first="first_step", last="end_step")
+    d = d.select("vec_id", "first_step", "end_step", F.posexplode("pooled").alias("d", "v"))
     return rounds(d.withColumn("d", F.col("d").cast("long")), "v")
 
 
@@ -261,7 +262,8 @@ def flattened_sum(spark, folder):
 
 def _pooled(spark, folder, overlapping: bool) -> DataFrame:
     tokens = F.transform("embedding", lambda v: F.array(v))
-    d = table(spark, folder, "embeddings").select("vec_id", F.posexplode(pooling.spatial(tokens, 8, 1, overlapping=overlapping)).alias("bin", "v"))
+    d = pooling.pooled(table(spark, folder, "embeddings").withColumn("t", tokens), "t", "vec_id", per_step=64, overlapping=overlapping)
+    d = d.select("vec_id", F.posexplode("pooled").alias("bin", "v"))
     return rounds(d.withColumn("bin", F.col("bin").cast("long")), "v")
 
 
@@ -299,8 +301,9 @@ def _crop_pooled(spark, folder, steps: int, per_step: int) -> DataFrame:
     """Tokens of one number each; where there is one too few, the first comes once more."""
     start = (F.col("vec_id") % 5) * F.lit(1.49)
     tokens = F.transform(F.slice(F.concat("embedding", F.slice("embedding", 1, 1)), 1, steps * per_step), lambda v: F.array(v))
-    pooled = pooling.crop_pool(tokens, start, start + 1.49, 8.0, steps, per_step, 1)
-    d = table(spark, folder, "embeddings").select("vec_id", F.posexplode(pooled).alias("bin", "v"))
+    d = table(spark, folder, "embeddings").withColumn("t", tokens)
+    d = pooling.crop_pooled(d, "t", "vec_id", rel_start=start, rel_end=start + 1.49, length=8.0, steps=steps, per_step=per_step)
+    d = d.select("vec_id", F.posexplode("pooled").alias("bin", "v"))
     return rounds(d.withColumn("bin", F.col("bin").cast("long")), "v")
 
 
