@@ -72,6 +72,28 @@ def test_align(spark):
     assert values(align.shared_keys(s, "clip", "subject"), "clip") == [("a",)]
 
 
+def test_contained(spark):
+    """Against plain search, with short, empty, repeated, null and hot needles."""
+    import random
+
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choices("abcé", k=n))
+    texts = [(k, word(rng.randint(0, 12))) for k in range(200)] + [(300, None), (301, ""), (302, "xx special one"), (303, "a%b_c.d")]
+    needles = [(k, word(rng.randint(1, 6))) for k in range(60)] + [(70, None), (71, ""), (72, "special"), (73, "special"), (74, "%b"), (75, "._"), (76, "not there"), (77, "a"), (78, "xx")]
+    n, t = spark.createDataFrame(needles, "k int, needle string").repartition(2), spark.createDataFrame(texts, "t int, text string").repartition(3)
+    want = {(k, x, i) for k, x in needles for i, y in texts if x is not None and y is not None and x in y}
+    for q in (1, 3, 5):
+        got = values(align.contained(n, t, "needle", "text", q), "k", "needle", "t")
+        assert len(got) == len(want) and set(got) == want
+    once = {(k, x, i) for k, x, i in want if sum(k == j for j, _, _ in want) == 1}
+    assert set(values(align.contained_once(n, t, "needle", "text"), "k", "needle", "t")) == once
+    assert (72, "special", 302) in once and (73, "special", 302) in once
+    plan = align.contained(n, t, "needle", "text")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    for a, b in ((n.where("false"), t), (n, t.where("false")), (n.where("needle is null"), t)):
+        assert align.contained(a, b, "needle", "text").count() == 0 == align.contained_once(a, b, "needle", "text").count()
+
+
 def test_splits(spark):
     d = spark.createDataFrame([(k,) for k in range(10)], "clip long")
     assert [r.train for r in splits.clip_split(d).orderBy("clip").collect()] == [True] * 8 + [False] * 2

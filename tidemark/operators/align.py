@@ -33,6 +33,46 @@ def matched_once(wanted: DataFrame, files: DataFrame, key: str = "clip") -> Data
     return wanted.join(single.select(key, *[F.col("_file")[c].alias(c) for c in others]), key)
 
 
+def _grams(text: Column, q: int) -> Column:
+    """The different runs of q characters of a text, as an array."""
+    places = F.sequence(F.lit(1), F.length(text) - q + 1)
+    return F.when(F.length(text) >= q, F.array_distinct(F.transform(places, lambda k: F.substr(text, k, F.lit(q)))))
+
+
+def contained(needles: DataFrame, texts: DataFrame, needle: str, text: str, q: int = 3) -> DataFrame:
+    """Each row of ``needles`` with each row of ``texts`` that contains it: the columns of both,
+    which have different names. Nulls match nothing, an empty needle everything.
+
+    A needle is looked up by one of its runs of q characters, the one that fewest texts
+    have: an equality, so that the join is hashed or merged, and only what shares that run is
+    compared. A needle of fewer characters is such a run itself, of its own length. A run
+    that very many texts have is a skewed key, which adaptive execution splits."""
+    own = needles.where(F.col(needle).isNotNull()).withColumn("_q", F.least(F.length(needle), F.lit(q)))
+    lengths = sorted(r["_q"] for r in own.select("_q").distinct().collect())  # q + 1 numbers at most
+    if not lengths:
+        return needles.join(texts, F.lit(False))
+    hay = texts.where(F.col(text).isNotNull())
+    runs = F.concat(*[F.array(F.lit("")) if n == 0 else F.coalesce(_grams(F.col(text), n), F.array().cast("array<string>")) for n in lengths])
+    counts = hay.select(F.explode(runs).alias("_gram")).groupBy("_gram").agg(F.count("*").alias("_n"))
+    # Of equal needles one is looked up.
+    asked = own.select(F.col(needle).alias("_needle"), "_q").distinct()
+    grams = F.expr("CASE WHEN _q = 0 THEN array('') ELSE array_distinct(transform(sequence(1, length(_needle) - _q + 1), k -> substr(_needle, k, _q))) END")
+    rarest = asked.select("_needle", F.explode(grams).alias("_gram")).join(counts, "_gram", "left")
+    rarest = rarest.groupBy("_needle").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("_key"))
+    keys = rarest.where("_key.n > 0").select("_needle", F.col("_key.gram").alias("_gram"))
+    found = hay.select("*", F.explode(runs).alias("_gram")).join(keys, "_gram").where(F.contains(text, F.col("_needle"))).drop("_gram")
+    return own.drop("_q").join(found, F.col(needle) == F.col("_needle")).drop("_needle")
+
+
+def contained_once(needles: DataFrame, texts: DataFrame, needle: str, text: str, q: int = 3) -> DataFrame:
+    """The same, for needles that exactly one text contains."""
+    found = contained(needles.select(needle).distinct(), texts, needle, text, q)
+    others = texts.columns
+    single = found.groupBy(needle).agg(F.count("*").alias("_n"), F.first(F.struct(*others)).alias("_text")).where("_n = 1")
+    single = single.select(F.col(needle).alias("_needle"), *[F.col("_text")[c].alias(c) for c in others])
+    return needles.join(single, F.col(needle) == F.col("_needle")).drop("_needle")
+
+
 def missing(wanted: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """Rows of ``wanted`` whose key ``found`` doesn't have."""
     return wanted.join(found.select(key).distinct(), key, "left_anti")

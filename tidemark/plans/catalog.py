@@ -188,6 +188,25 @@ def match_once(spark, folder):
     return align.matched_once(table(spark, folder, "customer").select("c_custkey"), orders, "c_custkey").select("c_custkey", "o_orderkey")
 
 
+NEEDLES = "(SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN substr(s_name, 17, 2) ELSE substr(s_name, 1 + s_suppkey % 3 * 9, 9) END needle FROM supplier)"
+
+
+def _needles(spark, folder) -> DataFrame:
+    """Parts of suppliers' names; the shortest have two characters."""
+    part = F.when(F.col("s_suppkey") % 7 == 0, F.substring("s_name", 17, 2)).otherwise(F.substr("s_name", F.col("s_suppkey") % 3 * 9 + 1, F.lit(9)))
+    return table(spark, folder, "supplier").select("s_suppkey", part.alias("needle"))
+
+
+@query(f"SELECT s_suppkey, needle, c_custkey FROM {NEEDLES} JOIN customer ON contains(c_name, needle)")
+def substring_match(spark, folder):
+    return align.contained(_needles(spark, folder), table(spark, folder, "customer").select("c_custkey", "c_name"), "needle", "c_name").select("s_suppkey", "needle", "c_custkey")
+
+
+@query(f"SELECT s_suppkey, needle, min(c_custkey) c_custkey FROM {NEEDLES} JOIN customer ON contains(c_name, needle) GROUP BY ALL HAVING count(*) = 1")
+def substring_once(spark, folder):
+    return align.contained_once(_needles(spark, folder), table(spark, folder, "customer").select("c_custkey", "c_name"), "needle", "c_name").select("s_suppkey", "needle", "c_custkey")
+
+
 @query("""WITH k AS (SELECT c_custkey, 'file' || c_custkey || '_part' || c_nationkey || '.mkv' name FROM customer),
 n AS (SELECT *, [CASE WHEN regexp_full_match(t, '\\d+') THEN lpad(length(ltrim(t, '0'))::VARCHAR, 10, '0') || ltrim(t, '0') ELSE t END FOR t IN regexp_extract_all(lower(name), '(\\d+|\\D+)', 1)] key FROM k)
 SELECT c_custkey, name, row_number() OVER (ORDER BY key) - 1 rank FROM n""")
