@@ -447,6 +447,33 @@ def test_secrets_in_long_layers_take_little():
     assert len(text) > 5_000_000 and peak < 100 << 20
 
 
+def test_words_are_cut_where_no_piece_goes_on():
+    """Each piece that fits anywhere in a long word is within one of its parts, and every text
+    comes back; one long text without spaces takes little."""
+    import time
+
+    rng = random.Random(12)
+    m = P.Model(PIECES)
+    letters = "abcdefgh.,!漢字ab中文é▁0123的一是不了人我在"
+    for _ in range(60):
+        word = "".join(rng.choice(letters) for _ in range(rng.randint(25, 120)))
+        parts = m.cut(word)
+        assert "".join([parts[0], *[p[2:] for p in parts[1:]]]) == word and all(p[:2] == P.ON for p in parts[1:])
+        cuts, at = set(), 0
+        for p in parts[:-1]:
+            at += len(p) - 2 * (p[:2] == P.ON)
+            cuts.add(at)
+        inside = [(a, b) for a in range(len(word)) for b in range(a + 2, min(len(word), a + m.longest) + 1) if word[a:b] in m.ids]
+        assert not any(a < c < b for a, b in inside for c in cuts)
+        assert cuts == {k for k in range(1, len(word)) if not any(word[k - 1 : k + 1] in x for x in m.ids)}
+    texts = ["".join(rng.choices(letters + " \n", k=400)) for _ in range(50)] + ["\n" + "漢" * 30, "\n\n" + "▁" * 40, "▁" * 60, ""]
+    ids, upto = m.sample(texts, list(range(len(texts))), 0)
+    assert [m.decode(ids[a:b].tolist()) for a, b in zip(upto, upto[1:])] == texts
+    long, start = "".join(rng.choices("的一是不了人我在有他这中大来上国", k=200_000)), time.process_time()
+    ids, _ = m.sample([long], [1], 0)
+    assert m.decode(ids.tolist()) == long and time.process_time() - start < 5
+
+
 def test_main_text_in_forms():
     """A page that is all in one form keeps its text; forms beside or in an article go."""
     long = "It is, as was said, a paragraph of the article that goes on for long enough to be one. " * 3

@@ -30,6 +30,8 @@ LITERAL = 0x110000  # beyond all characters
 ENTRY = 150  # bytes, about, that a word takes beside its lattice
 AT_ONCE = 1 << 18  # characters whose lattices are made together
 LONG = 4096  # a longer word is taken alone
+CUT = 24  # words of more characters are cut where no piece goes from one character to the next
+ON = "\n\n"  # before a part that goes on with a word; no word holds two line breaks
 
 
 class Pool:
@@ -81,6 +83,8 @@ class Model:
         self.weights = np.array(self.weight)
         self.size, self.longest = sp.get_piece_size(), max(map(len, self.ids))
         self.by_length = [self.table([]), *[self.table([x for x in self.ids if len(x) == n]) for n in range(1, self.longest + 1)]]
+        pairs = {ord(a) << 21 | ord(b) for x in self.ids for a, b in zip(x, x[1:], strict=False)}
+        self.pairs = np.array(sorted(pairs), np.uint64)  # characters that follow each other in a piece
         self.byte_weight = -theta * math.log(self.size + offset)
         self.forget()
 
@@ -116,12 +120,13 @@ class Model:
 
         All pieces of one length are found at once: their hashes grow by a character with
         the length, and what has a piece's hash is compared with it by character."""
-        text = "".join([p if p[:1] == "\n" else SPACE + p for p in parts])
-        length = np.array([len(p) + (p[:1] != "\n") for p in parts], np.int64)
+        whole = [p[2:] if p[:2] == ON else p if p[:1] == "\n" else SPACE + p for p in parts]
+        text = "".join(whole)
+        length = np.array(list(map(len, whole)), np.int64)
         base = np.cumsum(length) - length
         code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         sign = np.zeros(len(code), bool)
-        sign[base] = code[base] == ord(SPACE)
+        sign[base[[p[:1] != "\n" for p in parts]]] = True
         code[(code == ord(SPACE)) & ~sign] = LITERAL  # characters of the text that look like the sign
         left = np.repeat(base + length, length) - np.arange(len(code))
         at, h, out = np.arange(len(code)), np.zeros(len(code), np.uint64), []
@@ -201,11 +206,22 @@ class Model:
         """Bytes, about, that the known words take."""
         return ENTRY * len(self.known) + 8 * self.edge.n + 12 * self.chance.n
 
-    @staticmethod
-    def words(text: str) -> list[str]:
+    def words(self, text: str) -> list[str]:
         """The parts of a text: bare after a space (one is thought before the text), or
-        with the line break that they begin with."""
-        return text.replace("\n", " \n").split(" ")
+        with the line break that they begin with. Long words, as in text without spaces,
+        are cut wherever no piece can go on: all ways to cut the word do so there."""
+        words = text.replace("\n", " \n").split(" ")
+        if len(text) <= CUT or len(max(words, key=len)) <= CUT:
+            return words
+        return [p for w in words for p in (self.cut(w) if len(w) > CUT else (w,))]
+
+    def cut(self, word: str) -> list[str]:
+        """The parts of a long word; all but the first have the mark of what goes on."""
+        code = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        pair = code[:-1] << np.uint64(21) | code[1:]
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        ends = [*(np.flatnonzero(self.pairs[at] != pair) + 1).tolist(), len(word)]
+        return [word[: ends[0]], *[ON + word[a:b] for a, b in zip(ends, ends[1:], strict=False)]]
 
     def sample(self, texts: list[str], keys: list[int], seed: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, where each text's begin and the last one's end)."""
