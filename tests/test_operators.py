@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import clip_id, natural_key, session_clip
@@ -15,6 +16,7 @@ from tidemark.functions.numbers import fisher
 from tidemark.operators import align, lasso, lookup, metrics, pooling, regression, report, rows, splits, windows
 from tidemark.plans import encoding
 from tidemark.sources import files, storage
+from tidemark.streaming import arrivals
 from tidemark.streaming.responses import binned
 
 
@@ -423,6 +425,56 @@ def test_settings_and_recordings(spark, tmp_path):
     assert spark.read.parquet(f"{out}/features").count() == 6 and spark.read.json(f"{out}/manifest").count() == 2
 
 
+def test_arrivals_go_on_after_an_interruption(spark, tmp_path, monkeypatch):
+    """Runs that end between any two writes, arrivals in between, equal and other settings."""
+    schema, out, made = "clip string, feature_key string, n int", f"{tmp_path}/out", []
+
+    def arrive(name, *clips):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{name}.json").write_text("".join(json.dumps({"clip": c, "feature_key": "k", "n": 2}) + "\n" for c in clips))
+
+    def make(rows):
+        made.extend(sorted(r.clip for r in rows.collect()))
+        steps = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+        return rows.select("clip", "feature_key", steps.alias("tr"), F.array(F.lit(1.0)).alias("x")), rows.select("clip", "feature_key", "n")
+
+    def run(**own):
+        made.clear()
+        found = files.settings(spark, None, **own)
+        arrivals.make_arriving(spark.readStream.schema(schema).json(f"{tmp_path}/in"), make, out, found).awaitTermination()
+        assert spark.read.parquet(f"{out}/features").groupBy("clip", "tr").count().where("count > 1").count() == 0
+        return files.digest(found)
+
+    def done(key=None):
+        return sorted(r.clip for r in files.finished(spark, out, key).collect())
+
+    arrive("a", "one", "two", "two")
+    for at in ("features", "manifest", "done"):  # what is written when the run ends
+
+        def broken(self, path, *a, at=at, f=DataFrameWriter.parquet, **b):
+            if path.endswith(at):
+                raise OSError(at)
+            return f(self, path, *a, **b)
+
+        with monkeypatch.context() as m:
+            m.setattr(DataFrameWriter, "parquet", broken)
+            m.setattr(DataFrameWriter, "json", lambda self, path, *a, f=DataFrameWriter.json, at=at, **b: broken(self, path, *a, at=at, f=f, **b))
+            with pytest.raises(Exception, match=at):
+                run()
+        assert done() == []
+    first = run()
+    assert made == ["one", "two"] and done(first) == ["one", "two"]
+    arrive("b", "two", "three")
+    assert run() == first and made == ["three"] and done(first) == ["one", "three", "two"]
+    assert run() == first and made == []
+    other = run(sample_fraction=0.5)
+    assert other != first and made == ["one", "three", "two"] and done(other) == made and done(first) == []
+    assert run(sample_fraction=0.5, lag_trs=1) == other and made == []  # features don't depend on a lag
+    assert run(sample_fraction=0.5, force=True) == other and made == ["one", "three", "two"]
+    assert {r.made_by for r in spark.read.json(f"{out}/manifest").collect()} == {other}
+    assert spark.read.parquet(f"{out}/features").count() == 6
+
+
 def test_subject_analysis(spark, tmp_path):
     """Against plain NumPy, with clips that one side lacks; written, and one subject again."""
     rng = np.random.default_rng(8)

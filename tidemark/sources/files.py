@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.errors import AnalysisException
@@ -25,6 +26,15 @@ SETTINGS = {
 }
 
 
+# Settings that features depend on.
+MADE_BY = ("tr", "chunk_length", "seconds_before_chunk", "sample_fraction", "minimum_samples", "feature_key")
+
+
+def digest(found: dict, names: tuple[str, ...] = MADE_BY) -> str:
+    """A short name for the settings that something is made by: equal ones give equal names."""
+    return hashlib.sha256(json.dumps({n: found[n] for n in sorted(names)}, sort_keys=True).encode()).hexdigest()[:16]
+
+
 def recordings(spark: SparkSession, root: str, pattern: str = "*.{mkv,mp4}") -> DataFrame:
     """(path, name, length, key): files below ``root`` by name; sort by key for the natural
     order. Contents aren't read. Raises if there are none."""
@@ -88,23 +98,31 @@ def write_features(features: DataFrame, path: str) -> None:
     features.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("feature_key").parquet(path)
 
 
-def write_recording(features: DataFrame, manifest: DataFrame, path: str) -> None:
+def write_recording(features: DataFrame, manifest: DataFrame, path: str, made_by: str = "") -> None:
     """Features (clip, feature_key, …), the manifest (clip, feature_key and what is known
     of each recording) and, last of all, a marker for each that is done: what has no
-    marker is made again, whatever else is there."""
+    marker is made again, whatever else is there. ``made_by`` is the digest() of the
+    settings; it is in the manifest and in the marker. A recording that is written again,
+    under these or other settings, is replaced: its marker goes first."""
     keys = ("clip", "feature_key")
+    own = manifest.select(*keys).distinct()
+    mark = lambda status: own.withColumns({"status": F.lit(status), "made_by": F.lit(made_by)}).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(f"{path}/done")
+    if not finished(features.sparkSession, path).join(own, list(keys), "left_semi").isEmpty():
+        mark("started")
     features.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(f"{path}/features")
-    manifest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).json(f"{path}/manifest")
-    done = manifest.select(*keys, F.lit("ok").alias("status")).distinct()
-    done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(f"{path}/done")
+    manifest.withColumn("made_by", F.lit(made_by)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).json(f"{path}/manifest")
+    mark("ok")
 
 
-def finished(spark: SparkSession, path: str) -> DataFrame:
-    """(clip, feature_key) of the recordings that have a marker; none if nothing is there."""
+def finished(spark: SparkSession, path: str, made_by: str | None = None) -> DataFrame:
+    """(clip, feature_key) of the recordings that have a marker, of those that were made by
+    these settings if that is given; none if nothing is there."""
     try:
-        return spark.read.parquet(f"{path}/done").select(F.col("clip").cast("string").alias("clip"), F.col("feature_key").cast("string").alias("feature_key"))
+        done = spark.read.parquet(f"{path}/done").where("status = 'ok'")
     except AnalysisException:
         return spark.createDataFrame([], "clip string, feature_key string")
+    done = done if made_by is None else done.where(F.col("made_by") == made_by)
+    return done.select(F.col("clip").cast("string").alias("clip"), F.col("feature_key").cast("string").alias("feature_key"))
 
 
 def write_analysis(predictions: DataFrame, reports: DataFrame, path: str) -> None:
