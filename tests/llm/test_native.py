@@ -41,6 +41,39 @@ def test_quality_measures(spark):
         assert not (r.kept and r.base_failed) and 0 <= r.lost <= 1
 
 
+def plain_line(line):
+    """The rules of lines, written out once more."""
+    if not line.strip(" \t\n\v\f\r"):
+        return True
+    end = line.rstrip("\"'”’»)]}* \t\r")[-1:]
+    closed = end in tuple(".!?…:;。！？．") or re.search(r"[.!?…。！？][\"'”’»)\]]* +[^ ]", line)
+    gaps = line.count(" ")
+    marks = len(re.findall(r"[#*$%&|<>!~=_^+]{2,}|[|»›·•]", line))
+    entries = ["home", "menu", "search", "login", "log in", "sign in", "sign up", "register", "next", "previous", "contact", "contact us", "about", "about us", "faq", "help", "sitemap"]
+    entry = re.fullmatch(rf"(?i)(?:{'|'.join(entries)})(?: *[|>»›·•/-].*)?", line.strip(" "))
+    phrases = [
+        "all rights reserved", r"copyright (?:\(c\)|©|[0-9])", "cookie policy", "cookies policy", "cookie settings", "cookies settings", "we use cookies", "accept cookies", "accept all cookies",
+        "privacy policy", "terms of use", "terms of service", "terms and conditions", "terms & conditions", "enable javascript", "requires javascript", "subscribe to our", "sign up for our",
+        "share this on", "share this via", "follow us on", "powered by", "click here to", "skip to content", "skip to main content", "back to top", "read more", "todos los derechos reservados",
+        "tous droits réservés", "alle rechte vorbehalten", "lorem ipsum",
+    ]
+    boiler = re.search(r"(?i)\b(?:" + "|".join(phrases) + r")\b", line, re.ASCII)
+    return bool(closed) and marks * 4 <= gaps + 1 and not (gaps < 13 and entry) and not boiler
+
+
+def test_quality_lines_against_plain_rules(spark, data):
+    """Which lines stay, and the verdict, of all documents and of lines made to be odd."""
+    lines = ["Home", "Home | News | About.", "Login > more.", "sign up - now!", "Search engines find pages, he said.", "a | b | c | d.", "$$$ word &&& noun %%% verb.", "He said: \"yes\")", "No end", "One. Two", "All Rights Reserved.", "Copyright 2020 us.", "Copyrights are old.", "Please enable JavaScript!", "We use cookies.", "Read More about it.", "x ** y.", "¿Qué?", "中文。", "Terms & conditions apply.", "", "  \t"]
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(-1, "\n".join(lines)), (-2, "\n".join(lines * 5)), (-3, "Fine words here, and more of them. " * 9 + "\nHome\nMenu")], "doc_id long, text string"))
+    for r in quality_rules(docs).select("doc_id", "text", "clean_text", "kept", "base_failed", "lost").collect():
+        text = r.text or ""
+        stay = [x for x in text.split("\n") if plain_line(x)]
+        assert r.clean_text == "\n".join(stay), r.doc_id
+        bare = lambda x: len(re.sub(r"[\x20\x09-\x0D]", "", x))
+        lost = 1 - bare("\n".join(stay)) / bare(text) if bare(text) else 0.0
+        assert abs(r.lost - lost) < 1e-12 and r.base_failed == measures(r.text)[-1] and r.kept == (not r.base_failed and lost <= 0.5)
+
+
 def test_quality_verdicts(spark):
     clean = "\n".join(" ".join(f"word{k * 31 + j * 7}" for j in range(9)) + "." for k in range(12))
     cases = {
