@@ -548,6 +548,19 @@ def test_stream_equals_table(spark, data, tmp_path):
     assert a == {(r.subject, r.parcel, r.start): r.n for r in binned(spark.read.parquet(f"{data}/events.parquet")).collect()}
 
 
+def test_tables_on_the_way_go(spark):
+    from pathlib import Path
+
+    with pytest.raises(RuntimeError), storage.temporary(spark) as outer:
+        kept = storage.written(spark.range(3), "x")
+        with storage.temporary(spark) as inner:
+            assert storage.written(spark.range(5), "y").count() == 5 and inner.startswith(outer)
+        assert kept.count() == 3 and not Path(inner.removeprefix("file://")).exists() and len(list(Path(outer.removeprefix("file://")).iterdir())) == 1
+        raise RuntimeError
+    assert not Path(outer.removeprefix("file://")).exists()
+    assert outer not in storage.new_path(spark, "z")
+
+
 def test_spread(spark, tmp_path):
     spark.range(1000).withColumn("t", F.lit("x")).coalesce(1).write.parquet(f"{tmp_path}/one.parquet")
     d = storage.spread(storage.table(spark, str(tmp_path), "one"))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,13 +45,32 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_folders: ContextVar[tuple[str, ...]] = ContextVar("folders", default=())
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder, or in that of the innermost temporary()."""
+    folders = _folders.get()
+    return f"{folders[-1] if folders else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def temporary(spark: SparkSession, name: str = "run") -> Iterator[str]:
+    """A folder for all tables that are written on the way inside, which goes at the end,
+    also after an error. Results that read from them must be written by then."""
+    folder = new_path(spark, name)
+    token = _folders.set((*_folders.get(), folder))
+    try:
+        yield folder
+    finally:
+        _folders.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: what follows starts from
-    those files, also after executors were lost."""
+    those files, also after executors were lost. They stay, unless in temporary()."""
     spark, path, schema = df.sparkSession, new_path(df.sparkSession, name), df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
