@@ -329,7 +329,7 @@ def _crop_pooled(spark, folder, steps: int, per_step: int) -> DataFrame:
 @query(f"""WITH {PAIRS} SELECT parcel, round((sum(x * y) - sum(x) * sum(y) / count(*)) / (sum(x * x) - sum(x) * sum(x) / count(*) + 1000), 6) slope FROM a GROUP BY parcel""")
 def ridge_univariate(spark, folder):
     d = encoding.lagged_pairs(clips(spark, folder)).select("parcel", F.array("x").alias("x"), F.array("y").alias("y"))
-    return rounds(regression.ridge_fit(d, "parcel").select("parcel", F.get("w", F.lit(0)).alias("slope")), "slope")
+    return rounds(regression.ridge_fit(d, "parcel", form="sums").select("parcel", F.get("w", F.lit(0)).alias("slope")), "slope")
 
 
 @query()
