@@ -211,7 +211,7 @@ class Model:
         with the line break that they begin with. Long words, as in text without spaces,
         are cut wherever no piece can go on: all ways to cut the word do so there."""
         words = text.replace("\n", " \n").split(" ")
-        if len(text) <= CUT or len(max(words, key=len)) <= CUT:
+        if len(text) <= CUT or max(map(len, words)) <= CUT:
             return words
         return [p for w in words for p in (self.cut(w) if len(w) > CUT else (w,))]
 
