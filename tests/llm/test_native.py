@@ -280,5 +280,5 @@ def test_chat_of_deep_and_broad_threads(spark):
 
 
 def test_registered(spark, data):
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES] == list(range(1, 14))
     assert queries.QUERIES["op2_chat_format"](spark, data).where(F.col("formatted").isNull()).count() == 0

@@ -60,7 +60,7 @@ class Model:
     piece of their own are written as the pieces of their bytes.
     """
 
-    def __init__(self, path: str, theta: float = 1.0, offset: float = 10.0, most: int = 160 << 20):
+    def __init__(self, path: str, theta: float = 1.0, offset: float = 10.0, most: int = 96 << 20):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
