@@ -96,6 +96,16 @@ def test_contained(spark):
         assert align.contained(a, b, "needle", "text").count() == 0 == align.contained_once(a, b, "needle", "text").count()
 
 
+def test_contained_once_broadcasts_no_runs(spark, tmp_path):
+    """Files are far smaller than the runs of their texts, which may not go by the driver."""
+    spark.range(3000).selectExpr("id t", "concat('Text#', lpad(id, 9, '0')) text").write.parquet(str(tmp_path / "t"))
+    spark.range(300).selectExpr("id k", "CASE WHEN id % 3 = 0 THEN '' WHEN id % 3 = 1 THEN lpad(id, 9, '0') ELSE '07' END needle").write.parquet(str(tmp_path / "n"))
+    n, t = spark.read.parquet(str(tmp_path / "n")), spark.read.parquet(str(tmp_path / "t"))
+    d = align.contained_once(n, t, "needle", "text")
+    assert "Broadcast" not in d._jdf.queryExecution().executedPlan().toString()
+    assert sorted(values(d, "k", "t")) == [(k, k) for k in range(1, 300, 3)]
+
+
 def test_splits(spark):
     d = spark.createDataFrame([(k,) for k in range(10)], "clip long")
     assert [r.train for r in splits.clip_split(d).orderBy("clip").collect()] == [True] * 8 + [False] * 2

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.sources.storage import written
+
 LAG = 3
 
 
@@ -39,38 +41,61 @@ def _grams(text: Column, q: int) -> Column:
     return F.when(F.length(text) >= q, F.array_distinct(F.transform(places, lambda k: F.substr(text, k, F.lit(q)))))
 
 
+def _keys(needles: DataFrame, hay: DataFrame, needle: str, text: str, q: int) -> tuple[DataFrame, list[int]]:
+    """(_needle, _gram, _q, _m, _n), and the lengths of runs: each different needle with its run
+    that fewest texts have, how often it is asked for and how many texts have that run.
+    Needles whose runs aren't all in texts are left out."""
+    asked = needles.groupBy(F.col(needle).alias("_needle")).agg(F.count("*").alias("_m"))
+    n = F.length("_needle")
+    asked = asked.withColumn("_q", F.greatest(F.least(n, F.lit(q)), *[F.when(n >= q * k, q * k) for k in (2, 4)]))
+    lengths = sorted(r["_q"] for r in asked.select("_q").distinct().collect())  # q + 3 numbers at most
+    counts = hay.select(F.explode(_runs(text, lengths)).alias("_gram")).groupBy("_gram").agg(F.count("*").alias("_n"))
+    grams = F.expr("CASE WHEN _q = 0 THEN array('') ELSE array_distinct(transform(sequence(1, length(_needle) - _q + 1), k -> substr(_needle, k, _q))) END")
+    rarest = asked.select("_needle", "_q", "_m", F.explode(grams).alias("_gram")).join(counts.hint("merge"), "_gram", "left")
+    rarest = rarest.groupBy("_needle", "_q", "_m").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("_key"))
+    keys = rarest.where("_key.n > 0").select("_needle", F.col("_key.gram").alias("_gram"), "_q", "_m", F.col("_key.n").alias("_n"))
+    return written(keys, "keys"), lengths
+
+
+def _runs(text: str, lengths: list[int]) -> Column:
+    runs = [F.array(F.lit("")) if n == 0 else F.coalesce(_grams(F.col(text), n), F.array().cast("array<string>")) for n in lengths]
+    return F.concat(F.array().cast("array<string>"), *runs)
+
+
+def _found(keys: DataFrame, hay: DataFrame, text: str, lengths: list[int]) -> DataFrame:
+    """Rows of ``hay`` with the _needle, _m and _n of each key that they contain. Texts with
+    their runs are far more than the files they are read from, which Spark goes by: without
+    the hint it may broadcast them."""
+    runs = hay.select("*", F.explode(_runs(text, [n for n in lengths if n])).alias("_gram"))
+    found = runs.join(keys.hint("merge"), "_gram").where(F.contains(text, F.col("_needle"))).select(*hay.columns, "_needle", "_m", "_n")
+    every = keys.where("_q = 0").first()  # the empty needle
+    return found.unionByName(hay.select("*", F.lit("").alias("_needle"), F.lit(every._m).alias("_m"), F.lit(every._n).alias("_n"))) if every else found
+
+
 def contained(needles: DataFrame, texts: DataFrame, needle: str, text: str, q: int = 3) -> DataFrame:
     """Each row of ``needles`` with each row of ``texts`` that contains it: the columns of both,
     which have different names. Nulls match nothing, an empty needle everything.
 
-    A needle is looked up by one of its runs of q characters, the one that fewest texts
-    have: an equality, so that the join is hashed or merged, and only what shares that run is
-    compared. A needle of fewer characters is such a run itself, of its own length. A run
-    that very many texts have is a skewed key, which adaptive execution splits."""
-    own = needles.where(F.col(needle).isNotNull()).withColumn("_q", F.least(F.length(needle), F.lit(q)))
-    lengths = sorted(r["_q"] for r in own.select("_q").distinct().collect())  # q + 1 numbers at most
-    if not lengths:
-        return needles.join(texts, F.lit(False))
-    hay = texts.where(F.col(text).isNotNull())
-    runs = F.concat(*[F.array(F.lit("")) if n == 0 else F.coalesce(_grams(F.col(text), n), F.array().cast("array<string>")) for n in lengths])
-    counts = hay.select(F.explode(runs).alias("_gram")).groupBy("_gram").agg(F.count("*").alias("_n"))
-    # Of equal needles one is looked up.
-    asked = own.select(F.col(needle).alias("_needle"), "_q").distinct()
-    grams = F.expr("CASE WHEN _q = 0 THEN array('') ELSE array_distinct(transform(sequence(1, length(_needle) - _q + 1), k -> substr(_needle, k, _q))) END")
-    rarest = asked.select("_needle", F.explode(grams).alias("_gram")).join(counts, "_gram", "left")
-    rarest = rarest.groupBy("_needle").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("_key"))
-    keys = rarest.where("_key.n > 0").select("_needle", F.col("_key.gram").alias("_gram"))
-    found = hay.select("*", F.explode(runs).alias("_gram")).join(keys, "_gram").where(F.contains(text, F.col("_needle"))).drop("_gram")
-    return own.drop("_q").join(found, F.col(needle) == F.col("_needle")).drop("_needle")
+    A needle is looked up by one of its runs of q, 2 q or 4 q characters (the most that it
+    has), the one that fewest texts have: an equality, so that the join is merged, and only
+    what shares that run is compared. A needle of fewer characters is such a run itself, of its
+    own length. Of equal needles one is looked up."""
+    own, hay = needles.where(F.col(needle).isNotNull()), texts.where(F.col(text).isNotNull())
+    keys, lengths = _keys(own, hay, needle, text, q)
+    found = _found(keys, hay, text, lengths)
+    return own.join(found.hint("merge"), F.col(needle) == F.col("_needle")).select(*needles.columns, *texts.columns)
 
 
 def contained_once(needles: DataFrame, texts: DataFrame, needle: str, text: str, q: int = 3) -> DataFrame:
-    """The same, for needles that exactly one text contains."""
-    found = contained(needles.select(needle).distinct(), texts, needle, text, q)
+    """The same, for needles that exactly one text contains. Of a needle that is a run itself
+    it is known how many texts have it."""
+    own, hay = needles.where(F.col(needle).isNotNull()), texts.where(F.col(text).isNotNull())
+    keys, lengths = _keys(own, hay, needle, text, q)
+    found = _found(keys.where((F.col("_n") == 1) | (F.length("_needle") > F.col("_q"))), hay, text, lengths)
     others = texts.columns
-    single = found.groupBy(needle).agg(F.count("*").alias("_n"), F.first(F.struct(*others)).alias("_text")).where("_n = 1")
-    single = single.select(F.col(needle).alias("_needle"), *[F.col("_text")[c].alias(c) for c in others])
-    return needles.join(single, F.col(needle) == F.col("_needle")).drop("_needle")
+    single = found.groupBy("_needle").agg(F.count("*").alias("_count"), F.first(F.struct(*others)).alias("_text")).where("_count = 1")
+    single = single.select("_needle", *[F.col("_text")[c].alias(c) for c in others])
+    return own.join(single.hint("merge"), F.col(needle) == F.col("_needle")).select(*needles.columns, *others)
 
 
 def missing(wanted: DataFrame, found: DataFrame, key: str) -> DataFrame:
