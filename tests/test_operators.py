@@ -106,6 +106,18 @@ def test_contained_once_broadcasts_no_runs(spark, tmp_path):
     assert sorted(values(d, "k", "t")) == [(k, k) for k in range(1, 300, 3)]
 
 
+def test_contained_deals_out_hot_needles(spark, monkeypatch):
+    """What one recurring needle stands for isn't made by one task, and no pair twice."""
+    monkeypatch.setattr(align, "CELL", 64, raising=False)
+    n = spark.range(1000).selectExpr("'ab' needle").repartition(2)
+    t = spark.range(1000).selectExpr("IF(id % 2 = 0, 'xaby', 'none') text").repartition(2)
+    d = align.contained(n.withColumn("k", F.lit(1)), t, "needle", "text").groupBy(F.spark_partition_id()).count()
+    parts = [r["count"] for r in d.collect()]
+    assert sum(parts) == 500_000 and max(parts) < 100_000
+    d = align.contained(n.limit(3), t.limit(2).union(t.where("text = 'xaby'").limit(5)), "needle", "text")
+    assert d.where("text = 'xaby'").count() % 3 == 0
+
+
 def test_splits(spark):
     d = spark.createDataFrame([(k,) for k in range(10)], "clip long")
     assert [r.train for r in splits.clip_split(d).orderBy("clip").collect()] == [True] * 8 + [False] * 2
