@@ -431,6 +431,20 @@ def test_secrets_of_every_step():
         assert spans == [(3 + 2 * k, 3 + len(run) + 5, "hex") for k in range(depth) if len(run) - 2 * k + 5 >= 24], depth
 
 
+def test_secrets_of_every_step_of_long_texts(monkeypatch):
+    """However long the text, each layer between is scanned: by steps that are known, as one by one."""
+    run = "25" * 8000 + "41"
+    spans = S.scan(f"x %{run}bcdefgh")[1]
+    assert spans == [(3 + 2 * k, 3 + len(run) + 5, "hex") for k in range(8000) if len(run) - 2 * k + 5 >= 24]
+    secret = base64.b64encode(b"token=abcdefgh, and more of it").decode()
+    ends = ["3Dabcdefgh", "/a", "\nabcdefghijklmnopqrst", secret, " %41 \\u0041", "H4sI" * 9, "0a" * 20 + "==", "é token%3dabcdefgh"]
+    texts = [a + c + k + b for c, part in (("%", "25"), ("\\", "u005c"), ("\\", "u005C"), ("\\", "x5c")) for a in ("password", "%", "é token=abcdefgh\n") for b in ends for k in (part * 33, part * 90)]
+    texts += [base64.b64encode(t.encode()).decode() for t in texts[::5]]
+    got = [S.scan(t) for t in texts]
+    monkeypatch.setattr(S, "CHAIN", re.compile(r"(?!)"), raising=False)
+    assert got == [S.scan(t) for t in texts]
+
+
 def test_secrets_in_long_layers_take_little():
     """What stands for ranges of the original doesn't take an entry for each character."""
     import tracemalloc

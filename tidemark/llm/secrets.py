@@ -54,10 +54,11 @@ APART = re.compile(r"(?<=\S)[ \t]+(?=\S)|[^\s\w+/=%\\{}:\"'-]")
 MAX_LAYER = 1 << 26
 #: Characters of such a part, and how far back the next one starts.
 PART, BACK = 1 << 22, 1 << 16
-#: Escapes within escapes are unwrapped one after another, each step a layer, up to so many
-#: characters of such layers together; what is nested deeper is unwrapped to its end in
-#: one layer more. All escapes of a text of 8,000 characters may be one within the other.
-WORK = 1 << 24
+#: An escape character that is escaped over and over: each step takes one of the repeated
+#: parts away. A text may be one such chain, so these steps are not made one by one, but for
+#: the last ones. No kind of secret starts within the parts, but for hex in the first.
+CHAIN = re.compile(r"%(?:25){33,}|\\(?:(?:u005[cC]){33,}|(?:x5[cC]){33,})")
+LAST = 32
 
 Span = tuple[int, int, str]
 
@@ -79,11 +80,10 @@ class Layer:
     on. With a step, each character stands for so many of the source, one after the
     other from ``start`` on; without, all stand for the range from ``start`` to ``end``
     together. The source is the original, or what ``out`` maps to it: so the characters
-    of a base64 text need no entry each. ``work`` counts the characters of the layers
-    with rewritten escapes on the way here."""
+    of a base64 text need no entry each."""
 
-    def __init__(self, text: str, at: list[int] | None = None, segments: list[tuple[int, int, int]] | None = None, work: int = 0, out=None):
-        self.text, self.work, self.out = text, work, out
+    def __init__(self, text: str, at: list[int] | None = None, segments: list[tuple[int, int, int]] | None = None, out=None):
+        self.text, self.out = text, out
         self.at, self.segments = ([0], [(0, len(text), 1)]) if segments is None else (at, segments)
 
     @classmethod
@@ -155,13 +155,8 @@ class Layer:
         if not changed:
             return None
         keep(last, len(self.text))
-        work = self.work + len(self.text)
-        return Layer("".join(parts), at or [0], segments or [(0, 0, 0)], work, self.out) if self.fine else self.within_steps("".join(parts))
-
-    def within_steps(self, text: str) -> Layer:
-        inner = Layer.within(text, self.span(0, len(self.text)))
-        inner.work = self.work + len(self.text)
-        return inner
+        text = "".join(parts)
+        return Layer(text, at or [0], segments or [(0, 0, 0)], self.out) if self.fine else Layer.within(text, self.span(0, len(self.text)))
 
     def settled(self) -> Layer:
         """This layer with all its URL and Unicode escapes decoded to the end, those that
@@ -467,31 +462,116 @@ def _runs(text: str, m: re.Match) -> list[list[tuple[int, int]]]:
     return [lines, *(g for g in groups if 1 < len(g) < len(lines)), *([x] for x in lines if x[1] - x[0] >= 16)]
 
 
-def unwrapped(layer: Layer) -> Iterator[Layer | Packed]:
-    """The layers directly inside one."""
+class Steps:
+    """The layers between one whose only escape is a chain of ``parts`` equal parts, and that of
+    its last ones, one for each part less. They have the secrets of that layer at the same
+    places in the original; what else there is starts behind the escape character."""
+
+    def __init__(self, layer: Layer, m: re.Match):
+        self.layer, self.start, self.unit = layer, m.start() + 1, m[0][1:6] if m[0][1] == "u" else m[0][1:4] if m[0][1] == "x" else m[0][1:3]
+        same = re.compile(f"(?:{self.unit})+").match(layer.text, self.start)
+        self.parts = (same.end() - self.start) // len(self.unit)
+        self.run, self.last = BASE64.match(layer.text, self.start), LAST
+
+    @classmethod
+    def of(cls, layer: Layer) -> Steps | None:
+        """Those of a layer, if there is one chain and no other escape, and if no more than
+        the first line of base64 depends on its length."""
+        m = CHAIN.search(layer.text) if "%2525" in layer.text or "\\" in layer.text else None
+        if m is None or sum(1 for p in (URL, UNICODE) for _ in p.finditer(layer.text)) != 1:
+            return None
+        steps = cls(layer, m)
+        plain = steps.parts > LAST and steps.run and not re.search(r"[/_\s-]", steps.run[0])
+        first = (URL if m[0][0] == "%" else UNICODE).match(layer.text, m.start())
+        return steps if plain and first and first.end() == steps.start + len(steps.unit) else None
+
+    @property
+    def number(self) -> int:
+        return self.parts - self.last
+
+    @property
+    def key(self) -> tuple:
+        """What layers with more and less parts have in common."""
+        text, end = self.layer.text, self.start + self.parts * len(self.unit)
+        return hashlib.sha256(utf8(text[: self.start])).digest(), self.unit, hashlib.sha256(utf8(text[end:])).digest(), self.layer.span(0, len(text))
+
+    def spans(self) -> Iterator[Span]:
+        if self.unit == "25":
+            end = HEX.match(self.layer.text, self.start).end()
+            for k in range(1, self.number + 1):
+                yield *self.layer.span(self.start + 2 * k, end), "hex"
+
+    def inside(self) -> Iterator[Layer | Packed]:
+        """Layers of base64 that start with the chain, and the layer with the last parts. Of runs that
+        start a multiple of four characters later, data are the end of the former's: where those
+        hold nothing that is a secret or encoded, these don't either, unless they are packed."""
+        layer, text, n = self.layer, self.layer.text, len(self.unit)
+        a, b = LINE.match(text, self.start).span()
+        known: dict[int, tuple[int, bytes, int]] = {}
+        for k in range(1, self.number + 1):
+            at = self.start + k * n
+            first, data, upto = known.get(at % 4, (at, b"", -1))
+            skip = (at - first) // 4 * 3
+            if skip > upto:
+                yield from _decoded(layer, [(at, b)], layer.span(at, self.run.end()))
+                if at % 4 not in known:
+                    data, inner = _base64(text[at:b])[0], ""
+                    inner = data.decode(errors="replace")
+                    barren = not any(p.search(inner) for p in (ASSIGN, ACCESS, HEX, URL, UNICODE, BASE64))
+                    # Up to where a character that can't be decoded is in what is left.
+                    known[at % 4] = at, data, len(data) - len(utf8(inner[inner.rfind("\ufffd") + 1 :])) - 4 if barren and "\ufffd" in inner else -1
+                continue
+            raw = data[skip:]
+            if _packed(raw):
+                yield Packed(raw, layer.span(at, self.run.end()))
+            elif _bare(raw):
+                yield Packed(b"\x1f\x8b\x08" + bytes(7) + raw, layer.span(at, self.run.end()))
+        # One step before the last parts begin, as a layer like others.
+        cut, at = self.number * n, self.start - 1
+        if not layer.fine:
+            yield Layer.within(text[: self.start] + text[self.start + cut :], layer.span(0, len(text)))
+            return
+
+        def run(found: str) -> list[tuple[str, int, int, int]]:
+            return [(found[0], 0, 1 + cut, 0)]
+
+        yield layer.rewritten(re.compile(re.escape(text[at]) + f"(?:{self.unit}){{{self.number}}}"), run)
+
+
+def _base64(token: str) -> tuple[bytes, int]:
+    """The data, and how many characters stand for them: six bits alone are no byte."""
+    token = token.replace("-", "+").replace("_", "/")
+    size = len(token) - (len(token) % 4 == 1)
+    return base64.b64decode(token[:size] + "=" * (-size % 4)), size
+
+
+def _decoded(layer: Layer, lines: list[tuple[int, int]], whole: tuple[int, int]) -> Iterator[Layer | Packed]:
+    """The layers directly inside lines of base64."""
+    raw, size = _base64("".join([layer.text[a:b] for a, b in lines]))
+    if _packed(raw):
+        yield Packed(raw, whole)
+        return
+    inner = raw.decode(errors="replace")
+    if "\ufffd" in inner and _bare(raw):
+        yield Packed(b"\x1f\x8b\x08" + bytes(7) + raw, whole)  # as gzip data without their end
+    if layer.fine and inner.isascii() and inner:
+        yield Layer(inner, out=_within_base64(layer, lines, size))
+    else:
+        yield Layer.within(inner, whole)
+
+
+def unwrapped(layer: Layer, steps: Steps | None) -> Iterator[Layer | Packed | Steps]:
+    """The layers directly inside one, of which ``steps`` are known."""
     text = layer.text
-    url = layer.rewritten(URL, _url) if "%" in text else None
-    code = layer.rewritten(UNICODE, _unicode) if "\\" in text else None
-    if (url or code) and layer.work >= WORK:
-        yield layer.settled()
+    if steps:
+        yield steps
     else:
+        url = layer.rewritten(URL, _url) if "%" in text else None
+        code = layer.rewritten(UNICODE, _unicode) if "\\" in text else None
         yield from filter(None, (url, code))
     for m in BASE64.finditer(text):
         for lines in _runs(text, m):
-            token = "".join([text[a:b] for a, b in lines]).replace("-", "+").replace("_", "/")
-            size = len(token) - (len(token) % 4 == 1)  # six bits alone are no byte
-            raw = base64.b64decode(token[:size] + "=" * (-size % 4))
-            whole = layer.span(lines[0][0], m.end() if text[lines[-1][1] : m.end()].strip("=") == "" else lines[-1][1])
-            if _packed(raw):
-                yield Packed(raw, whole)
-                continue
-            inner = raw.decode(errors="replace")
-            if "\ufffd" in inner and _bare(raw):
-                yield Packed(b"\x1f\x8b\x08" + bytes(7) + raw, whole)  # as gzip data without their end
-            if layer.fine and inner.isascii() and inner:
-                yield Layer(inner, out=_within_base64(layer, lines, size))
-            else:
-                yield Layer.within(inner, whole)
+            yield from _decoded(layer, lines, layer.span(lines[0][0], m.end() if text[lines[-1][1] : m.end()].strip("=") == "" else lines[-1][1]))
 
 
 def _within_base64(layer: Layer, lines: list[tuple[int, int]], size: int):
@@ -516,6 +596,10 @@ def _key(item: Layer | Packed) -> tuple:
     return (False, hashlib.sha256(utf8(item.text)).digest() if long else item.text, item.span(0, len(item.text)) if item.text else None)
 
 
+def _counted(text: str) -> bool:
+    return text != "" and "\ufffd" not in text and CONTROL.search(text) is None
+
+
 def scan(text: str | None, limit: int = MAX_LAYER) -> tuple[list[Span], list[Span], int, int]:
     """(base spans, all spans, number of layers, number of bombs) of one text. Base
     spans are those of the text itself. Both lists are sorted by start, then kind as
@@ -523,7 +607,8 @@ def scan(text: str | None, limit: int = MAX_LAYER) -> tuple[list[Span], list[Spa
     scanned; only those without control and undecodable characters are counted."""
     order = {k: n for n, k in enumerate(KINDS)}
     seen, spans, base, layers, bombs = set(), set(), [], 0, 0
-    work: list[Iterator[Layer | Packed | None]] = [iter([Layer(text or "")])]
+    chains: dict[tuple, int] = {}  # parts from which on all steps are made
+    work: list[Iterator[Layer | Packed | Steps | None]] = [iter([Layer(text or "")])]
     while work:
         for item in work[-1]:
             break
@@ -533,6 +618,11 @@ def scan(text: str | None, limit: int = MAX_LAYER) -> tuple[list[Span], list[Spa
         if item is None:
             bombs += 1
             continue
+        if isinstance(item, Steps):
+            spans.update(item.spans())
+            layers += item.number - 1 if _counted(item.layer.text) else 0  # the last one comes as a layer
+            work.append(item.inside())
+            continue
         key = _key(item)
         if key in seen:
             continue
@@ -541,11 +631,16 @@ def scan(text: str | None, limit: int = MAX_LAYER) -> tuple[list[Span], list[Spa
         if isinstance(item, Packed):
             work.append(unpacked(item, limit))
             continue
-        layers += first or (item.text != "" and "\ufffd" not in item.text and CONTROL.search(item.text) is None)
+        if steps := Steps.of(item):
+            made = chains.get(steps.key, 0)
+            if steps.parts < made:
+                continue
+            chains[steps.key], steps.last = steps.parts, max(LAST, made)
+        layers += first or _counted(item.text)
         found = matches(item.text)
         base = found if first else base
         spans.update((*item.span(a, b), k) for a, b, k in found)
-        work.append(unwrapped(item))
+        work.append(unwrapped(item, steps))
     by = lambda s: (s[0], order[s[2]], s[1])
     return sorted(base, key=by), sorted(spans, key=by), layers, bombs
 
