@@ -45,6 +45,21 @@ def test_query(spark, data, db, name):
     assert all(same(x, y) for a, b in zip(keyed(rows), keyed(wanted), strict=True) for x, y in zip(a, b, strict=True))
 
 
+@pytest.mark.parametrize("name", ["loo_wide_one", "ridge_loo_one"])
+def test_equal_errors(spark, tmp_path, name):
+    """Blocks of one step, and blocks and clips whose feature never changes, have the same error
+    at every alpha: of these the SQL, in one thread, takes the last."""
+    db = duckdb.connect()
+    db.execute("SET threads = 1")
+    vector = "[(CASE WHEN v % 3 = 1 OR v % 3 = 0 AND v // 60 = 1 THEN 0.5 ELSE hash(v) % 1000 / 1000 END)::FLOAT] || [(hash(v * 64 + p) % 1000 / 1000)::FLOAT for p in range(1, 64)]"
+    db.execute(f"COPY (SELECT v vec_id, {vector} embedding, (v % 3)::INT \"label\" FROM range(0, 123) r(v)) TO '{tmp_path}/embeddings.parquet' (FORMAT parquet)")
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    found = db.execute(catalog.ORACLE_SQL[name])
+    names = [d[0] for d in found.description]
+    wanted, got = sorted(found.fetchall()), sorted(tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).select(*names).collect())
+    assert len(got) == len(wanted) and all(same(x, y) for a, b in zip(got, wanted, strict=True) for x, y in zip(a, b, strict=True))
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

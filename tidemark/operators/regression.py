@@ -262,7 +262,7 @@ def left_out_errors(x: np.ndarray, y: np.ndarray, n: float, parts: tuple[np.ndar
 
 def loo_fit(rows: DataFrame, *by: str, alphas: tuple[float, ...] = ALPHAS, most: int = 20_000_000) -> DataFrame:
     """(by, alpha, mse, w, b): per group the alpha of least leave-one-out error on
-    standardised features, of equals the first, and the ridge fit with it. The products
+    standardised features, of equals the last, and the ridge fit with it. The products
     of a group are decomposed once; a second pass over its rows, of which there may be
     any number, adds up their errors."""
     rows = rows.where(complete("x", "y"))
@@ -294,7 +294,7 @@ def loo_fit(rows: DataFrame, *by: str, alphas: tuple[float, ...] = ALPHAS, most:
 
     types = [to_arrow_type(rows.schema[c].dataType) for c in by]
     errors = own.mapInArrow(run, ", ".join([*_kinds(rows, by), "_k int, _e double, _n double"])).groupBy(*by, "_k").agg((F.sum("_e") / F.sum("_n")).alias("_mse"))
-    best = errors.groupBy(*by).agg(F.min(F.struct("_mse", "_k")).alias("_best"))
+    best = errors.groupBy(*by).agg(F.min(F.struct("_mse", -F.col("_k"), "_k")).alias("_best"))
     chosen = parts.join(best, list(by)) if by else parts.crossJoin(F.broadcast(best))  # one row each
 
     def solve(batches):
