@@ -118,6 +118,29 @@ def test_contained_deals_out_hot_needles(spark, monkeypatch):
     assert d.where("text = 'xaby'").count() % 3 == 0
 
 
+def test_contained_copies_grow_as_the_input(spark, monkeypatch):
+    """Of twice the needles and texts, four times the pairs are made from twice the shuffled rows."""
+    monkeypatch.setattr(align, "CELL", 64)
+    sc = spark.sparkContext
+    sides = lambda size: (spark.range(size).selectExpr("id k", "'' needle"), spark.range(size).selectExpr("id t", "concat('text', id) text"))
+
+    def shuffled(size):
+        sc.setJobGroup(f"pairs of {size}", "")
+        assert align.contained(*sides(size), "needle", "text").count() == size * size
+        tracker, rows = sc.statusTracker(), 0
+        for job in tracker.getJobIdsForGroup(f"pairs of {size}"):
+            for stage in tracker.getJobInfo(job).stageIds:
+                if tracker.getStageInfo(stage).numCompletedTasks:
+                    rows += sc._jsc.sc().statusStore().lastStageAttempt(stage).shuffleWriteRecords()
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        return rows
+
+    assert shuffled(4000) < 2.5 * shuffled(2000)
+    monkeypatch.setattr(align, "HELD", 16, raising=False)
+    d = align.contained(*sides(300), "needle", "text").select("k", "t")
+    assert d.count() == 90_000 == d.distinct().count()
+
+
 def test_splits(spark):
     d = spark.createDataFrame([(k,) for k in range(10)], "clip long")
     assert [r.train for r in splits.clip_split(d).orderBy("clip").collect()] == [True] * 8 + [False] * 2
